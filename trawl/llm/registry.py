@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup
+from . import chat_format, decontam, exact_dedup, license_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op8_decontam": decontam.op8_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_license_scan": license_scan.OP3_SQL,
         "op5_chat_format": chat_format.OP5_SQL,
+        "op8_decontam": decontam.OP8_SQL,
     }
