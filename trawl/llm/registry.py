@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, license_scan
+from . import chat_format, decontam, exact_dedup, license_scan, quality, sp_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_quality": quality.op2_quality,
         "op3_license_scan": license_scan.op3_license_scan,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op7_sp_sampling": sp_sampling.op7_sp_sampling,
         "op8_decontam": decontam.op8_decontam,
     }
 
