@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, license_scan, quality, sp_sampling
+from . import chat_format, decontam, exact_dedup, license_scan, lm_score, quality, sp_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_sp_sampling": sp_sampling.op7_sp_sampling,
         "op8_decontam": decontam.op8_decontam,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 
