@@ -57,3 +57,18 @@ def drop_ids(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys with at least one row in so many are hot; there are at most as many of them.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: str, total: int) -> DataFrame:
+    """rows inner-joined with table, which has one row per key and counts in n_rows how many of total rows have it.
+
+    A hot key's row is broadcast (there are at most HOT_SHARE), so its rows are joined where they lie; others shuffle.
+    """
+    hot = (F.col(n_rows) * HOT_SHARE >= max(total, HOT_SHARE)).alias("__hot")
+    marked = rows.join(F.broadcast(table.filter(hot).withColumn("__hot", F.lit(True))), key, "left")
+    cold = marked.filter(F.col("__hot").isNull()).select(*rows.columns).join(table.filter(~hot), key)
+    return marked.filter(F.col("__hot").isNotNull()).drop("__hot").unionByName(cold)

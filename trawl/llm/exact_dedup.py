@@ -21,10 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACES, drop_ids, new_path, shuffle_partitions, staged
-
-#: Digests with at least this share of a batch's rows are looked up by broadcast.
-HOT_SHARE = 1000
+from ._common import SPACES, drop_ids, looked_up, new_path, shuffle_partitions, staged
 
 _SCHEMA = T.StructType(
     [
@@ -84,13 +81,9 @@ class ExactDedupIndex:
         return self._looked_up(rows, batch)
 
     def _looked_up(self, rows: DataFrame, batch: str) -> DataFrame:
-        entries = self.entries()
-        total = entries.filter(F.col("batch") == batch).agg(F.sum("n_rows")).first()[0] or 0
-        hot = entries.filter((F.col("batch") == batch) & (F.col("n_rows") * HOT_SHARE >= max(total, HOT_SHARE)))
-        split = rows.join(F.broadcast(hot), "digest", "left")
-        cold = split.filter(F.col("batch").isNull()).select(*rows.columns).join(entries, "digest")
         own = F.col("batch") == batch
-        return split.filter(F.col("batch").isNotNull()).unionByName(cold).select(
+        total = self.entries().filter(own).agg(F.sum("n_rows")).first()[0] or 0
+        return looked_up(rows, self.entries(), "digest", "n_rows", total).select(
             "doc_id",
             "keep_id",
             F.col("n_rows").alias("group_size"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, license_scan, lm_score, quality, sp_sampling
+from . import chat_format, decontam, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_quality": quality.op2_quality,
         "op3_license_scan": license_scan.op3_license_scan,
+        "op4_minhash": minhash.op4_minhash,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_sp_sampling": sp_sampling.op7_sp_sampling,
         "op8_decontam": decontam.op8_decontam,
