@@ -1,19 +1,53 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote.
+
+    quality classifier      documents that it rejects go
+    exact dedup             one row of equal texts stays
+    MinHash near-dedup      one document of each component stays
+    decontamination         documents that hold a window of a benchmark item go
+    SentencePiece           sampled pieces of each text, decoded again to the same text
+
+The first four return the columns of documents; the last returns doc_id, lang, source, n_pieces and pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trawl.llm import decontam, exact_dedup, minhash, quality, sp_sampling
 from trawl.llm._common import staged
-from trawl.llm.exact_dedup import exact_dedup
 
 
-def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup(docs)
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = sp_sampling.encode(docs.select("doc_id", "lang", "source", "text"))
+    return own.select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
 
 
-STAGES = [("exact dedup", drop_exact)]
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
+#: SQL can't express the classifier, the component search or the sampling; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -21,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = staged(docs, f"stage-{k}") if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{k + 1}")
     return docs

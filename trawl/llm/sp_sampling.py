@@ -10,7 +10,8 @@ A piece's weight is rank ** -alpha, with its rank among the vocabulary's merges;
 own is written as byte pieces, and so is U+2581, which would be read back as a space. Decoding is lossless for every text.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text. A null row key is a key like any
-other. Rows with equal keys and texts get equal pieces. An empty table gives no rows. Other columns are kept.
+other. Rows with equal keys and texts get equal pieces. An empty table gives no rows. Other columns are kept, but one named
+like the new column is replaced.
 """
 
 from __future__ import annotations
@@ -233,24 +234,26 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", text: str = "text", out: str = "pieces") -> DataFrame:
-    """docs with a column of sampled piece ids; its name must be new."""
-    if out.lower() in [c.lower() for c in docs.columns]:
-        raise ValueError(f"there is a column {out} already")
+    """docs with a column of sampled piece ids, which replaces one of that name. Each text is decoded again at once; a difference is an error."""
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(model, alpha)
         for b in batches:
-            texts = [t or "" for t in b.column("__text").to_pylist()]
-            keys = [-1 if k is None else k for k in b.column("__key").to_pylist()]
+            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
+            keys = [-1 if k is None else k for k in b.column(len(kept) + 1).to_pylist()]
             found = [p for i, j in _chunks(texts) for p in encode_texts(texts[i:j], keys[i:j], own, seed)]
+            if not all(decode_pieces(p, own) == t for p, t in zip(found, texts)):
+                raise ValueError("a text isn't what its pieces decode to")
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            kept = [b.column(n) for n in b.schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, pieces], names=[*b.schema.names[:-2], out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pieces], names=[*kept, out])
 
-    own = docs.select(*docs.columns, F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
-    kinds = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    # The text and the key come last, under names that no column has.
+    spare = "_" * (1 + max(map(len, docs.columns)))
+    own = docs.select(*kept, F.col(text).alias(f"{spare}t"), F.col(key).cast("long").alias(f"{spare}k"))
+    kinds = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
     return own.mapInArrow(run, kinds)
 
 
