@@ -24,11 +24,12 @@ id only where there is no other. An empty table gives no rows. Columns other tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_IDS, drop_ids, looked_up, shuffle_partitions, staged
@@ -120,16 +121,15 @@ def _set_keys(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(h[e - n : e].tobytes()) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, key: str = "doc_id") -> DataFrame:
-    """doc_id, row_id, n_shingles, set_key, sketch (a byte a coordinate), bands; for each row of docs."""
+def signatures(rows: DataFrame, bands: int, band_rows: int, words: int = WORDS) -> DataFrame:
+    """key, row_id, n_shingles, set_key, sketch (a byte a coordinate), bands; for each row of rows (key, text: strings)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
             for i, j in _chunks(texts):
                 h, sizes = shingles(texts[i:j], words)
-                sketch = sketches(h, sizes, bands * rows)
-                values = band_values(sketch, bands, rows)
+                sketch = sketches(h, sizes, bands * band_rows)
                 yield pd.DataFrame(
                     {
                         "key": b["key"].iloc[i:j].to_numpy(),
@@ -137,13 +137,12 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
                         "n_shingles": sizes,
                         "set_key": _set_keys(h, sizes),
                         "sketch": [s.tobytes() for s in sketch.astype(np.uint8)],
-                        "bands": list(values),
+                        "bands": list(band_values(sketch, bands, band_rows)),
                     }
                 )
 
-    own = docs.select(F.col(key).cast("string").alias("key"), F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = own.mapInPandas(run, "key string, row_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
-    return out.select(F.col("key").cast("long").alias("doc_id"), *out.columns[1:])
+    own = rows.select("key", F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.mapInPandas(run, "key string, row_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
 
 
 def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -183,8 +182,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", agreement("sketch_a", "sketch_b").alias("agreement")).filter(F.col("agreement") >= least)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int, words: int = WORDS, key: str = "doc_id") -> DataFrame:
-    """node, members (8 bytes a shingle): the sets of wanted (n rows: doc_id, set_key, node), made from the texts anew."""
+def full_sets(rows: DataFrame, wanted: DataFrame, n: int, words: int = WORDS) -> DataFrame:
+    """node, members (8 bytes a shingle): the sets of wanted (n rows: key, set_key, node), made from the texts anew."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,10 +193,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int, words: int = WORDS, ke
                 ends = np.cumsum(sizes).tolist()
                 yield pd.DataFrame({"set_key": _set_keys(h, sizes), "members": [h[e - s : e].tobytes() for e, s in zip(ends, sizes.tolist())]})
 
-    ids = wanted.select(F.col("doc_id").alias("__wanted")).distinct()
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    own = docs.select(F.col(key).cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = own.join(ids, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi").select("text")
+    keys = wanted.select("key").distinct()
+    keys = F.broadcast(keys) if n <= BROADCAST_IDS else keys
+    texts = rows.join(keys, "key", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     made = texts.mapInPandas(run, "set_key binary, members binary")
     return made.join(wanted.select("set_key", "node"), "set_key").select("node", "members")
 
@@ -224,45 +222,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMIL
     return met.filter(alike("set_a", "set_b")).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
-    signed = staged(signatures(docs, bands, rows, words), "signatures")
-    slim = signed.select("doc_id", "row_id", "n_shingles", "set_key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
+@dataclass(frozen=True)
+class Banding:
+    """How sketches are compared: see the module's notes."""
+
+    bands: int = BANDS
+    rows: int = ROWS
+    neighbours: int = NEIGHBOURS
+    least_agreement: float = LEAST_AGREEMENT
+    words: int = WORDS
+    similar: tuple[int, int] = SIMILAR
+
+
+def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
+    """key, n_shingles, lowest: of each row of rows (key, text: strings), the least identity in its component.
+
+    identity: an expression over key, whose least value names a component; empty sets are alone.
+    """
+    signed = staged(signatures(rows, how.bands, how.rows, how.words), "signatures")
+    slim = signed.select("key", "row_id", "n_shingles", "set_key")
+    first = F.min(F.struct(identity.alias("identity"), "row_id", "key")).alias("first")
     classes = slim.filter("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_rows"))
-    classes = staged(classes.select("set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.row_id").alias("node"), "n_rows"), "classes")
+    classes = staged(classes.select("set_key", "first.identity", "first.key", F.col("first.row_id").alias("node"), "n_rows"), "classes")
     total = classes.agg(F.sum("n_rows"), F.count("*")).first()
-    copies = total[0] - total[1] if total[0] else 0
     linked = classes.withColumn("component", F.lit(None).cast("long"))
     if total[1] > 1:
-        # Rows that copy another row's set go no further.
         reps = signed.filter("n_shingles > 0").withColumnRenamed("row_id", "node")
-        reps = reps.join(classes.select("node"), "node", "left_semi") if copies else reps
-        links = _links(docs, staged(reps.select("node", "sketch", "bands"), "nodes"), classes, words, similar)
+        # Rows that copy another row's set go no further.
+        reps = reps.join(classes.select("node"), "node", "left_semi") if total[0] > total[1] else reps
+        links = _links(rows, staged(reps.select("node", "sketch", "bands"), "nodes"), classes, how)
         linked = classes.join(links.toDF("node", "component"), "node", "left")
-    lowest = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    named = linked.join(lowest, "component", "left").select("set_key", F.coalesce("lowest", "doc_id").alias("component_id"), "n_rows")
+    least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("identity").alias("least"))
+    named = linked.join(least, "component", "left").select("set_key", F.coalesce("least", "identity").alias("lowest"), "n_rows")
     full = looked_up(slim.filter("n_shingles > 0"), staged(named, "named-classes"), "set_key", "n_rows", total[0] or 0)
-    empty = slim.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = full.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", "component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = slim.filter("n_shingles = 0").withColumn("lowest", identity)
+    return full.select("key", "n_shingles", "lowest").unionByName(empty.select("key", "n_shingles", "lowest"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
     """node, component for the nodes that are similar to another."""
-    pairs = staged(agreeing(neighbour_pairs(nodes), nodes, LEAST_AGREEMENT), "pairs")
+    pairs = staged(agreeing(neighbour_pairs(nodes, how.neighbours), nodes, how.least_agreement), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = staged(classes.join(ends, "node").select("doc_id", "set_key", "node"), "wanted")
-    sets = staged(full_sets(docs, wanted, wanted.count(), words), "sets")
+    wanted = staged(classes.join(ends, "node").select("key", "set_key", "node"), "wanted")
+    sets = staged(full_sets(rows, wanted, wanted.count(), how.words), "sets")
     # First one partner for each node; among clear ones any, so that no node is everyone's partner.
     worth = F.when(F.col("agreement") >= 0.85, 1 + F.abs(F.xxhash64("a", "b") % 1_000_003)).otherwise(F.col("agreement"))
     chosen = staged(pairs.groupBy("b").agg(F.max_by("a", worth).alias("a")).select("a", "b"), "chosen")
-    links = staged(verified(chosen, sets, similar), "links-1")
+    links = staged(verified(chosen, sets, how.similar), "links-1")
     found = staged(connected_components(links), "components-1")
     near = pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b")
     near = near.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
     across = near.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-    more = staged(verified(across, sets, similar), "links-2")
+    more = staged(verified(across, sets, how.similar), "links-2")
     if more.isEmpty():
         return found
     bridges = more.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
@@ -270,6 +281,15 @@ def _links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, si
     return connected_components(found.toDF("a", "b").unionByName(bridges))
 
 
+def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    own = F.when(F.col("key") != "", F.col("key")).cast("long")
+    found = near_classes(docs.select(key, "text"), F.struct(own.isNull().alias("unknown"), own.alias("doc_id")), how)
+    out = found.select(own.alias("doc_id"), "n_shingles", F.col("lowest.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component."""
     gone = staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling
+from . import chat_format, decontam, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_minhash": minhash.op4_minhash,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_sp_sampling": sp_sampling.op7_sp_sampling,
         "op8_decontam": decontam.op8_decontam,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_lm_score": lm_score.op10_lm_score,
     }
 
