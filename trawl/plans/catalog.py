@@ -1,15 +1,583 @@
-"""The registered queries of the search library and their SQL."""
+"""The registered queries of the search library and, beside each, the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trawl.operators import aggregate, context, display, filters, lines, match, spans
+from trawl.sources import files, sinks
+from trawl.spec import spec
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            # Both engines give 64-bit integers.
+            return out.select(*[F.col(c).cast("long").alias(c) if k in ("int", "smallint", "tinyint") else F.col(c) for c, k in out.dtypes])
+
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents under derived paths: doc_id, path, length."""
+    ext = F.element_at(F.array(*map(F.lit, ("txt", "md", "py", "log", "json"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    dot = F.when(F.col("doc_id") % 17 == 0, ".").otherwise("")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), dot, F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.octet_length("text").alias("length"), "text")
+
+
+_SPLIT = "CASE WHEN string_split(text, chr(10))[-1] = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
+_LINES = f"""a AS (SELECT doc_id, {_SPLIT} AS s, text FROM documents),
+l AS (SELECT doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS line_number, len(s) AS n, text FROM a)"""
+_TREE = """p AS (SELECT doc_id, source || '/' || lang || '/' || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || 'doc-' || doc_id || '.' ||
+  (['txt', 'md', 'py', 'log', 'json'])[CAST(doc_id % 5 + 1 AS INT)] AS path, CAST(strlen(text) AS BIGINT) AS length, text FROM documents)"""
+
+
+def _where(condition: str, columns: str = "doc_id, line_number, line") -> str:
+    return f"WITH {_LINES} SELECT {columns} FROM l WHERE {condition}"
+
+
+def _grep(name: str, condition: str | None, *patterns: str, **options):
+    search = spec(*patterns, **options)
+    query(name, condition and _where(condition))(lambda s, d: match.grep(docs(s, d), search))
+
+
+def _match(pattern: str) -> str:
+    return f"regexp_matches(line, '{pattern}')"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License lines of documents, with their spans, counted per language."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = spans.match_rows(own, spec("[Ll]icense"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum("match_count").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+query(
+    "license_lines_by_lang",
+    rf"""WITH {_LINES}, h AS (SELECT doc_id, len(regexp_extract_all(line, '[Ll]icense')) AS n FROM l WHERE {_match('[Ll]icense')})
+SELECT lang, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM h JOIN documents USING (doc_id) GROUP BY lang""",
+)(flagship)
+
+# Sources
+
+query("scan_documents", "SELECT doc_id, text FROM documents")(docs)
+
+
+@query(
+    "multi_source_search",
+    r"""WITH u AS (SELECT 'documents' AS root, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations),
+l AS (SELECT root, id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_number FROM u)
+SELECT root, id, line_number, line FROM l WHERE contains(line, 'tion the')""",
+)
+def multi_source_search(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.lit("documents").alias("root"), F.col("doc_id").alias("id"), "text")
+    b = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("root"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return match.grep(a.unionByName(b), spec("tion the"))
+
+
+@query("list_documents", f"WITH {_TREE} SELECT doc_id, path, length FROM p")
+def list_documents(spark, sf_dir):
+    return files.list_files(tree(spark, sf_dir))
+
+
+_TAGS = "<[^<>]*>"
+
+
+@query(
+    "preprocess_html_search",
+    rf"""WITH t AS (SELECT page_id, regexp_replace(html, '{_TAGS}', ' ', 'g') AS text FROM pages),
+a AS (SELECT page_id, {_SPLIT} AS s FROM t), l AS (SELECT page_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS line_number FROM a)
+SELECT page_id, line_number, line FROM l WHERE regexp_matches(line, '[Tt]ion')""",
+)
+def preprocess_html_search(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    return match.grep(files.preprocess(pages, lambda t: F.regexp_replace(t, _TAGS, " ")), spec("[Tt]ion"))
+
+
+_FIRST_WORDS = "regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)', 1)"
+
+
+@query(
+    "pattern_table_match",
+    f"""WITH {_LINES}, q AS (SELECT DISTINCT {_FIRST_WORDS} AS w FROM benchmark WHERE {_FIRST_WORDS} <> '')
+SELECT doc_id, line_number, line FROM l WHERE EXISTS (SELECT 1 FROM q WHERE contains(l.line, q.w))""",
+)
+def pattern_table_match(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)", 1).alias("pattern")).filter("pattern <> ''")
+    return match.grep(docs(spark, sf_dir), spec(*match.patterns_from(own), fixed=True))
+
+
+# Lines
+
+
+@query("split_lines", f"WITH {_LINES} SELECT doc_id, line_number, line FROM l")
+def split_lines(spark, sf_dir):
+    return lines.split_lines(docs(spark, sf_dir)).drop("terminator")
+
+
+@query("line_numbers", f"WITH {_LINES} SELECT doc_id, CAST(max(line_number) AS BIGINT) AS last_line FROM l GROUP BY doc_id")
+def line_numbers(spark, sf_dir):
+    return lines.split_lines(docs(spark, sf_dir)).groupBy("doc_id").agg(F.max("line_number").alias("last_line"))
+
+
+_OFFSET = "CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+
+
+@query("line_byte_offsets", f"WITH {_LINES} SELECT doc_id, line_number, {_OFFSET} AS absolute_offset FROM l")
+def line_byte_offsets(spark, sf_dir):
+    return lines.with_offsets(docs(spark, sf_dir)).select("doc_id", "line_number", "absolute_offset")
+
+
+@query("line_byte_offsets_window", f"WITH {_LINES} SELECT doc_id, line_number, {_OFFSET} AS absolute_offset FROM l")
+def line_byte_offsets_window(spark, sf_dir):
+    return lines.offsets_over(lines.split_lines(docs(spark, sf_dir)), "doc_id").select("doc_id", "line_number", "absolute_offset")
+
+
+@query("line_terminators", f"WITH {_LINES} SELECT doc_id, line_number, CASE WHEN line_number = n AND NOT ends_with(text, chr(10)) THEN '' ELSE chr(10) END AS terminator FROM l")
+def line_terminators(spark, sf_dir):
+    return lines.split_lines(docs(spark, sf_dir)).select("doc_id", "line_number", "terminator")
+
+
+# Predicates
+
+_grep("grep_regex", _match("th[aeo]t? (on|in)[a-z]+"), "th[aeo]t? (on|in)[a-z]+")
+_grep("grep_fixed", "contains(line, 'License, Version')", "License, Version", fixed=True)
+_grep("grep_ignore_case", _match("(?i)ÉAU[a-zé]*x"), "ÉAU[a-zé]*x", case="ignore")
+_grep("grep_smart_case", f"{_match('(?i)license')} OR {_match('(?i)apache')}", "license", "apache", case="smart")
+_grep("grep_word", _match(r"(^|[^\pL\pM\pN_])(license|reth)([^\pL\pM\pN_]|$)"), "license|reth", boundary="word")
+_grep("grep_line_regexp", _match(r"^(?:[A-Z][a-z]+( [a-z]+)?\.)$"), r"[A-Z][a-z]+( [a-z]+)?\.", boundary="line")
+_grep("grep_multi_pattern", f"contains(line, 'MIT') OR {_match('[0-9]{3}-[0-9]{4}')}", "MIT", r"\d{3}-\d{4}", unicode=False)
+_grep("grep_invert", f"NOT {_match('[aeiou]n')}", "[aeiou]n", invert=True)
+_grep("grep_no_unicode", _match(r"\w\W\w\W\w"), r"\w\W\w\W\w", unicode=False)
+_grep("grep_lookaround", None, r"(?<=tion )(?!the)\w+")
+_grep("grep_backreference", None, r"\b(\w{3,})\1\b")
+_grep("grep_inline_flags", _match(r"(?i:apache) License"), "(?i:apache) License")
+_grep("grep_unicode_class", _match(r"\p{Lu}\p{Ll}+é"), r"\p{Lu}\p{Ll}+é")
+_grep("grep_posix_class", _match(r"[[:digit:]]{3}[[:punct:]][[:digit:]]{4}"), "[[:digit:]]{3}[[:punct:]][[:digit:]]{4}")
+
+
+@query(
+    "pattern_attribution",
+    f"""WITH {_LINES}, q(pattern_id, pattern) AS (VALUES (1, '[Ll]icense'), (2, 'Apache'), (3, '[0-9]+\\.[0-9]+'))
+SELECT doc_id, line_number, CAST(pattern_id AS BIGINT) AS pattern_id FROM l JOIN q ON regexp_matches(line, pattern)""",
+)
+def pattern_attribution(spark, sf_dir):
+    table_ = spark.createDataFrame([(1, "[Ll]icense"), (2, "Apache"), (3, r"[0-9]+\.[0-9]+")], "pattern_id long, pattern string")
+    return match.attribute(docs(spark, sf_dir), table_)
+
+
+@query(
+    "binary_policy",
+    r"""WITH b AS (SELECT doc_id, doc_id % 3 = 0 AS bin, doc_id % 2 = 0 AS named, regexp_matches(text, '[Ll]icense') AS hit, CAST(strlen(text) AS BIGINT) AS nul FROM documents)
+SELECT doc_id, CASE WHEN bin THEN nul END AS binary_offset, hit AND (NOT bin OR named) AS matched, hit AND NOT bin AS show_lines, hit AND bin AND named AS record FROM b""",
+)
+def binary_policy(spark, sf_dir):
+    # A NUL behind every third text; every second document counts as named.
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    own = docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 2 == 0).alias("is_explicit"), text.alias("content"))
+    return match.binary_policy(own, spec("[Ll]icense")).drop("is_explicit")
+
+
+# Spans
+
+_DIGITS = "[0-9]+"
+_SPAN_SQL = f"""{_LINES}, o AS (SELECT *, {_OFFSET} AS base FROM l),
+m AS (SELECT doc_id, line_number, line, base, regexp_extract_all(line, '{_DIGITS}') AS ms, string_split_regex(line, '{_DIGITS}') AS gaps FROM o WHERE regexp_matches(line, '{_DIGITS}')),
+e AS (SELECT *, unnest(ms) AS text, unnest(range(1, len(ms) + 1)) AS k FROM m),
+x AS (SELECT doc_id, line_number, line, base, k, text, CAST(list_sum(list_transform(gaps[:k], lambda v: strlen(v))) + coalesce(list_sum(list_transform(ms[: k - 1], lambda v: strlen(v))), 0) AS BIGINT) AS start_byte FROM e)"""
+
+
+@query("match_spans", f"WITH {_SPAN_SQL} SELECT doc_id, line_number, k - 1 AS span_index, start_byte, start_byte + strlen(text) AS end_byte, text FROM x")
+def match_spans(spark, sf_dir):
+    return spans.spans(docs(spark, sf_dir), spec(_DIGITS)).select("doc_id", "line_number", "span_index", "start_byte", "end_byte", "text")
+
+
+@query("span_byte_offsets", f"WITH {_SPAN_SQL} SELECT doc_id, line_number, k - 1 AS span_index, base + start_byte AS absolute_offset FROM x")
+def span_byte_offsets(spark, sf_dir):
+    return spans.spans(docs(spark, sf_dir), spec(_DIGITS)).select("doc_id", "line_number", "span_index", "absolute_offset")
+
+
+@query("match_columns", f"WITH {_SPAN_SQL} SELECT doc_id, line_number, start_byte + 1 AS first_column FROM x WHERE k = 1")
+def match_columns(spark, sf_dir):
+    return match.grep(docs(spark, sf_dir), spec(_DIGITS)).select("doc_id", "line_number", spans.first_column(spec(_DIGITS), F.col("line")).alias("first_column"))
+
+
+@query("vimgrep_rows", f"WITH {_SPAN_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, line_number, start_byte + 1 AS \"column\", line FROM x")
+def vimgrep_rows(spark, sf_dir):
+    return sinks.vimgrep(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text"), spec(_DIGITS))
+
+
+@query("match_table", f"WITH {_SPAN_SQL} SELECT doc_id, line_number, any_value(line) AS line, any_value(base) AS absolute_offset, count(*) AS match_count FROM x GROUP BY doc_id, line_number")
+def match_table(spark, sf_dir):
+    return sinks.search(docs(spark, sf_dir), spec(_DIGITS)).select("doc_id", "line_number", "line", "absolute_offset", "match_count")
+
+
+@query("only_matching", f"WITH {_LINES} SELECT doc_id, line_number, unnest(regexp_extract_all(line, '[A-Za-z]*tion')) AS text FROM l")
+def only_matching(spark, sf_dir):
+    return spans.only_matching(docs(spark, sf_dir), spec("[A-Za-z]*tion", unicode=False)).drop("span_index")
+
+
+@query("replace_matches", _where(_match("[Ll]icense"), "doc_id, line_number, regexp_replace(line, '[Ll]icense', 'LICENCE', 'g') AS line"))
+def replace_matches(spark, sf_dir):
+    return spans.replace(docs(spark, sf_dir), spec("[Ll]icense", template="LICENCE"))
+
+
+@query("replace_template", _where(_match("([0-9]+)[.]([0-9]+)"), r"doc_id, line_number, regexp_replace(line, '([0-9]+)[.]([0-9]+)', '\2/\1$-', 'g') AS line"))
+def replace_template(spark, sf_dir):
+    return spans.replace(docs(spark, sf_dir), spec(r"(?P<major>[0-9]+)\.(?P<minor_part>[0-9]+)", template="${minor_part}/$1$$$missing-"))
+
+
+@query("replace_only_matching", rf"WITH {_LINES} SELECT doc_id, line_number, regexp_replace(unnest(regexp_extract_all(line, '([0-9]+)[.]([0-9]+)')), '([0-9]+)[.]([0-9]+)', '<\1|\2>') AS text FROM l")
+def replace_only_matching(spark, sf_dir):
+    return spans.only_matching(docs(spark, sf_dir), spec("([0-9]+)[.]([0-9]+)", template="<$1|$2>")).drop("span_index")
+
+
+@query(
+    "capture_groups",
+    rf"""WITH {_LINES}, m AS (SELECT doc_id, line_number, regexp_extract_all(line, '([a-z.0-9]+)@([a-z0-9]+)', 1) AS u, regexp_extract_all(line, '([a-z.0-9]+)@([a-z0-9]+)', 2) AS h FROM l WHERE regexp_matches(line, '([a-z.0-9]+)@([a-z0-9]+)'))
+SELECT doc_id, line_number, unnest(range(0, len(u))) AS match_index, unnest(u) AS "user", unnest(h) AS host FROM m""",
+)
+def capture_groups(spark, sf_dir):
+    rows = spans.captures(docs(spark, sf_dir), spec("(?P<user>[a-z.0-9]+)@(?P<host>[a-z0-9]+)", unicode=False)).filter("name IS NOT NULL")
+    return rows.groupBy("doc_id", "line_number", "match_index").agg(F.max(F.when(F.col("name") == "user", F.col("value"))).alias("user"), F.max(F.when(F.col("name") == "host", F.col("value"))).alias("host"))
+
+
+_MULTI = r"\.\n[A-Z][a-z]+ "
+_MULTI_SQL = rf"""m AS (SELECT doc_id, text, regexp_extract_all(text, '{_MULTI}') AS ms, string_split_regex(text, '{_MULTI}') AS gaps FROM documents WHERE regexp_matches(text, '{_MULTI}')),
+e AS (SELECT *, unnest(ms) AS found, unnest(range(1, len(ms) + 1)) AS k FROM m),
+x AS (SELECT doc_id, k, found, array_to_string(gaps[:k], '') || coalesce(array_to_string(ms[: k - 1], ''), '') AS before FROM e),
+y AS (SELECT doc_id, k, found, CAST(strlen(before) AS BIGINT) AS start_byte, CAST(1 + length(before) - length(replace(before, chr(10), '')) AS BIGINT) AS first_line FROM x)"""
+
+
+@query("multiline_search", f"WITH {_MULTI_SQL} SELECT doc_id, k - 1 AS span_index, start_byte, start_byte + strlen(found) AS end_byte, found AS text, first_line, first_line + 1 AS last_line FROM y")
+def multiline_search(spark, sf_dir):
+    return spans.search_multiline(docs(spark, sf_dir), spec(_MULTI, multiline=True))
+
+
+@query("multiline_dotall", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)[Ll]icense.{1,40}?[A-Z]')) FROM documents) GROUP BY doc_id")
+def multiline_dotall(spark, sf_dir):
+    return spans.search_multiline(docs(spark, sf_dir), spec("[Ll]icense.{1,40}?[A-Z]", multiline=True, dotall=True)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_COVERED = "SELECT DISTINCT doc_id, unnest(range(first_line, first_line + 2)) AS line_number FROM y"
+
+
+@query("multiline_lines", f"WITH {_MULTI_SQL} {_COVERED}")
+def multiline_lines(spark, sf_dir):
+    return spans.lines_covered(docs(spark, sf_dir), spec(_MULTI, multiline=True))
+
+
+@query("multiline_matched_lines", f"WITH {_MULTI_SQL}, z AS ({_COVERED}) SELECT z.doc_id, count(*) AS matched_lines, any_value(n) AS matches FROM z JOIN (SELECT doc_id, count(*) AS n FROM y GROUP BY doc_id) USING (doc_id) GROUP BY z.doc_id")
+def multiline_matched_lines(spark, sf_dir):
+    return aggregate.doc_stats(docs(spark, sf_dir), spec(_MULTI, multiline=True)).filter("matches > 0").select("doc_id", "matched_lines", "matches")
+
+
+@query("rewrite_corpus", "SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS text FROM documents")
+def rewrite_corpus(spark, sf_dir):
+    return spans.rewrite(docs(spark, sf_dir), spec("[0-9]", template="#"))
+
+
+# Aggregates
+
+_HIT = _match("[Tt]he")
+
+
+@query("count_lines", f"WITH {_LINES} SELECT doc_id, count(*) AS n FROM l WHERE {_HIT} GROUP BY doc_id")
+def count_lines(spark, sf_dir):
+    return aggregate.count_lines(docs(spark, sf_dir), spec("[Tt]he"))
+
+
+@query("count_matches", f"WITH {_LINES} SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '[Tt]he'))) AS BIGINT) AS n FROM l WHERE {_HIT} GROUP BY doc_id")
+def count_matches(spark, sf_dir):
+    return aggregate.count_matches(docs(spark, sf_dir), spec("[Tt]he"))
+
+
+@query("count_include_zero", f"WITH {_LINES} SELECT d.doc_id, count(line) AS n FROM documents d LEFT JOIN (SELECT * FROM l WHERE {_HIT}) USING (doc_id) GROUP BY d.doc_id")
+def count_include_zero(spark, sf_dir):
+    return aggregate.count_lines(docs(spark, sf_dir), spec("[Tt]he"), include_zero=True)
+
+
+@query("docs_with_match", f"WITH {_LINES} SELECT DISTINCT doc_id FROM l WHERE {_match('[Ll]icense')}")
+def docs_with_match(spark, sf_dir):
+    return aggregate.docs_with_match(docs(spark, sf_dir), spec("[Ll]icense")).select("doc_id")
+
+
+@query("docs_without_match", f"WITH {_LINES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE {_HIT})")
+def docs_without_match(spark, sf_dir):
+    return aggregate.docs_without_match(docs(spark, sf_dir), spec("[Tt]he")).select("doc_id")
+
+
+@query("any_match", "SELECT bool_or(contains(text, 'Apache License')) AS any_match FROM documents")
+def any_match(spark, sf_dir):
+    own = docs(spark, sf_dir)
+    found = own.filter(aggregate.has_match(spec("Apache License"), F.col("text"))).limit(1).agg(F.count("*").alias("n"))
+    return found.select((F.col("n") > 0).alias("any_match"))
+
+
+_STATS = f"""h AS (SELECT doc_id, count(*) FILTER ({_HIT}) AS matched_lines, CAST(coalesce(sum(len(regexp_extract_all(line, '[Tt]he'))), 0) AS BIGINT) AS matches FROM l GROUP BY doc_id),
+s AS (SELECT d.doc_id, 1 AS searches, CAST(coalesce(matched_lines, 0) > 0 AS BIGINT) AS searches_with_match, CAST(strlen(d.text) AS BIGINT) AS bytes_searched, coalesce(matched_lines, 0) AS matched_lines, coalesce(matches, 0) AS matches FROM documents d LEFT JOIN h USING (doc_id))"""
+
+
+@query("doc_stats", f"WITH {_LINES}, {_STATS} SELECT doc_id, CAST(searches AS BIGINT) AS searches, searches_with_match, bytes_searched, matched_lines, matches FROM s")
+def doc_stats(spark, sf_dir):
+    return aggregate.doc_stats(docs(spark, sf_dir), spec("[Tt]he"))
+
+
+@query("search_stats", f"WITH {_LINES}, {_STATS} SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("searches", "searches_with_match", "bytes_searched", "matched_lines", "matches")) + " FROM s")
+def search_stats(spark, sf_dir):
+    return aggregate.stats(docs(spark, sf_dir), spec("[Tt]he"))
+
+
+# Context
+
+_LIC = _match("[Ll]icense")
+
+
+def _context_sql(before: int, after: int, columns: str, condition: str = _LIC, cap: str = "") -> str:
+    return f"""WITH {_LINES}, h AS (SELECT *, CAST({condition} AS INT) AS hit FROM l),
+c AS (SELECT *, hit {cap} AS counts FROM (SELECT *, sum(hit) OVER (PARTITION BY doc_id ORDER BY line_number) AS rank FROM h)),
+k AS (SELECT *, max(counts) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN {after} PRECEDING AND {before} FOLLOWING) AS kept FROM c),
+g AS (SELECT *, CASE WHEN line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1 THEN 1 ELSE 0 END AS br FROM k WHERE kept = 1),
+r AS (SELECT *, CASE WHEN hit = 1 THEN 'match' ELSE 'context' END AS role, CAST(1 + sum(br) OVER (PARTITION BY doc_id ORDER BY line_number) AS BIGINT) AS group_id FROM g)
+SELECT {columns} FROM r"""
+
+
+def _context(name: str, sql: str, columns: list[str], *patterns: str, **options):
+    search = spec(*patterns, **options)
+    query(name, sql)(lambda s, d: context.selected(docs(s, d), search).select(*columns))
+
+
+_PLAIN = ["doc_id", "line_number", "line"]
+_context("context_after", _context_sql(0, 2, ", ".join(_PLAIN)), _PLAIN, "[Ll]icense", after=2)
+_context("context_before", _context_sql(2, 0, ", ".join(_PLAIN)), _PLAIN, "[Ll]icense", before=2)
+_context("context_both", _context_sql(1, 2, ", ".join(_PLAIN)), _PLAIN, "[Ll]icense", before=1, after=2)
+_context("context_roles", _context_sql(1, 1, "doc_id, line_number, role", _match("[0-9]{3}")), ["doc_id", "line_number", "role"], "[0-9]{3}", before=1, after=1)
+_context("context_groups", _context_sql(1, 1, "doc_id, line_number, group_id", _match("[0-9]{3}")), ["doc_id", "line_number", "group_id"], "[0-9]{3}", before=1, after=1)
+_context("max_count", _context_sql(0, 0, ", ".join(_PLAIN), _HIT, "* CAST(rank <= 2 AS INT)"), _PLAIN, "[Tt]he", max_count=2)
+_context("max_count_context", _context_sql(0, 2, "doc_id, line_number, role", _HIT, "* CAST(rank <= 1 AS INT)"), ["doc_id", "line_number", "role"], "[Tt]he", max_count=1, after=2)
+_context("passthru", f"WITH {_LINES} SELECT doc_id, line_number, CASE WHEN {_HIT} THEN 'match' ELSE 'context' END AS role FROM l", ["doc_id", "line_number", "role"], "[Tt]he", passthru=True)
+_context(
+    "stop_on_nonmatch",
+    f"""WITH {_LINES}, h AS (SELECT *, CAST({_HIT} AS INT) AS hit FROM l), n AS (SELECT *, line_number - sum(hit) OVER (PARTITION BY doc_id ORDER BY line_number) AS run FROM h)
+SELECT doc_id, line_number, line FROM n WHERE hit = 1 QUALIFY run = min(run) OVER (PARTITION BY doc_id)""",
+    _PLAIN,
+    "[Tt]he",
+    stop_on_nonmatch=True,
+)
+
+
+@query("context_both_window", _context_sql(1, 2, "doc_id, line_number, role, group_id"))
+def context_both_window(spark, sf_dir):
+    return context.context_over(lines.split_lines(docs(spark, sf_dir)), spec("[Ll]icense", before=1, after=2), "doc_id").drop("line")
+
+
+# Output shapes
+
+_EVENTS = f"""c AS (SELECT doc_id, line_number, line, n, text, {_OFFSET} AS base, CAST({_LIC} AS INT) AS hit FROM l),
+k AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS kept FROM c),
+d AS (SELECT doc_id, count(*) FILTER (hit = 1) AS matched_lines, CAST(sum(len(regexp_extract_all(line, '[Ll]icense'))) AS BIGINT) AS matches FROM c GROUP BY doc_id)"""
+
+
+@query(
+    "json_events",
+    f"""WITH {_LINES}, {_EVENTS}, w AS (SELECT * FROM d WHERE matched_lines > 0)
+SELECT 'begin' AS type, CAST(doc_id AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line_number, CAST(NULL AS BIGINT) AS absolute_offset, CAST(NULL AS VARCHAR) AS lines, CAST(NULL AS BIGINT) AS submatches, CAST(NULL AS BIGINT) AS matched_lines, CAST(NULL AS BIGINT) AS matches FROM w
+UNION ALL SELECT CASE WHEN hit = 1 THEN 'match' ELSE 'context' END, CAST(doc_id AS VARCHAR), line_number, base, line || CASE WHEN line_number = n AND NOT ends_with(text, chr(10)) THEN '' ELSE chr(10) END,
+  CASE WHEN hit = 1 THEN len(regexp_extract_all(line, '[Ll]icense')) ELSE 0 END, NULL, NULL FROM k WHERE kept = 1
+UNION ALL SELECT 'end', CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, matched_lines, matches FROM w
+UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, CAST(sum(matched_lines) AS BIGINT), CAST(sum(matches) AS BIGINT) FROM d""",
+)
+def json_events(spark, sf_dir):
+    events = sinks.json_events(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text"), spec("[Ll]icense", before=1, after=1))
+    kind = "struct<type:string,data:struct<path:struct<text:string>,lines:struct<text:string>,line_number:bigint,absolute_offset:bigint,submatches:array<struct<start:int,end:int>>,stats:struct<matched_lines:bigint,matches:bigint>>>"
+    e = events.select(F.from_json("value", kind).alias("e")).select("e.type", "e.data.*")
+    n = F.when(F.col("type").isin("match", "context"), F.size("submatches")).cast("long")
+    return e.select("type", F.col("path.text").alias("path"), "line_number", "absolute_offset", F.col("lines.text").alias("lines"), n.alias("submatches"), "stats.matched_lines", "stats.matches")
+
+
+@query(
+    "render_lines",
+    _context_sql(1, 1, "CAST(doc_id AS VARCHAR) || CASE role WHEN 'match' THEN ':' ELSE '-' END || line_number || CASE role WHEN 'match' THEN ':' ELSE '-' END || line AS rendered"),
+)
+def render_lines(spark, sf_dir):
+    return display.render_lines(context.selected(docs(spark, sf_dir), spec("[Ll]icense", before=1, after=1)), ["doc_id", "line_number"], role="role").select("rendered")
+
+
+@query("grouped_matches", f"WITH {_LINES} SELECT doc_id, count(*) AS n, string_agg(line_number || ':' || line, chr(10) ORDER BY line_number) AS flat FROM l WHERE {_LIC} GROUP BY doc_id")
+def grouped_matches(spark, sf_dir):
+    rows = aggregate.grouped(docs(spark, sf_dir), spec("[Ll]icense"))
+    flat = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["line_number"].cast("string"), x["line"])), "\n")
+    return rows.select("doc_id", F.size("lines").alias("n"), flat.alias("flat"))
+
+
+@query("trim_lines", _where(_HIT, "doc_id, line_number, ltrim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line"))
+def trim_lines(spark, sf_dir):
+    return match.grep(docs(spark, sf_dir), spec("[Tt]he")).withColumn("line", display.trimmed(F.col("line")))
+
+
+@query("max_columns", _where(_HIT, "doc_id, line_number, strlen(line) >= 120 AS omitted, CASE WHEN strlen(line) >= 120 THEN '[Omitted long matching line]' ELSE line END AS line"))
+def max_columns(spark, sf_dir):
+    search = spec("[Tt]he", max_columns=120)
+    rows = match.grep(docs(spark, sf_dir), search).withColumn("omitted", F.octet_length("line") >= 120)
+    return rows.withColumn("line", display.limited(search, F.col("line")))
+
+
+@query("max_columns_preview", _where(_HIT, "doc_id, line_number, CASE WHEN strlen(line) >= 120 THEN substr(line, 1, 120) || ' [... omitted end of long line]' ELSE line END AS line"))
+def max_columns_preview(spark, sf_dir):
+    search = spec("[Tt]he", max_columns=120, max_columns_preview=True)
+    return match.grep(docs(spark, sf_dir), search).withColumn("line", display.limited(search, F.col("line")))
+
+
+@query("path_separator", f"WITH {_TREE} SELECT doc_id, replace(path, '/', '+') AS path FROM p")
+def path_separator(spark, sf_dir):
+    return tree(spark, sf_dir).select("doc_id", display.with_separator(F.col("path"), "+").alias("path"))
+
+
+# Path filters
+
+
+def _paths(name: str, condition: str):
+    return query(name, f"WITH {_TREE} SELECT doc_id, path FROM p WHERE {condition}")
+
+
+@_paths("glob_include_exclude", r"regexp_matches(path, '(^|/)[^/]*\.(md|py)$') AND NOT regexp_matches(path, '^src1/')")
+def glob_include_exclude(spark, sf_dir):
+    return filters.glob_filter(tree(spark, sf_dir).select("doc_id", "path"), ["*.md", "*.py", "!/src1/**"])
+
+
+@_paths("iglob_filter", r"regexp_matches(path, '\.(txt|md)$') AND NOT regexp_matches(path, '/en/')")
+def iglob_filter(spark, sf_dir):
+    return filters.glob_filter(tree(spark, sf_dir).select("doc_id", "path"), ["*.txt"], insensitive=["*.MD", "!**/EN/**"])
+
+
+@_paths("hidden_filter", r"NOT regexp_matches(path, '(^|/)\.[^/]')")
+def hidden_filter(spark, sf_dir):
+    return filters.hidden_filter(tree(spark, sf_dir).select("doc_id", "path"))
+
+
+def _rules(spark):
+    rows = filters.parse_rules("*.log\n!doc-3*.log\n/src2/\n") + filters.parse_rules("!*.log\nde/\n", "src4", "vcs", 1) + filters.parse_rules("*.json\n", "", "explicit", -1)
+    return spark.createDataFrame(rows, filters.RULES)
+
+
+_DOT = r"(regexp_matches(path, '^src2/') OR (regexp_matches(path, '\.log$') AND NOT regexp_matches(path, '/doc-3[0-9]*\.log$')"
+_IGNORED = _DOT + r" AND NOT regexp_matches(path, '^src4/')) OR regexp_matches(path, '^src4/de/') OR regexp_matches(path, '\.json$'))"
+
+
+@_paths("ignore_rules_filter", f"NOT {_IGNORED}")
+def ignore_rules_filter(spark, sf_dir):
+    return filters.ignore_filter(tree(spark, sf_dir).select("doc_id", "path"), _rules(spark))
+
+
+@_paths("ignore_sources_toggle", f"NOT {_DOT}))")
+def ignore_sources_toggle(spark, sf_dir):
+    return filters.ignore_filter(tree(spark, sf_dir).select("doc_id", "path"), _rules(spark), sources=["dot"])
+
+
+@_paths("type_select", r"regexp_matches(path, '\.(md|py)$')")
+def type_select(spark, sf_dir):
+    return filters.type_filter(tree(spark, sf_dir).select("doc_id", "path"), filters.FileTypes(), [("select", "md"), ("select", "py")])
+
+
+@_paths("type_negate", r"NOT regexp_matches(path, '\.log$')")
+def type_negate(spark, sf_dir):
+    return filters.type_filter(tree(spark, sf_dir).select("doc_id", "path"), filters.FileTypes(), [("negate", "json"), ("negate", "log"), ("select", "json"), ("select", "all"), ("negate", "log")])
+
+
+@query("type_registry_edit", f"WITH {_TREE} SELECT doc_id, path FROM p WHERE regexp_matches(path, '\\.(md|txt)$')")
+def type_registry_edit(spark, sf_dir):
+    types = filters.FileTypes().clear("md").add("md:*.md").add("prose:include:md,txt")
+    return filters.type_filter(tree(spark, sf_dir).select("doc_id", "path"), types, [("select", "prose")])
+
+
+@query("type_tagging", f"WITH {_TREE}, t(type, ext) AS (VALUES ('txt', 'txt'), ('md', 'md'), ('markdown', 'md'), ('py', 'py'), ('python', 'py'), ('log', 'log'), ('json', 'json')) SELECT doc_id, type FROM p JOIN t ON ends_with(path, '.' || ext)")
+def type_tagging(spark, sf_dir):
+    return filters.tag_types(tree(spark, sf_dir).select("doc_id", "path"), filters.FileTypes()).select("doc_id", "type")
+
+
+_TYPES = ", ".join(f"('{n}', '{g}')" for n, globs in filters.FILE_TYPES.items() for g in globs)
+
+
+@query(
+    "type_list",
+    f"""WITH {_TREE}, t(name, glob) AS (VALUES {_TYPES}), x AS (SELECT DISTINCT string_split(path, '.')[-1] AS ext FROM p)
+SELECT name, string_agg(glob, ', ' ORDER BY glob) AS globs FROM t GROUP BY name HAVING bool_or(glob IN (SELECT '*.' || ext FROM x))""",
+)
+def type_list(spark, sf_dir):
+    """The types that occur among the documents' paths, as the registry lists them."""
+    used = filters.tag_types(tree(spark, sf_dir).select("path"), filters.FileTypes()).select(F.col("type").alias("name")).distinct()
+    return filters.list_types(spark, filters.FileTypes()).join(used, "name")
+
+
+@_paths("size_depth_filter", "length <= 2048")
+def size_depth_filter(spark, sf_dir):
+    return filters.limit_depth(filters.limit_size(tree(spark, sf_dir), 2048), 3).select("doc_id", "path")
+
+
+@query(
+    "filter_skip_reasons",
+    rf"""WITH {_TREE} SELECT doc_id, CASE WHEN regexp_matches(path, '^src1/') THEN 'glob' WHEN regexp_matches(path, '(^|/)\.[^/]') THEN 'hidden' WHEN {_IGNORED} THEN 'ignore'
+  WHEN NOT regexp_matches(path, '\.(md|py|txt|log)$') THEN 'type' WHEN length > 4096 THEN 'size' END AS skip_reason FROM p""",
+)
+def filter_skip_reasons(spark, sf_dir):
+    selections = [("select", t) for t in ("md", "py", "txt", "log")]
+    # A whitelisting rule would bring hidden files back; these don't name any.
+    rows = filters.explain_filters(tree(spark, sf_dir).select("doc_id", "path", "length"), globs=["!/src1/**"], rules=_rules(spark).filter("decision = 'exclude' OR scope_dir = 'src4' OR pattern LIKE 'doc%'"), types=filters.FileTypes(), selections=selections, max_size=4096)
+    return rows.select("doc_id", "skip_reason")
+
+
+# Order
+
+
+@query("sort_by_path", f"WITH {_TREE} SELECT doc_id, path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM p")
+def sort_by_path(spark, sf_dir):
+    return _sorted_places(tree(spark, sf_dir), "path", False)
+
+
+@query("sort_by_path_desc", f"WITH {_TREE} SELECT doc_id, path, row_number() OVER (ORDER BY string_split(path, '/') DESC) AS place FROM p")
+def sort_by_path_desc(spark, sf_dir):
+    return _sorted_places(tree(spark, sf_dir), "path", True)
+
+
+@query("sort_by_time", "SELECT event_id AS doc_id, CAST(event_id AS VARCHAR) AS path, row_number() OVER (ORDER BY ts, CAST(event_id AS VARCHAR)) AS place FROM events")
+def sort_by_time(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_id").cast("string").alias("path"), F.col("ts").alias("modificationTime"))
+    return _sorted_places(own, "modified", False)
+
+
+def _sorted_places(df: DataFrame, key: str, reverse: bool) -> DataFrame:
+    """Each row's place in the total order: places within sorted partitions, plus the rows of the partitions before."""
+    own = display.sort_by(df.select("doc_id", "path", *(["modificationTime"] if key == "modified" else [])), key, reverse)
+    placed = own.select("doc_id", "path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")).withColumn("within", F.col("id") % F.lit(1 << 33))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("doc_id", "path", (F.col("start") + F.col("within") + 1).alias("place"))
