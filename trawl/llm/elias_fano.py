@@ -90,11 +90,13 @@ class EliasFano:
         start = np.where(within, start, self.n)
         stop = np.where(within, stop, self.n)
         low = x & U((1 << self.low_bits) - 1)
-        at, open_ = start.copy(), np.flatnonzero(start < stop)
-        while len(open_):
-            open_ = open_[self.lows(at[open_]) < low[open_]]
-            at[open_] += 1
-            open_ = open_[at[open_] < stop[open_]]
+        at, end, open_ = start.copy(), stop.copy(), np.flatnonzero(start < stop)
+        while len(open_):  # halve what is left of each run of equal high bits
+            middle = (at[open_] + end[open_]) >> 1
+            below = self.lows(middle) < low[open_]
+            at[open_[below]] = middle[below] + 1
+            end[open_[~below]] = middle[~below]
+            open_ = open_[at[open_] < end[open_]]
         equal = at < stop
         equal[equal] = self.lows(at[equal]) == low[equal]
         return at, equal

@@ -183,7 +183,7 @@ def _filesystem(path: str):
 def _shard(path: str) -> dict:
     """A shard's levels: a memory map where the shared folder is a mounted one, else read through its own file system."""
     system, own = _filesystem(path)
-    data = np.memmap(own, np.uint8, "r") if system.type_name == "local" else np.frombuffer(system.open_input_file(own).read(), np.uint8)
+    data = np.asarray(np.memmap(own, np.uint8, "r")) if system.type_name == "local" else np.frombuffer(system.open_input_file(own).read(), np.uint8)
     parts = from_buffer(data)
     levels = {name: EliasFano.from_parts(parts, name) for name in ("words", "sums", "contexts", "pointers", "successors")}
     return levels | {"counts": 10 ** parts["values"], "codes": parts["codes"]}
