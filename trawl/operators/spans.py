@@ -17,7 +17,7 @@ from trawl.spec import SearchSpec
 #: Fences: a text that holds the first gets the second, and so on.
 FENCES = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 
-SPAN = "struct<start_byte:int,end_byte:int,start_column:int,end_column:int,text:string,replacement:string>"
+SPAN = "struct<start_byte:int,end_byte:int,start_column:int,end_column:int,text:string,replacement:string,replaced_column:int>"
 
 
 def _pieces(text: Column, regex: str, replacement: str = "$0") -> Column:
@@ -39,7 +39,8 @@ def span_array(search: SearchSpec, text: Column) -> Column:
             start = F.octet_length(F.array_join(F.slice(p, F.lit(1), 2 * k - 1), ""))
             own = F.get(p, 2 * k - 1)
             end = start + F.octet_length(own)
-            return F.struct(start.alias("start_byte"), end.alias("end_byte"), (start + 1).alias("start_column"), (end + 1).alias("end_column"), own.alias("text"), F.get(r, 2 * k - 1).alias("replacement"))
+            shifted = F.octet_length(F.array_join(F.slice(r, F.lit(1), 2 * k - 1), "")) + 1  # where it starts in the replaced line
+            return F.struct(start.alias("start_byte"), end.alias("end_byte"), (start + 1).alias("start_column"), (end + 1).alias("end_column"), own.alias("text"), F.get(r, 2 * k - 1).alias("replacement"), shifted.alias("replaced_column"))
 
         def real(k: Column) -> Column:
             touches = (F.get(p, 2 * k - 1) == "") & (F.get(p, 2 * k - 2) == "") & (F.get(p, 2 * k - 3) != "")
@@ -60,10 +61,10 @@ def match_rows(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFra
 
 
 def spans(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
-    """A row per match: the other columns, line_number, span_index, start_byte, end_byte, start_column, end_column, text, replacement, absolute_offset."""
+    """A row per match: the other columns, line_number, span_index, start_byte, end_byte, start_column, end_column, text, replacement, replaced_column, absolute_offset."""
     keys = others(df, text)
     rows = match_rows(df, search.but(invert=False), text).select(*keys, "line_number", "absolute_offset", F.posexplode("spans").alias("span_index", "s"))
-    named = [F.col(f"s.{c}").alias(c) for c in ("start_byte", "end_byte", "start_column", "end_column", "text", "replacement")]
+    named = [F.col(f"s.{c}").alias(c) for c in ("start_byte", "end_byte", "start_column", "end_column", "text", "replacement", "replaced_column")]
     return rows.select(*keys, "line_number", "span_index", *named, (F.col("absolute_offset") + F.col("s.start_byte")).alias("absolute_offset"))
 
 

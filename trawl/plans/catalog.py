@@ -529,8 +529,8 @@ _TYPES = ", ".join(f"('{n}', '{g}')" for n, globs in filters.FILE_TYPES.items()
 
 @query(
     "type_list",
-    f"""WITH {_TREE}, t(name, glob) AS (VALUES {_TYPES}), x AS (SELECT DISTINCT string_split(path, '.')[-1] AS ext FROM p)
-SELECT name, string_agg(glob, ', ' ORDER BY glob) AS globs FROM t GROUP BY name HAVING bool_or(glob IN (SELECT '*.' || ext FROM x))""",
+    f"""WITH {_TREE}, t(name, pat) AS (VALUES {_TYPES}), x AS (SELECT DISTINCT string_split(path, '.')[-1] AS ext FROM p)
+SELECT name, string_agg(pat, ', ' ORDER BY pat) AS globs FROM t GROUP BY name HAVING bool_or(pat IN (SELECT '*.' || ext FROM x))""",
 )
 def type_list(spark, sf_dir):
     """The types that occur among the documents' paths, as the registry lists them."""

@@ -38,6 +38,8 @@ def windowed_counts(stream: DataFrame, search: SearchSpec, time: str = "ts", lin
     return rows.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+#: The name of the mark that goes along; pandas renames columns that start with an underscore.
+_HIT = "row_is_a_hit"
 _STATE = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
@@ -71,8 +73,8 @@ class _First(_Keyed):
         self.n = n
 
     def step(self, batch: pd.DataFrame, a: int, b: int):
-        out = batch[batch["__hit"]].head(max(0, self.n - a))
-        return out.drop(columns="__hit"), (a + len(out), b)
+        out = batch[batch[_HIT]].head(max(0, self.n - a))
+        return out.drop(columns=_HIT), (a + len(out), b)
 
 
 class _Run(_Keyed):
@@ -80,13 +82,13 @@ class _Run(_Keyed):
 
     def step(self, batch: pd.DataFrame, a: int, b: int):
         kept = []
-        for is_hit in batch["__hit"]:
+        for is_hit in batch[_HIT]:
             if a == 0 and is_hit:
                 a = 1
             elif a == 1 and not is_hit:
                 a = 2
             kept.append(a == 1)
-        return batch[kept].drop(columns="__hit"), (a, b)
+        return batch[kept].drop(columns=_HIT), (a, b)
 
 
 class _Numbered(_Keyed):
@@ -100,11 +102,11 @@ class _Numbered(_Keyed):
         sizes = batch[self.line].map(lambda s: len(s.encode()) + 1)
         starts = b + sizes.cumsum() - sizes
         out = batch.assign(line_number=range(a + 1, a + 1 + len(batch)), absolute_offset=starts)
-        return out.drop(columns="__hit"), (a + len(batch), b + int(sizes.sum()))
+        return out.drop(columns=_HIT), (a + len(batch), b + int(sizes.sum()))
 
 
 def _stateful(stream: DataFrame, search: SearchSpec | None, key: str, line: str, processor: _Keyed, extra: str = "") -> DataFrame:
-    marked = stream.withColumn("__hit", F.coalesce(hit(search, F.col(line)), F.lit(False)) if search else F.lit(True))
+    marked = stream.withColumn(_HIT, F.coalesce(hit(search, F.col(line)), F.lit(False)) if search else F.lit(True))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + extra
     return marked.groupBy(key).transformWithStateInPandas(processor, outputStructType=kinds, outputMode="Append", timeMode="None")
 
