@@ -9,10 +9,12 @@ equal coordinates is concentrated about the Jaccard similarity.
 Equal sets are one class, of which one row goes on. Band values are range-partitioned and sorted by (band value,
 next band's value), so that a bucket of any size lies over as many tasks as it needs, and each row is paired with
 the next NEIGHBOURS rows of its bucket: buckets up to that size are paired fully, and in a larger one the rows that
-agree in further coordinates are neighbours; with 40 bands, a document has up to 240 partners there. Pairs whose sketches
-agree in less than LEAST_AGREEMENT of the coordinates are dropped (five standard deviations below the threshold).
-Then full sets are compared: first one partner for each document, and, once linked documents have become components,
-every remaining pair across two of them. So a large group of near copies costs a few comparisons a member.
+agree in further coordinates are neighbours. Pairs whose sketches agree in less than LEAST_AGREEMENT of the coordinates
+are dropped (five standard deviations below the threshold). Then full sets are compared: first one partner for each
+document, and, once linked documents have become components, every remaining pair across two of them. So a large
+group of near copies costs a few comparisons a member. Large buckets that still hold several components are
+completed: what lies outside a bucket's largest component is a query set, held against the bucket in blocks, unless too
+few of a text's shingles stand in any other text there. So no pair that shares a bucket goes unseen.
 
 A pair of similarity 0.75 shares no bucket with probability 2e-5; more similar ones are missed more rarely.
 
@@ -40,6 +42,9 @@ from .sp_sampling import mixed
 #: Words in a shingle; similarity as intersection * 100 >= union * 75; bands of rows; partners in a bucket on either side.
 WORDS, SIMILAR, BANDS, ROWS, NEIGHBOURS, LEAST_AGREEMENT = 5, (75, 100), 40, 5, 3, 0.6
 
+#: Rows of a block when a large bucket's members are compared.
+BLOCK = 512
+
 #: Characters and texts that are sketched together; distinct words whose hashes a worker keeps.
 CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 6_000_000, 4000, 500_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -146,7 +151,8 @@ def signatures(rows: DataFrame, bands: int, band_rows: int, words: int = WORDS)
 
 
 def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """a, b (a < b): rows of nodes (node, bands) that are near each other in a bucket; each pair once."""
+    """a, b, member. Pairs a < b of nodes (node, bands) that are near each other in a bucket; and, with member set, the nodes a of
+    buckets b that have more rows than neighbours see of each other. Rows may be repeated."""
     n = shuffle_partitions(nodes.sparkSession)
     each = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket"))
     following = F.get("bands", (F.col("band") + 1) % F.size("bands"))
@@ -155,19 +161,38 @@ def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, node = np.empty(0, np.int64), np.empty(0, np.int64)
+        first_bucket, last_rows = None, None
         for b in batches:
+            if not len(b):
+                continue
             old = len(bucket)
             bucket, node = np.concatenate([bucket, b["bucket"].to_numpy()]), np.concatenate([node, b["node"].to_numpy()])
+            first_bucket = bucket[0] if first_bucket is None else first_bucket
             found = []
             for d in range(1, neighbours + 1):
                 first = max(0, old - d)  # pairs that end in this batch
                 same = np.flatnonzero(bucket[first + d :] == bucket[first : len(bucket) - d]) + first if len(bucket) > d + first else np.empty(0, np.int64)
                 found.append(np.stack([node[same], node[same + d]]))
             pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-            bucket, node = bucket[-neighbours:], node[-neighbours:]
-
-    return ordered.select("bucket", "node").mapInPandas(run, "a long, b long").filter("a <> b").distinct()
+            yield pd.DataFrame({"a": pairs[0], "b": pairs[1], "member": False})
+            # A row is of a large bucket if it is more than neighbours behind the first or before the last of it, or if
+            # the bucket may go on in the partition before or after this one.
+            w = neighbours + 1
+            far = np.zeros(len(bucket), bool)
+            if len(bucket) > w:
+                long = bucket[w:] == bucket[:-w]
+                for d in range(w + 1):
+                    far[d : d + len(long)] |= long
+            far |= bucket == first_bucket
+            yield pd.DataFrame({"a": node[far], "b": bucket[far], "member": True})
+            bucket, node = bucket[-w:], node[-w:]
+            last_rows = bucket, node
+        if last_rows is not None:
+            bucket, node = last_rows
+            on = bucket == bucket[-1]
+            yield pd.DataFrame({"a": node[on], "b": bucket[on], "member": True})
+
+    return ordered.select("bucket", "node").mapInPandas(run, "a long, b long, member boolean")
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -261,24 +286,110 @@ def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
 
 def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
     """node, component for the nodes that are similar to another."""
-    pairs = staged(agreeing(neighbour_pairs(nodes, how.neighbours), nodes, how.least_agreement), "pairs")
+    near = staged(neighbour_pairs(nodes, how.neighbours), "neighbours")
+    pairs = near.filter("NOT member AND a <> b").select("a", "b").distinct()
+    pairs = staged(agreeing(pairs, nodes, how.least_agreement), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = staged(classes.join(ends, "node").select("key", "set_key", "node"), "wanted")
-    sets = staged(full_sets(rows, wanted, wanted.count(), how.words), "sets")
+    sets = _sets_of(rows, ends, classes, how)
     # First one partner for each node; among clear ones any, so that no node is everyone's partner.
     worth = F.when(F.col("agreement") >= 0.85, 1 + F.abs(F.xxhash64("a", "b") % 1_000_003)).otherwise(F.col("agreement"))
     chosen = staged(pairs.groupBy("b").agg(F.max_by("a", worth).alias("a")).select("a", "b"), "chosen")
     links = staged(verified(chosen, sets, how.similar), "links-1")
     found = staged(connected_components(links), "components-1")
-    near = pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b")
-    near = near.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
-    across = near.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-    more = staged(verified(across, sets, how.similar), "links-2")
-    if more.isEmpty():
+    across = _across(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), found)
+    found = _joined(found, staged(verified(across, sets, how.similar), "links-2"))
+    open_ = _open_buckets(rows, nodes, near.filter("member").select(F.col("b").alias("bucket"), F.col("a").alias("node")).distinct(), found, classes, how)
+    if open_ is None:
+        return found
+    members, sets = open_
+    rest = _compared(members, nodes, how.least_agreement).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return _joined(found, staged(verified(staged(rest, "rest"), sets, how.similar), "links-3"))
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
+    wanted = staged(classes.join(nodes, "node").select("key", "set_key", "node"), "wanted")
+    return staged(full_sets(rows, wanted, wanted.count(), how.words), "sets")
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    met = pairs.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+    return met.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of found (node, component) with more links."""
+    if links.isEmpty():
         return found
-    bridges = more.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
-    bridges = bridges.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
-    return connected_components(found.toDF("a", "b").unionByName(bridges))
+    met = links.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+    bridges = met.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    ends = links.select("a", F.col("a").alias("b")).unionByName(links.select(F.col("b").alias("a"), "b"))
+    known = found.toDF("a", "b")
+    # A component's own name is one of its nodes, so its links to the others hold it together.
+    merged = staged(connected_components(known.unionByName(bridges)), "components")
+    lone = ends.select("a").distinct().join(merged.toDF("a", "component"), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    return merged.unionByName(lone)
+
+
+def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: DataFrame, classes: DataFrame, how: Banding) -> tuple[DataFrame, DataFrame] | None:
+    """bucket, node, component of large buckets that still hold several components, and their nodes' sets; None if there are none.
+
+    A text can be similar to another only if that share of its shingles stands in another text as well; a text of
+    which less is found among all the texts of these buckets is left out, which spares those that share a passage alone.
+    """
+    several = lambda m: m.join(m.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "bucket", "left_semi")
+    members = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    members = staged(several(staged(members, "members")), "open-members")
+    if members.isEmpty():
+        return None
+    sets = _sets_of(rows, members.select("node").distinct(), classes, how)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, own in zip(b["node"], b["members"]):
+                yield pd.DataFrame({"node": node, "shingle": np.frombuffer(own, np.int64)})
+
+    each = sets.mapInPandas(spread, "node long, shingle long")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    # A shingle of one text alone is found by its only node.
+    alone = counts.filter("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("alone"))
+    size = F.octet_length("members") / 8
+    least, of = how.similar
+    able = sets.join(alone, "node", "left").filter((size - F.coalesce("alone", F.lit(0))) * of >= size * least).select("node")
+    members = staged(several(staged(members.join(able, "node", "left_semi"), "able-members")), "compared-members")
+    return None if members.isEmpty() else (members, sets)
+
+
+def _compared(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of one bucket and different components whose sketches agree enough, each once.
+
+    The query set of a bucket is what lies outside its largest component; it is held against the bucket's members in
+    blocks of BLOCK by BLOCK rows, whose sketches are compared as arrays.
+    """
+    by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = staged(sizes.select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("n") - F.col("n_main")).alias("q")), "open-sizes")
+    own = members.join(nodes.select("node", "sketch"), "node").join(sizes, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = own.select("bucket", place("m").alias("mb"), over("q").alias("qb"), "node", "component", "sketch", F.lit(False).alias("query"))
+    asked = own.filter("component <> main").select("bucket", over("m").alias("mb"), place("q").alias("qb"), "node", "component", "sketch", F.lit(True).alias("query"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        q, m = rows[rows["query"]], rows[~rows["query"]]
+        out = [np.empty((2, 0), np.int64)]
+        if len(q) and len(m):
+            grid = np.stack([np.frombuffer(x, np.uint8) for x in m["sketch"]])
+            nodes_, components = m["node"].to_numpy(), m["component"].to_numpy()
+            for node, component, sketch in zip(q["node"], q["component"], q["sketch"]):
+                alike = (grid == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= least
+                other = nodes_[alike & (components != component)]
+                out.append(np.sort(np.stack([np.full(len(other), node), other]), axis=0))
+        pairs = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    return held.unionByName(asked).groupBy("bucket", "mb", "qb").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
