@@ -22,6 +22,7 @@ def test_tree(spark, tmp_path):
     own = files.from_files(spark, str(tmp_path / "a"))
     assert sorted(r.rel_path for r in files.list_files(own).collect()) == ["b/x.txt", "y.txt"]
     assert [r.rel_path for r in match.grep(files.decode(own).drop("content", "path", "root", "modificationTime", "length", "is_valid_utf8"), spec("needle")).collect()] == ["b/x.txt"]
+    assert files.first_document(own).count() == 1
     plan = files.list_files(own)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
 

@@ -94,6 +94,7 @@ def test_type_edits(spark, paths):
         filters.type_filter(own, types, [("select", "rust")])
     listed = {r["name"]: r["globs"] for r in filters.list_types(spark, types).collect()}
     assert listed["mine"] == "*.foo, *.swift" and listed["py"] == "*.py, *.pyi" and "rust" not in listed
+    assert filters.FileTypes.of(types.frame(spark)).types == types.types
     tags = sorted((r.path, r.type) for r in filters.tag_types(own, types).collect())
     assert tags == [("one.foo", "foo"), ("one.foo", "mine"), ("one.txt", "txt"), ("two.swift", "mine"), ("two.swift", "swift")]
 

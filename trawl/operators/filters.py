@@ -16,39 +16,83 @@ MOST_RULES = 100_000
 
 RULES = "scope_dir string, source string, source_rank int, seq int, pattern string, decision string, dir_only boolean, anchored boolean, basename_only boolean, case_insensitive boolean"
 
-# Common file types and their globs.
+# File types whose one glob is their own name as an extension.
+BY_EXTENSION = """
+aidl awk bat cabal carp cbor ceylon cml creole cs cshtml csproj csv d dart dhall edn elm erb fidl fish fut gleam go haml
+hbs hurl hy janet jl jsonl k lean less log lua lz4 lzma mint ml mojo nix pdf po pod proto purs qml qrc rdoc robot rst soy
+spark spec ssa svg swift taskpaper tcl textile thrift twig txt vala vb vcl vue wgsl yang zig
+""".split()
+
+# Common file types with other globs. A registry of one's own is a parameter of FileTypes.
 FILE_TYPES = {
+    **{name: [f"*.{name}"] for name in BY_EXTENSION},
+    "ada": ["*.adb", "*.ads"],
+    "agda": ["*.agda", "*.lagda"],
+    "asciidoc": ["*.adoc", "*.asc", "*.asciidoc"],
+    "asm": ["*.asm", "*.s", "*.S"],
+    "avro": ["*.avdl", "*.avpr", "*.avsc"],
+    "brotli": ["*.br"],
+    "bzip2": ["*.bz2", "*.tbz2"],
     "c": ["*.[chH]", "*.[chH].in", "*.cats"],
+    "clojure": ["*.clj", "*.cljc", "*.cljs", "*.cljx"],
+    "cmake": ["*.cmake", "CMakeLists.txt"],
+    "coffeescript": ["*.coffee"],
+    "config": ["*.cfg", "*.conf", "*.config", "*.ini"],
     "cpp": ["*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"],
+    "csharp": ["*.cs"],
     "css": ["*.css", "*.scss"],
-    "csv": ["*.csv"],
-    "go": ["*.go"],
+    "cuda": ["*.cu", "*.cuh"],
+    "cython": ["*.pyx", "*.pxi", "*.pxd"],
+    "diff": ["*.patch", "*.diff"],
+    "docker": ["*Dockerfile*"],
+    "dockercompose": ["docker-compose.yml", "docker-compose.*.yml"],
+    "elisp": ["*.el"],
+    "elixir": ["*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"],
+    "erlang": ["*.erl", "*.hrl"],
+    "graphql": ["*.graphql", "*.graphqls"],
+    "groovy": ["*.groovy", "*.gradle"],
+    "gzip": ["*.gz", "*.tgz"],
+    "hs": ["*.hs", "*.lhs"],
     "html": ["*.htm", "*.html", "*.ejs"],
     "java": ["*.java", "*.jsp", "*.jspx", "*.properties"],
     "js": ["*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"],
     "json": ["*.json", "composer.lock", "*.sarif"],
+    "julia": ["*.jl"],
+    "jupyter": ["*.ipynb", "*.jpynb"],
     "kotlin": ["*.kt", "*.kts"],
-    "log": ["*.log"],
-    "lua": ["*.lua"],
+    "lock": ["*.lock", "package-lock.json"],
     "markdown": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mdx", "*.mkd", "*.mkdn"],
+    "matlab": ["*.m"],
     "md": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mdx", "*.mkd", "*.mkdn"],
+    "objc": ["*.h", "*.m"],
+    "objcpp": ["*.h", "*.mm"],
+    "org": ["*.org", "*.org_archive"],
     "perl": ["*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"],
     "php": ["*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"],
+    "postscript": ["*.eps", "*.ps"],
     "py": ["*.py", "*.pyi"],
     "python": ["*.py", "*.pyi"],
+    "racket": ["*.rkt"],
+    "readme": ["README*", "*README"],
     "ruby": ["*.gemspec", "*.rb", "*.rbw", ".irbrc", "Gemfile", "Rakefile", "config.ru"],
     "rust": ["*.rs"],
+    "sass": ["*.sass", "*.scss"],
     "scala": ["*.scala", "*.sbt"],
+    "sml": ["*.sml", "*.sig"],
+    "solidity": ["*.sol"],
     "sql": ["*.sql", "*.psql"],
-    "swift": ["*.swift"],
+    "svelte": ["*.svelte", "*.svelte.ts"],
+    "texinfo": ["*.texi"],
     "toml": ["*.toml", "Cargo.lock"],
     "ts": ["*.cts", "*.mts", "*.ts", "*.tsx"],
-    "txt": ["*.txt"],
+    "vhdl": ["*.vhd", "*.vhdl"],
     "xml": ["*.dtd", "*.rng", "*.sch", "*.xhtml", "*.xjb", "*.xml", "*.xml.dist", "*.xsd", "*.xsl", "*.xslt"],
+    "xz": ["*.xz", "*.txz"],
+    "yacc": ["*.y"],
     "yaml": ["*.yaml", "*.yml"],
+    "zstd": ["*.zst", "*.zstd"],
 }
 
-
 #: A node's path below a rule's scope.
 BELOW = "(CASE WHEN scope = '' THEN node WHEN startswith(node, concat(scope, '/')) THEN substring(node, length(scope) + 2) END)"
 
@@ -151,6 +195,17 @@ class FileTypes:
     def __init__(self, types: dict[str, Sequence[str]] | None = None):
         self.types = {k: tuple(v) for k, v in (FILE_TYPES if types is None else types).items()}
 
+    @classmethod
+    def of(cls, frame: DataFrame) -> FileTypes:
+        """A registry from a table of name and glob."""
+        rows = frame.select("name", "glob").limit(MOST_RULES + 1).collect()
+        if len(rows) > MOST_RULES:
+            raise SpecError(f"more than {MOST_RULES} globs")
+        types: dict[str, list[str]] = {}
+        for r in rows:
+            types.setdefault(r["name"], []).append(r["glob"])
+        return cls(types)
+
     def add(self, definition: str) -> FileTypes:
         """name:glob, or name:include:other,other."""
         name, _, rest = definition.partition(":")

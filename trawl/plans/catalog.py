@@ -178,8 +178,10 @@ _grep("grep_line_regexp", _match(r"^(?:[A-Z][a-z]+( [a-z]+)?\.)$"), r"[A-Z][a-z]
 _grep("grep_multi_pattern", f"contains(line, 'MIT') OR {_match('[0-9]{3}-[0-9]{4}')}", "MIT", r"\d{3}-\d{4}", unicode=False)
 _grep("grep_invert", f"NOT {_match('[aeiou]n')}", "[aeiou]n", invert=True)
 _grep("grep_no_unicode", _match(r"\w\W\w\W\w"), r"\w\W\w\W\w", unicode=False)
-_grep("grep_lookaround", None, r"(?<=tion )(?!the)\w+")
-_grep("grep_backreference", None, r"\b(\w{3,})\1\b")
+_AFTER = r"list_filter(string_split(line, 'tion ')[2:], lambda x: regexp_matches(x, '^[\pL\pM\pN_]') AND NOT starts_with(x, 'the'))"
+_grep("grep_lookaround", f"len({_AFTER}) > 0", r"(?<=tion )(?!the)\w+")
+_TWICE = r"list_filter(regexp_extract_all(line, '[\pL\pM\pN_]+'), lambda w: len(w) >= 6 AND len(w) % 2 = 0 AND w[: len(w) // 2] = w[len(w) // 2 + 1 :])"
+_grep("grep_backreference", f"len({_TWICE}) > 0", r"\b(\w{3,})\1\b")
 _grep("grep_inline_flags", _match(r"(?i:apache) License"), "(?i:apache) License")
 _grep("grep_unicode_class", _match(r"\p{Lu}\p{Ll}+é"), r"\p{Lu}\p{Ll}+é")
 _grep("grep_posix_class", _match(r"[[:digit:]]{3}[[:punct:]][[:digit:]]{4}"), "[[:digit:]]{3}[[:punct:]][[:digit:]]{4}")

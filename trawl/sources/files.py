@@ -63,6 +63,11 @@ def list_files(df: DataFrame) -> DataFrame:
     return df.drop("content", "text")
 
 
+def first_document(df: DataFrame) -> DataFrame:
+    """One path that would be searched, if there is any; tasks stop at the first."""
+    return list_files(df).limit(1)
+
+
 def compressed_texts(spark: SparkSession, root: str) -> DataFrame:
     """path, text of plain and compressed files: gzip, bzip2, zstandard and lz4 by extension through Spark's codecs, xz and lzma in Arrow batches."""
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
