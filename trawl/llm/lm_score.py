@@ -251,10 +251,15 @@ class BigramModel:
         return sizes, total((c > 0).astype(np.int64)), total(np.log10(plain)), total(np.log10(mixed_p))
 
 
-def train(docs: DataFrame) -> BigramModel:
-    """A trie of all texts of docs, in the shared folder."""
+def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
+    """A trie of all texts of docs, in the shared folder.
+
+    shards: how many files, by default as many as there are shuffle partitions. One task builds a shard in memory, with
+    some 60 bytes for each distinct bigram of each chunk; about thirty shards for a gigabyte of Parquet keep a task
+    below a quarter of a gigabyte. A chunk's lookups go to every shard, so CHUNK should grow along with them.
+    """
     spark = docs.sparkSession
-    path, shards = new_path(spark, "bigram-trie"), shuffle_partitions(spark)
+    path, shards = new_path(spark, "bigram-trie"), shards or shuffle_partitions(spark)
     system, own = _filesystem(path)
     system.create_dir(own)
 
