@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trawl.operators.spans import span_array
 from trawl.spec import SearchSpec
 
+# The notices for long lines.
 OMITTED = {"match": "[Omitted long matching line]", "context": "[Omitted long context line]"}
 
 
