@@ -40,7 +40,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and what frames owe."""
+    for df in frames:
+        release(*df.__dict__.pop("owes", ()))
+        if path := df.__dict__.pop("staged_at", None):
+            there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def owing(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """df, which still reads these written tables; release(df) deletes them once df itself has been written."""
+    df.owes = frames
+    return df
 
 
 def lower_ascii(text: Column) -> Column:

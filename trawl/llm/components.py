@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import owing, release, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = _star(both, F.col("v") > F.col("u"), "large-star")
-        links = _star(links, F.lit(True), "small-star")
+        large = _star(both, F.col("v") > F.col("u"), "large-star")
+        release(links)
+        links = _star(large, F.lit(True), "small-star")
+        release(large)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
     leaves = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return owing(leaves.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), links)
 
 
 def _star(links: DataFrame, kept, name: str) -> DataFrame:
@@ -35,4 +37,6 @@ def _star(links: DataFrame, kept, name: str) -> DataFrame:
     met = links.join(least, "u").filter(kept).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v")) if name == "small-star" else None
     met = met.unionByName(own) if own is not None else met
-    return staged(met.filter("u <> v").distinct(), f"{name}-links")
+    out = staged(met.filter("u <> v").distinct(), f"{name}-links")
+    release(least)
+    return out

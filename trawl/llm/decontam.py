@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, staged
+from ._common import drop_ids, owing, release, staged
 from ._words import SQL_WORDS, word_array
 
 WINDOW = 10
@@ -32,8 +32,9 @@ BROADCAST_ROWS = 200_000
 
 @dataclass(frozen=True)
 class PositionalIndex:
-    """windows: wid, words. items: wid, item. probes: wid, words, term, offset, rank. postings: doc_id, row_id, term, pos, around, lead."""
+    """each: wid, item, words. windows: wid, words. items: wid, item. probes: wid, words, term, offset, rank. postings: doc_id, row_id, term, pos, around, lead."""
 
+    each: DataFrame
     windows: DataFrame
     items: DataFrame
     probes: DataFrame
@@ -76,7 +77,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Po
     lead = F.least(F.col("pos"), F.lit(size - 1))
     around = F.when(F.col("term") != "", F.slice("words", F.col("pos") - lead + 1, F.lit(2 * size - 1)))
     postings = found.select("doc_id", "row_id", "term", "pos", around.alias("around"), lead.alias("lead"))
-    return PositionalIndex(windows, items, probes, staged(postings.sortWithinPartitions("term", "row_id", "pos"), "postings"), small)
+    return PositionalIndex(each, windows, items, probes, staged(postings.sortWithinPartitions("term", "row_id", "pos"), "postings"), small)
 
 
 def _lists(index: PositionalIndex, rank: int, *more: str | Column) -> DataFrame:
@@ -115,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     named = named.agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = index.postings.filter("term = ''").select("doc_id", "row_id", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hits.join(named, "row_id"), "row_id", "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -123,11 +124,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+    return owing(out, places, index.postings, index.probes, index.each)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window."""
-    hit = staged(contamination(docs, benchmark, size).filter("contaminated").select("doc_id").distinct(), "contaminated")
+    found = contamination(docs, benchmark, size)
+    hit = staged(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    release(found)
     return drop_ids(docs, hit, hit.count())
 
 

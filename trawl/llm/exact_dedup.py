@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACES, drop_ids, looked_up, new_path, shuffle_partitions, staged
+from ._common import SPACES, drop_ids, looked_up, new_path, owing, release, shuffle_partitions, staged
 
 _SCHEMA = T.StructType(
     [
@@ -78,7 +78,7 @@ class ExactDedupIndex:
         known = self.entries().select("digest").hint("merge")
         fresh = groups.join(known, "digest", "left_anti").repartition(self.buckets, "digest")
         fresh.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.table)
-        return self._looked_up(rows, batch)
+        return owing(self._looked_up(rows, batch), rows)
 
     def _looked_up(self, rows: DataFrame, batch: str) -> DataFrame:
         own = F.col("batch") == batch
@@ -96,7 +96,9 @@ class ExactDedupIndex:
 def exact_dedup(docs: DataFrame, index: ExactDedupIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     index = index or ExactDedupIndex(docs.sparkSession)
-    decided = staged(index.add(docs), "exact-decisions")
+    added = index.add(docs)
+    decided = staged(added, "exact-decisions")
+    release(added)
     by_id = decided.groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_gone"))
     gone = staged(by_id.filter("n_gone > 0").select("doc_id", "n_kept"), "exact-gone")
     stays = drop_ids(docs, gone.select("doc_id"), gone.count())

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, drop_ids, looked_up, shuffle_partitions, staged
+from ._common import BROADCAST_IDS, drop_ids, looked_up, owing, release, shuffle_partitions, staged
 from .components import connected_components
 from .elias_fano import U
 from .sp_sampling import mixed
@@ -265,23 +265,27 @@ def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
     identity: an expression over key, whose least value names a component; empty sets are alone.
     """
     signed = staged(signatures(rows, how.bands, how.rows, how.words), "signatures")
-    slim = signed.select("key", "row_id", "n_shingles", "set_key")
+    slim = staged(signed.select("key", "row_id", "n_shingles", "set_key"), "set-keys")
     first = F.min(F.struct(identity.alias("identity"), "row_id", "key")).alias("first")
     classes = slim.filter("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_rows"))
     classes = staged(classes.select("set_key", "first.identity", "first.key", F.col("first.row_id").alias("node"), "n_rows"), "classes")
     total = classes.agg(F.sum("n_rows"), F.count("*")).first()
-    linked = classes.withColumn("component", F.lit(None).cast("long"))
+    linked, links, nodes = classes.withColumn("component", F.lit(None).cast("long")), classes, classes
     if total[1] > 1:
         reps = signed.filter("n_shingles > 0").withColumnRenamed("row_id", "node")
         # Rows that copy another row's set go no further.
         reps = reps.join(classes.select("node"), "node", "left_semi") if total[0] > total[1] else reps
-        links = _links(rows, staged(reps.select("node", "sketch", "bands"), "nodes"), classes, how)
+        nodes = staged(reps.select("node", "sketch", "bands"), "nodes")
+        release(signed)
+        links = _links(rows, nodes, classes, how)
         linked = classes.join(links.toDF("node", "component"), "node", "left")
     least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("identity").alias("least"))
     named = linked.join(least, "component", "left").select("set_key", F.coalesce("least", "identity").alias("lowest"), "n_rows")
-    full = looked_up(slim.filter("n_shingles > 0"), staged(named, "named-classes"), "set_key", "n_rows", total[0] or 0)
+    named = staged(named, "named-classes")
+    release(signed, links, nodes, classes)
+    full = looked_up(slim.filter("n_shingles > 0"), named, "set_key", "n_rows", total[0] or 0)
     empty = slim.filter("n_shingles = 0").withColumn("lowest", identity)
-    return full.select("key", "n_shingles", "lowest").unionByName(empty.select("key", "n_shingles", "lowest"))
+    return owing(full.select("key", "n_shingles", "lowest").unionByName(empty.select("key", "n_shingles", "lowest")), slim, named)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
@@ -289,26 +293,36 @@ def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding)
     near = staged(neighbour_pairs(nodes, how.neighbours), "neighbours")
     pairs = near.filter("NOT member AND a <> b").select("a", "b").distinct()
     pairs = staged(agreeing(pairs, nodes, how.least_agreement), "pairs")
+    large = staged(near.filter("member").select(F.col("b").alias("bucket"), F.col("a").alias("node")).distinct(), "large-buckets")
+    release(near)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(rows, ends, classes, how)
     # First one partner for each node; among clear ones any, so that no node is everyone's partner.
     worth = F.when(F.col("agreement") >= 0.85, 1 + F.abs(F.xxhash64("a", "b") % 1_000_003)).otherwise(F.col("agreement"))
     chosen = staged(pairs.groupBy("b").agg(F.max_by("a", worth).alias("a")).select("a", "b"), "chosen")
     links = staged(verified(chosen, sets, how.similar), "links-1")
-    found = staged(connected_components(links), "components-1")
+    first = connected_components(links)
+    found = staged(first, "components-1")
     across = _across(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), found)
-    found = _joined(found, staged(verified(across, sets, how.similar), "links-2"))
-    open_ = _open_buckets(rows, nodes, near.filter("member").select(F.col("b").alias("bucket"), F.col("a").alias("node")).distinct(), found, classes, how)
-    if open_ is None:
-        return found
-    members, sets = open_
-    rest = _compared(members, nodes, how.least_agreement).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return _joined(found, staged(verified(staged(rest, "rest"), sets, how.similar), "links-3"))
+    more = staged(verified(across, sets, how.similar), "links-2")
+    release(first, links, chosen, sets)
+    found = _joined(found, more)
+    open_ = _open_buckets(rows, nodes, large, found, classes, how)
+    release(large)
+    if open_ is not None:
+        members, sets = open_
+        rest = staged(_compared(members, nodes, how.least_agreement).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        found = _joined(found, staged(verified(rest, sets, how.similar), "links-3"))
+        release(members, sets, rest)
+    release(pairs)
+    return found
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
     wanted = staged(classes.join(nodes, "node").select("key", "set_key", "node"), "wanted")
-    return staged(full_sets(rows, wanted, wanted.count(), how.words), "sets")
+    out = staged(full_sets(rows, wanted, wanted.count(), how.words), "sets")
+    release(wanted)
+    return out
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -318,17 +332,21 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components of found (node, component) with more links."""
+    """The components of found (node, component) with more links, and the two given tables deleted if they are done with."""
     if links.isEmpty():
+        release(links)
         return found
     met = links.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
     bridges = met.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
     ends = links.select("a", F.col("a").alias("b")).unionByName(links.select(F.col("b").alias("a"), "b"))
     known = found.toDF("a", "b")
     # A component's own name is one of its nodes, so its links to the others hold it together.
-    merged = staged(connected_components(known.unionByName(bridges)), "components")
+    joined = connected_components(known.unionByName(bridges))
+    merged = staged(joined, "components")
     lone = ends.select("a").distinct().join(merged.toDF("a", "component"), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return merged.unionByName(lone)
+    out = staged(merged.unionByName(lone), "joined")
+    release(joined, merged, found, links)
+    return out
 
 
 def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: DataFrame, classes: DataFrame, how: Banding) -> tuple[DataFrame, DataFrame] | None:
@@ -339,8 +357,11 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
     """
     several = lambda m: m.join(m.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "bucket", "left_semi")
     members = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    members = staged(several(staged(members, "members")), "open-members")
+    every = staged(members, "members")
+    members = staged(several(every), "open-members")
+    release(every)
     if members.isEmpty():
+        release(members)
         return None
     sets = _sets_of(rows, members.select("node").distinct(), classes, how)
 
@@ -356,8 +377,13 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
     size = F.octet_length("members") / 8
     least, of = how.similar
     able = sets.join(alone, "node", "left").filter((size - F.coalesce("alone", F.lit(0))) * of >= size * least).select("node")
-    members = staged(several(staged(members.join(able, "node", "left_semi"), "able-members")), "compared-members")
-    return None if members.isEmpty() else (members, sets)
+    able_members = staged(members.join(able, "node", "left_semi"), "able-members")
+    compared = staged(several(able_members), "compared-members")
+    release(members, able_members)
+    if compared.isEmpty():
+        release(compared, sets)
+        return None
+    return compared, sets
 
 
 def _compared(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -398,12 +424,14 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
     own = F.when(F.col("key") != "", F.col("key")).cast("long")
     found = near_classes(docs.select(key, "text"), F.struct(own.isNull().alias("unknown"), own.alias("doc_id")), how)
     out = found.select(own.alias("doc_id"), "n_shingles", F.col("lowest.doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return owing(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), found)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component."""
-    gone = staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    found = near_duplicates(docs)
+    gone = staged(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    release(found)
     return drop_ids(docs, gone, gone.count())
 
 

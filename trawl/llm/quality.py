@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, staged
+from ._common import drop_ids, owing, release, staged
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -137,12 +137,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = stats.select(F.col("doc_id").cast("string").alias("key"), "stats").mapInPandas(run, "key string, score double")
     scored = scored.select(F.col("key").cast("long").alias("doc_id"), "score")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return owing(out, stats)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that are rejected."""
-    gone = staged(quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct(), "rejected")
+    scored = quality_scores(docs, labels)
+    gone = staged(scored.filter("predicted = 0").select("doc_id").distinct(), "rejected")
+    release(scored)
     return drop_ids(docs, gone, gone.count())
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, staged
+from ._common import BROADCAST_IDS, release, staged
 from .minhash import Banding, near_classes
 
 #: Least words of a paragraph that may be removed; the banding of paragraphs.
@@ -42,6 +42,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAP
     """doc_id, paragraph, n_shingles, keep_id, keep_paragraph, removed: for each paragraph that has a similar one."""
     found = near_classes(paragraphs(docs, min_words), _identity(), how)
     rows = staged(found.select(_identity().alias("own"), "n_shingles", "lowest"), "paragraph-classes")
+    release(found)
     # A hot passage's rows are counted with partial aggregation; the counts of repeated ones alone are joined back.
     several = rows.groupBy("lowest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("lowest").alias("named"))
     several = staged(several, "repeated")
