@@ -42,8 +42,11 @@ from .sp_sampling import mixed
 #: Words in a shingle; similarity as intersection * 100 >= union * 75; bands of rows; partners in a bucket on either side.
 WORDS, SIMILAR, BANDS, ROWS, NEIGHBOURS, LEAST_AGREEMENT = 5, (75, 100), 40, 5, 3, 0.6
 
-#: Rows of a block when a large bucket's members are compared.
-BLOCK = 512
+#: Rows of a block when a large bucket's members are compared; partners of a query that are verified before all others.
+BLOCK, BEST = 512, 2
+
+#: Most pairs of a block that are verified as rows; denser blocks are counted where they lie.
+DENSE = 1000
 
 #: Characters and texts that are sketched together; distinct words whose hashes a worker keeps.
 CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 6_000_000, 4000, 500_000
@@ -110,6 +113,11 @@ def band_values(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the values of a sorted array change."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, t in enumerate(texts):
@@ -311,9 +319,21 @@ def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding)
     release(large)
     if open_ is not None:
         members, sets = open_
-        rest = staged(_compared(members, nodes, how.least_agreement).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        found = _joined(found, staged(verified(rest, sets, how.similar), "links-3"))
-        release(members, sets, rest)
+        seen = pairs.select("a", "b")
+        # First the best partners of each query in each component; then, where that made no link, all others.
+        best = staged(_compared(members, nodes, how.least_agreement, BEST).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "best")
+        found = _joined(found, staged(verified(best, sets, how.similar), "links-3"))
+        labelled = members.drop("component").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        labelled = staged(labelled, "labelled-members")
+        left = staged(_several(labelled), "members-left")
+        every = staged(_compared(left, nodes, how.least_agreement), "compared")
+        rest = every.filter("bucket IS NULL").select("a", "b").distinct().join(seen.unionByName(best), ["a", "b"], "left_anti")
+        dense = every.filter("bucket IS NOT NULL").select("bucket", "mb", "qb")
+        links = verified(staged(rest, "rest"), sets, how.similar)
+        if not dense.isEmpty():
+            links = links.unionByName(_dense_links(left, dense, sets, how.similar)).distinct()
+        found = _joined(found, staged(links, "links-4"))
+        release(members, sets, best, labelled, left, every)
     release(pairs)
     return found
 
@@ -355,10 +375,9 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
     A text can be similar to another only if that share of its shingles stands in another text as well; a text of
     which less is found among all the texts of these buckets is left out, which spares those that share a passage alone.
     """
-    several = lambda m: m.join(m.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "bucket", "left_semi")
     members = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     every = staged(members, "members")
-    members = staged(several(every), "open-members")
+    members = staged(_several(every), "open-members")
     release(every)
     if members.isEmpty():
         release(members)
@@ -367,8 +386,8 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for node, own in zip(b["node"], b["members"]):
-                yield pd.DataFrame({"node": node, "shingle": np.frombuffer(own, np.int64)})
+            sizes = [len(own) // 8 for own in b["members"]]
+            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), sizes), "shingle": np.frombuffer(b"".join(b["members"]), np.int64)})
 
     each = sets.mapInPandas(spread, "node long, shingle long")
     counts = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -378,7 +397,7 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
     least, of = how.similar
     able = sets.join(alone, "node", "left").filter((size - F.coalesce("alone", F.lit(0))) * of >= size * least).select("node")
     able_members = staged(members.join(able, "node", "left_semi"), "able-members")
-    compared = staged(several(able_members), "compared-members")
+    compared = staged(_several(able_members), "compared-members")
     release(members, able_members)
     if compared.isEmpty():
         release(compared, sets)
@@ -386,21 +405,35 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
     return compared, sets
 
 
-def _compared(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b of one bucket and different components whose sketches agree enough, each once.
+def _several(members: DataFrame) -> DataFrame:
+    """The members of buckets with more than one component."""
+    ends = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return members.join(ends.filter("x < y").select("bucket"), "bucket", "left_semi")
 
-    The query set of a bucket is what lies outside its largest component; it is held against the bucket's members in
-    blocks of BLOCK by BLOCK rows, whose sketches are compared as arrays.
-    """
+
+def _blocks(members: DataFrame, more: DataFrame) -> DataFrame:
+    """bucket, mb, qb, node, component, query and a column of more (node and one other): each bucket's blocks of members with
+    each block of its queries, which are what lies outside the bucket's largest component."""
     by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     sizes = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = staged(sizes.select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("n") - F.col("n_main")).alias("q")), "open-sizes")
-    own = members.join(nodes.select("node", "sketch"), "node").join(sizes, "bucket")
+    sizes = sizes.select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("n") - F.col("n_main")).alias("q")).filter("q > 0")
+    own = members.join(more, "node").join(sizes, "bucket")
+    rest = [F.col(c) for c in ("node", "component", *(c for c in more.columns if c != "node"))]
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = own.select("bucket", place("m").alias("mb"), over("q").alias("qb"), "node", "component", "sketch", F.lit(False).alias("query"))
-    asked = own.filter("component <> main").select("bucket", over("m").alias("mb"), place("q").alias("qb"), "node", "component", "sketch", F.lit(True).alias("query"))
+    held = own.select("bucket", place("m").alias("mb"), over("q").alias("qb"), *rest, F.lit(False).alias("query"))
+    asked = own.filter("component <> main").select("bucket", over("m").alias("mb"), place("q").alias("qb"), *rest, F.lit(True).alias("query"))
+    return held.unionByName(asked)
+
+
+def _compared(members: DataFrame, nodes: DataFrame, least: float, best: int | None = None) -> DataFrame:
+    """a, b, bucket, mb, qb: pairs a < b of one bucket and different components whose sketches agree enough.
+
+    Sketches are compared as arrays, BLOCK by BLOCK. With best, a block gives so many pairs of a query for each
+    component. Else a block with more than DENSE pairs gives its bucket and place instead of them.
+    """
+    kinds = {"a": "Int64", "b": "Int64", "bucket": "Int64", "mb": "Int32", "qb": "Int32"}
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         q, m = rows[rows["query"]], rows[~rows["query"]]
@@ -409,13 +442,52 @@ def _compared(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             grid = np.stack([np.frombuffer(x, np.uint8) for x in m["sketch"]])
             nodes_, components = m["node"].to_numpy(), m["component"].to_numpy()
             for node, component, sketch in zip(q["node"], q["component"], q["sketch"]):
-                alike = (grid == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= least
-                other = nodes_[alike & (components != component)]
-                out.append(np.sort(np.stack([np.full(len(other), node), other]), axis=0))
+                agreement = (grid == np.frombuffer(sketch, np.uint8)).mean(axis=1)
+                at = np.flatnonzero((agreement >= least) & (components != component))
+                if best is not None and len(at):
+                    at = at[np.lexsort((-agreement[at], components[at]))]
+                    first = _runs(components[at])
+                    at = at[np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at))) < best]
+                out.append(np.sort(np.stack([np.full(len(at), node), nodes_[at]]), axis=0))
         pairs = np.concatenate(out, axis=1)
+        if best is None and pairs.shape[1] > DENSE:
+            place = {c: [rows[c].iloc[0]] for c in ("bucket", "mb", "qb")}
+            return pd.DataFrame({"a": [None], "b": [None], **place}).astype(kinds)
+        none = [None] * pairs.shape[1]
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1], "bucket": none, "mb": none, "qb": none}).astype(kinds)
+
+    each = _blocks(members, nodes.select("node", "sketch")).groupBy("bucket", "mb", "qb")
+    return each.applyInPandas(compare, "a long, b long, bucket long, mb int, qb int")
+
+
+def _dense_links(members: DataFrame, dense: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b: the similar pairs of the dense blocks. Full sets are counted against each other there, by a product of
+    zero-one matrices over columns of shingles, and only pairs that are similar leave a block."""
+    least, of = similar
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        q, m = rows[rows["query"]], rows[~rows["query"]]
+        own = [np.frombuffer(x, U) for x in (*q["members"], *m["members"])]
+        sizes = np.array([*map(len, own)])
+        shingle, of_row = np.unique(np.concatenate(own), return_inverse=True), np.repeat(np.arange(len(own)), sizes)
+        column, row = shingle[1], of_row
+        both = np.zeros((len(q), len(m)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for start in range(0, len(shingle[0]), 8192):
+            a, z = np.searchsorted(column, [start, start + 8192])
+            grid = np.zeros((len(own), 8192), np.float32)
+            grid[row[a:z], column[a:z] - start] = 1
+            both += grid[: len(q)] @ grid[len(q) :].T
+        union = sizes[: len(q), None] + sizes[None, len(q) :] - both
+        alike = (both * of >= union * least) & (q["component"].to_numpy()[:, None] != m["component"].to_numpy()[None, :])
+        i, j = np.nonzero(alike)
+        pairs = np.sort(np.stack([q["node"].to_numpy()[i], m["node"].to_numpy()[j]]), axis=0)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    return held.unionByName(asked).groupBy("bucket", "mb", "qb").applyInPandas(compare, "a long, b long").distinct()
+    rows = _blocks(members.join(dense.select("bucket").distinct(), "bucket", "left_semi"), sets)
+    rows = rows.join(dense, ["bucket", "mb", "qb"], "left_semi")
+    return rows.groupBy("bucket", "mb", "qb").applyInPandas(count, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
