@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ ALPHA, SEED = 1.0, 20
 SPACE = "▁"
 
 #: Distinct units whose lattices a worker keeps; then it starts afresh. Characters of text that are sampled together.
-KEPT_UNITS, CHUNK = 300_000, 4_000_000
+KEPT_UNITS, CHUNK = 80_000, 1_000_000
 _UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -98,7 +99,7 @@ class Lattices:
         self.last: dict[str, int] = {}
         self.begins = np.empty(0, bool)  # of each node: whether a unit starts there
         self.cum = np.empty(0)  # of each edge: the node that it ends in, plus the cumulative probability there
-        self.source = np.empty(0, np.int64)
+        self.source = np.empty(0, np.int32)
         self.piece = np.empty(0, np.int32)
 
     def add(self, units: list[str]) -> None:
@@ -143,7 +144,7 @@ class Lattices:
         group = np.cumsum(last) - last
         within = sums - np.concatenate([[0.0], sums[last]])[group]
         self.cum = np.concatenate([self.cum, np.where(last, target + 1.0, target + within)])
-        self.source = np.concatenate([self.source, source])
+        self.source = np.concatenate([self.source, source.astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.begins = np.concatenate([self.begins, begins])
         self.last.update(zip(units, ends.tolist()))
@@ -222,15 +223,13 @@ def decode_pieces(pieces: np.ndarray, own: Lattices) -> str:
     return b"".join([table[i] for i in pieces.tolist()]).decode()[1:]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in slices of about CHUNK characters, each with its texts."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy()
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK, append=-1)) + 1
+    for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        part = batch.slice(i, j - i)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", text: str = "text", out: str = "pieces") -> DataFrame:
@@ -239,10 +238,9 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(model, alpha)
-        for b in batches:
-            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
+        for b, texts in (part for whole in batches for part in _slices(whole, len(kept))):
             keys = [-1 if k is None else k for k in b.column(len(kept) + 1).to_pylist()]
-            found = [p for i, j in _chunks(texts) for p in encode_texts(texts[i:j], keys[i:j], own, seed)]
+            found = encode_texts(texts, keys, own, seed)
             if not all(decode_pieces(p, own) == t for p, t in zip(found, texts)):
                 raise ValueError("a text isn't what its pieces decode to")
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int32)
@@ -273,18 +271,16 @@ def encode_and_decode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(model, alpha)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            keys = [-1 if k is None else k for k in b.column("doc_id").to_pylist()]
+        for b, texts in (part for whole in batches for part in _slices(whole, 1)):
+            keys = [-1 if k is None else k for k in b.column(0).to_pylist()]
             n, of_pieces, of_text, same = [], [], [], []
-            for i, j in _chunks(texts):
-                for text, pieces in zip(texts[i:j], encode_texts(texts[i:j], keys[i:j], own, seed)):
-                    back = decode_pieces(pieces, own)
-                    n.append(len(pieces))
-                    of_pieces.append(hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest())
-                    of_text.append(hashlib.sha256(back.encode()).hexdigest())
-                    same.append(back == text)
-            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_pieces, pa.string()), pa.array(of_text, pa.string()), pa.array(same, pa.bool_())]
+            for text, pieces in zip(texts, encode_texts(texts, keys, own, seed)):
+                back = decode_pieces(pieces, own)
+                n.append(len(pieces))
+                of_pieces.append(hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest())
+                of_text.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == text)
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(of_pieces, pa.string()), pa.array(of_text, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "pieces_sha256", "text_sha256", "lossless"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
