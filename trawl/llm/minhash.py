@@ -49,7 +49,7 @@ BLOCK, BEST = 512, 2
 DENSE = 1000
 
 #: Characters and texts that are sketched together; distinct words whose hashes a worker keeps.
-CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 6_000_000, 4000, 500_000
+CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 2_000_000, 2000, 200_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 _known: dict[bytes, int] = {}
@@ -386,8 +386,10 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sizes = [len(own) // 8 for own in b["members"]]
-            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), sizes), "shingle": np.frombuffer(b"".join(b["members"]), np.int64)})
+            for start in range(0, len(b), 100):
+                own = b.iloc[start : start + 100]
+                sizes = [len(x) // 8 for x in own["members"]]
+                yield pd.DataFrame({"node": np.repeat(own["node"].to_numpy(), sizes), "shingle": np.frombuffer(b"".join(own["members"]), np.int64)})
 
     each = sets.mapInPandas(spread, "node long, shingle long")
     counts = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -474,9 +476,9 @@ def _dense_links(members: DataFrame, dense: DataFrame, sets: DataFrame, similar:
         both = np.zeros((len(q), len(m)), np.float32)
         order = np.argsort(column, kind="stable")
         column, row = column[order], row[order]
-        for start in range(0, len(shingle[0]), 8192):
-            a, z = np.searchsorted(column, [start, start + 8192])
-            grid = np.zeros((len(own), 8192), np.float32)
+        for start in range(0, len(shingle[0]), 2048):
+            a, z = np.searchsorted(column, [start, start + 2048])
+            grid = np.zeros((len(own), 2048), np.float32)
             grid[row[a:z], column[a:z] - start] = 1
             both += grid[: len(q)] @ grid[len(q) :].T
         union = sizes[: len(q), None] + sizes[None, len(q) :] - both
