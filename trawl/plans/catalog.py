@@ -577,9 +577,13 @@ def sort_by_time(spark, sf_dir):
 
 
 def _sorted_places(df: DataFrame, key: str, reverse: bool) -> DataFrame:
-    """Each row's place in the total order: places within sorted partitions, plus the rows of the partitions before."""
+    """Each row's place in the total order: places within sorted partitions, plus the rows of the partitions before.
+
+    The sorted rows are written once with partition and place. A second evaluation of the sort may be cut into other partitions.
+    """
     own = display.sort_by(df.select("doc_id", "path", *(["modificationTime"] if key == "modified" else [])), key, reverse)
     placed = own.select("doc_id", "path", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")).withColumn("within", F.col("id") % F.lit(1 << 33))
+    placed = files.written_once(placed, "sorted-places")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return placed.join(F.broadcast(starts), "part").select("doc_id", "path", (F.col("start") + F.col("within") + 1).alias("place"))
