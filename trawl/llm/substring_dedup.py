@@ -1,45 +1,93 @@
-"""Substring deduplication: paragraphs that repeat across or within documents.
+"""Substring deduplication: passages that repeat across or within documents.
 
-A paragraph is a line of a text. Those of MIN_WORDS words or more are sketched as five-word shingle sets and banded for
-high recall: 14 bands of 3 rows let a pair of similarity 0.75 meet with probability 0.9995. Colliding paragraphs are
-joined, their exact Jaccard similarity is verified, and similar ones form components. Of a component the paragraph
-with the least (doc_id, place) stays; the others are removals.
+A paragraph is a line of MIN_WORDS words or more, or neighbouring shorter lines joined: a block of them ends behind a
+blank line, or a line chosen by its own content (one in four), once it has MIN_WORDS words. Paragraphs are sketched as
+five-word shingle sets and banded for high recall: 14 bands of 3 rows let a pair of similarity 0.75 meet with
+probability 0.9995. Colliding paragraphs are joined, their exact Jaccard similarity is verified, and similar ones form
+components. Of a component the paragraph with the least (doc_id, place) stays; the others are removals.
 
 Bands, neighbours in large buckets, and components work as for whole documents (see minhash).
 
-Defined cases: null and empty texts have no paragraphs; shorter paragraphs are never removed. Paragraphs of a null
+Runs are passages that repeat word for word (A-Z as a-z, any white space between words), however lines are broken. Of
+each RUN_WORDS - MIN_WORDS + 1 neighbouring windows of MIN_WORDS words the one with the least hash is chosen, so texts
+that share RUN_WORDS words choose a window in common; many shorter runs are found as well. Windows that were chosen
+more than once are grouped by 64-bit hash, and overlapping ones of a document are merged. A run's ends may lie up to
+RUN_WORDS - MIN_WORDS words inside the shared passage.
+
+Defined cases: null and empty texts have no paragraphs; less than MIN_WORDS words are never removed. Paragraphs of a null
 doc_id stay only where no other can. Documents with equal doc_id and a repeated paragraph at one place count as two paragraphs.
-An empty table gives no rows. Columns other than doc_id and text are ignored by repeats() and kept by remove_repeats().
+An empty table gives no rows. Columns other than doc_id and text are ignored by repeats() and kept by remove_repeats(),
+which cuts paragraphs out and leaves runs inside other lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, release, staged
+from ._common import BROADCAST_IDS, looked_up, owing, release, staged
+from .elias_fano import U
 from .minhash import Banding, near_classes
+from .sp_sampling import mixed
 
 #: Least words of a paragraph that may be removed; the banding of paragraphs.
 MIN_WORDS = 30
+_BASE = U(0x9E3779B97F4A7C15)
+#: Words of a verbatim run that is found for certain, wherever lines are broken.
+RUN_WORDS = 50
 PARAGRAPHS = Banding(bands=14, rows=3, least_agreement=0.4)
 
 
+def spans(text: str, min_words: int) -> Iterator[tuple[int, int]]:
+    """First and last line of each paragraph of a text."""
+    start, n = None, 0
+    for place, line in enumerate(text.split("\n")):
+        data = line.encode("utf-8", "replace")
+        own = len(data.split())
+        if own >= min_words:
+            yield place, place
+            start, n = None, 0
+            continue
+        if own:
+            start, n = place if start is None else start, n + own
+        if n >= min_words and (not own or zlib.crc32(data) % 4 == 0):
+            yield start, place
+            start, n = None, 0
+    if n >= min_words:
+        yield start, place
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key (doc_id and place), text: the paragraphs of at least so many words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-    long = lines.filter(F.length("line") >= 2 * min_words - 1).filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    return long.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "place").alias("key"), F.col("line").alias("text"))
+    """key (doc_id, first and last line), text: the paragraphs of at least so many words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, texts = [], []
+            for key, text in zip(b["key"], b["text"]):
+                lines = text.split("\n")
+                for first, last in spans(text, min_words):
+                    keys.append(f"{key}:{first}:{last}")
+                    texts.append("\n".join(lines[first : last + 1]))
+            yield pd.DataFrame({"key": keys, "text": texts}, dtype=object)
+
+    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text"))
+    return own.filter(F.length("text") >= 2 * min_words - 1).mapInPandas(run, "key string, text string")
 
 
 def _identity() -> Column:
     parts = F.split("key", ":")
     own = F.when(parts[0] != "", parts[0]).cast("long")
-    return F.struct(own.isNull().alias("unknown"), own.alias("doc_id"), parts[1].cast("long").alias("place"))
+    return F.struct(own.isNull().alias("unknown"), own.alias("doc_id"), parts[1].cast("long").alias("place"), parts[2].cast("long").alias("last"))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAPHS) -> DataFrame:
-    """doc_id, paragraph, n_shingles, keep_id, keep_paragraph, removed: for each paragraph that has a similar one."""
+    """doc_id, paragraph, n_shingles, keep_id, keep_paragraph, removed, last_paragraph: for each paragraph that has a similar one."""
     found = near_classes(paragraphs(docs, min_words), _identity(), how)
     rows = staged(found.select(_identity().alias("own"), "n_shingles", "lowest"), "paragraph-classes")
     release(found)
@@ -54,12 +102,85 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAP
         F.col("lowest.doc_id").alias("keep_id"),
         F.col("lowest.place").alias("keep_paragraph"),
         (~F.col("own").eqNullSafe(F.col("lowest"))).alias("removed"),
+        F.col("own.last").alias("last_paragraph"),
     )
 
 
+def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of size words that are chosen; texts that share run_words words share one."""
+    if len(words) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
+    n = len(w) - size + 1
+    h = np.zeros(n, U)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h = h * _BASE + w[k : k + n]
+    h = mixed(h)
+    width = min(run_words - size + 1, n)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n - width + 1))
+    return at, h[at].view(np.int64)
+
+
+def windows(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """window (a hash), doc_id, row_id, pos (its first word), line, last (lines of its first and last word)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 500):
+                own = b.iloc[i : i + 500]
+                out = [np.empty((0, 5), np.int64)]
+                for row, text in zip(own["row_id"], own["text"]):
+                    lines = [line.split() for line in text.encode("utf-8", "replace").lower().split(b"\n")]
+                    at, h = chosen_windows([w for line in lines for w in line], size, run_words)
+                    ends = np.cumsum([*map(len, lines)])
+                    line, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + size - 1, "right")
+                    out.append(np.stack([h, np.full(len(at), row), at, line, last], axis=1))
+                kept = np.concatenate(out)
+                ids = np.repeat(own["key"].to_numpy(object), [*map(len, out[1:])])
+                yield pd.DataFrame({"key": ids} | {c: kept[:, k] for k, c in enumerate(("window", "row_id", "pos", "line", "last"))})
+
+    own = docs.select(F.col("doc_id").cast("string").alias("key"), F.monotonically_increasing_id().alias("row_id"), "text")
+    found = own.filter(F.length("text") >= 2 * size - 1).mapInPandas(run, "key string, window long, row_id long, pos int, line int, last int")
+    return found.select("window", F.col("key").cast("long").alias("doc_id"), "row_id", "pos", "line", "last")
+
+
+def repeated_runs(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """The columns of repeats(), first_word, n_words, keep_first_word: for each run that stands in several places."""
+    every = staged(windows(docs, size, run_words), "windows")
+    counts = every.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
+    counts, total = staged(counts, "window-counts"), every.count()
+    met = staged(looked_up(every, counts, "window", "n", total), "repeated-windows")
+    release(every, counts)
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos", "row_id", "line")
+    keep = staged(met.groupBy("window").agg(F.min(place).alias("keep"), F.count("*").alias("n")), "kept-windows")
+    rows = looked_up(met.drop("n"), keep, "window", "n", total)
+    same = F.col("row_id") == F.col("keep.row_id")
+    # A window that overlaps the one that stays is no copy beside it.
+    rows = rows.withColumn("removed", ~(same & (F.col("pos") == F.col("keep.pos")))).filter(~(F.col("removed") & same & (F.col("pos") - F.col("keep.pos") < size)))
+    own = Window.partitionBy("row_id", "removed").orderBy("pos")
+    rows = rows.withColumn("new", F.coalesce((F.col("pos") > F.lag("pos").over(own) + size).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("new").over(own))
+    first = F.min(F.struct("pos", "doc_id", "line", "keep")).alias("first")
+    runs = rows.groupBy("row_id", "removed", "run").agg(first, F.max("pos").alias("pos"), F.max("last").alias("last"))
+    out = runs.select(
+        F.col("first.doc_id").alias("doc_id"),
+        F.col("first.line").cast("long").alias("paragraph"),
+        F.lit(None).cast("long").alias("n_shingles"),
+        F.col("first.keep.doc_id").alias("keep_id"),
+        F.col("first.keep.line").cast("long").alias("keep_paragraph"),
+        "removed",
+        F.col("last").cast("long").alias("last_paragraph"),
+        F.col("first.pos").cast("long").alias("first_word"),
+        (F.col("pos") - F.col("first.pos") + size).cast("long").alias("n_words"),
+        F.col("first.keep.pos").cast("long").alias("keep_first_word"),
+    )
+    return owing(out, met, keep)
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAPHS) -> DataFrame:
     """docs with its removals cut out of their texts; all columns are kept."""
-    gone = repeats(docs, min_words, how).filter("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
+    gone = repeats(docs, min_words, how).filter("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("paragraph", "last_paragraph")))).alias("__gone"))
     gone = staged(gone, "paragraph-removals")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 10 else gone
     lines = F.filter(F.split("text", "\n"), lambda line, place: ~F.array_contains(F.col("__gone"), place.cast("long")))
@@ -69,4 +190,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = P
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Repeated paragraphs, with null in the columns of words, and repeated runs, with null in n_shingles."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = staged(found := repeated_runs(docs), "runs")
+    release(found)
+    return repeats(docs).unionByName(runs, allowMissingColumns=True)
