@@ -72,6 +72,20 @@ def drop_ids(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__drop_id"]), "left_anti")
 
 
+#: The column that tells rows apart where ids are null or repeated.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs written once with ROW."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """Numbered rows without the n that are in gone (ROW), and without ROW."""
+    return owing(rows.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, ROW, "left_anti").drop(ROW), rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

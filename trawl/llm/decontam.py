@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, owing, release, staged
+from ._common import ROW, drop_rows, numbered, owing, release, staged
 from ._words import SQL_WORDS, word_array
 
 WINDOW = 10
@@ -58,7 +58,8 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, row_id, words, pos, term: each word, and an empty one behind the last."""
     words = F.array_append(word_array(F.col("text")), F.lit("")).alias("words")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), words)
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", row.alias("row_id"), words)
     return rows.select("doc_id", "row_id", "words", F.posexplode("words").alias("pos", "term"))
 
 
@@ -129,10 +130,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window."""
-    found = contamination(docs, benchmark, size)
-    hit = staged(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    release(found)
-    return drop_ids(docs, hit, hit.count())
+    rows = numbered(docs)
+    index = build_index(rows, benchmark, size)
+    hit = staged(phrase_matches(index).select(F.col("row_id").alias(ROW)).distinct(), "contaminated")
+    release(index.postings, index.probes, index.each)
+    return drop_rows(rows, hit, hit.count())
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, drop_ids, looked_up, owing, release, shuffle_partitions, staged
+from ._common import BROADCAST_IDS, ROW, drop_rows, looked_up, numbered, owing, release, shuffle_partitions, staged
 from .components import connected_components
 from .elias_fano import U
 from .sp_sampling import mixed
@@ -502,11 +502,16 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component."""
-    found = near_duplicates(docs)
-    gone = staged(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    """docs with one row of each component: the least (doc_id, row), where a null doc_id comes last."""
+    rows = numbered(docs)
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ROW).alias("key")
+    parts = F.split("key", ":")
+    own = F.when(parts[0] != "", parts[0]).cast("long")
+    identity = F.struct(own.isNull().alias("unknown"), own.alias("doc_id"), parts[1].cast("long").alias("row"))
+    found = near_classes(rows.select(key, "text"), identity, Banding())
+    gone = staged(found.select(parts[1].cast("long").alias(ROW), F.col("lowest.row").alias("kept")).filter(F.col(ROW) != F.col("kept")).select(ROW), "near-gone")
     release(found)
-    return drop_ids(docs, gone, gone.count())
+    return drop_rows(rows, gone, gone.count())
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

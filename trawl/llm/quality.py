@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, owing, release, staged
+from ._common import ROW, drop_rows, numbered, owing, release, staged
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -62,15 +62,16 @@ def statistics(text: str) -> list[float]:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats, an array of N_STATS doubles, for each document."""
+    """doc_id and stats, an array of N_STATS doubles, for each document; and ROW where docs has it."""
+    more = [ROW] if ROW in docs.columns else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "stats": [statistics(t) for t in b["text"]]})
+            yield pd.DataFrame({"key": b["key"], "stats": [statistics(t) for t in b["text"]]} | {c: b[c] for c in more})
 
-    own = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    out = own.mapInPandas(run, "key string, stats array<double>")
-    return out.select(F.col("key").cast("long").alias("doc_id"), "stats")
+    own = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    out = own.mapInPandas(run, "key string, stats array<double>" + "".join(f", {c} long" for c in more))
+    return out.select(F.col("key").cast("long").alias("doc_id"), "stats", *more)
 
 
 @dataclass(frozen=True)
@@ -126,27 +127,29 @@ def held_out():
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; held-out labels are not learned from."""
+    """doc_id, held_out, score, predicted for each document (and ROW where docs has it); held-out labels are not learned from."""
+    more = [ROW] if ROW in docs.columns else []
     stats = staged(text_statistics(docs), "text-statistics")
     model = fit(stats.filter(~F.coalesce(held_out(), F.lit(False))), labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"key": b["key"], "score": model.score(np.stack(b["stats"].to_numpy()))})
+                yield pd.DataFrame({"key": b["key"], "score": model.score(np.stack(b["stats"].to_numpy()))} | {c: b[c] for c in more})
 
-    scored = stats.select(F.col("doc_id").cast("string").alias("key"), "stats").mapInPandas(run, "key string, score double")
-    scored = scored.select(F.col("key").cast("long").alias("doc_id"), "score")
-    out = scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = stats.select(F.col("doc_id").cast("string").alias("key"), "stats", *more).mapInPandas(run, "key string, score double" + "".join(f", {c} long" for c in more))
+    scored = scored.select(F.col("key").cast("long").alias("doc_id"), "score", *more)
+    out = scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
     return owing(out, stats)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that are rejected."""
-    scored = quality_scores(docs, labels)
-    gone = staged(scored.filter("predicted = 0").select("doc_id").distinct(), "rejected")
+    rows = numbered(docs)
+    scored = quality_scores(rows, labels)
+    gone = staged(scored.filter("predicted = 0").select(ROW), "rejected")
     release(scored)
-    return drop_ids(docs, gone, gone.count())
+    return drop_rows(rows, gone, gone.count())
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
