@@ -23,73 +23,161 @@ hbs hurl hy janet jl jsonl k lean less log lua lz4 lzma mint ml mojo nix pdf po
 spark spec ssa svg swift taskpaper tcl textile thrift twig txt vala vb vcl vue wgsl yang zig
 """.split()
 
-# Common file types with other globs. A registry of one's own is a parameter of FileTypes.
+# The other default file types, aliases as names of their own. A registry of one's own is a parameter of FileTypes.
 FILE_TYPES = {
     **{name: [f"*.{name}"] for name in BY_EXTENSION},
     "ada": ["*.adb", "*.ads"],
     "agda": ["*.agda", "*.lagda"],
+    "alire": ["alire.toml"],
+    "amake": ["*.mk", "*.bp"],
     "asciidoc": ["*.adoc", "*.asc", "*.asciidoc"],
     "asm": ["*.asm", "*.s", "*.S"],
+    "asp": ["*.aspx", "*.aspx.cs", "*.aspx.vb", "*.ascx", "*.ascx.cs", "*.ascx.vb", "*.asp"],
+    "ats": ["*.ats", "*.dats", "*.sats", "*.hats"],
     "avro": ["*.avdl", "*.avpr", "*.avsc"],
+    "batch": ["*.bat"],
+    "bazel": ["*.bazel", "*.bzl", "*.BUILD", "*.bazelrc", "BUILD", "MODULE.bazel", "WORKSPACE", "WORKSPACE.bazel", "WORKSPACE.bzlmod"],
+    "bitbake": ["*.bb", "*.bbappend", "*.bbclass", "*.conf", "*.inc"],
+    "boxlang": ["*.bx", "*.bxm", "*.bxs"],
     "brotli": ["*.br"],
+    "buildstream": ["*.bst"],
     "bzip2": ["*.bz2", "*.tbz2"],
     "c": ["*.[chH]", "*.[chH].in", "*.cats"],
+    "candid": ["*.did"],
+    "cfml": ["*.cfc", "*.cfm"],
     "clojure": ["*.clj", "*.cljc", "*.cljs", "*.cljx"],
     "cmake": ["*.cmake", "CMakeLists.txt"],
+    "cmd": ["*.bat", "*.cmd"],
     "coffeescript": ["*.coffee"],
     "config": ["*.cfg", "*.conf", "*.config", "*.ini"],
+    "container": ["*Containerfile*", "*Dockerfile*"],
+    "coq": ["*.v"],
     "cpp": ["*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"],
+    "crystal": ["Projectfile", "*.cr", "*.ecr", "shard.yml"],
     "csharp": ["*.cs"],
     "css": ["*.css", "*.scss"],
     "cuda": ["*.cu", "*.cuh"],
     "cython": ["*.pyx", "*.pxi", "*.pxd"],
+    "devicetree": ["*.dts", "*.dtsi", "*.dtso"],
     "diff": ["*.patch", "*.diff"],
+    "dita": ["*.dita", "*.ditamap", "*.ditaval"],
     "docker": ["*Dockerfile*"],
     "dockercompose": ["docker-compose.yml", "docker-compose.*.yml"],
+    "dts": ["*.dts", "*.dtsi"],
+    "dvc": ["Dvcfile", "*.dvc"],
+    "ebuild": ["*.ebuild", "*.eclass"],
     "elisp": ["*.el"],
     "elixir": ["*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"],
     "erlang": ["*.erl", "*.hrl"],
+    "fennel": ["*.fnl"],
+    "flatbuffers": ["*.fbs"],
+    "fortran": ["*.f", "*.F", "*.f77", "*.F77", "*.pfo", "*.f90", "*.F90", "*.f95", "*.F95"],
+    "fsharp": ["*.fs", "*.fsx", "*.fsi"],
+    "gap": ["*.g", "*.gap", "*.gi", "*.gd", "*.tst"],
+    "gdscript": ["*.gd"],
+    "gn": ["*.gn", "*.gni"],
+    "gprbuild": ["*.gpr"],
+    "gradle": ["*.gradle", "*.gradle.kts", "gradle.properties", "gradle-wrapper.*", "gradlew", "gradlew.bat"],
     "graphql": ["*.graphql", "*.graphqls"],
     "groovy": ["*.groovy", "*.gradle"],
     "gzip": ["*.gz", "*.tgz"],
+    "h": ["*.h", "*.hh", "*.hpp"],
+    "hare": ["*.ha"],
+    "haskell": ["*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc"],
     "hs": ["*.hs", "*.lhs"],
     "html": ["*.htm", "*.html", "*.ejs"],
+    "idris": ["*.idr", "*.lidr"],
     "java": ["*.java", "*.jsp", "*.jspx", "*.properties"],
+    "jinja": ["*.j2", "*.jinja", "*.jinja2"],
     "js": ["*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"],
     "json": ["*.json", "composer.lock", "*.sarif"],
     "julia": ["*.jl"],
     "jupyter": ["*.ipynb", "*.jpynb"],
+    "kconfig": ["Kconfig", "Kconfig.*"],
     "kotlin": ["*.kt", "*.kts"],
+    "license": ["COPYING", "COPYING[.-]*", "COPYRIGHT", "COPYRIGHT[.-]*", "EULA", "EULA[.-]*", "licen[cs]e", "licen[cs]e.*", "LICEN[CS]E", "LICEN[CS]E[.-]*", "*[.-]LICEN[CS]E*", "NOTICE", "NOTICE[.-]*", "PATENTS", "PATENTS[.-]*", "UNLICEN[CS]E", "UNLICEN[CS]E[.-]*", "agpl[.-]*", "gpl[.-]*", "lgpl[.-]*", "AGPL-*[0-9]*", "APACHE-*[0-9]*", "BSD-*[0-9]*", "CC-BY-*", "GFDL-*[0-9]*", "GNU-*[0-9]*", "GPL-*[0-9]*", "LGPL-*[0-9]*", "MIT-*[0-9]*", "MPL-*[0-9]*", "OFL-*[0-9]*"],
+    "lilypond": ["*.ly", "*.ily"],
+    "lisp": ["*.el", "*.jl", "*.lisp", "*.lsp", "*.sc", "*.scm"],
+    "llvm": ["*.ll"],
     "lock": ["*.lock", "package-lock.json"],
-    "markdown": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mdx", "*.mkd", "*.mkdn"],
+    "m4": ["*.ac", "*.m4"],
+    "make": ["[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "Makefile.*", "*.mk", "*.mak"],
+    "mako": ["*.mako", "*.mao"],
+    "man": ["*.[0-9lnpx]", "*.[0-9][cEFMmpSx]"],
+    "markdown": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"],
     "matlab": ["*.m"],
-    "md": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mdx", "*.mkd", "*.mkdn"],
+    "md": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"],
+    "meson": ["meson.build", "meson_options.txt", "meson.options"],
+    "minified": ["*.min.html", "*.min.css", "*.min.js"],
+    "mk": ["mkfile"],
+    "motoko": ["*.mo"],
+    "msbuild": ["*.csproj", "*.fsproj", "*.vcxproj", "*.proj", "*.props", "*.targets", "*.sln", "*.slnf"],
+    "nim": ["*.nim", "*.nimf", "*.nimble", "*.nims"],
     "objc": ["*.h", "*.m"],
     "objcpp": ["*.h", "*.mm"],
+    "ocaml": ["*.ml", "*.mli", "*.mll", "*.mly"],
     "org": ["*.org", "*.org_archive"],
+    "pants": ["BUILD"],
+    "pascal": ["*.pas", "*.dpr", "*.lpr", "*.pp", "*.inc"],
     "perl": ["*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"],
     "php": ["*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"],
+    "pkgbuild": ["PKGBUILD"],
     "postscript": ["*.eps", "*.ps"],
+    "prolog": ["*.pl", "*.pro", "*.prolog", "*.P"],
+    "protobuf": ["*.proto"],
+    "ps": ["*.cdxml", "*.ps1", "*.ps1xml", "*.psd1", "*.psm1"],
+    "puppet": ["*.epp", "*.erb", "*.pp", "*.rb"],
     "py": ["*.py", "*.pyi"],
     "python": ["*.py", "*.pyi"],
+    "qmake": ["*.pro", "*.pri", "*.prf"],
+    "qui": ["*.ui"],
+    "r": ["*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw"],
     "racket": ["*.rkt"],
+    "raku": ["*.raku", "*.rakumod", "*.rakudoc", "*.rakutest", "*.p6", "*.pl6", "*.pm6"],
     "readme": ["README*", "*README"],
-    "ruby": ["*.gemspec", "*.rb", "*.rbw", ".irbrc", "Gemfile", "Rakefile", "config.ru"],
+    "reasonml": ["*.re", "*.rei"],
+    "red": ["*.r", "*.red", "*.reds"],
+    "rescript": ["*.res", "*.resi"],
+    "rocq": ["*.v"],
+    "ruby": ["config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw", "*.rake"],
     "rust": ["*.rs"],
     "sass": ["*.sass", "*.scss"],
     "scala": ["*.scala", "*.sbt"],
+    "scdoc": ["*.scd", "*.scdoc"],
+    "seed7": ["*.sd7", "*.s7i"],
+    "sh": [".env", ".login", ".logout", ".profile", "profile", ".bash_login", "bash_login", ".bash_logout", "bash_logout", ".bash_profile", "bash_profile", ".bashrc", "bashrc", "*.bashrc", ".cshrc", "*.cshrc", ".kshrc", "*.kshrc", ".tcshrc", ".zshenv", "zshenv", ".zlogin", "zlogin", ".zlogout", "zlogout", ".zprofile", "zprofile", ".zshrc", "zshrc", "*.bash", "*.csh", "*.env", "*.ksh", "*.sh", "*.tcsh", "*.zsh"],
+    "slim": ["*.skim", "*.slim", "*.slime"],
+    "smarty": ["*.tpl"],
     "sml": ["*.sml", "*.sig"],
     "solidity": ["*.sol"],
     "sql": ["*.sql", "*.psql"],
+    "stylus": ["*.styl"],
+    "sv": ["*.v", "*.vg", "*.sv", "*.svh", "*.h"],
     "svelte": ["*.svelte", "*.svelte.ts"],
+    "swig": ["*.def", "*.i"],
+    "systemd": ["*.automount", "*.conf", "*.device", "*.link", "*.mount", "*.path", "*.scope", "*.service", "*.slice", "*.socket", "*.swap", "*.target", "*.timer"],
+    "tex": ["*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins"],
     "texinfo": ["*.texi"],
+    "tf": ["*.tf", "*.tf.json", "*.tfvars", "*.tfvars.json", "*.terraformrc", "terraform.rc", "*.tfrc", "*.terraform.lock.hcl"],
     "toml": ["*.toml", "Cargo.lock"],
-    "ts": ["*.cts", "*.mts", "*.ts", "*.tsx"],
+    "ts": ["*.ts", "*.tsx", "*.cts", "*.mts"],
+    "typescript": ["*.ts", "*.tsx", "*.cts", "*.mts"],
+    "typoscript": ["*.typoscript", "*.ts"],
+    "typst": ["*.typ"],
+    "usd": ["*.usd", "*.usda", "*.usdc"],
+    "v": ["*.v", "*.vsh"],
+    "verilog": ["*.v", "*.vh", "*.sv", "*.svh"],
     "vhdl": ["*.vhd", "*.vhdl"],
-    "xml": ["*.dtd", "*.rng", "*.sch", "*.xhtml", "*.xjb", "*.xml", "*.xml.dist", "*.xsd", "*.xsl", "*.xslt"],
+    "vim": ["*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc"],
+    "vimscript": ["*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc"],
+    "webidl": ["*.idl", "*.webidl", "*.widl"],
+    "wiki": ["*.mediawiki", "*.wiki"],
+    "xml": ["*.xml", "*.xml.dist", "*.dtd", "*.xsl", "*.xslt", "*.xsd", "*.xjb", "*.rng", "*.sch", "*.xhtml"],
     "xz": ["*.xz", "*.txz"],
     "yacc": ["*.y"],
     "yaml": ["*.yaml", "*.yml"],
+    "z": ["*.Z"],
+    "zsh": [".zshenv", "zshenv", ".zlogin", "zlogin", ".zlogout", "zlogout", ".zprofile", "zprofile", ".zshrc", "zshrc", "*.zsh"],
     "zstd": ["*.zst", "*.zstd"],
 }
 
