@@ -12,9 +12,15 @@ the next NEIGHBOURS rows of its bucket: buckets up to that size are paired fully
 agree in further coordinates are neighbours. Pairs whose sketches agree in less than LEAST_AGREEMENT of the coordinates
 are dropped (five standard deviations below the threshold). Then full sets are compared: first one partner for each
 document, and, once linked documents have become components, every remaining pair across two of them. So a large
-group of near copies costs a few comparisons a member. Large buckets that still hold several components are
-completed: what lies outside a bucket's largest component is a query set, held against the bucket in blocks, unless too
-few of a text's shingles stand in any other text there. So no pair that shares a bucket goes unseen.
+group of near copies costs a few comparisons a member.
+
+What neighbours in large buckets don't see of each other is completed exactly. Large buckets that still hold several
+components tie these into clusters, of which each text is one row however many buckets it shares. What lies
+outside a cluster's largest component is a query set, held against the cluster in blocks of bounded size, where full
+sets are counted against each other at once and only links that join components leave a block. A first round holds
+each query block against FIRST blocks, which links most of a large group of near copies; a second one covers the rest
+of the clusters that still hold several components. Texts with too few shingles in any other text of the clusters
+are ruled out before. So no pair that shares a bucket goes unseen.
 
 A pair of similarity 0.75 shares no bucket with probability 2e-5; more similar ones are missed more rarely.
 
@@ -42,11 +48,11 @@ from .sp_sampling import mixed
 #: Words in a shingle; similarity as intersection * 100 >= union * 75; bands of rows; partners in a bucket on either side.
 WORDS, SIMILAR, BANDS, ROWS, NEIGHBOURS, LEAST_AGREEMENT = 5, (75, 100), 40, 5, 3, 0.6
 
-#: Rows of a block when a large bucket's members are compared; partners of a query that are verified before all others.
-BLOCK, BEST = 512, 2
+#: Most texts of a block and bytes of their sets when clusters are compared; blocks that a query block meets in the first round.
+BLOCK, BLOCK_BYTES, FIRST = 512, 4_000_000, 2
 
-#: Most pairs of a block that are verified as rows; denser blocks are counted where they lie.
-DENSE = 1000
+#: Shared shingles that are counted in one matrix product.
+COLUMNS = 2048
 
 #: Characters and texts that are sketched together; distinct words whose hashes a worker keeps.
 CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 2_000_000, 2000, 200_000
@@ -113,11 +119,6 @@ def band_values(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where the values of a sorted array change."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-
-
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, t in enumerate(texts):
@@ -159,8 +160,9 @@ def signatures(rows: DataFrame, bands: int, band_rows: int, words: int = WORDS)
 
 
 def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """a, b, member. Pairs a < b of nodes (node, bands) that are near each other in a bucket; and, with member set, the nodes a of
-    buckets b that have more rows than neighbours see of each other. Rows may be repeated."""
+    """a, b, chain. Pairs of nodes (node, bands) that are near each other in a bucket; and, with chain set, pairs that hold each
+    bucket together that has more rows than neighbours see of each other. A bucket that may go on in the next
+    partition is such a bucket, and is a negative number in a pair with one of its nodes. Rows may be repeated."""
     n = shuffle_partitions(nodes.sparkSession)
     each = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket"))
     following = F.get("bands", (F.col("band") + 1) % F.size("bands"))
@@ -169,38 +171,45 @@ def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, node = np.empty(0, np.int64), np.empty(0, np.int64)
-        first_bucket, last_rows = None, None
+        first = None
+        w = neighbours + 1
         for b in batches:
             if not len(b):
                 continue
             old = len(bucket)
             bucket, node = np.concatenate([bucket, b["bucket"].to_numpy()]), np.concatenate([node, b["node"].to_numpy()])
-            first_bucket = bucket[0] if first_bucket is None else first_bucket
-            found = []
+            if first is None:
+                first = bucket[0]
+                yield _pairs_frame(_name(bucket[:1]), node[:1], True)
+            found = [np.empty((2, 0), np.int64)]
             for d in range(1, neighbours + 1):
-                first = max(0, old - d)  # pairs that end in this batch
-                same = np.flatnonzero(bucket[first + d :] == bucket[first : len(bucket) - d]) + first if len(bucket) > d + first else np.empty(0, np.int64)
-                found.append(np.stack([node[same], node[same + d]]))
-            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1], "member": False})
-            # A row is of a large bucket if it is more than neighbours behind the first or before the last of it, or if
-            # the bucket may go on in the partition before or after this one.
-            w = neighbours + 1
-            far = np.zeros(len(bucket), bool)
+                at = np.arange(max(0, old - d), len(bucket) - d)  # pairs that end in this batch
+                at = at[bucket[at] == bucket[at + d]]
+                found.append(np.sort(np.stack([node[at], node[at + d]]), axis=0))
+            yield _pairs_frame(*np.unique(np.concatenate(found, axis=1), axis=1), False)
+            # A row is of a large bucket if it is one of w + 1 rows or more, or if the bucket may go on in another partition.
+            far = bucket == first
             if len(bucket) > w:
                 long = bucket[w:] == bucket[:-w]
                 for d in range(w + 1):
                     far[d : d + len(long)] |= long
-            far |= bucket == first_bucket
-            yield pd.DataFrame({"a": node[far], "b": bucket[far], "member": True})
+            at = np.flatnonzero(far[:-1] & (bucket[1:] == bucket[:-1]))
+            yield _pairs_frame(node[at], node[at + 1], True)
             bucket, node = bucket[-w:], node[-w:]
-            last_rows = bucket, node
-        if last_rows is not None:
-            bucket, node = last_rows
-            on = bucket == bucket[-1]
-            yield pd.DataFrame({"a": node[on], "b": bucket[on], "member": True})
+        if first is not None:
+            at = np.flatnonzero(bucket == bucket[-1])
+            yield _pairs_frame(np.append(node[at[:-1]], _name(bucket[-1:])), np.append(node[at[1:]], node[-1:]), True)
+
+    return ordered.select("bucket", "node").mapInPandas(run, "a long, b long, chain boolean")
+
+
+def _name(bucket: np.ndarray) -> np.ndarray:
+    """A bucket as a number that no node has."""
+    return ~(bucket & np.int64(2**63 - 1))
 
-    return ordered.select("bucket", "node").mapInPandas(run, "a long, b long, member boolean")
+
+def _pairs_frame(a: np.ndarray, b: np.ndarray, chain: bool) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b, "chain": chain})
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -299,9 +308,9 @@ def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
 def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
     """node, component for the nodes that are similar to another."""
     near = staged(neighbour_pairs(nodes, how.neighbours), "neighbours")
-    pairs = near.filter("NOT member AND a <> b").select("a", "b").distinct()
+    pairs = near.filter("NOT chain AND a <> b").select("a", "b").distinct()
     pairs = staged(agreeing(pairs, nodes, how.least_agreement), "pairs")
-    large = staged(near.filter("member").select(F.col("b").alias("bucket"), F.col("a").alias("node")).distinct(), "large-buckets")
+    chain = staged(near.filter("chain").select("a", "b").distinct(), "chains")
     release(near)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(rows, ends, classes, how)
@@ -313,29 +322,8 @@ def _links(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding)
     found = staged(first, "components-1")
     across = _across(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), found)
     more = staged(verified(across, sets, how.similar), "links-2")
-    release(first, links, chosen, sets)
-    found = _joined(found, more)
-    open_ = _open_buckets(rows, nodes, large, found, classes, how)
-    release(large)
-    if open_ is not None:
-        members, sets = open_
-        seen = pairs.select("a", "b")
-        # First the best partners of each query in each component; then, where that made no link, all others.
-        best = staged(_compared(members, nodes, how.least_agreement, BEST).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "best")
-        found = _joined(found, staged(verified(best, sets, how.similar), "links-3"))
-        labelled = members.drop("component").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        labelled = staged(labelled, "labelled-members")
-        left = staged(_several(labelled), "members-left")
-        every = staged(_compared(left, nodes, how.least_agreement), "compared")
-        rest = every.filter("bucket IS NULL").select("a", "b").distinct().join(seen.unionByName(best), ["a", "b"], "left_anti")
-        dense = every.filter("bucket IS NOT NULL").select("bucket", "mb", "qb")
-        links = verified(staged(rest, "rest"), sets, how.similar)
-        if not dense.isEmpty():
-            links = links.unionByName(_dense_links(left, dense, sets, how.similar)).distinct()
-        found = _joined(found, staged(links, "links-4"))
-        release(members, sets, best, labelled, left, every)
-    release(pairs)
-    return found
+    release(first, links, chosen, sets, pairs)
+    return _completed(rows, chain, _joined(found, more), classes, how)
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
@@ -369,20 +357,51 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: DataFrame, classes: DataFrame, how: Banding) -> tuple[DataFrame, DataFrame] | None:
-    """bucket, node, component of large buckets that still hold several components, and their nodes' sets; None if there are none.
+def _completed(rows: DataFrame, chain: DataFrame, found: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
+    """found (node, component) with what large buckets, held together by chain (a, b), still hide."""
+    members = _clusters(chain, found)
+    release(chain)
+    if members is None:
+        return found
+    sets = _sets_of(rows, members.select("node"), classes, how)
+    able = staged(members.join(_able(sets, how.similar), "node"), "able-members")
+    release(members)
+    for rounds in (FIRST, None):
+        several = _several(able)
+        left = staged(several if rounds else several.filter(F.col("m") > FIRST), "members-left")
+        release(several)
+        links = staged(_block_links(left, sets, how.similar, rounds), "links-blocks")
+        release(left)
+        known = None if links.isEmpty() else F.coalesce("now", "component")
+        found = _joined(found, links)
+        if rounds and known is not None:
+            again = able.join(found.toDF("node", "now"), "node", "left").withColumn("component", known).drop("now")
+            before, able = able, staged(again, "members-again")
+            release(before)
+    release(able, sets)
+    return found
+
 
-    A text can be similar to another only if that share of its shingles stands in another text as well; a text of
-    which less is found among all the texts of these buckets is left out, which spares those that share a passage alone.
-    """
-    members = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    every = staged(members, "members")
-    members = staged(_several(every), "open-members")
-    release(every)
-    if members.isEmpty():
-        release(members)
+def _clusters(chain: DataFrame, found: DataFrame) -> DataFrame | None:
+    """node, component, cluster: the nodes of components that large buckets tie together; None if there are none."""
+    met = chain.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+    met = staged(met.select("a", "b", F.coalesce("component_a", "a").alias("component_a"), F.coalesce("component_b", "b").alias("component_b")), "chained")
+    bridges = met.filter("component_a <> component_b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    if bridges.isEmpty():
+        release(met)
         return None
-    sets = _sets_of(rows, members.select("node").distinct(), classes, how)
+    tied = connected_components(bridges)
+    clusters = staged(tied.toDF("component", "cluster"), "clusters")
+    release(tied)
+    ends = met.select(F.col("a").alias("node"), F.col("component_a").alias("component")).unionByName(met.select(F.col("b").alias("node"), F.col("component_b").alias("component")))
+    ends = ends.filter("node >= 0").distinct()
+    out = staged(ends.join(F.broadcast(clusters) if clusters.count() <= BROADCAST_IDS else clusters, "component"), "cluster-members")
+    release(met, clusters)
+    return out
+
+
+def _able(sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """node, size (bytes of its set): the sets of which enough shingles stand in another one to be similar to it."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -392,104 +411,92 @@ def _open_buckets(rows: DataFrame, nodes: DataFrame, large: DataFrame, found: Da
                 yield pd.DataFrame({"node": np.repeat(own["node"].to_numpy(), sizes), "shingle": np.frombuffer(b"".join(own["members"]), np.int64)})
 
     each = sets.mapInPandas(spread, "node long, shingle long")
-    counts = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    counts = each.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     # A shingle of one text alone is found by its only node.
     alone = counts.filter("low = high").groupBy(F.col("low").alias("node")).agg(F.count("*").alias("alone"))
-    size = F.octet_length("members") / 8
-    least, of = how.similar
-    able = sets.join(alone, "node", "left").filter((size - F.coalesce("alone", F.lit(0))) * of >= size * least).select("node")
-    able_members = staged(members.join(able, "node", "left_semi"), "able-members")
-    compared = staged(_several(able_members), "compared-members")
-    release(members, able_members)
-    if compared.isEmpty():
-        release(compared, sets)
-        return None
-    return compared, sets
+    least, of = similar
+    size = F.octet_length("members")
+    met = sets.select("node", size.alias("size")).join(alone, "node", "left")
+    return met.filter((F.col("size") / 8 - F.coalesce("alone", F.lit(0))) * of >= F.col("size") / 8 * least).select("node", "size")
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """The members of buckets with more than one component."""
-    ends = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    return members.join(ends.filter("x < y").select("bucket"), "bucket", "left_semi")
-
-
-def _blocks(members: DataFrame, more: DataFrame) -> DataFrame:
-    """bucket, mb, qb, node, component, query and a column of more (node and one other): each bucket's blocks of members with
-    each block of its queries, which are what lies outside the bucket's largest component."""
-    by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    sizes = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = sizes.select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("n") - F.col("n_main")).alias("q")).filter("q > 0")
-    own = members.join(more, "node").join(sizes, "bucket")
-    rest = [F.col(c) for c in ("node", "component", *(c for c in more.columns if c != "node"))]
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = own.select("bucket", place("m").alias("mb"), over("q").alias("qb"), *rest, F.lit(False).alias("query"))
-    asked = own.filter("component <> main").select("bucket", over("m").alias("mb"), place("q").alias("qb"), *rest, F.lit(True).alias("query"))
-    return held.unionByName(asked)
-
-
-def _compared(members: DataFrame, nodes: DataFrame, least: float, best: int | None = None) -> DataFrame:
-    """a, b, bucket, mb, qb: pairs a < b of one bucket and different components whose sketches agree enough.
-
-    Sketches are compared as arrays, BLOCK by BLOCK. With best, a block gives so many pairs of a query for each
-    component. Else a block with more than DENSE pairs gives its bucket and place instead of them.
+    """node, component, cluster, main, m, q: the members of clusters with more than one component, with the cluster's largest
+    component, and its numbers of blocks of members and of queries, which lie outside that component."""
+    by = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    one = F.max(F.struct("n", "component", "size"))
+    sizes = by.groupBy("cluster").agg(one.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    m, q = blocks(F.col("n"), F.col("size")), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    sizes = staged(sizes.filter("n > main.n").select("cluster", F.col("main.component").alias("main"), m.alias("m"), q.alias("q")), "cluster-sizes")
+    return owing(members.drop("size").join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "cluster"), sizes)
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similar: tuple[int, int], rounds: int | None) -> DataFrame:
+    """a, b: similar pairs of different components that join all components which similar pairs of a block join.
+
+    Each block of queries meets every block of its cluster's members, or as many as rounds says. Sets are counted
+    against each other by products of zero-one matrices, whose columns are the shingles that several sets share.
     """
-    kinds = {"a": "Int64", "b": "Int64", "bucket": "Int64", "mb": "Int32", "qb": "Int32"}
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        q, m = rows[rows["query"]], rows[~rows["query"]]
-        out = [np.empty((2, 0), np.int64)]
-        if len(q) and len(m):
-            grid = np.stack([np.frombuffer(x, np.uint8) for x in m["sketch"]])
-            nodes_, components = m["node"].to_numpy(), m["component"].to_numpy()
-            for node, component, sketch in zip(q["node"], q["component"], q["sketch"]):
-                agreement = (grid == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-                at = np.flatnonzero((agreement >= least) & (components != component))
-                if best is not None and len(at):
-                    at = at[np.lexsort((-agreement[at], components[at]))]
-                    first = _runs(components[at])
-                    at = at[np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at))) < best]
-                out.append(np.sort(np.stack([np.full(len(at), node), nodes_[at]]), axis=0))
-        pairs = np.concatenate(out, axis=1)
-        if best is None and pairs.shape[1] > DENSE:
-            place = {c: [rows[c].iloc[0]] for c in ("bucket", "mb", "qb")}
-            return pd.DataFrame({"a": [None], "b": [None], **place}).astype(kinds)
-        none = [None] * pairs.shape[1]
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1], "bucket": none, "mb": none, "qb": none}).astype(kinds)
-
-    each = _blocks(members, nodes.select("node", "sketch")).groupBy("bucket", "mb", "qb")
-    return each.applyInPandas(compare, "a long, b long, bucket long, mb int, qb int")
-
-
-def _dense_links(members: DataFrame, dense: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b: the similar pairs of the dense blocks. Full sets are counted against each other there, by a product of
-    zero-one matrices over columns of shingles, and only pairs that are similar leave a block."""
-    least, of = similar
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        q, m = rows[rows["query"]], rows[~rows["query"]]
-        own = [np.frombuffer(x, U) for x in (*q["members"], *m["members"])]
-        sizes = np.array([*map(len, own)])
-        shingle, of_row = np.unique(np.concatenate(own), return_inverse=True), np.repeat(np.arange(len(own)), sizes)
-        column, row = shingle[1], of_row
-        both = np.zeros((len(q), len(m)), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        for start in range(0, len(shingle[0]), 2048):
-            a, z = np.searchsorted(column, [start, start + 2048])
-            grid = np.zeros((len(own), 2048), np.float32)
-            grid[row[a:z], column[a:z] - start] = 1
-            both += grid[: len(q)] @ grid[len(q) :].T
-        union = sizes[: len(q), None] + sizes[None, len(q) :] - both
-        alike = (both * of >= union * least) & (q["component"].to_numpy()[:, None] != m["component"].to_numpy()[None, :])
-        i, j = np.nonzero(alike)
-        pairs = np.sort(np.stack([q["node"].to_numpy()[i], m["node"].to_numpy()[j]]), axis=0)
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = members.join(sets, "node").withColumn("mb", place("m"))
+    met = every("q") if rounds is None else F.filter(every("q"), lambda k: F.pmod(F.col("mb") - k, F.col("m")) < rounds)
+    columns = ("node", "component", "members")
+    held = own.select("cluster", "mb", F.explode(met).alias("qb"), *columns, F.lit(False).alias("query"))
+    asked = own.filter("component <> main").withColumn("qb", place("q"))
+    met = every("m") if rounds is None else F.transform(F.sequence(F.lit(0), F.least(F.col("m"), F.lit(rounds)) - 1), lambda k: F.pmod(F.col("qb") + k, F.col("m")))
+    asked = asked.select("cluster", F.explode(met).alias("mb"), "qb", *columns, F.lit(True).alias("query"))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["query", "node"])
+        n = int((~rows["query"]).sum())
+        pairs = _joining(rows["node"].to_numpy(), rows["component"].to_numpy(), [np.frombuffer(x, U) for x in rows["members"]], n, similar)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    rows = _blocks(members.join(dense.select("bucket").distinct(), "bucket", "left_semi"), sets)
-    rows = rows.join(dense, ["bucket", "mb", "qb"], "left_semi")
-    return rows.groupBy("bucket", "mb", "qb").applyInPandas(count, "a long, b long").distinct()
+    # A given number of tasks, since blocks are few bytes and much work.
+    n = shuffle_partitions(members.sparkSession)
+    blocks = held.unionByName(asked).repartition(n, "cluster", "mb", "qb").groupBy("cluster", "mb", "qb")
+    return blocks.applyInPandas(link, "a long, b long").distinct()
+
+
+def _joining(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], n: int, similar: tuple[int, int]) -> np.ndarray:
+    """Similar pairs a < b, one of the first n sets and one of the others, that join components not joined before."""
+    sizes = np.array([*map(len, sets)])
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    flat, row = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    count = np.diff(first, append=len(flat))
+    shared = np.repeat(count > 1, count)  # a shingle of one set alone is in no intersection
+    row, column = row[shared], np.repeat(np.cumsum(count > 1) - 1, count)[shared]
+    both = np.zeros((n, len(sets) - n), np.float32)
+    for start in range(0, int((count > 1).sum()), COLUMNS):
+        a, z = np.searchsorted(column, [start, start + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[row[a:z], column[a:z] - start] = 1
+        both += grid[:n] @ grid[n:].T
+    shared = both.astype(np.int64)
+    union = sizes[:n, None] + sizes[None, n:] - shared
+    i, j = np.nonzero((shared * similar[1] >= union * similar[0]) & (component[:n, None] != component[None, n:]))
+    j += n
+    # One pair for each two components, then those of a spanning forest.
+    named, at = np.unique(component, return_inverse=True)
+    _, one = np.unique(at[i] * len(named) + at[j], return_index=True)
+    parent = [*range(len(named))]
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k in one.tolist():
+        x, y = root(at[i[k]]), root(at[j[k]])
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return np.sort(np.stack([node[i[kept]], node[j[kept]]]), axis=0)
 
 
 def near_duplicates(docs: DataFrame, how: Banding = Banding()) -> DataFrame:
