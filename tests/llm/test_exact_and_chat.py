@@ -48,6 +48,41 @@ def test_hot_group(spark, table):
     assert sum(r.kept for r in rows) == 1001 and {r.group_size for r in rows} == {1, 2000}
 
 
+def test_index_keeps_its_buckets(spark, table, tmp_path):
+    texts = [(k, f"text {k}") for k in range(200)]
+    assert sum(r.kept for r in ExactDedupIndex(spark, str(tmp_path / "index"), buckets=8).add(table(texts)).collect()) == 200
+    again = ExactDedupIndex(spark, str(tmp_path / "index"))
+    assert again.buckets == 8
+    with pytest.raises(ValueError, match="8 buckets"):
+        ExactDedupIndex(spark, str(tmp_path / "index"), buckets=4)
+    added = again.add(table(texts))
+    rows = added.collect()
+    assert len(rows) == 200 and not any(r.kept for r in rows) and all(r.keep_id == r.doc_id for r in rows)
+    # Only the batch's hot digests are broadcast, and there are none among two hundred of one row each beyond the rule's floor.
+    hot = again.add(table([(1000 + k, "text 7") for k in range(5000)] + [(9000, "new")])).collect()
+    assert {(r.keep_id, r.group_size, r.kept) for r in hot} == {(7, 5000, False), (9000, 1, True)}
+
+
+def test_batches_are_added_once(spark, table, tmp_path, monkeypatch):
+    index = ExactDedupIndex(spark, str(tmp_path / "index"), buckets=2)
+    docs = table([(1, "a"), (2, "a"), (3, "b"), (None, "b")])
+    answer = lambda: sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in index.add(docs, "monday").collect())
+    with monkeypatch.context() as broken:
+        broken.setattr("trawl.llm.exact_dedup.write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            answer()
+    assert index.entries().count() == 0
+    first = answer()
+    assert first == answer() == [("1", 1, 2, True), ("2", 1, 2, False), ("3", 3, 2, True), ("None", 3, 2, False)]
+    assert index.entries().count() == 2 and set(index.batches()) == {"monday"}
+
+
+def test_rows_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "a", 8, 9, 10), (None, "b", 1, 2, 3)], "doc_id long, text string, __row long, __ROW_own int, row_id int")
+    out = exact_dedup(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "a", 5, 6, 7), (None, "b", 1, 2, 3)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.sampled_from(["user", "assistant", "system", "", "a]b\\"]), st.text(alphabet="<s>/[INST]ROLE: \\ok\n", max_size=25) | st.text(max_size=20))
 def test_round_trip(role, text):
@@ -70,6 +105,11 @@ def test_conversations(spark):
     assert got[1].n_turns == 3 and got[1].turns_sha256 == sha(f"user\n\nassistant\n{trap}\nassistant\n{trap}\n") and got[1].loss_sha256 == sha(trap * 2)
     assert got[None].turns_sha256 == sha("user\ny\n\nx\n") and got[None].loss_chars == 0
     assert got[2].loss_chars == 50_000 and got[3].n_turns == 1
-    whole = {r.conv_id: r.formatted for r in chat.formatted_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert all(len(whole[k]) == got[k].formatted_chars for k in got)
+    whole = {}
+    for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.segment
+    assert all(len(whole[k]) == got[k].formatted_chars for k in got) and len(chat.parse(whole[1])) == 3
+    # Rows of one turn are in the order of their texts, not of what they are rendered to.
+    tied = chat.conversation_digests(spark.createDataFrame([(1, 0, "user", "A"), (1, 0, "user", "<s>")], "conv_id long, turn long, role string, text string")).first()
+    assert tied.turns_sha256 == sha("user\n<s>\nuser\nA\n")
     assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string, segment int")).count() == 0

@@ -71,6 +71,31 @@ def test_notices_survive_small_changes(table, prose):
     assert license_scan.license_labels(table([])).count() == 0
 
 
+def notice_share(w, notice):
+    """The most of a notice's trigrams that stand on diagonals near each other, by trying every diagonal."""
+    t = notice.split()
+    at = {}
+    for p in range(len(w) - 2):
+        for k in range(len(t) - 2):
+            if w[p : p + 3] == t[k : k + 3]:
+                at.setdefault(p - k, set()).add(k)
+    near = lambda d: set().union(*(v for e, v in at.items() if abs(e - d) <= license_scan.NEAR))
+    return max((len(near(d)) / (len(t) - 2) for d in at), default=0.0)
+
+
+def test_notice_labels_against_brute_force(table, prose):
+    notice = license_scan.NOTICES[1][1]
+    texts = ["under cc by under cc by under cc by", notice, "you may not " * 8 + notice, "of the " * 400 + notice[:60], license_scan.NOTICES[16][1] + " " + license_scan.NOTICES[13][1]]
+    texts += [prose(k, 20) + " " + " ".join(w for j, w in enumerate(license_scan.NOTICES[13 + k][1].split()) if (j + k) % 9) for k in range(9)]
+    for r in license_scan.license_labels(table([*enumerate(texts)])).collect():
+        w = words(texts[r.doc_id])
+        shares = {(label, t): notice_share(w, t) for label, t in license_scan.NOTICES}
+        want = {label for (label, _), v in shares.items() if v >= license_scan.LEAST_SHARE} | ({*r.base_labels.split(",")} - {""})
+        assert r.labels == ",".join(sorted(want)), r.doc_id
+        assert r.base_labels or r.score == pytest.approx(max((v for v in shares.values() if v >= license_scan.LEAST_SHARE), default=0.0))
+    assert license_scan.license_labels(table([(1, texts[0])])).first().labels == "cc-by" and license_scan.license_labels(table([(1, texts[2])])).first().score == 1
+
+
 # Decontamination
 
 
@@ -223,6 +248,33 @@ def test_ledger(spark, table, odd, prose, tmp_path):
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
     total = lambda: [(r.n_docs, r.n_tokens, r.n_chars) for r in ledger.totals().collect()]
     assert total() == []
+
+
+def test_compaction_keeps_every_sum(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    change = lambda *rows: spark.createDataFrame(rows, "sign int, source string, lang string, version string, n_tokens long, n_chars long")
+    assert ledger.commit("a", change((1, "s", "en", "v", 2, 5))) and ledger.commit("b", change((-1, "s", "en", "v", 2, 3)))
+    ledger.compact()
+    assert ledger.commit("c", change((1, "s", "en", "v", 1, -1)))
+    ledger.compact()
+    (r,) = ledger.totals().collect()
+    assert (r.n_docs, r.n_tokens, r.n_chars) == (1, 1, 1) and ledger.batches() == {"a", "b", "c"} and not ledger.commit("b", change())
+
+
+def test_token_query_against_a_recount(spark, prose, tmp_path):
+    texts = [f"{prose(k, 20)} {k * 7919} x" if k % 3 else prose(k, 20) for k in range(60)] + [None, ""]
+    rows = [(k if k < 61 else None, t, "en" if k % 2 else None, f"src{k % 4}") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, k % 5 > 0) for k in range(0, 60, 2)]
+    spark.createDataFrame([(k, int(q), 0) for k, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    poor, want = {k for k, q in labels if not q}, {}
+    for i, t, lang, source in rows:
+        if i not in poor or i is None:
+            own, text = want.setdefault((source, lang), [0, 0, 0]), re.sub("[0-9]+", "0", t or "")
+            for k, v in enumerate((1, token_counts.count_tokens([text])[0], len(text))):
+                own[k] += v
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
     plus, minus = (counts.selectExpr("*", f"{s} AS sign") for s in (1, -1))
     assert ledger.commit("a", plus) and not ledger.commit("a", plus)
     texts = [t or "" for _, t in odd] + [prose(k, 20) for k in range(100, 120)]
@@ -238,3 +290,30 @@ def test_ledger(spark, table, odd, prose, tmp_path):
     assert total() == want and again.batches() == {"a", "b", "c"} and not again.commit("b", revised)
     assert again.commit("d", minus.filter("doc_id <> 100 OR doc_id IS NULL")) and again.commit("e", token_counts.token_counts(table([(100, "new text")])).selectExpr("*", "-1 AS sign"))
     assert total() == []
+
+
+def test_compaction_keeps_every_sum(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    change = lambda *rows: spark.createDataFrame(rows, "sign int, source string, lang string, version string, n_tokens long, n_chars long")
+    assert ledger.commit("a", change((1, "s", "en", "v", 2, 5))) and ledger.commit("b", change((-1, "s", "en", "v", 2, 3)))
+    ledger.compact()
+    assert ledger.commit("c", change((1, "s", "en", "v", 1, -1)))
+    ledger.compact()
+    (r,) = ledger.totals().collect()
+    assert (r.n_docs, r.n_tokens, r.n_chars) == (1, 1, 1) and ledger.batches() == {"a", "b", "c"} and not ledger.commit("b", change())
+
+
+def test_token_query_against_a_recount(spark, prose, tmp_path):
+    texts = [f"{prose(k, 20)} {k * 7919} x" if k % 3 else prose(k, 20) for k in range(60)] + [None, ""]
+    rows = [(k if k < 61 else None, t, "en" if k % 2 else None, f"src{k % 4}") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, k % 5 > 0) for k in range(0, 60, 2)]
+    spark.createDataFrame([(k, int(q), 0) for k, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    poor, want = {k for k, q in labels if not q}, {}
+    for i, t, lang, source in rows:
+        if i not in poor or i is None:
+            own, text = want.setdefault((source, lang), [0, 0, 0]), re.sub("[0-9]+", "0", t or "")
+            for k, v in enumerate((1, token_counts.count_tokens([text])[0], len(text))):
+                own[k] += v
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want

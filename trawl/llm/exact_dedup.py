@@ -5,6 +5,10 @@ reduced to one row per digest, sort-merge anti-joined with the index and appende
 the row that stays for their digest. A digest that holds a thousandth of the batch or more (there are at most a
 thousand of those) is looked up by broadcast, so that a hot group of copies never meets in one task.
 
+The number of buckets is written beside the index and used whenever it is opened; another one is refused. A batch is
+appended under its id and counts once a marker of its own stands in the folder, so a batch that was broken off can be added
+again, and one that is there already adds nothing and gets the same answer.
+
 Texts are equal when they are identical once ASCII white space is deleted. Of a batch's equal texts the row with
 the most code points stays, then the smallest doc_id; an earlier batch's row always stays.
 
@@ -15,23 +19,17 @@ Columns other than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import base64
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACES, drop_ids, looked_up, new_path, owing, release, shuffle_partitions, staged
+from ._common import ROW, SPACES, drop_rows, hadoop_path, looked_up, new_path, numbered, owing, read_text, release, shuffle_partitions, staged, write_text
 
-_SCHEMA = T.StructType(
-    [
-        T.StructField("digest", T.BinaryType()),
-        T.StructField("keep_id", T.LongType()),
-        T.StructField("keep_row", T.LongType()),
-        T.StructField("n_rows", T.LongType()),
-        T.StructField("batch", T.StringType()),
-    ]
-)
+_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("attempt", T.StringType())])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -41,7 +39,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.char_length(text).alias("n_code_points"),
         F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row_id"),
     )
 
 
@@ -49,10 +47,15 @@ class ExactDedupIndex:
     """A digest index kept at a path; open the same path again to go on with it in a later application."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        """path: a shared folder; None makes an index that lasts as long as the application."""
+        """path: a shared folder; None makes an index that lasts as long as the application. buckets: of a new index."""
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets or shuffle_partitions(spark)
+        known = read_text(spark, f"{self.path}/_buckets.json")
+        self.buckets = json.loads(known) if known else buckets or shuffle_partitions(spark)
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index has {self.buckets} buckets, not {buckets}")
+        if not known:
+            write_text(spark, f"{self.path}/_buckets.json", json.dumps(self.buckets))
         self.table = f"digest_index_{uuid.uuid4().hex}"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SCHEMA)
         spark.sql(
@@ -60,64 +63,60 @@ class ExactDedupIndex:
             f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def batches(self) -> dict[str, str]:
+        """The ids of the batches that count, each with the attempt that wrote it."""
+        system, there = hadoop_path(self.spark, f"{self.path}/_batches")
+        names = [s.getPath().getName() for s in system.listStatus(there)] if system.exists(there) else []
+        return {base64.urlsafe_b64decode(name[1:]).decode(): read_text(self.spark, f"{self.path}/_batches/{name}") for name in names if name[0] == "b"}
+
     def entries(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """digest, keep_id, attempt: the texts of all batches that count."""
+        return self.spark.table(self.table).filter(F.col("attempt").isin([*self.batches().values()]))
+
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Append what is new in docs; return doc_id, keep_id, group_size (rows of this batch with the text), kept, digest for every row of docs.
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Append what is new in docs; return doc_id, keep_id, group_size, kept, digest for every row of docs."""
-        rows, batch = staged(digests(docs), "digests"), uuid.uuid4().hex
+        batch: an id under which these documents are added once, however often the call is repeated.
+        """
+        batch = batch or uuid.uuid4().hex
+        rows = staged(digests(docs), "digests")
         best = F.max(F.struct("n_code_points", F.bitwise_not("doc_id").alias("rank"), F.bitwise_not("row_id").alias("row_rank")))
         groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n_rows"))
-        groups = groups.select(
-            "digest",
-            F.bitwise_not("best.rank").alias("keep_id"),
-            F.bitwise_not("best.row_rank").alias("keep_row"),
-            "n_rows",
-            F.lit(batch).alias("batch"),
-        )
-        known = self.entries().select("digest").hint("merge")
-        fresh = groups.join(known, "digest", "left_anti").repartition(self.buckets, "digest")
-        fresh.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.table)
-        return owing(self._looked_up(rows, batch), rows)
-
-    def _looked_up(self, rows: DataFrame, batch: str) -> DataFrame:
-        own = F.col("batch") == batch
-        total = self.entries().filter(own).agg(F.sum("n_rows")).first()[0] or 0
-        return looked_up(rows, self.entries(), "digest", "n_rows", total).select(
+        groups = staged(groups.select("digest", F.bitwise_not("best.rank").alias("best_id"), F.bitwise_not("best.row_rank").alias("best_row"), "n_rows"), "digest-groups")
+        attempt = self.batches().get(batch) or self._append(groups, batch)
+        entries = self.entries().hint("merge")
+        own = (F.col("attempt") == attempt).alias("own")
+        found = staged(groups.join(entries, "digest").select("digest", "keep_id", "best_row", "n_rows", own), "digest-answers")
+        release(groups)
+        out = looked_up(rows, found, "digest", "n_rows", rows.count()).select(
             "doc_id",
             "keep_id",
             F.col("n_rows").alias("group_size"),
-            (own & (F.col("row_id") == F.col("keep_row"))).alias("kept"),
+            (F.col("own") & (F.col("row_id") == F.col("best_row"))).alias("kept"),
             "digest",
             "n_code_points",
+            "row_id",
         )
+        return owing(out, rows, found)
 
+    def _append(self, groups: DataFrame, batch: str) -> str:
+        attempt = uuid.uuid4().hex
+        known = self.entries().select("digest").hint("merge")
+        fresh = groups.join(known, "digest", "left_anti").select("digest", F.col("best_id").alias("keep_id"), F.lit(attempt).alias("attempt"))
+        fresh = fresh.repartition(self.buckets, "digest")
+        fresh.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.table)
+        name = "b" + base64.urlsafe_b64encode(batch.encode()).decode()
+        write_text(self.spark, f"{self.path}/_batches/{name}", attempt)
+        return attempt
 
-def exact_dedup(docs: DataFrame, index: ExactDedupIndex | None = None) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, index: ExactDedupIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    index = index or ExactDedupIndex(docs.sparkSession)
-    added = index.add(docs)
-    decided = staged(added, "exact-decisions")
+    rows = numbered(docs)
+    added = (index or ExactDedupIndex(docs.sparkSession)).add(rows, batch)
+    gone = staged(added.filter(~F.col("kept")).select(F.col("row_id").alias(ROW)), "exact-gone")
     release(added)
-    by_id = decided.groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_gone"))
-    gone = staged(by_id.filter("n_gone > 0").select("doc_id", "n_kept"), "exact-gone")
-    stays = drop_ids(docs, gone.select("doc_id"), gone.count())
-    mixed = gone.filter("n_kept > 0").select(F.col("doc_id").alias("__id"))
-    if mixed.isEmpty():
-        return stays
-    # Ids that stand both on rows that stay and on rows that go: one row for each kept text of such an id.
-    wanted = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("n_code_points").alias("__n"))
-    wanted = wanted.join(mixed.withColumnRenamed("__id", "__mixed"), F.col("__id").eqNullSafe(F.col("__mixed")), "left_semi")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("__doc"),
-        docs["doc_id"].cast("long").alias("__own_id"),
-        F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("__own_digest"),
-        F.char_length(text).alias("__own_n"),
-    )
-    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_digest") == F.col("__digest")) & (F.col("__own_n") == F.col("__n"))
-    found = own.join(wanted, same).groupBy("__id", "__digest", "__n").agg(F.first("__doc").alias("__doc"))
-    return stays.unionByName(found.select("__doc.*"))
+    return drop_rows(rows, gone, gone.count())
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ old count out, its new one in). A commit sums a batch by source, language and to
 aggregation, and writes those sums under the batch's id; totals are sums over all committed batches, so they never
 need the documents again. A batch id is committed once: doing it again changes nothing, and a commit that was
 broken off leaves no success marker and is done anew. compact() folds committed batches into one and remembers their ids.
+Every group whose sums aren't all zero is kept, also where revisions leave characters or tokens without documents.
 
 Defined cases: null and empty texts have no tokens but are documents; a null source or language is a group of its
 own. Repeated rows count as often as they occur. An empty batch is committed and changes nothing. Other columns are ignored.
@@ -13,6 +14,7 @@ own. Repeated rows count as often as they occur. An empty batch is committed and
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, staged
+from ._common import lean, new_path, staged
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VERSION = "byte_bpe_50k@1"
 
+#: What a revision of the query makes a single 0.
+NUMBERS = "[0-9]+"
+
 _GROUP = ["source", "lang", "version"]
 _KINDS = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 
@@ -47,6 +52,7 @@ def count_tokens(texts: list[str], ranks: str = RANKS) -> list[int]:
 def token_counts(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) -> DataFrame:
     """doc_id, source, lang, version, n_tokens, n_chars for each row of docs."""
 
+    @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(n_tokens=count_tokens(b["text"].tolist(), ranks))[["key", "source", "lang", "n_tokens", "n_chars"]]
@@ -57,6 +63,11 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) ->
     return out.select(F.col("key").cast("long").alias("doc_id"), "source", "lang", F.lit(version).alias("version"), "n_tokens", "n_chars")
 
 
+def revision(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The changes that put new counts in the place of old ones (both as token_counts() gives them)."""
+    return old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1)))
+
+
 class TokenLedger:
     """Committed batches under a path in a shared folder; the same path opens the same ledger again."""
 
@@ -77,9 +88,14 @@ class TokenLedger:
 
     def _current(self) -> dict[str, set[str]]:
         """Paths and batch ids that count: not those that a compaction holds as well, should it have broken off before deleting."""
-        read = lambda p: {r[0] for r in self.spark.read.parquet(p).select(F.explode("batches")).distinct().collect()}
-        found = {p: read(p) for p in self._committed()}
-        return {p: ids for p, ids in found.items() if not any(ids < other for other in found.values())}
+        paths = {p.rsplit("/", 1)[1]: p for p in self._committed()}
+        if not paths:
+            return {}
+        # A row a batch, read at once; compact() keeps them few.
+        rows = self.spark.read.parquet(*paths.values()).filter("mark").select("place", "batches").collect()
+        found = {paths[r["place"]]: set(r["batches"]) for r in rows}
+        folded = [ids for ids in found.values() if len(ids) > 1]
+        return {p: ids for p, ids in found.items() if not any(ids < other for other in folded)}
 
     def batches(self) -> set[str]:
         """The ids of all committed batches."""
@@ -98,22 +114,22 @@ class TokenLedger:
         none = self.spark.range(1).select(*(F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in _KINDS.split(", ")), F.lit(True).alias("mark"))
         rows = sums.select(*(F.col(k.split()[0]).cast(k.split()[1]) for k in _KINDS.split(", ")), F.lit(False).alias("mark")).unionByName(none)
         ids = F.array(*(F.lit(b) for b in batches)).cast("array<string>")
-        place = base64.urlsafe_b64encode(name.encode()).decode().rstrip("=") or "empty"
-        rows.withColumn("batches", ids).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/b{place}")
+        place = "b" + (base64.urlsafe_b64encode(name.encode()).decode().rstrip("=") or "empty")
+        rows.select("*", ids.alias("batches"), F.lit(place).alias("place")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{place}")
 
     def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens, n_chars: groups that have documents or tokens left."""
+        """source, lang, version, n_docs, n_tokens, n_chars: groups that have documents, tokens or characters left."""
         found = [*self._current()]
         rows = self.spark.read.parquet(*found) if found else self.spark.createDataFrame([], _KINDS + ", mark boolean")
         out = rows.filter(~F.col("mark")).groupBy(*_GROUP).agg(*(F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")))
-        return out.filter("n_docs <> 0 OR n_tokens <> 0")
+        return out.filter("n_docs <> 0 OR n_tokens <> 0 OR n_chars <> 0")
 
     def compact(self) -> None:
         """Fold all committed batches into one file; the old ones go once it is there."""
         old = self._committed()
         if len(old) > 1:
             ids = sorted(self.batches())
-            name = "compacted:" + str(len(ids)) + ":" + ids[0]
+            name = "compacted:" + hashlib.sha256("\0".join(ids).encode()).hexdigest()
             self._write(staged(self.totals(), "ledger"), ids, name)
             new = set(self._committed()) - set(old)
             for p in old if new else []:
@@ -122,11 +138,16 @@ class TokenLedger:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents are inserted and those labelled as low quality are deleted again; the first batch is sent twice."""
-    counts = staged(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-counts")
+    """Totals after all documents are inserted, those labelled as low quality are deleted again, and the counts of the others
+    are revised, as each run of digits in their texts becomes 0; the first batch is sent twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = staged(token_counts(docs), "token-counts")
     poor = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").select("doc_id").distinct()
     ledger, inserts = TokenLedger(spark), counts.withColumn("sign", F.lit(1))
     ledger.commit("documents", inserts)
     ledger.commit("low quality", counts.join(poor, "doc_id", "left_semi").withColumn("sign", F.lit(-1)))
     ledger.commit("documents", inserts)
+    changed = docs.filter(F.col("text").rlike(NUMBERS))
+    revised = revision(token_counts(changed), token_counts(changed.withColumn("text", F.regexp_replace("text", NUMBERS, "0"))))
+    ledger.commit("numbers", revised.join(poor, "doc_id", "left_anti"))
     return ledger.totals()
