@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, shuffle_partitions
+from ._common import lean, new_path, shuffle_partitions
 from .elias_fano import EliasFano, U, from_buffer, to_bytes
 from .sp_sampling import mixed
 
@@ -48,6 +48,11 @@ END, BEGIN = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
 _hashes: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _hashes.clear()
+    _shard.cache_clear()
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens of all texts one after the other, and how many each has."""
     if len(_hashes) > KEPT_WORDS:
@@ -107,6 +112,7 @@ def _spread(data: bytes, k: int) -> list[np.ndarray]:
 def _counts(docs: DataFrame, shards: int) -> DataFrame:
     """shard, kind (0 tokens, 1 bigrams), data: the counts of each chunk, split by shard."""
 
+    @lean(forget)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for texts in _chunks(b["text"].tolist()):
@@ -280,6 +286,7 @@ def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
 def score(docs: DataFrame, model: BigramModel) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every document."""
 
+    @lean(forget)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             done = 0

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, ROW, drop_rows, looked_up, numbered, owing, release, shuffle_partitions, staged
+from ._common import BROADCAST_IDS, ROW, drop_rows, lean, looked_up, numbered, owing, release, shuffle_partitions, staged
 from .components import connected_components
 from .elias_fano import U
 from .sp_sampling import mixed
@@ -61,6 +61,10 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F16
 _known: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts one after the other, ascending in each, and each text's number of them."""
     if len(_known) > KEPT_WORDS:
@@ -138,6 +142,7 @@ def _set_keys(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
 def signatures(rows: DataFrame, bands: int, band_rows: int, words: int = WORDS) -> DataFrame:
     """key, row_id, n_shingles, set_key, sketch (a byte a coordinate), bands; for each row of rows (key, text: strings)."""
 
+    @lean(forget)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
@@ -227,6 +232,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def full_sets(rows: DataFrame, wanted: DataFrame, n: int, words: int = WORDS) -> DataFrame:
     """node, members (8 bytes a shingle): the sets of wanted (n rows: key, set_key, node), made from the texts anew."""
 
+    @lean(forget)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()

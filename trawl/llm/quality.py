@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ROW, drop_rows, numbered, owing, release, staged
+from ._common import ROW, drop_rows, lean, numbered, owing, release, staged
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -65,6 +65,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and stats, an array of N_STATS doubles, for each document; and ROW where docs has it."""
     more = [ROW] if ROW in docs.columns else []
 
+    @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "stats": [statistics(t) for t in b["text"]]} | {c: b[c] for c in more})

@@ -31,12 +31,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 20
 SPACE = "▁"
 
 #: Distinct units whose lattices a worker keeps; then it starts afresh. Characters of text that are sampled together.
-KEPT_UNITS, CHUNK = 80_000, 1_000_000
+KEPT_UNITS, CHUNK = 40_000, 500_000
+#: Probability one, in the whole numbers that probabilities are rounded to.
+UNIT = 1 << 40
 _UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -98,7 +102,7 @@ class Lattices:
     def clear(self) -> None:
         self.last: dict[str, int] = {}
         self.begins = np.empty(0, bool)  # of each node: whether a unit starts there
-        self.cum = np.empty(0)  # of each edge: the node that it ends in, plus the cumulative probability there
+        self.cum = np.empty(0, np.int64)  # of each edge: the node that it ends in, times UNIT, plus the cumulative probability there
         self.source = np.empty(0, np.int32)
         self.piece = np.empty(0, np.int32)
 
@@ -140,10 +144,11 @@ class Lattices:
         begins[np.concatenate([[0], ends[:-1] + 1 - base])] = True
         share = self._filter(source - base, target - base, weight, begins)
         last = np.append(target[1:] != target[:-1], True)
-        sums = np.cumsum(share)
+        # Sums of whole numbers, which don't depend on the units that were met before.
+        sums = np.cumsum(np.rint(share * UNIT).astype(np.int64))
         group = np.cumsum(last) - last
-        within = sums - np.concatenate([[0.0], sums[last]])[group]
-        self.cum = np.concatenate([self.cum, np.where(last, target + 1.0, target + within)])
+        within = np.minimum(sums - np.concatenate([[0], sums[last]])[group], UNIT)
+        self.cum = np.concatenate([self.cum, target * UNIT + np.where(last, UNIT, within)])
         self.source = np.concatenate([self.source, source.astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.begins = np.concatenate([self.begins, begins])
@@ -177,10 +182,10 @@ class Lattices:
         node = ends[who]
         counts, steps, step = np.zeros(len(ends), np.int64), [], 0
         while len(who):
-            u = (mixed(keys[who] + np.uint64(step)) >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.searchsorted(cum, node + u, side="right")
+            u = (mixed(keys[who] + np.uint64(step)) & np.uint64(UNIT - 1)).astype(np.int64)
+            edge = np.searchsorted(cum, node * UNIT + u, side="right")
             steps.append((who, piece[edge]))
-            node = source[edge]
+            node = source[edge].astype(np.int64)
             counts[who] += 1
             on = ~begins[node]
             who, node = who[on], node[on]
@@ -197,6 +202,10 @@ def lattices(model: str, alpha: float) -> Lattices:
     return Lattices(model, alpha)
 
 
+def forget() -> None:
+    lattices.cache_clear()
+
+
 def encode_texts(texts: list[str], keys: list[int], own: Lattices, seed: int) -> list[np.ndarray]:
     """The sampled pieces of each text."""
     if len(own.last) > KEPT_UNITS:
@@ -236,6 +245,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int
     """docs with a column of sampled piece ids, which replaces one of that name. Each text is decoded again at once; a difference is an error."""
     kept = [c for c in docs.columns if c.lower() != out.lower()]
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(model, alpha)
         for b, texts in (part for whole in batches for part in _slices(whole, len(kept))):
@@ -269,6 +279,7 @@ def decoded(pieces: Column, model: str = MODEL, alpha: float = ALPHA) -> Column:
 def encode_and_decode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, pieces_sha256 (of 32-bit little-endian ids), text_sha256 (of the decoded text), lossless."""
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(model, alpha)
         for b, texts in (part for whole in batches for part in _slices(whole, 1)):

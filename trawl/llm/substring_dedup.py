@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, looked_up, owing, release, staged
+from ._common import BROADCAST_IDS, lean, looked_up, owing, release, staged
 from .elias_fano import U
 from .minhash import Banding, near_classes
 from .sp_sampling import mixed
@@ -66,6 +66,7 @@ def spans(text: str, min_words: int) -> Iterator[tuple[int, int]]:
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key (doc_id, first and last line), text: the paragraphs of at least so many words."""
 
+    @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys, texts = [], []
@@ -125,6 +126,7 @@ def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.nd
 def windows(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """window (a hash), doc_id, row_id, pos (its first word), line, last (lines of its first and last word)."""
 
+    @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 500):
