@@ -9,10 +9,10 @@ character ordinary text.
     assistant := " " text "</s>"
     other     := "[ROLE:" role "] " text "[/ROLE]"
 
-Turns are rendered where they lie; a conversation's segments are then brought together by conv_id, sorted by turn
-and read as a stream, so a conversation of any length takes bounded memory when only its digests are asked for.
+A conversation's turns are brought together by conv_id, sorted, rendered and read back as a stream, so a conversation
+of any length takes bounded memory.
 
-Defined cases: null role and text count as empty. Turns are ordered by turn (null first), then role, then rendered text, and
+Defined cases: null role and text count as empty. Turns are ordered by turn (null first), then role, then text, and
 repeated rows are turns like any other. Rows with a null conv_id form one conversation. An empty table gives no
 rows. Other columns are ignored.
 """
@@ -82,34 +82,21 @@ def recovered(formatted: str) -> list[tuple[str, str]] | None:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, segment: every turn rendered in place."""
+    """conv_id, turn, role, segment: every turn rendered. A conversation's rows lie one behind the other in a partition, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             segments = [render(r, t) for r, t in zip(b["role"], b["text"])]
             yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "role": b["role"], "segment": segments})
 
-    own = conversations.select(
-        F.col("conv_id").cast("long").cast("string").alias("conv_id"),
-        F.col("turn").cast("long").cast("string").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
+    own = own.repartition(shuffle_partitions(own.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    own = own.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text")
     out = own.mapInPandas(run, "conv_id string, turn string, role string, segment string")
     return out.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "segment")
 
 
-def _in_order(segments: DataFrame) -> DataFrame:
-    n = shuffle_partitions(segments.sparkSession)
-    return segments.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
-
-
-def formatted_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted: whole conversations as one string each, for writing training files."""
-    rows = format_turns(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "segment"))).alias("turns"))
-    return rows.select("conv_id", F.array_join(F.col("turns.segment"), "").alias("formatted"))
-
-
 def conversation_digests(conversations: DataFrame) -> DataFrame:
     """What is read back from each formatted conversation: counts, lengths and digests."""
 
@@ -138,7 +125,7 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
         if state:
             yield _digest_frame([row()])
 
-    ordered = _in_order(format_turns(conversations)).select(F.col("conv_id").cast("string").alias("conv_id"), "segment")
+    ordered = format_turns(conversations).select(F.col("conv_id").cast("string").alias("conv_id"), "segment")
     kinds = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.mapInPandas(run, kinds).withColumn("conv_id", F.col("conv_id").cast("long"))
 

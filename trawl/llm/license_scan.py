@@ -1,12 +1,13 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram of a document's words is hashed and joined with the k-grams of license templates. A match at
-document position p and template position t votes for the diagonal p - t; neighbouring diagonals of one template
-are merged into a span (words may be missing or added inside it), and a span is verified by the share of the
-template's k-grams that it holds word for word. Short phrases (k = 2) count only when every k-gram of the phrase
-votes for one diagonal, which is a place where its words stand consecutively.
+document position p and template position t votes for the diagonal p - t. Each diagonal is merged with those at most
+NEAR words away (words may be missing or added inside a span, whose length is bounded by that), and what is merged
+is verified by the share of the template's k-grams that stand in it word for word, each template position counted
+once. Short phrases (k = 2) count only when every k-gram of the phrase votes for one diagonal, which is a place where
+its words stand consecutively.
 
-The templates are a fixed table of some hundreds of rows, so they are broadcast. A document adds one row of its own
+The templates are a fixed table of about a thousand rows, so they are broadcast. A document adds one row of its own
 (an empty word behind its last one) to the same pass, which carries its word count; no text is read twice.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Rows with equal or null doc_id are separate
@@ -30,7 +31,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening words of license notices and their labels.
+# Sentences of license notices, then whole notices, and their labels.
 NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -45,10 +46,19 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
 ]
 
-#: Length of a notice's k-grams; most steps between merged diagonals; least share of a notice that must be there.
-NOTICE_K, NEAR, LEAST_SHARE = 3, 3, 0.6
+#: Length of a notice's k-grams; words by which merged diagonals may differ; least share of a notice that must be there.
+NOTICE_K, NEAR, LEAST_SHARE = 3, 6, 0.6
 
 
 def template_grams() -> list[dict]:
@@ -81,37 +91,35 @@ def votes(docs: DataFrame) -> DataFrame:
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """A row for each document and merged diagonal: places of a phrase, or first word, end and share of a notice."""
+    """A row for each document, template and diagonal: n_places (1 where a phrase stands), and share, start and end (in words)
+    of what stands of a notice on this diagonal and those near it."""
     found = votes(docs).repartition("row_id")
     keys = ["doc_id", "row_id", "template", "k", "total", "label"]
     lines = found.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*keys, "diagonal")
-    lines = lines.agg(F.count("*").alias("votes"), F.min("pos").alias("start"), (F.max("pos") + F.first("k")).alias("end"))
-    along = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    breaks = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= NEAR, 0).otherwise(1)
-    lines = lines.withColumn("breaks", breaks).withColumn("group", F.sum("breaks").over(along))
-    place = (F.col("k") == 2) & (F.col("votes") == F.col("total"))
-    spans = lines.groupBy(*keys, "group").agg(
-        F.count_if(place).alias("n_places"),
-        F.min(F.when(place, F.col("diagonal"))).alias("first_place"),
-        F.max(F.when(place, F.col("diagonal"))).alias("last_place"),
-        F.sum("votes").alias("votes"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
+    lines = lines.agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("start"), (F.max("pos") + F.first("k")).alias("end"))
+    near = Window.partitionBy("row_id", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("at").over(near))))
+    spans = lines.select(
+        *keys,
+        "diagonal",
+        ((F.col("k") == 2) & (F.size("at") == F.col("total"))).cast("int").alias("n_places"),
+        (held / F.col("total")).alias("held"),
+        F.min("start").over(near).alias("start"),
+        F.max("end").over(near).alias("end"),
     )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("total"))
-    # Verified: enough of the notice, within a span not much longer than it.
-    real = (F.col("k") == NOTICE_K) & (share >= LEAST_SHARE) & (F.col("end") - F.col("start") <= 1.5 * (F.col("total") + NOTICE_K))
-    return spans.withColumn("share", F.when(F.col("n_places") > 0, 1.0).when(real, share).otherwise(0.0)).drop("group")
+    real = (F.col("k") == NOTICE_K) & (F.col("held") >= LEAST_SHARE)
+    return spans.withColumn("share", F.when(F.col("n_places") > 0, 1.0).when(real, F.col("held")).otherwise(0.0)).drop("held")
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
     """One row per document, with the columns of the query below."""
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    place = F.when(F.col("n_places") > 0, F.col("diagonal"))
     out = license_spans(docs).groupBy("row_id", "doc_id").agg(
         F.max(F.when(F.col("template") == -1, F.col("start"))).cast("long").alias("n_words"),
         F.sum("n_places").alias("n_base"),
-        F.min("first_place").cast("long").alias("first_word"),
-        F.max("last_place").cast("long").alias("last_word"),
+        F.min(place).cast("long").alias("first_word"),
+        F.max(place).cast("long").alias("last_word"),
         joined(F.when(F.col("n_places") > 0, F.col("label"))).alias("base_labels"),
         joined(F.when(F.col("share") > 0, F.col("label"))).alias("labels"),
         F.max(F.when(F.col("template") >= 0, F.col("share")).otherwise(0.0)).alias("score"),
@@ -131,18 +139,14 @@ WITH d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
 g(template, tpos, w1, w2, w3, k, total, label) AS (VALUES {rows}),
 p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
 x AS (SELECT doc_id, pos, w AS w1, lead(w) OVER q AS w2, lead(w, 2) OVER q AS w3 FROM p WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
-v AS (SELECT doc_id, template, k, total, label, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS start, max(pos) + any_value(k) AS stop
-  FROM x JOIN g ON x.w1 = g.w1 AND x.w2 = g.w2 AND (g.w3 IS NULL OR x.w3 = g.w3) GROUP BY ALL),
-b AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER q <= {NEAR} THEN 0 ELSE 1 END AS br FROM v WINDOW q AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-i AS (SELECT *, sum(br) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM b),
-s AS (SELECT doc_id, template, k, total, label, grp, count(*) FILTER (k = 2 AND votes = total) AS n_places,
-  min(diagonal) FILTER (k = 2 AND votes = total) AS first_place, max(diagonal) FILTER (k = 2 AND votes = total) AS last_place,
-  sum(votes) AS votes, min(start) AS start, max(stop) AS stop FROM i GROUP BY ALL),
-r AS (SELECT *, CASE WHEN n_places > 0 THEN 1.0 WHEN k = {NOTICE_K} AND votes / total >= {LEAST_SHARE} AND stop - start <= 1.5 * (total + {NOTICE_K})
-  THEN least(1.0, CAST(votes AS DOUBLE) / total) ELSE 0.0 END AS share FROM s)
-SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(coalesce(sum(n_places), 0) AS BIGINT) AS n_base,
-  CAST(min(first_place) AS BIGINT) AS first_word, CAST(max(last_place) AS BIGINT) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_places > 0), '') AS base_labels,
+v AS (SELECT doc_id, template, k, total, label, tpos, pos - tpos AS diagonal FROM x JOIN g ON x.w1 = g.w1 AND x.w2 = g.w2 AND (g.w3 IS NULL OR x.w3 = g.w3)),
+a AS (SELECT doc_id, template, k, total, label, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+h AS (SELECT a.*, (SELECT count(DISTINCT tpos) FROM v WHERE v.doc_id = a.doc_id AND v.template = a.template AND abs(v.diagonal - a.diagonal) <= {NEAR}) AS held FROM a),
+r AS (SELECT *, k = 2 AND votes = total AS place, CASE WHEN k = 2 AND votes = total THEN 1.0
+  WHEN k = {NOTICE_K} AND CAST(held AS DOUBLE) / total >= {LEAST_SHARE} THEN CAST(held AS DOUBLE) / total ELSE 0.0 END AS share FROM h)
+SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(*) FILTER (place) AS n_base,
+  CAST(min(diagonal) FILTER (place) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (place) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share > 0), '') AS labels, CAST(coalesce(max(share), 0) AS DOUBLE) AS score
 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """
