@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.lines import let, line_array, line_starts, others
+from trawl.operators.lines import let, line_array, line_starts, others, running
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
 
-def _numbers(search: SearchSpec, lines: Column) -> Column:
+def _numbers(flags: Column) -> Column:
     """The numbers of all matching lines."""
-    marked = F.transform(lines, lambda x, i: F.when(hit(search, x), i + 1))
-    return F.filter(marked, lambda n: n.isNotNull())
+    return F.filter(F.transform(flags, lambda x, i: F.when(x, i + 1)), lambda n: n.isNotNull())
 
 
 def _counted(search: SearchSpec, hits: Column) -> Column:
@@ -27,7 +26,7 @@ def _counted(search: SearchSpec, hits: Column) -> Column:
 def selected_array(search: SearchSpec, text: Column) -> Column:
     """An array of the lines that are shown: line_number, line, role, group_id, absolute_offset."""
 
-    def shown(a: Column, hits: Column, counted: Column) -> Column:
+    def shown(a: Column, flags: Column, counted: Column) -> Column:
         n = F.size(a)
         if search.passthru:
             last = n
@@ -40,25 +39,29 @@ def selected_array(search: SearchSpec, text: Column) -> Column:
         if search.max_count == 0:
             kept = F.array().cast("array<int>")
 
-        def rows(k: Column, starts: Column, breaks: Column) -> Column:
-            def one(i: Column) -> Column:
-                role = F.when(F.array_contains(hits, i), "match").otherwise("context")
-                group = F.size(F.filter(breaks, lambda b: b <= i))
+        def rows(k: Column, starts: Column, breaks: Column, before: Column) -> Column:
+            def one(i: Column, at: Column) -> Column:
+                role = F.when(F.get(flags, i - 1), "match").otherwise("context")
+                group = (F.get(before, at) + F.get(breaks, at)).cast("int")
                 return F.struct(i.alias("line_number"), F.get(a, i - 1).alias("line"), role.alias("role"), group.alias("group_id"), F.get(starts, i - 1).alias("absolute_offset"))
 
             return F.transform(k, one)
 
         def broken(k: Column) -> Column:
-            return F.filter(k, lambda i, at: (at == 0) | (i - F.get(k, at - 1) > 1))
+            """1 for each shown line that starts a group."""
+            return F.transform(k, lambda i, at: F.when((at == 0) | (i - F.get(k, at - 1) > 1), 1).otherwise(0))
 
-        return let(kept, lambda k: let(line_starts(a), lambda s: let(broken(k), lambda b: rows(k, s, b))))
+        return let(kept, lambda k: let(line_starts(a), lambda s: let(broken(k), lambda b: let(running(b), lambda g: rows(k, s, b, g)))))
 
-    return let(line_array(text, search.separator), lambda a: let(_numbers(search, a), lambda h: let(_counted(search, h), lambda c: shown(a, h, c))))
+    def marked(a: Column, flags: Column) -> Column:
+        return let(_numbers(flags), lambda h: let(_counted(search, h), lambda c: shown(a, flags, c)))
+
+    return let(line_array(text, search.separator), lambda a: let(F.transform(a, lambda x: hit(search, x)), lambda flags: marked(a, flags)))
 
 
 def selected(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per shown line: the other columns, line_number, line, role (match or context), group_id, absolute_offset. No shuffle."""
-    keys = others(df, text)
+    keys = others(df, text, "role", "group_id")
     rows = prefiltered(df, search, text).select(*keys, F.explode(selected_array(search, F.col(text))).alias("__l"))
     return rows.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in ("line_number", "line", "role", "group_id", "absolute_offset")])
 

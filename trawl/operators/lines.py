@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.spec import SpecError
+
+#: What each line of a document gets; numbers that running() sums at once.
+LINE_COLUMNS, SUMMED = ("line_number", "line", "terminator", "absolute_offset"), 64
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for a row wherever body uses it, also inside further lambdas."""
@@ -19,18 +24,36 @@ def line_array(text: Column, separator: str = "\n") -> Column:
     return let(parts, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a))
 
 
-def line_starts(lines: Column) -> Column:
-    """The byte offset of each line of an array."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+def running(values: Column) -> Column:
+    """The sum of the numbers before each one of an array. Sums are made block by block, so that an array of any length takes time in
+    proportion (appending sum after sum would copy what is there each time)."""
+    zero = F.lit(0).cast("long")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda s, x: s + x)
 
-    def add(acc: Column, line: Column) -> Column:
-        return F.struct((acc["at"] + F.octet_length(line) + 1).cast("long").alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    def before(sums: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+        return F.aggregate(sums, start, add, lambda acc: acc["starts"])
 
-    return F.aggregate(lines, start, add, lambda acc: acc["starts"])
+    def placed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(v) / SUMMED).cast("int")), lambda b: total(F.slice(v, b * SUMMED + 1, F.lit(SUMMED))))
+        return let(before(blocks), lambda s: F.transform(v, lambda _, i: F.get(s, (i / SUMMED).cast("int")) + total(F.slice(v, i - i % SUMMED + 1, i % SUMMED))))
+
+    return let(values.cast("array<bigint>"), placed)
+
+
+def line_starts(lines: Column) -> Column:
+    """The byte offset of each line of an array."""
+    return running(F.transform(lines, lambda line: F.octet_length(line) + 1))
 
 
-def others(df: DataFrame, text: str) -> list[str]:
-    """The columns that go along with each line."""
+def others(df: DataFrame, text: str, *made: str) -> list[str]:
+    """The columns that go along with each line. They may not have the names of those that are made (for lines, LINE_COLUMNS)."""
+    clash = {*LINE_COLUMNS, *made} & {c.lower() for c in df.columns if c != text}
+    if clash:
+        raise SpecError(f"rename the columns {', '.join(sorted(clash))}, which the result has as well")
     return [c for c in df.columns if c != text]
 
 

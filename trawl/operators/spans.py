@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.dialect import compile_patterns, compile_template
-from trawl.operators.lines import let, line_array, line_starts, others, split_lines, with_offsets
+from trawl.operators.lines import let, line_array, others, running, split_lines, with_offsets
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
@@ -18,6 +18,8 @@ from trawl.spec import SearchSpec
 FENCES = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 
 SPAN = "struct<start_byte:int,end_byte:int,start_column:int,end_column:int,text:string,replacement:string,replaced_column:int>"
+SPAN_COLUMNS = ("start_byte", "end_byte", "start_column", "end_column", "text", "replacement", "replaced_column")
+LINED_SPAN = SPAN.removesuffix(">") + ",lines_before:int,lines_inside:int>"
 
 
 def _pieces(text: Column, regex: str, replacement: str = "$0") -> Column:
@@ -27,29 +29,47 @@ def _pieces(text: Column, regex: str, replacement: str = "$0") -> Column:
     return let(fence, lambda s: F.split(F.regexp_replace(text, F.lit(regex), F.concat(s, F.lit(replacement), s)), s, -1))
 
 
-def span_array(search: SearchSpec, text: Column) -> Column:
-    """The non-overlapping matches in a text, in order. An empty match at the end of a match before it isn't one."""
+def _spans(search: SearchSpec, text: Column, lined: bool) -> Column:
+    """The non-overlapping matches in a text, in order; with lined, also the newlines before and in each. An empty match at the
+    end of a match before it isn't one. Offsets are running sums over the pieces, so many matches cost no more each than few."""
+    kind = LINED_SPAN if lined else SPAN
     if not search.patterns:
-        return F.array().cast(f"array<{SPAN}>")
+        return F.array().cast(f"array<{kind}>")
     compiled = compile_patterns(search)
     shown = _pieces(text, compiled.regex, compile_template(search.template, compiled)) if search.template is not None else F.lit(None).cast("array<string>")
+    lengths = lambda p: F.transform(p, lambda x: F.octet_length(x))
+    newlines = lambda p: F.transform(p, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    none = F.lit(None).cast("array<bigint>")
 
-    def spans(p: Column, r: Column) -> Column:
+    def spans(p: Column, r: Column, at: Column, shifted: Column, lines: Column) -> Column:
         def one(k: Column) -> Column:
-            start = F.octet_length(F.array_join(F.slice(p, F.lit(1), 2 * k - 1), ""))
-            own = F.get(p, 2 * k - 1)
+            own, start = F.get(p, 2 * k - 1), F.get(at, 2 * k - 1)
             end = start + F.octet_length(own)
-            shifted = F.octet_length(F.array_join(F.slice(r, F.lit(1), 2 * k - 1), "")) + 1  # where it starts in the replaced line
-            return F.struct(start.alias("start_byte"), end.alias("end_byte"), (start + 1).alias("start_column"), (end + 1).alias("end_column"), own.alias("text"), F.get(r, 2 * k - 1).alias("replacement"), shifted.alias("replaced_column"))
+            parts = [start.alias("start_byte"), end.alias("end_byte"), (start + 1).alias("start_column"), (end + 1).alias("end_column"), own.alias("text"), F.get(r, 2 * k - 1).alias("replacement"), (F.get(shifted, 2 * k - 1) + 1).alias("replaced_column")]
+            if lined:
+                before = F.get(lines, 2 * k - 1)
+                inside = F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) - own.endswith("\n").cast("int")
+                parts += [before.alias("lines_before"), inside.alias("lines_inside")]
+            return F.struct(*parts)
 
         def real(k: Column) -> Column:
             touches = (F.get(p, 2 * k - 1) == "") & (F.get(p, 2 * k - 2) == "") & (F.get(p, 2 * k - 3) != "")
             return ~F.coalesce(touches & (k > 1), F.lit(False))
 
         numbers = F.filter(F.sequence(F.lit(1), (F.size(p) / 2).cast("int")), real)
-        return F.when(F.size(p) >= 3, F.transform(numbers, one)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return F.when(F.size(p) >= 3, F.transform(numbers, one)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def placed(p: Column, r: Column) -> Column:
+        moved = running(lengths(r)) if search.template is not None else none
+        counted = running(newlines(p)) if lined else none
+        return let(running(lengths(p)), lambda at: let(moved, lambda m: let(counted, lambda c: spans(p, r, at, m, c))))
+
+    return let(_pieces(text, compiled.regex), lambda p: let(shown, lambda r: placed(p, r))).cast(f"array<{kind}>")
+
 
-    return let(_pieces(text, compiled.regex), lambda p: let(shown, lambda r: spans(p, r))).cast(f"array<{SPAN}>")
+def span_array(search: SearchSpec, text: Column) -> Column:
+    """The non-overlapping matches in a text, in order."""
+    return _spans(search, text, False)
 
 
 def match_rows(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
@@ -57,20 +77,20 @@ def match_rows(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFra
     lines = with_offsets(prefiltered(df, search, text), text, search.separator).filter(hit(search, F.col("line")))
     empty = F.array().cast(f"array<{SPAN}>")
     lines = lines.withColumn("spans", empty if search.invert else span_array(search, F.col("line")))
-    return lines.select(*others(df, text), "line_number", "line", "terminator", "absolute_offset", F.size("spans").alias("match_count"), "spans")
+    return lines.select(*others(df, text, "match_count", "spans"), "line_number", "line", "terminator", "absolute_offset", F.size("spans").alias("match_count"), "spans")
 
 
 def spans(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match: the other columns, line_number, span_index, start_byte, end_byte, start_column, end_column, text, replacement, replaced_column, absolute_offset."""
-    keys = others(df, text)
+    keys = others(df, text, "span_index", *SPAN_COLUMNS)
     rows = match_rows(df, search.but(invert=False), text).select(*keys, "line_number", "absolute_offset", F.posexplode("spans").alias("span_index", "s"))
-    named = [F.col(f"s.{c}").alias(c) for c in ("start_byte", "end_byte", "start_column", "end_column", "text", "replacement", "replaced_column")]
+    named = [F.col(f"s.{c}").alias(c) for c in SPAN_COLUMNS]
     return rows.select(*keys, "line_number", "span_index", *named, (F.col("absolute_offset") + F.col("s.start_byte")).alias("absolute_offset"))
 
 
 def only_matching(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match of the lines that count: the other columns, line_number, span_index, text (or the replacement)."""
-    keys = others(df, text)
+    keys = others(df, text, "span_index", "text")
     lines = split_lines(prefiltered(df, search, text), text, search.separator) if search.max_count is None else _first_lines(df, search, text)
     rows = lines.filter(hit(search, F.col("line"))).select(*keys, "line_number", F.posexplode(span_array(search, F.col("line"))).alias("span_index", "s"))
     return rows.select(*keys, "line_number", "span_index", F.coalesce("s.replacement", "s.text").alias("text"))
@@ -112,7 +132,7 @@ def rewrite(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
 
 def captures(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match and group: the other columns, line_number, match_index, group, name, value (empty where a group took no part)."""
-    keys, compiled = others(df, text), compile_patterns(search)
+    keys, compiled = others(df, text, "match_index", "group", "name", "value"), compile_patterns(search)
     names = {k: n for n, k in compiled.groups.items()}
     lines = split_lines(prefiltered(df, search, text), text, search.separator).filter(hit(search, F.col("line")))
     groups = [
@@ -126,22 +146,20 @@ def captures(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame
 
 def search_multiline(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match in whole texts: the other columns, span_index, start_byte, end_byte, text, first_line, last_line."""
-    keys = others(df, text)
+    keys = others(df, text, "span_index", "start_byte", "end_byte", "text", "first_line", "last_line")
     rows = prefiltered(df, search, text).select(*keys, F.posexplode(covering_spans(search.but(multiline=True), F.coalesce(F.col(text), F.lit("")))).alias("span_index", "s"))
     return rows.select(*keys, "span_index", *[F.col(f"s.{c}").alias(c) for c in ("start_byte", "end_byte", "text", "first_line", "last_line")])
 
 
 def covering_spans(search: SearchSpec, text: Column) -> Column:
     """span_array of a whole text with the lines that each match covers; its final newline belongs to the line that it ends."""
-    starts = lambda t: line_starts(line_array(t))
 
-    def lined(s: Column, at: Column) -> Column:
-        first = F.greatest(F.size(F.filter(at, lambda x: x <= s["start_byte"])), F.lit(1))
-        last_byte = F.greatest(s["end_byte"] - 1, s["start_byte"])
-        last = F.greatest(F.size(F.filter(at, lambda x: x <= last_byte)), first)
+    def lined(s: Column, n: Column) -> Column:
+        first = F.least(s["lines_before"] + 1, F.greatest(n, F.lit(1)))
+        last = F.greatest(F.least(s["lines_before"] + 1 + s["lines_inside"], n), first)
         return F.struct(s["start_byte"].alias("start_byte"), s["end_byte"].alias("end_byte"), s["text"].alias("text"), first.alias("first_line"), last.alias("last_line"))
 
-    return let(text, lambda t: let(starts(t), lambda at: F.transform(span_array(search, t), lambda s: lined(s, at))))
+    return let(text, lambda t: let(F.size(line_array(t)), lambda n: F.transform(_spans(search, t, True), lambda s: lined(s, n))))
 
 
 def lines_covered(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
