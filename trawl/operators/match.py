@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.functions.dialect import compile_patterns
 from trawl.operators.lines import line_array, others, split_lines
@@ -15,6 +16,9 @@ from trawl.spec import SearchSpec, SpecError, spec
 #: Most patterns that are gathered on the driver or broadcast.
 MOST_PATTERNS = 100_000
 
+#: Patterns whose lines are told apart in one reading of the corpus.
+PATTERNS_A_PASS = 1000
+
 
 def found(search: SearchSpec, line: Column) -> Column:
     """Whether any pattern is found in a line, before inversion."""
@@ -70,13 +74,15 @@ def attribute(df: DataFrame, patterns: DataFrame, search: SearchSpec | None = No
     rows = patterns.select("pattern_id", "pattern").filter("pattern IS NOT NULL").limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise SpecError(f"more than {MOST_PATTERNS} patterns")
-    search = search or spec()
-    kind = patterns.schema["pattern_id"].dataType.simpleString()
-    table = [(r[0], compile_patterns(search.but(patterns=(r[1],))).regex) for r in rows]
-    compiled = df.sparkSession.createDataFrame(table, f"pattern_id {kind}, regex string")
+    search, keys = search or spec(), others(df, text, "pattern_id")
+    kind = patterns.schema["pattern_id"].dataType
     lines = split_lines(df, text, search.separator)
-    met = lines.join(F.broadcast(compiled), F.expr("line RLIKE regex"))
-    return met.select(*others(df, text), "line_number", "pattern_id")
+    # Patterns are constants of the plan, which are compiled once; PATTERNS_A_PASS of them are tried in one reading of the corpus.
+    passes = [rows[k : k + PATTERNS_A_PASS] for k in range(0, len(rows), PATTERNS_A_PASS)] or [[]]
+    one = lambda r: F.when(found(search.but(patterns=(r[1],)), F.col("line")), F.struct(F.lit(r[0]).cast(kind).alias("pattern_id")))
+    kinds = F.array().cast(T.ArrayType(T.StructType([T.StructField("pattern_id", kind)])))
+    each = [F.array_compact(F.array(*map(one, own))) if own else kinds for own in passes]
+    return reduce(DataFrame.unionByName, [lines.select(*keys, "line_number", F.inline(ids)) for ids in each])
 
 
 def binary_policy(df: DataFrame, search: SearchSpec, mode: str = "auto", content: str = "content", explicit: str = "is_explicit") -> DataFrame:
