@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -45,6 +46,30 @@ def test_densities_match_numpy():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(d(0) - d(1))))
 
 
+def test_fit_against_numpy(spark, table, prose):
+    rows = [(k, prose(k, 20 + k % 50).capitalize() + "." if k % 2 else " | ".join(prose(k, 10 + k % 30).split())) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(120)] + [(4, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(quality.text_statistics(table(rows)), labels)
+    x = np.array([quality.statistics(t) for _, t in rows])
+    own = [np.array([v for k, v in enumerate(x) if k % 2 == label and k != 4]) for label in (0, 1)]
+    cov = [np.cov(v.T, bias=True) for v in own]
+    pooled = sum(c * len(v) for c, v in zip(cov, own)) / sum(map(len, own))
+    for label in (0, 1):
+        shrunk = (1 - quality.TO_POOLED) * cov[label] + quality.TO_POOLED * pooled
+        shrunk = (1 - quality.TO_IDENTITY) * shrunk + quality.TO_IDENTITY * np.trace(shrunk) / len(shrunk) * np.eye(len(shrunk))
+        assert np.allclose(model.means[label], own[label].mean(axis=0)) and np.allclose(model.factors[label] @ model.factors[label].T, shrunk, atol=1e-8)
+        assert model.log_dets[label] == pytest.approx(np.linalg.slogdet(shrunk)[1]) and model.log_priors[label] == pytest.approx(math.log(len(own[label]) / 119))
+
+
+def test_statistics_of_small_texts():
+    root = math.sqrt
+    got = quality.statistics("Ab ab! 12 |\nlong-word.")
+    w = ["Ab", "ab!", "12", "|", "long-word."]
+    want = [math.log1p(5), math.log1p(sum(map(len, w)) / 5), math.log1p(10), root(1 / 12), root(2 / 22), root(2 / 22), 1.0, 0.0, root(1 / 5), root(1 / 5), root(4 / 5), math.log1p(5 / 3), math.log1p(5 / 2)]
+    assert got == pytest.approx(want)
+    assert quality.statistics("") == [0.0] * 13 and quality.statistics("a a a")[6:8] == pytest.approx([root(1 / 3), root(2 / 3)])
+
+
 # Licenses
 
 
@@ -99,6 +124,12 @@ def test_notice_labels_against_brute_force(table, prose):
 # Decontamination
 
 
+def windows_of(items, size):
+    """The distinct windows of items (id, text)."""
+    split = [words(t) for _, t in items]
+    return {tuple(b[k : k + size]) for b in split if b for k in range(max(1, len(b) - size + 1))}
+
+
 def hits(text, items, size):
     w, marked, found = words(text), set(), set()
     for item, t in items:
@@ -112,8 +143,9 @@ def hits(text, items, size):
     return len(w), len(marked), len(found)
 
 
-@pytest.mark.parametrize("size", [10, 3])
-def test_decontamination_against_brute_force(spark, table, odd, prose, size):
+@pytest.mark.parametrize(("size", "broadcast"), [(10, decontam.BROADCAST_ROWS), (3, decontam.BROADCAST_ROWS), (10, 0)])
+def test_decontamination_against_brute_force(spark, table, odd, prose, monkeypatch, size, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
     item = prose(50, 30)
     items = [(1, item), (2, "ONE two"), (3, ""), (4, None), (5, " ".join(item.split()[:12])), (None, "zz"), (1, "seven of nine"), (10, "a a a a a a a a a a a")]
     w = item.split()
@@ -129,9 +161,41 @@ def test_decontamination_of_nothing(spark, table, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.contamination(table(odd), none).collect())
     assert decontam.contamination(table([]), none).count() == 0
-    near = decontam.build_index(table([(1, "x alpha q beta gamma"), (2, "beta alpha")]), spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"), 3)
-    assert [r.doc_id for r in decontam.proximity_matches(near, 1).collect()].count(1) >= 1
-    assert decontam.phrase_matches(near).count() == 0
+    index = decontam.build_index(table([(1, "x alpha q beta gamma"), (2, "beta alpha")]), spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"), 3)
+    assert decontam.phrase_matches(index).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST_ROWS, 0])
+def test_proximity_against_brute_force(spark, table, odd, prose, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+    rng, size, slop = random.Random(8), 6, 2
+    items = [(1, prose(60, 25)), (2, "ONE two"), (3, "zz"), (4, None), (5, "a b a b a b a")]
+    w = items[0][1].split()
+    rows = odd + [(100, " ".join(w)), (101, "one q two"), (102, "zz x zz"), (103, "a b b a a b x a b")]
+    for k in range(30):
+        own = w[k % 15 : k % 15 + 9]
+        for _ in range(k % 4):
+            i, j = rng.randrange(len(own)), rng.randrange(len(own))
+            own[i], own[j] = own[j], own[i]
+        rows.append((200 + k, " ".join([*own[: k % 5], "new", *own[k % 5 :]])))
+    split = [words(t) for _, t in rows]
+    counts = collections.Counter(x for own in split for x in own)
+    want = []
+    for (i, _), own in zip(rows, split):
+        for win in windows_of(items, size):
+            offset = min(range(len(win)), key=lambda k: (counts[win[k]], k))
+            for p in (p for p, x in enumerate(own) if x == win[offset]):
+                around = lambda k: own[max(p - offset + k - slop, p - size + 1, 0) : max(0, min(p - offset + k + slop + 1, p + size))]  # noqa: B023, E731
+                if all(x in around(k) for k, x in enumerate(win)):
+                    want.append((str(i), " ".join(win), p))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    index = decontam.build_index(table(rows), benchmark, size)
+    index.save(str(tmp_path / "index"))
+    index = decontam.PositionalIndex.load(spark, str(tmp_path / "index"))
+    got = decontam.proximity_matches(index, slop).join(index.windows, "wid").collect()
+    assert sorted((str(r.doc_id), " ".join(r.words), r.pos) for r in got) == sorted(want) and len(want) > 30
+    exact = sorted((str(r.doc_id), " ".join(r.words), r.start) for r in decontam.phrase_matches(index).join(index.windows, "wid").collect())
+    assert exact == sorted((str(i), " ".join(win), k) for (i, _), own in zip(rows, split) for win in windows_of(items, size) for k in range(len(own)) if tuple(own[k : k + len(win)]) == win)
 
 
 # Sampled pieces
@@ -181,6 +245,20 @@ def test_reproducible(spark, table, odd):
     assert a.pieces_sha256 != b.pieces_sha256
 
 
+def test_pieces_do_not_depend_on_units_before(own):
+    texts = [f"unit{k} of the thing" for k in range(50)]
+    alone = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    once = sp_sampling.encode_texts(texts, list(range(50)), alone, 3)
+    thresholds = alone.cum - (alone.cum - 1) // sp_sampling.UNIT * sp_sampling.UNIT
+    busy = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    sp_sampling.encode_texts([" ".join(f"other{k}x{j}" for j in range(200)) for k in range(30)], list(range(30)), busy, 3)
+    before = len(busy.cum)
+    again = sp_sampling.encode_texts(texts, list(range(50)), busy, 3)
+    assert all((a == b).all() for a, b in zip(once, again))
+    later = busy.cum[before:] - (busy.cum[before:] - 1) // sp_sampling.UNIT * sp_sampling.UNIT
+    assert set(later.tolist()) <= set(thresholds.tolist())
+
+
 # Language model
 
 

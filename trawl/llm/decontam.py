@@ -6,8 +6,13 @@ around it, for each window's rarest terms. Every shard of documents keeps its li
 occurrences are found by intersecting the offset-adjusted lists of its rarest terms, and what is left is compared
 word by word with the words stored beside the rarest term's posting.
 
-Term and window tables are broadcast only after their rows are counted; beyond BROADCAST_ROWS they are joined by
-shuffle. A document's length is one more posting, of the empty term.
+Term and window tables are broadcast only after their rows are counted. Beyond BROADCAST_ROWS they are joined by
+shuffle: terms are counted before they move, then places alone (row, position, term) are joined, gathered by document
+and brought back to its text once. A document's length is one more posting, of the empty term. save() and load() keep an
+index for later applications.
+
+phrase_matches() gives exact phrases, which is what counts as contamination; proximity_matches() gives the places
+where each word of a window stands at most slop words from where the phrase has it.
 
 Defined cases: a null text has no words; an item without words has no window. Rows with equal or null doc_id are
 separate documents. Items with equal item_id are one item; a null item_id is written as an empty string. With an
@@ -41,6 +46,19 @@ class PositionalIndex:
     postings: DataFrame
     small: bool
 
+    @classmethod
+    def of(cls, each: DataFrame, probes: DataFrame, postings: DataFrame) -> PositionalIndex:
+        return cls(each, each.select("wid", "words").distinct(), each.select("wid", "item").distinct(), probes, postings, probes.count() <= BROADCAST_ROWS)
+
+    def save(self, path: str) -> None:
+        """Write the index to a folder that doesn't exist yet."""
+        for name in ("each", "probes", "postings"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PositionalIndex:
+        return cls.of(*(spark.read.parquet(f"{path}/{name}") for name in ("each", "probes", "postings")))
+
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
@@ -55,30 +73,51 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return words.select(F.sha2(F.array_join("words", " "), 256).alias("wid"), "item", "words").distinct()
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, row_id, words, pos, term: each word, and an empty one behind the last."""
-    words = F.array_append(word_array(F.col("text")), F.lit("")).alias("words")
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_id, words."""
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select("doc_id", row.alias("row_id"), words)
-    return rows.select("doc_id", "row_id", "words", F.posexplode("words").alias("pos", "term"))
+    return docs.select("doc_id", row.alias("row_id"), word_array(F.col("text")).alias("words"))
+
+
+def _posting(size: int) -> list[Column]:
+    """What is kept of a place (row, position, term) in a document's words."""
+    lead = F.least(F.col("pos"), F.lit(size - 1))
+    around = F.when(F.col("term") != "", F.slice("words", F.col("pos") - lead + 1, lead + size))
+    return [F.col("doc_id"), F.col("row_id"), F.col("term"), F.col("pos"), around.alias("around"), lead.alias("lead")]
+
+
+def _postings(docs: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFrame:
+    if small:
+        # The empty word behind the last one carries the document's length.
+        rows = _rows(docs).withColumn("words", F.array_append("words", F.lit("")))
+        placed = rows.select("doc_id", "row_id", "words", F.posexplode("words").alias("pos", "term"))
+        none = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+        return placed.join(F.broadcast(wanted.union(none)), "term").select(*_posting(size))
+    rows = _rows(docs)
+    places = rows.select("row_id", F.posexplode("words").alias("pos", "term")).join(wanted, "term")
+    # As many places as a document has words at most.
+    at = places.groupBy("row_id").agg(F.collect_list(F.struct("pos", "term")).alias("at"))
+    found = rows.join(at, "row_id").select("doc_id", "row_id", "words", F.inline("at")).select(*_posting(size))
+    lengths = rows.select("doc_id", "row_id", F.lit("").alias("term"), F.size("words").alias("pos"), F.lit(None).cast("array<string>").alias("around"), F.lit(0).alias("lead"))
+    return found.unionByName(lengths)
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> PositionalIndex:
     each = staged(benchmark_windows(benchmark, size), "windows")
-    windows, items = each.select("wid", "words").distinct(), each.select("wid", "item").distinct()
-    terms = windows.select("wid", "words", F.posexplode("words").alias("offset", "term"))
+    terms = each.select("wid", "words").distinct().select("wid", "words", F.posexplode("words").alias("offset", "term"))
     small = terms.count() <= BROADCAST_ROWS
-    vocabulary = terms.select("term").distinct()
-    counts = _placed(docs).select("term").join(_sized(vocabulary, small), "term").groupBy("term").agg(F.count("*").alias("n"))
+    if not small and ROW not in docs.columns:
+        docs = numbered(docs)  # rows are told apart in two readings
+    vocabulary, words = terms.select("term").distinct(), _rows(docs).select(F.explode("words").alias("term"))
+    if small:
+        counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        counts = words.groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term")
     rarest = Window.partitionBy("wid").orderBy(F.coalesce("n", F.lit(0)), "offset")
     ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest))
     probes = staged(ranked.filter("rank <= 2").select("wid", "words", "term", "offset", "rank"), "probes")
-    wanted = probes.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    found = _placed(docs).join(_sized(wanted, small), "term")
-    lead = F.least(F.col("pos"), F.lit(size - 1))
-    around = F.when(F.col("term") != "", F.slice("words", F.col("pos") - lead + 1, F.lit(2 * size - 1)))
-    postings = found.select("doc_id", "row_id", "term", "pos", around.alias("around"), lead.alias("lead"))
-    return PositionalIndex(each, windows, items, probes, staged(postings.sortWithinPartitions("term", "row_id", "pos"), "postings"), small)
+    found = _postings(docs, probes.select("term").distinct(), size, small)
+    return PositionalIndex.of(each, probes, staged(found.sortWithinPartitions("term", "row_id", "pos"), "postings"))
 
 
 def _lists(index: PositionalIndex, rank: int, *more: str | Column) -> DataFrame:
@@ -98,11 +137,19 @@ def phrase_matches(index: PositionalIndex) -> DataFrame:
 
 
 def proximity_matches(index: PositionalIndex, slop: int) -> DataFrame:
-    """doc_id, row_id, wid, pos, shift: places of a window's rarest term with the second rarest at most slop words out of place."""
-    first = _lists(index, 1, "doc_id", F.col("pos"))
-    second = _lists(index, 2).withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    second = second.select("wid", "row_id", (F.col("start") - F.col("shift")).alias("start"), "shift")
-    return first.join(second, ["wid", "row_id", "start"]).select("doc_id", "row_id", "wid", "pos", "shift")
+    """doc_id, row_id, wid, pos: places of a window's rarest word around which each word of the window stands at most slop words
+    from its place in the phrase, and no farther from the rarest than the window is long."""
+    first = _lists(index, 1, "doc_id", "pos", "around", "lead", "words", "offset")
+    second = _lists(index, 2).withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop))).distinct()
+    near = first.filter(F.size("words") > 1).join(second, ["wid", "row_id", "start"], "left_semi").unionByName(first.filter(F.size("words") == 1))
+
+    def stands(word: Column, i: Column) -> Column:
+        place = F.col("lead") - F.col("offset") + i + 1  # in the words around, from 1
+        low = F.greatest(place - slop, F.lit(1))
+        return F.array_contains(F.slice("around", low, F.greatest(place + slop - low + 1, F.lit(0))), word)
+
+    missing = F.exists(F.transform("words", lambda w, i: ~stands(w, i)), lambda x: x)
+    return near.filter(~missing).select("doc_id", "row_id", "wid", "pos").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -45,6 +45,9 @@ from .sp_sampling import mixed
 BIGRAM, CHUNK, KEPT_WORDS = 0.6, 1_000_000, 500_000
 END, BEGIN = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
 
+#: Bytes of training text for which there is a shard.
+SHARD_TEXT = 32_000_000
+
 _hashes: dict[bytes, int] = {}
 
 
@@ -260,12 +263,15 @@ class BigramModel:
 def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
     """A trie of all texts of docs, in the shared folder.
 
-    shards: how many files, by default as many as there are shuffle partitions. One task builds a shard in memory, with
-    some 60 bytes for each distinct bigram of each chunk; about thirty shards for a gigabyte of Parquet keep a task
-    below a quarter of a gigabyte. A chunk's lookups go to every shard, so CHUNK should grow along with them.
+    shards: how many files; by default one for SHARD_TEXT bytes of text, and as many as there are shuffle partitions at
+    least. One task builds a shard in memory, with some 60 bytes for each distinct bigram of each chunk, which is about
+    four times its share of the text. A chunk's lookups go to every shard, so CHUNK should grow along with them.
     """
     spark = docs.sparkSession
-    path, shards = new_path(spark, "bigram-trie"), shards or shuffle_partitions(spark)
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(shuffle_partitions(spark), -(-size // SHARD_TEXT))
+    path = new_path(spark, "bigram-trie")
     system, own = _filesystem(path)
     system.create_dir(own)
 
