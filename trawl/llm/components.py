@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import owing, release, staged
@@ -16,27 +16,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     longest path. Self-loops and repeated edges do no harm; without edges there are no rows.
     """
     links = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u"), "large-star")
+        large, _ = _star(both, F.col("v") > F.col("u"), "large-star")
         release(links)
-        links = _star(large, F.lit(True), "small-star")
+        links, now = _star(large, F.lit(True), "small-star")
         release(large)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        if now == before:
             break
-        state = now
+        before = now
     leaves = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return owing(leaves.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), links)
 
 
-def _star(links: DataFrame, kept, name: str) -> DataFrame:
-    """Link the kept neighbours of each node, and the node, to the smallest of them all."""
+def _star(links: DataFrame, kept: Column, name: str) -> tuple[DataFrame, dict]:
+    """The kept neighbours of each node, and the node, linked to the smallest of them all; and what tells these links from others,
+    observed while they are written."""
     least = staged(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     met = links.join(least, "u").filter(kept).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v")) if name == "small-star" else None
     met = met.unionByName(own) if own is not None else met
-    out = staged(met.filter("u <> v").distinct(), f"{name}-links")
+    seen = Observation()
+    new = met.filter("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes"))
+    out = staged(new, f"{name}-links")
     release(least)
-    return out
+    return out, seen.get

@@ -346,20 +346,22 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components of found (node, component) with more links, and the two given tables deleted if they are done with."""
+    """The components of found (node, component) with more links, and the two given tables deleted if they are done with.
+
+    Only the components that links tie together are searched again; the others keep their names."""
     if links.isEmpty():
         release(links)
         return found
     met = links.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
-    bridges = met.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
-    ends = links.select("a", F.col("a").alias("b")).unionByName(links.select(F.col("b").alias("a"), "b"))
-    known = found.toDF("a", "b")
-    # A component's own name is one of its nodes, so its links to the others hold it together.
-    joined = connected_components(known.unionByName(bridges))
-    merged = staged(joined, "components")
-    lone = ends.select("a").distinct().join(merged.toDF("a", "component"), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    out = staged(merged.unionByName(lone), "joined")
-    release(joined, merged, found, links)
+    tied = connected_components(met.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b")))
+    names = staged(tied.toDF("component", "name"), "names")
+    release(tied)
+    few = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+    renamed = found.join(few, "component", "left").select("node", F.coalesce("name", "component").alias("component"))
+    # A component's name is one of its nodes, so what is no node in found is a text without a component so far.
+    lone = names.toDF("node", "component").join(found.select("node"), "node", "left_anti")
+    out = staged(renamed.unionByName(lone), "joined")
+    release(names, found, links)
     return out
 
 
