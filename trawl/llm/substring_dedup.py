@@ -11,7 +11,7 @@ Bands, neighbours in large buckets, and components work as for whole documents (
 Runs are passages that repeat word for word (A-Z as a-z, any white space between words), however lines are broken. Of
 each RUN_WORDS - MIN_WORDS + 1 neighbouring windows of MIN_WORDS words the one with the least hash is chosen, so texts
 that share RUN_WORDS words choose a window in common; many shorter runs are found as well. Windows that were chosen
-more than once are grouped by 64-bit hash, and overlapping ones of a document are merged. A run's ends may lie up to
+more than once are grouped by 64-bit hash and confirmed by another hash of 31 bits, and overlapping ones of a document are merged. A run's ends may lie up to
 RUN_WORDS - MIN_WORDS words inside the shared passage.
 
 Defined cases: null and empty texts have no paragraphs; less than MIN_WORDS words are never removed. Paragraphs of a null
@@ -38,7 +38,7 @@ from .sp_sampling import mixed
 
 #: Least words of a paragraph that may be removed; the banding of paragraphs.
 MIN_WORDS = 30
-_BASE = U(0x9E3779B97F4A7C15)
+_BASE, _OTHER_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Words of a verbatim run that is found for certain, wherever lines are broken.
 RUN_WORDS = 50
 PARAGRAPHS = Banding(bands=14, rows=3, least_agreement=0.4)
@@ -107,10 +107,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAP
     )
 
 
-def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of size words that are chosen; texts that share run_words words share one."""
+def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the windows of size words that are chosen, and two independent hashes of each, of 64 and 32 bits; texts that
+    share run_words words share one."""
     if len(words) < size:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
     n = len(w) - size + 1
     h = np.zeros(n, U)
@@ -120,31 +121,35 @@ def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.nd
     h = mixed(h)
     width = min(run_words - size + 1, n)
     at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n - width + 1))
-    return at, h[at].view(np.int64)
+    other, v = np.zeros(len(at), U), mixed(w)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            other = other * _OTHER_BASE + v[at + k]
+    return at, h[at].view(np.int64), (mixed(other) >> U(33)).view(np.int64)
 
 
 def windows(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """window (a hash), doc_id, row_id, pos (its first word), line, last (lines of its first and last word)."""
+    """window and other (hashes), doc_id, row_id, pos (its first word), line, last (lines of its first and last word)."""
 
     @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 500):
                 own = b.iloc[i : i + 500]
-                out = [np.empty((0, 5), np.int64)]
+                out = [np.empty((0, 6), np.int64)]
                 for row, text in zip(own["row_id"], own["text"]):
                     lines = [line.split() for line in text.encode("utf-8", "replace").lower().split(b"\n")]
-                    at, h = chosen_windows([w for line in lines for w in line], size, run_words)
+                    at, h, other = chosen_windows([w for line in lines for w in line], size, run_words)
                     ends = np.cumsum([*map(len, lines)])
                     line, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + size - 1, "right")
-                    out.append(np.stack([h, np.full(len(at), row), at, line, last], axis=1))
+                    out.append(np.stack([h, other, np.full(len(at), row), at, line, last], axis=1))
                 kept = np.concatenate(out)
                 ids = np.repeat(own["key"].to_numpy(object), [*map(len, out[1:])])
-                yield pd.DataFrame({"key": ids} | {c: kept[:, k] for k, c in enumerate(("window", "row_id", "pos", "line", "last"))})
+                yield pd.DataFrame({"key": ids} | {c: kept[:, k] for k, c in enumerate(("window", "other", "row_id", "pos", "line", "last"))})
 
     own = docs.select(F.col("doc_id").cast("string").alias("key"), F.monotonically_increasing_id().alias("row_id"), "text")
-    found = own.filter(F.length("text") >= 2 * size - 1).mapInPandas(run, "key string, window long, row_id long, pos int, line int, last int")
-    return found.select("window", F.col("key").cast("long").alias("doc_id"), "row_id", "pos", "line", "last")
+    found = own.filter(F.length("text") >= 2 * size - 1).mapInPandas(run, "key string, window long, other int, row_id long, pos int, line int, last int")
+    return found.select("window", "other", F.col("key").cast("long").alias("doc_id"), "row_id", "pos", "line", "last")
 
 
 def repeated_runs(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -155,8 +160,9 @@ def repeated_runs(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_W
     met = staged(looked_up(every, counts, "window", "n", total), "repeated-windows")
     release(every, counts)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos", "row_id", "line")
-    keep = staged(met.groupBy("window").agg(F.min(place).alias("keep"), F.count("*").alias("n")), "kept-windows")
-    rows = looked_up(met.drop("n"), keep, "window", "n", total)
+    keep = met.groupBy("window", "other").agg(F.min(place).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    keep = staged(keep.withColumnRenamed("other", "same"), "kept-windows")
+    rows = looked_up(met.drop("n"), keep, "window", "n", total).filter("other = same")
     same = F.col("row_id") == F.col("keep.row_id")
     # A window that overlaps the one that stays is no copy beside it.
     rows = rows.withColumn("removed", ~(same & (F.col("pos") == F.col("keep.pos")))).filter(~(F.col("removed") & same & (F.col("pos") - F.col("keep.pos") < size)))
