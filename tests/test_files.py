@@ -1,3 +1,4 @@
+import base64
 import bz2
 import gzip
 import json
@@ -6,7 +7,7 @@ import lzma
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import match
+from trawl.operators import aggregate, context, display, match, spans
 from trawl.sources import files, sinks
 from trawl.spec import SpecError, spec
 
@@ -93,6 +94,48 @@ def test_json_events(spark, corpus, tmp_path):
     assert [json.loads(r.value)["type"] for r in passthru].count("context") == 4
 
 
+def test_bytes_printed(corpus):
+    own = corpus(**{"f.txt": "hay\nneedle needle\nthere", "g.txt": "none\n", "h.txt": "needle"})
+    events = sinks.json_events(own, spec("needle", after=1)).orderBy(F.col("path").asc_nulls_last(), "seq").collect()
+    rows = [json.loads(r.value) for r in events]
+    assert [r["type"] for r in rows] == ["begin", "match", "context", "end", "begin", "match", "end", "summary"]
+    assert rows[3]["data"]["stats"]["bytes_printed"] == sum(len(r.value) + 1 for r in events[:3]) and rows[6]["data"]["stats"]["bytes_printed"] == sum(len(r.value) + 1 for r in events[4:6])
+    assert rows[7]["data"]["stats"] == {"searches": 3, "searches_with_match": 2, "bytes_searched": 34, "bytes_printed": rows[3]["data"]["stats"]["bytes_printed"] + rows[6]["data"]["stats"]["bytes_printed"], "matched_lines": 2, "matches": 3}
+    assert [m["start"] for m in rows[1]["data"]["submatches"]] == [0, 7] and rows[2]["data"]["lines"] == {"text": "there"}
+    plan = sinks.json_events(own, spec("needle"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") <= 2
+    shown = display.render_lines(context.selected(own, spec("needle")), ["line_number"])
+    assert display.bytes_printed(shown).first().bytes_printed == len("2:needle needle\n1:needle\n")
+
+
+def test_raw_texts_keep_their_bytes(spark):
+    own = spark.createDataFrame([("p", bytearray(b"\xe9\na needle \xff needle\nb\n"))], "path string, content binary")
+    own, search = files.decode(own, "none").select("path", "text"), spec("needle|b", raw=True)
+    rows = spans.spans(own, search).orderBy("line_number", "span_index").collect()
+    assert [(r.line_number, r.start_byte, r.end_byte, r.absolute_offset) for r in rows] == [(2, 2, 8, 4), (2, 11, 17, 13), (3, 0, 1, 20)]
+    events = [json.loads(r.value)["data"] for r in sinks.json_events(own, search).orderBy(F.col("path").asc_nulls_last(), "seq").collect()]
+    assert events[1]["lines"] == {"bytes": base64.b64encode(b"a needle \xff needle\n").decode()} and events[1]["absolute_offset"] == 2
+    assert events[1]["submatches"][0] == {"match": {"text": "needle"}, "start": 2, "end": 8} and events[2]["lines"] == {"text": "b\n"}
+    assert events[-1]["stats"]["bytes_searched"] == 22 and aggregate.doc_stats(own, search).first().bytes_searched == 22
+
+
+def test_previews_count_what_they_hide(corpus):
+    search = spec("needle", max_columns=10, max_columns_preview=True)
+    rows = match.grep(corpus(a="needle needle\nneedle 789needle\nno\nneedle\nneedle ..needle needle needle\n"), search)
+    line = F.col("line")
+    shown = rows.select(display.limited(search, line, matches=display.remaining_matches(search, line)).alias("s"))
+    assert [r.s for r in shown.collect()] == ["needle nee [... 0 more matches]", "needle 789 [... 1 more match]", "needle", "needle ..n [... 2 more matches]"]
+
+
+def test_clashing_columns(spark):
+    own = spark.createDataFrame([("x", 3, 4)], "text string, line int, spans int")
+    with pytest.raises(SpecError, match="line"):
+        match.grep(own, spec("x"))
+    with pytest.raises(SpecError, match="spans"):
+        spans.match_rows(own.drop("line"), spec("x"))
+    assert match.grep(own.drop("line"), spec("x")).count() == 1
+
+
 def test_data_object(spark):
     own = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xff"),)], "c binary").select(F.to_json(sinks.data_object(F.col("c"))).alias("j"))
     assert sorted(r.j for r in own.collect()) == ['{"bytes":"/w=="}', '{"text":"ok"}']

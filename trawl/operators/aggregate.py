@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.dialect import compile_patterns
 from trawl.operators.context import selected_array
-from trawl.operators.lines import let, line_array, others
+from trawl.operators.lines import let, line_array, n_bytes, others
 from trawl.operators.match import hit, prefiltered
 from trawl.operators.spans import covering_spans
 from trawl.spec import SearchSpec
@@ -76,15 +76,15 @@ def doc_stats(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFram
     keys = others(df, text)
     if search.max_count is None and not search.stop_on_nonmatch:
         lines = F.filter(line_array(F.col(text), search.separator), lambda x: hit(search, x))
-        rows = df.select(*keys, F.octet_length(whole).cast("long").alias("bytes_searched"), lines.alias("__m"))
+        rows = df.select(*keys, n_bytes(whole, search.raw).cast("long").alias("bytes_searched"), lines.alias("__m"))
     else:
         def bounded(shown: Column) -> Column:
             last = F.element_at(shown, -1)
-            end = F.least(last["absolute_offset"] + F.octet_length(last["line"]) + 1, F.octet_length(whole).cast("long"))
+            end = F.least(last["absolute_offset"] + n_bytes(last["line"], search.raw) + 1, n_bytes(whole, search.raw).cast("long"))
             own = F.transform(F.filter(shown, lambda r: r["role"] == "match"), lambda r: r["line"])
             full = search.max_count is not None
             reached = F.size(own) >= F.lit(search.max_count or 0) if full else F.size(shown) > 0
-            return F.struct(F.when(reached & (F.size(shown) > 0), end).otherwise(F.octet_length(whole).cast("long")).alias("bytes"), own.alias("lines"))
+            return F.struct(F.when(reached & (F.size(shown) > 0), end).otherwise(n_bytes(whole, search.raw).cast("long")).alias("bytes"), own.alias("lines"))
 
         both = let(selected_array(search.but(before=0), F.col(text)), bounded)
         rows = df.select(*keys, both.alias("__b")).select(*keys, F.col("__b.bytes").alias("bytes_searched"), F.col("__b.lines").alias("__m"))
@@ -94,7 +94,7 @@ def doc_stats(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFram
 
 def _multiline_stats(df: DataFrame, search: SearchSpec, text: str) -> DataFrame:
     whole, keys = F.coalesce(F.col(text), F.lit("")), others(df, text)
-    rows = df.select(*keys, F.octet_length(whole).cast("long").alias("bytes_searched"), covering_spans(search, whole).alias("__s"))
+    rows = df.select(*keys, n_bytes(whole, search.raw).cast("long").alias("bytes_searched"), covering_spans(search, whole).alias("__s"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("__s", lambda s: F.sequence(s["first_line"], s["last_line"]))))).cast("long")
     n = F.size("__s").cast("long")
     return rows.select(*keys, F.lit(1).cast("long").alias("searches"), (n > 0).cast("long").alias("searches_with_match"), "bytes_searched", covered.alias("matched_lines"), n.alias("matches"))

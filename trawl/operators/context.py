@@ -51,7 +51,7 @@ def selected_array(search: SearchSpec, text: Column) -> Column:
             """1 for each shown line that starts a group."""
             return F.transform(k, lambda i, at: F.when((at == 0) | (i - F.get(k, at - 1) > 1), 1).otherwise(0))
 
-        return let(kept, lambda k: let(line_starts(a), lambda s: let(broken(k), lambda b: let(running(b), lambda g: rows(k, s, b, g)))))
+        return let(kept, lambda k: let(line_starts(a, search.raw), lambda s: let(broken(k), lambda b: let(running(b), lambda g: rows(k, s, b, g)))))
 
     def marked(a: Column, flags: Column) -> Column:
         return let(_numbers(flags), lambda h: let(_counted(search, h), lambda c: shown(a, flags, c)))

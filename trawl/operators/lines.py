@@ -44,9 +44,14 @@ def running(values: Column) -> Column:
     return let(values.cast("array<bigint>"), placed)
 
 
-def line_starts(lines: Column) -> Column:
+def n_bytes(text: Column, raw: bool = False) -> Column:
+    """The bytes of a text; of a raw one, each character is one."""
+    return F.char_length(text) if raw else F.octet_length(text)
+
+
+def line_starts(lines: Column, raw: bool = False) -> Column:
     """The byte offset of each line of an array."""
-    return running(F.transform(lines, lambda line: F.octet_length(line) + 1))
+    return running(F.transform(lines, lambda line: n_bytes(line, raw) + 1))
 
 
 def others(df: DataFrame, text: str, *made: str) -> list[str]:
@@ -67,11 +72,11 @@ def split_lines(df: DataFrame, text: str = "text", separator: str = "\n") -> Dat
     return rows.select(*keys, (F.col("__pos") + 1).alias("line_number"), "line", F.when(unended, "").otherwise(separator).alias("terminator"))
 
 
-def with_offsets(df: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
+def with_offsets(df: DataFrame, text: str = "text", separator: str = "\n", raw: bool = False) -> DataFrame:
     """split_lines with absolute_offset, the byte at which each line starts; computed within the document's row."""
     keys = others(df, text)
     ended = F.coalesce(F.col(text), F.lit("")).endswith(separator)
-    zipped = let(line_array(F.col(text), separator), lambda a: F.arrays_zip(a.alias("line"), line_starts(a).alias("absolute_offset")))
+    zipped = let(line_array(F.col(text), separator), lambda a: F.arrays_zip(a.alias("line"), line_starts(a, raw).alias("absolute_offset")))
     rows = df.select(*keys, ended.alias("__ended"), zipped.cast("array<struct<line:string,absolute_offset:bigint>>").alias("__lines"))
     rows = rows.select(*keys, "__ended", F.size("__lines").alias("__n"), F.posexplode("__lines").alias("__pos", "__l"))
     unended = (F.col("__pos") + 1 == F.col("__n")) & ~F.col("__ended")
@@ -79,7 +84,7 @@ def with_offsets(df: DataFrame, text: str = "text", separator: str = "\n") -> Da
     return rows.select(*keys, (F.col("__pos") + 1).alias("line_number"), F.col("__l.line").alias("line"), terminator, F.col("__l.absolute_offset").alias("absolute_offset"))
 
 
-def offsets_over(lines: DataFrame, *keys: str) -> DataFrame:
+def offsets_over(lines: DataFrame, *keys: str, raw: bool = False) -> DataFrame:
     """absolute_offset for a table of lines (keys, line_number, line): the window form, for texts of any length."""
     before = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("absolute_offset", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long"))
+    return lines.withColumn("absolute_offset", F.coalesce(F.sum(n_bytes(F.col("line"), raw) + 1).over(before), F.lit(0)).cast("long"))

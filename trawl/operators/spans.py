@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.dialect import compile_patterns, compile_template
-from trawl.operators.lines import let, line_array, others, running, split_lines, with_offsets
+from trawl.operators.lines import let, line_array, n_bytes, others, running, split_lines, with_offsets
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
@@ -37,14 +37,14 @@ def _spans(search: SearchSpec, text: Column, lined: bool) -> Column:
         return F.array().cast(f"array<{kind}>")
     compiled = compile_patterns(search)
     shown = _pieces(text, compiled.regex, compile_template(search.template, compiled)) if search.template is not None else F.lit(None).cast("array<string>")
-    lengths = lambda p: F.transform(p, lambda x: F.octet_length(x))
+    lengths = lambda p: F.transform(p, lambda x: n_bytes(x, search.raw))
     newlines = lambda p: F.transform(p, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
     none = F.lit(None).cast("array<bigint>")
 
     def spans(p: Column, r: Column, at: Column, shifted: Column, lines: Column) -> Column:
         def one(k: Column) -> Column:
             own, start = F.get(p, 2 * k - 1), F.get(at, 2 * k - 1)
-            end = start + F.octet_length(own)
+            end = start + n_bytes(own, search.raw)
             parts = [start.alias("start_byte"), end.alias("end_byte"), (start + 1).alias("start_column"), (end + 1).alias("end_column"), own.alias("text"), F.get(r, 2 * k - 1).alias("replacement"), (F.get(shifted, 2 * k - 1) + 1).alias("replaced_column")]
             if lined:
                 before = F.get(lines, 2 * k - 1)
@@ -74,7 +74,7 @@ def span_array(search: SearchSpec, text: Column) -> Column:
 
 def match_rows(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per matching line with its spans: the other columns, line_number, line, terminator, absolute_offset, match_count, spans."""
-    lines = with_offsets(prefiltered(df, search, text), text, search.separator).filter(hit(search, F.col("line")))
+    lines = with_offsets(prefiltered(df, search, text), text, search.separator, search.raw).filter(hit(search, F.col("line")))
     empty = F.array().cast(f"array<{SPAN}>")
     lines = lines.withColumn("spans", empty if search.invert else span_array(search, F.col("line")))
     return lines.select(*others(df, text, "match_count", "spans"), "line_number", "line", "terminator", "absolute_offset", F.size("spans").alias("match_count"), "spans")
@@ -106,7 +106,7 @@ def first_column(search: SearchSpec, line: Column) -> Column:
     """The 1-based byte column of a line's first match; null without one."""
     at = F.regexp_instr(line, F.lit(compile_patterns(search).regex))
     # regexp_instr is 0 for no match; an empty match has a place as well.
-    return F.when(line.rlike(compile_patterns(search).regex), F.octet_length(F.substring(line, F.lit(1), F.greatest(at, F.lit(1)) - 1)) + 1)
+    return F.when(line.rlike(compile_patterns(search).regex), n_bytes(F.substring(line, F.lit(1), F.greatest(at, F.lit(1)) - 1), search.raw) + 1)
 
 
 def replaced(search: SearchSpec, line: Column) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from trawl.operators.aggregate import doc_stats
 from trawl.operators.context import selected_array
-from trawl.operators.lines import others
-from trawl.operators.match import prefiltered
+from trawl.operators.lines import let, n_bytes, others
 from trawl.operators.spans import match_rows, span_array
 from trawl.spec import SearchSpec
 
+
 def data_object(content: Column) -> Column:
     """text for valid UTF-8, else bytes in base 64; to_json leaves out the one that is null."""
     text = content.cast("string")
@@ -19,49 +19,69 @@ def data_object(content: Column) -> Column:
     return F.struct(F.when(valid, text).alias("text"), F.when(~valid, F.base64(content.cast("binary"))).alias("bytes"))
 
 
+COUNTERS = ("searches", "searches_with_match", "bytes_searched", "bytes_printed", "matched_lines", "matches")
+_SUBMATCH = "struct<match:struct<text:string,bytes:string>,replacement:struct<text:string,bytes:string>,start:int,end:int>"
+
+
+def _messages(df: DataFrame, search: SearchSpec, path: str, text: str) -> DataFrame:
+    """A row per document: path, counters, and its begin and line messages, all made within the row in one reading."""
+    own = df.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("whole"), F.col(text).alias("text"))
+    rows = doc_stats(own, search).select("*", selected_array(search, F.col("whole")).alias("shown"))
+    named = data_object(F.col("path")).alias("path")
+    none = F.array().cast(f"array<{_SUBMATCH}>")
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("line_number", "int"), ("absolute_offset", "bigint"), ("lines", "string"), ("submatches", "int"))]
+
+    def content(text_: Column) -> Column:
+        return data_object(F.encode(text_, "ISO-8859-1") if search.raw else text_)
+
+    def submatch(s: Column) -> Column:
+        replacement = F.when(s["replacement"].isNotNull(), content(s["replacement"]))
+        return F.struct(content(s["text"]).alias("match"), replacement.alias("replacement"), s["start_byte"].alias("start"), s["end_byte"].alias("end"))
+
+    def message(shown: Column) -> Column:
+        ended = ~F.col("whole").endswith("\n") & (shown["absolute_offset"] + n_bytes(shown["line"], search.raw) >= n_bytes(F.col("whole"), search.raw))
+        line = F.concat(shown["line"], F.when(ended, "").otherwise("\n"))
+        found = none if search.invert else F.when(shown["role"] == "match", F.transform(span_array(search, shown["line"]), submatch)).otherwise(none)
+        return let(found.cast(f"array<{_SUBMATCH}>"), lambda m: let(line, lambda whole: one(shown, whole, m)))
+
+    def one(shown: Column, line: Column, found: Column) -> Column:
+        data = F.struct(named, content(line).alias("lines"), shown["line_number"].alias("line_number"), shown["absolute_offset"].alias("absolute_offset"), found.alias("submatches"))
+        value = F.to_json(F.struct(shown["role"].alias("type"), data.alias("data")))
+        return F.struct(shown["role"].alias("type"), shown["line_number"].cast("long").alias("seq"), shown["line_number"].alias("line_number"), shown["absolute_offset"].alias("absolute_offset"), line.alias("lines"), F.size(found).alias("submatches"), value.alias("value"))
+
+    begin = F.struct(F.lit("begin").alias("type"), F.lit(0).cast("long").alias("seq"), *blank, F.to_json(F.struct(F.lit("begin").alias("type"), F.struct(named).alias("data"))).alias("value"))
+    lines = F.transform("shown", message)
+    # Only documents with a match (with passthru: with a line) have events.
+    messages = F.when(F.size("shown") > 0, F.concat(F.array(begin), lines)).otherwise(F.array().cast("array<struct<type:string,seq:bigint,line_number:int,absolute_offset:bigint,lines:string,submatches:int,value:string>>"))
+    rows = rows.select("path", *[c for c in COUNTERS if c != "bytes_printed"], messages.alias("messages"))
+    printed = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.octet_length(m["value"]) + 1)
+    return rows.withColumn("bytes_printed", printed)
+
+
 def event_columns(df: DataFrame, search: SearchSpec, path: str = "path", text: str = "text") -> DataFrame:
-    """The events as columns: type, path, seq, line_number, absolute_offset, lines, submatches, and the counters of end and summary.
+    """The events as columns: type, path, seq, line_number, absolute_offset, lines, submatches (their number), the counters of
+    end and summary (bytes_printed: the begin and line messages with their line feeds), and value, the event as JSON.
 
-    seq orders the events of a path: begin, its lines, end. Only documents with a match (with passthru: with a line) have events.
+    seq orders the events of a path: begin, its lines, end. The summary is a second reading, of the counters alone.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = prefiltered(df, search, text).select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"), selected_array(search, F.col(text)).alias("shown"), whole.endswith("\n").alias("ended"), F.octet_length(whole).alias("size"))
-    rows = rows.filter(F.size("shown") > 0)
-    none = {"line_number": "int", "absolute_offset": "bigint", "lines": "string", "submatches": "int", "matched_lines": "bigint", "matches": "bigint", "searches": "bigint", "searches_with_match": "bigint", "bytes_searched": "bigint"}
-    blank = lambda *set_: [F.lit(None).cast(k).alias(c) for c, k in none.items() if c not in set_]
-    begin = rows.select(F.lit("begin").alias("type"), "path", F.lit(0).cast("long").alias("seq"), *blank())
-    line = rows.select("path", "ended", "size", F.explode("shown").alias("l"))
-    ends = F.when(~F.col("ended") & (F.col("l.absolute_offset") + F.octet_length("l.line") >= F.col("size")), "").otherwise("\n")
-    n = F.when((F.col("l.role") == "match") & F.lit(not search.invert), F.size(span_array(search, F.col("l.line")))).otherwise(0)
-    body = line.select(F.col("l.role").alias("type"), "path", F.col("l.line_number").cast("long").alias("seq"), F.col("l.line_number").alias("line_number"), F.col("l.absolute_offset").alias("absolute_offset"), F.concat("l.line", ends).alias("lines"), n.alias("submatches"), *blank("line_number", "absolute_offset", "lines", "submatches"))
-    counters = ("matched_lines", "matches", "searches", "searches_with_match", "bytes_searched")
-    own = doc_stats(df.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")), search)
-    end = own.filter("searches_with_match = 1" if not search.passthru else "true").select(F.lit("end").alias("type"), "path", F.lit(2**62).alias("seq"), *[F.col(c) for c in counters], *blank(*counters))
-    total = own.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counters))
-    summary = total.select(F.lit("summary").alias("type"), F.lit(None).cast("string").alias("path"), F.lit(2**62).alias("seq"), *counters, *blank(*counters))
-    return begin.unionByName(body).unionByName(end).unionByName(summary)
+    rows = _messages(df, search, path, text)
+    counted = F.struct(*COUNTERS).alias("stats")
+    end = F.to_json(F.struct(F.lit("end").alias("type"), F.struct(data_object(F.col("path")).alias("path"), counted).alias("data")))
+    kinds = "struct<type:string,seq:bigint,line_number:int,absolute_offset:bigint,lines:string,submatches:int,value:string>"
+    last = F.struct(F.lit("end"), F.lit(2**62), *[F.lit(None).cast(k) for k in ("int", "bigint", "string", "int")], end).cast(kinds)
+    every = F.when(F.size("messages") > 0, F.array_append("messages", last)).otherwise(F.col("messages"))
+    events = rows.select("path", *COUNTERS, F.inline(every))
+    events = events.select("type", "path", "seq", "line_number", "absolute_offset", "lines", "submatches", *[F.when(F.col("type") == "end", F.col(c)).alias(c) for c in COUNTERS], "value")
+    total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS))
+    whole = F.to_json(F.struct(F.lit("summary").alias("type"), F.struct(counted).alias("data")))
+    summary = total.select(F.lit("summary").alias("type"), F.lit(None).cast("string").alias("path"), F.lit(2**62).alias("seq"), *[F.lit(None).cast(k).alias(c) for c, k in (("line_number", "int"), ("absolute_offset", "bigint"), ("lines", "string"), ("submatches", "int"))], *COUNTERS, whole.alias("value"))
+    return events.unionByName(summary)
 
 
 def json_events(df: DataFrame, search: SearchSpec, path: str = "path", text: str = "text") -> DataFrame:
-    """path, seq, value: one JSON text an event; order by path (null last) and seq, then write as text."""
-    e = event_columns(df, search, path, text)
-    p = F.when(F.col("type") != "summary", F.struct(F.col("path").alias("text")))
-    subs = F.when(F.col("type") == "match", F.transform(span_array(search, F.regexp_replace("lines", "\n$", "")), _submatch(search))).when(F.col("type") == "context", F.array().cast("array<struct<match:struct<text:string>,replacement:struct<text:string>,start:int,end:int>>"))
-    if search.invert:
-        subs = F.when(F.col("type").isin("match", "context"), F.array().cast("array<struct<match:struct<text:string>,replacement:struct<text:string>,start:int,end:int>>"))
-    counters = ("searches", "searches_with_match", "bytes_searched", "matched_lines", "matches")
-    stats = F.when(F.col("type").isin("end", "summary"), F.struct(*counters))
-    lines = F.when(F.col("lines").isNotNull(), F.struct(F.col("lines").alias("text")))
-    data = F.struct(p.alias("path"), lines.alias("lines"), "line_number", "absolute_offset", subs.alias("submatches"), stats.alias("stats"))
-    return e.select("path", "seq", F.to_json(F.struct("type", data.alias("data"))).alias("value"))
-
-
-def _submatch(search: SearchSpec):
-    def one(s: Column) -> Column:
-        replacement = F.when(s["replacement"].isNotNull(), F.struct(s["replacement"].alias("text")))
-        return F.struct(F.struct(s["text"].alias("text")).alias("match"), replacement.alias("replacement"), s["start_byte"].alias("start"), s["end_byte"].alias("end"))
-
-    return one
+    """path, seq, value: one JSON text an event; order by path (null last) and seq, then write as text. With a raw search,
+    what isn't UTF-8 is an object with bytes instead of text."""
+    return event_columns(df, search, path, text).select("path", "seq", "value")
 
 
 def write_json_events(df: DataFrame, search: SearchSpec, out: str, path: str = "path", text: str = "text") -> None:

@@ -16,6 +16,7 @@ class SearchSpec:
     patterns: none match nothing, an empty one matches everything. case: sensitive, ignore or smart (insensitive
     unless a pattern has an upper-case letter). boundary: None, word or line. template: replacement with $n, $name,
     ${name} and $$. Numbers of context lines, and of matching lines that are kept in a document, are per document.
+    raw: texts are bytes, a character each, as files.decoded() gives them with encoding none.
     """
 
     patterns: tuple[str, ...] = ()
@@ -37,6 +38,7 @@ class SearchSpec:
     trim: bool = False
     max_columns: int | None = None
     max_columns_preview: bool = False
+    raw: bool = False
 
     def __post_init__(self):
         if isinstance(self.patterns, str):
