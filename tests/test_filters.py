@@ -106,7 +106,35 @@ def test_limits(spark):
 
 
 def test_reasons(spark):
-    own = spark.createDataFrame([("a.txt", 1), (".b.txt", 1), ("c.log", 1), ("d.rs", 1), ("e.txt", 99), ("x/y/f.txt", 1), ("g.bad", 1)], "path string, length long")
+    own = spark.createDataFrame([("a.txt", 1), (".b.txt", 1), (".d/i.txt", 1), (".h.rs", 1), ("c.log", 1), ("d.rs", 1), ("e.txt", 99), ("x/y/f.txt", 1), ("g.bad", 1)], "path string, length long")
     r = rules(spark, ("*.log\n",))
     out = filters.explain_filters(own, globs=["!*.bad"], rules=r, types=filters.FileTypes(), selections=[("select", "txt")], max_depth=2, max_size=50)
-    assert {x.path: x.skip_reason for x in out.collect()} == {"a.txt": None, ".b.txt": "hidden", "c.log": "ignore", "d.rs": "type", "e.txt": "size", "x/y/f.txt": "depth", "g.bad": "glob"}
+    assert {x.path: x.skip_reason for x in out.collect()} == {"a.txt": None, ".b.txt": None, ".d/i.txt": "hidden", ".h.rs": "hidden", "c.log": "ignore", "d.rs": "type", "e.txt": "size", "x/y/f.txt": "depth", "g.bad": "glob"}
+    plain = filters.explain_filters(own, globs=["!*.bad"], rules=r, max_depth=2, max_size=50)
+    assert {x.path for x in plain.filter("skip_reason = 'hidden'").collect()} == {".b.txt", ".d/i.txt", ".h.rs"}
+
+
+def test_negated_and_selected_types(spark):
+    own = spark.createDataFrame([("a.py",), ("b.rs",), ("c.md",), ("d.xyz",)], "path string")
+    left = lambda *s: {r.path for r in filters.type_filter(own, filters.FileTypes(), s).collect()}
+    assert left(("negate", "all"), ("select", "rust")) == {"b.rs"} and left(("negate", "all")) == {"d.xyz"}
+    assert left(("select", "all"), ("negate", "md")) == {"a.py", "b.rs"} and left(("negate", "rust"), ("select", "all")) == {"a.py", "b.rs", "c.md"}
+    assert left(("select", "py"), ("negate", "py")) == set() and left(("negate", "py"), ("select", "py")) == {"a.py"}
+
+
+def test_no_nested_loops(spark):
+    own = spark.createDataFrame([(1, "src/a.tar.gz"), (2, "src/build/x.o"), (3, "b.log"), (4, "keep/b.log"), (5, "src/a.gz.txt")], "n int, path string")
+    r = rules(spark, ("*.gz\nbuild/\n*.log\n!/keep/*.log\n[xyz].q\n",))
+    found = filters.ignore_decisions(own, r)
+    assert {x.path: x.decision for x in found.collect()} == {"src/a.tar.gz": "exclude", "src/build/x.o": "exclude", "b.log": "exclude", "keep/b.log": "include", "src/a.gz.txt": None}
+    tagged = filters.tag_types(own, filters.FileTypes())
+    assert {(x.n, x.type) for x in tagged.collect()} == {(1, "gzip"), (3, "log"), (4, "log"), (5, "txt")}
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (found, tagged, filters.ignore_filter(own, r))]
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
+def test_many_rules(spark):
+    own = spark.createDataFrame([(f"d{k}/f{j}.e{j}",) for k in range(4) for j in range(30)], "path string")
+    lines = [f"/d{k}/f{j}.e{j}" if (k + j) % 2 else f"!d{k}/*.e{j}" for k in range(4) for j in range(30)] + [f"*.e{j}" for j in range(0, 30, 3)]
+    found = {x.path: x.decision for x in filters.ignore_decisions(own, rules(spark, ("\n".join(lines),))).collect()}
+    assert all(found[f"d{k}/f{j}.e{j}"] == ("exclude" if j % 3 == 0 or (k + j) % 2 else "include") for k in range(4) for j in range(30))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,11 @@ MOST_RULES = 100_000
 
 RULES = "scope_dir string, source string, source_rank int, seq int, pattern string, decision string, dir_only boolean, anchored boolean, basename_only boolean, case_insensitive boolean"
 
-# File types whose one glob is their own name as an extension.
-BY_EXTENSION = """
-aidl awk bat cabal carp cbor ceylon cml creole cs cshtml csproj csv d dart dhall edn elm erb fidl fish fut gleam go haml
-hbs hurl hy janet jl jsonl k lean less log lua lz4 lzma mint ml mojo nix pdf po pod proto purs qml qrc rdoc robot rst soy
-spark spec ssa svg swift taskpaper tcl textile thrift twig txt vala vb vcl vue wgsl yang zig
-""".split()
-
-# The other default file types, aliases as names of their own. A registry of one's own is a parameter of FileTypes.
+# The default file types, aliases as names of their own. A registry of one's own is a parameter of FileTypes.
 FILE_TYPES = {
-    **{name: [f"*.{name}"] for name in BY_EXTENSION},
     "ada": ["*.adb", "*.ads"],
     "agda": ["*.agda", "*.lagda"],
+    "aidl": ["*.aidl"],
     "alire": ["alire.toml"],
     "amake": ["*.mk", "*.bp"],
     "asciidoc": ["*.adoc", "*.asc", "*.asciidoc"],
@@ -35,6 +29,8 @@ FILE_TYPES = {
     "asp": ["*.aspx", "*.aspx.cs", "*.aspx.vb", "*.ascx", "*.ascx.cs", "*.ascx.vb", "*.asp"],
     "ats": ["*.ats", "*.dats", "*.sats", "*.hats"],
     "avro": ["*.avdl", "*.avpr", "*.avsc"],
+    "awk": ["*.awk"],
+    "bat": ["*.bat"],
     "batch": ["*.bat"],
     "bazel": ["*.bazel", "*.bzl", "*.BUILD", "*.bazelrc", "BUILD", "MODULE.bazel", "WORKSPACE", "WORKSPACE.bazel", "WORKSPACE.bzlmod"],
     "bitbake": ["*.bb", "*.bbappend", "*.bbclass", "*.conf", "*.inc"],
@@ -43,22 +39,35 @@ FILE_TYPES = {
     "buildstream": ["*.bst"],
     "bzip2": ["*.bz2", "*.tbz2"],
     "c": ["*.[chH]", "*.[chH].in", "*.cats"],
+    "cabal": ["*.cabal"],
     "candid": ["*.did"],
+    "carp": ["*.carp"],
+    "cbor": ["*.cbor"],
+    "ceylon": ["*.ceylon"],
     "cfml": ["*.cfc", "*.cfm"],
     "clojure": ["*.clj", "*.cljc", "*.cljs", "*.cljx"],
     "cmake": ["*.cmake", "CMakeLists.txt"],
     "cmd": ["*.bat", "*.cmd"],
+    "cml": ["*.cml"],
     "coffeescript": ["*.coffee"],
     "config": ["*.cfg", "*.conf", "*.config", "*.ini"],
     "container": ["*Containerfile*", "*Dockerfile*"],
     "coq": ["*.v"],
     "cpp": ["*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"],
+    "creole": ["*.creole"],
     "crystal": ["Projectfile", "*.cr", "*.ecr", "shard.yml"],
+    "cs": ["*.cs"],
     "csharp": ["*.cs"],
+    "cshtml": ["*.cshtml"],
+    "csproj": ["*.csproj"],
     "css": ["*.css", "*.scss"],
+    "csv": ["*.csv"],
     "cuda": ["*.cu", "*.cuh"],
     "cython": ["*.pyx", "*.pxi", "*.pxd"],
+    "d": ["*.d"],
+    "dart": ["*.dart"],
     "devicetree": ["*.dts", "*.dtsi", "*.dtso"],
+    "dhall": ["*.dhall"],
     "diff": ["*.patch", "*.diff"],
     "dita": ["*.dita", "*.ditamap", "*.ditaval"],
     "docker": ["*Dockerfile*"],
@@ -66,40 +75,62 @@ FILE_TYPES = {
     "dts": ["*.dts", "*.dtsi"],
     "dvc": ["Dvcfile", "*.dvc"],
     "ebuild": ["*.ebuild", "*.eclass"],
+    "edn": ["*.edn"],
     "elisp": ["*.el"],
     "elixir": ["*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"],
+    "elm": ["*.elm"],
+    "erb": ["*.erb"],
     "erlang": ["*.erl", "*.hrl"],
     "fennel": ["*.fnl"],
+    "fidl": ["*.fidl"],
+    "fish": ["*.fish"],
     "flatbuffers": ["*.fbs"],
     "fortran": ["*.f", "*.F", "*.f77", "*.F77", "*.pfo", "*.f90", "*.F90", "*.f95", "*.F95"],
     "fsharp": ["*.fs", "*.fsx", "*.fsi"],
+    "fut": ["*.fut"],
     "gap": ["*.g", "*.gap", "*.gi", "*.gd", "*.tst"],
     "gdscript": ["*.gd"],
+    "gleam": ["*.gleam"],
     "gn": ["*.gn", "*.gni"],
+    "go": ["*.go"],
     "gprbuild": ["*.gpr"],
     "gradle": ["*.gradle", "*.gradle.kts", "gradle.properties", "gradle-wrapper.*", "gradlew", "gradlew.bat"],
     "graphql": ["*.graphql", "*.graphqls"],
     "groovy": ["*.groovy", "*.gradle"],
     "gzip": ["*.gz", "*.tgz"],
     "h": ["*.h", "*.hh", "*.hpp"],
+    "haml": ["*.haml"],
     "hare": ["*.ha"],
     "haskell": ["*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc"],
+    "hbs": ["*.hbs"],
     "hs": ["*.hs", "*.lhs"],
     "html": ["*.htm", "*.html", "*.ejs"],
+    "hurl": ["*.hurl"],
+    "hy": ["*.hy"],
     "idris": ["*.idr", "*.lidr"],
+    "janet": ["*.janet"],
     "java": ["*.java", "*.jsp", "*.jspx", "*.properties"],
     "jinja": ["*.j2", "*.jinja", "*.jinja2"],
+    "jl": ["*.jl"],
     "js": ["*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"],
     "json": ["*.json", "composer.lock", "*.sarif"],
+    "jsonl": ["*.jsonl"],
     "julia": ["*.jl"],
     "jupyter": ["*.ipynb", "*.jpynb"],
+    "k": ["*.k"],
     "kconfig": ["Kconfig", "Kconfig.*"],
     "kotlin": ["*.kt", "*.kts"],
+    "lean": ["*.lean"],
+    "less": ["*.less"],
     "license": ["COPYING", "COPYING[.-]*", "COPYRIGHT", "COPYRIGHT[.-]*", "EULA", "EULA[.-]*", "licen[cs]e", "licen[cs]e.*", "LICEN[CS]E", "LICEN[CS]E[.-]*", "*[.-]LICEN[CS]E*", "NOTICE", "NOTICE[.-]*", "PATENTS", "PATENTS[.-]*", "UNLICEN[CS]E", "UNLICEN[CS]E[.-]*", "agpl[.-]*", "gpl[.-]*", "lgpl[.-]*", "AGPL-*[0-9]*", "APACHE-*[0-9]*", "BSD-*[0-9]*", "CC-BY-*", "GFDL-*[0-9]*", "GNU-*[0-9]*", "GPL-*[0-9]*", "LGPL-*[0-9]*", "MIT-*[0-9]*", "MPL-*[0-9]*", "OFL-*[0-9]*"],
     "lilypond": ["*.ly", "*.ily"],
     "lisp": ["*.el", "*.jl", "*.lisp", "*.lsp", "*.sc", "*.scm"],
     "llvm": ["*.ll"],
     "lock": ["*.lock", "package-lock.json"],
+    "log": ["*.log"],
+    "lua": ["*.lua"],
+    "lz4": ["*.lz4"],
+    "lzma": ["*.lzma"],
     "m4": ["*.ac", "*.m4"],
     "make": ["[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "Makefile.*", "*.mk", "*.mak"],
     "mako": ["*.mako", "*.mao"],
@@ -109,36 +140,50 @@ FILE_TYPES = {
     "md": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"],
     "meson": ["meson.build", "meson_options.txt", "meson.options"],
     "minified": ["*.min.html", "*.min.css", "*.min.js"],
+    "mint": ["*.mint"],
     "mk": ["mkfile"],
+    "ml": ["*.ml"],
+    "mojo": ["*.mojo"],
     "motoko": ["*.mo"],
     "msbuild": ["*.csproj", "*.fsproj", "*.vcxproj", "*.proj", "*.props", "*.targets", "*.sln", "*.slnf"],
     "nim": ["*.nim", "*.nimf", "*.nimble", "*.nims"],
+    "nix": ["*.nix"],
     "objc": ["*.h", "*.m"],
     "objcpp": ["*.h", "*.mm"],
     "ocaml": ["*.ml", "*.mli", "*.mll", "*.mly"],
     "org": ["*.org", "*.org_archive"],
     "pants": ["BUILD"],
     "pascal": ["*.pas", "*.dpr", "*.lpr", "*.pp", "*.inc"],
+    "pdf": ["*.pdf"],
     "perl": ["*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"],
     "php": ["*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"],
     "pkgbuild": ["PKGBUILD"],
+    "po": ["*.po"],
+    "pod": ["*.pod"],
     "postscript": ["*.eps", "*.ps"],
     "prolog": ["*.pl", "*.pro", "*.prolog", "*.P"],
+    "proto": ["*.proto"],
     "protobuf": ["*.proto"],
     "ps": ["*.cdxml", "*.ps1", "*.ps1xml", "*.psd1", "*.psm1"],
     "puppet": ["*.epp", "*.erb", "*.pp", "*.rb"],
+    "purs": ["*.purs"],
     "py": ["*.py", "*.pyi"],
     "python": ["*.py", "*.pyi"],
     "qmake": ["*.pro", "*.pri", "*.prf"],
+    "qml": ["*.qml"],
+    "qrc": ["*.qrc"],
     "qui": ["*.ui"],
     "r": ["*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw"],
     "racket": ["*.rkt"],
     "raku": ["*.raku", "*.rakumod", "*.rakudoc", "*.rakutest", "*.p6", "*.pl6", "*.pm6"],
+    "rdoc": ["*.rdoc"],
     "readme": ["README*", "*README"],
     "reasonml": ["*.re", "*.rei"],
     "red": ["*.r", "*.red", "*.reds"],
     "rescript": ["*.res", "*.resi"],
+    "robot": ["*.robot"],
     "rocq": ["*.v"],
+    "rst": ["*.rst"],
     "ruby": ["config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw", "*.rake"],
     "rust": ["*.rs"],
     "sass": ["*.sass", "*.scss"],
@@ -150,39 +195,58 @@ FILE_TYPES = {
     "smarty": ["*.tpl"],
     "sml": ["*.sml", "*.sig"],
     "solidity": ["*.sol"],
+    "soy": ["*.soy"],
+    "spark": ["*.spark"],
+    "spec": ["*.spec"],
     "sql": ["*.sql", "*.psql"],
+    "ssa": ["*.ssa"],
     "stylus": ["*.styl"],
     "sv": ["*.v", "*.vg", "*.sv", "*.svh", "*.h"],
     "svelte": ["*.svelte", "*.svelte.ts"],
+    "svg": ["*.svg"],
+    "swift": ["*.swift"],
     "swig": ["*.def", "*.i"],
     "systemd": ["*.automount", "*.conf", "*.device", "*.link", "*.mount", "*.path", "*.scope", "*.service", "*.slice", "*.socket", "*.swap", "*.target", "*.timer"],
+    "taskpaper": ["*.taskpaper"],
+    "tcl": ["*.tcl"],
     "tex": ["*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins"],
     "texinfo": ["*.texi"],
+    "textile": ["*.textile"],
     "tf": ["*.tf", "*.tf.json", "*.tfvars", "*.tfvars.json", "*.terraformrc", "terraform.rc", "*.tfrc", "*.terraform.lock.hcl"],
+    "thrift": ["*.thrift"],
     "toml": ["*.toml", "Cargo.lock"],
     "ts": ["*.ts", "*.tsx", "*.cts", "*.mts"],
+    "twig": ["*.twig"],
+    "txt": ["*.txt"],
     "typescript": ["*.ts", "*.tsx", "*.cts", "*.mts"],
     "typoscript": ["*.typoscript", "*.ts"],
     "typst": ["*.typ"],
     "usd": ["*.usd", "*.usda", "*.usdc"],
     "v": ["*.v", "*.vsh"],
+    "vala": ["*.vala"],
+    "vb": ["*.vb"],
+    "vcl": ["*.vcl"],
     "verilog": ["*.v", "*.vh", "*.sv", "*.svh"],
     "vhdl": ["*.vhd", "*.vhdl"],
     "vim": ["*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc"],
     "vimscript": ["*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc"],
+    "vue": ["*.vue"],
     "webidl": ["*.idl", "*.webidl", "*.widl"],
+    "wgsl": ["*.wgsl"],
     "wiki": ["*.mediawiki", "*.wiki"],
     "xml": ["*.xml", "*.xml.dist", "*.dtd", "*.xsl", "*.xslt", "*.xsd", "*.xjb", "*.rng", "*.sch", "*.xhtml"],
     "xz": ["*.xz", "*.txz"],
     "yacc": ["*.y"],
     "yaml": ["*.yaml", "*.yml"],
+    "yang": ["*.yang"],
     "z": ["*.Z"],
+    "zig": ["*.zig"],
     "zsh": [".zshenv", "zshenv", ".zlogin", "zlogin", ".zlogout", "zlogout", ".zprofile", "zprofile", ".zshrc", "zshrc", "*.zsh"],
     "zstd": ["*.zst", "*.zstd"],
 }
 
-#: A node's path below a rule's scope.
-BELOW = "(CASE WHEN scope = '' THEN node WHEN startswith(node, concat(scope, '/')) THEN substring(node, length(scope) + 2) END)"
+#: Rules without an index that are tried in one pass over the paths.
+RULES_A_PASS = 500
 
 
 # Override globs
@@ -238,35 +302,72 @@ def parse_rules(text: str, scope_dir: str = "", source: str = "dot", source_rank
     return rows
 
 
+def _index_key(pattern: str) -> str | None:
+    """What a rule on base names can be looked up by: a whole name, or an ending behind a dot. None for other rules."""
+    ending = pattern.removeprefix("*")
+    if not ending or set(ending) & set("*?[]{}\\") or (ending != pattern and not ending.startswith(".")):
+        return None
+    return ("s:" if ending != pattern else "b:") + ending
+
+
+def _name_keys(name: Column) -> Column:
+    """The keys under which a base name's rules stand: its name and each ending behind a dot."""
+    parts = F.split(name, r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("s:."), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
+    return F.array_append(F.slice(endings, F.lit(1), F.size(parts) - 1), F.concat(F.lit("b:"), name))
+
+
 def ignore_decisions(df: DataFrame, rules: DataFrame, path: str = "path", sources: Sequence[str] | None = None) -> DataFrame:
     """path, decision (include, exclude or null) for each distinct path.
 
     Each ancestor of a path, and the path itself, gets the decision of the last rule that matches it in the highest
-    source rank. A file is excluded with any excluded ancestor; else its own decision holds.
+    source rank. A file is excluded with any excluded ancestor; else its own decision holds. Rules for a name or an
+    ending are joined by it; others are constants of the plan, tried from the last to the first.
     """
     table = rules.filter(F.col("source").isin(*sources)) if sources is not None else rules
     rows = table.limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise SpecError(f"more than {MOST_RULES} rules")
-    compiled = []
-    for r in rows:
-        glob = ("/" if r["anchored"] else "") + r["pattern"]
-        compiled.append((r["scope_dir"].strip("/"), r["source_rank"], r["seq"], compile_glob(glob, insensitive=bool(r["case_insensitive"]), slash_anchors=False), r["decision"], r["dir_only"]))
-    spark = df.sparkSession
-    ruled = F.broadcast(spark.createDataFrame(compiled, "scope string, rank int, seq int, regex string, decision string, dir_only boolean"))
     parts = F.split(F.col(path), "/")
     paths = df.select(F.col(path).alias("path")).distinct().select("path", parts.alias("parts"))
-    nodes = paths.select("path", F.size("parts").alias("depth"), F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("level"), F.col("parts"))
-    nodes = nodes.select("path", "depth", "level", F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/").alias("node"))
-    met = nodes.join(ruled, F.expr(f"(NOT dir_only OR level < depth) AND {BELOW} RLIKE regex"), "left")
-    best = met.groupBy("path", "depth", "level").agg(F.max_by("decision", F.struct("rank", "seq")).alias("decision"))
+    nodes = paths.select("path", F.size("parts").alias("depth"), F.posexplode("parts").alias("before", "name"), F.col("parts"))
+    nodes = nodes.select("path", "depth", (F.col("before") + 1).alias("level"), "name", F.array_join(F.slice("parts", F.lit(1), F.col("before") + 1), "/").alias("node"))
+    keys = ("path", "depth", "level")
+    indexed, general = [], []
+    for r in rows:
+        key = _index_key(r["pattern"]) if r["basename_only"] and not r["anchored"] and not r["case_insensitive"] else None
+        scope = r["scope_dir"].strip("/")
+        if key:
+            indexed.append((key, scope, r["source_rank"], r["seq"], r["decision"], bool(r["dir_only"])))
+        else:
+            glob = compile_glob(("/" if r["anchored"] else "") + r["pattern"], insensitive=bool(r["case_insensitive"]), slash_anchors=False)
+            general.append((r["source_rank"], r["seq"], scope, glob, bool(r["dir_only"]), r["decision"]))
+    decision = F.struct(F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("decision"))
+    found = [nodes.select(*keys, decision.alias("d"))]
+    if indexed:
+        known = df.sparkSession.createDataFrame(indexed, "key string, scope string, rank int, seq int, decision string, dir_only boolean")
+        inside = "(scope = '' OR startswith(node, concat(scope, '/'))) AND (NOT dir_only OR level < depth)"
+        met = nodes.select(*keys, "node", F.explode(_name_keys(F.col("name"))).alias("key")).join(F.broadcast(known), "key").filter(inside)
+        found.append(met.select(*keys, F.struct("rank", "seq", "decision").alias("d")))
+    general.sort(key=lambda r: r[:2], reverse=True)
+    for k in range(0, len(general), RULES_A_PASS):
+        tried = [_tried(*r) for r in general[k : k + RULES_A_PASS]]
+        found.append(nodes.select(*keys, F.coalesce(*tried).alias("d")).filter("d IS NOT NULL"))
+    best = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.max("d").alias("d"))
     out = best.groupBy("path").agg(
-        F.max(F.when((F.col("level") < F.col("depth")) & (F.col("decision") == "exclude"), True)).alias("pruned"),
-        F.max(F.when(F.col("level") == F.col("depth"), F.col("decision"))).alias("own"),
+        F.max(F.when((F.col("level") < F.col("depth")) & (F.col("d.decision") == "exclude"), True)).alias("pruned"),
+        F.max(F.when(F.col("level") == F.col("depth"), F.col("d.decision"))).alias("own"),
     )
     return out.select("path", F.when(F.col("pruned"), "exclude").otherwise(F.col("own")).alias("decision"))
 
 
+def _tried(rank: int, seq: int, scope: str, regex: str, dir_only: bool, decision: str) -> Column:
+    """A rule's rank, seq and decision where it matches a node, else null."""
+    below = F.col("node") if not scope else F.when(F.col("node").startswith(f"{scope}/"), F.substring("node", len(scope) + 2, 1 << 30))
+    test = below.rlike(regex)
+    test = test & (F.col("level") < F.col("depth")) if dir_only else test
+    return F.when(test, F.struct(F.lit(rank).alias("rank"), F.lit(seq).alias("seq"), F.lit(decision).alias("decision")))
+
 
 def ignore_filter(df: DataFrame, rules: DataFrame, path: str = "path", sources: Sequence[str] | None = None) -> DataFrame:
     """Files that the rules of the enabled sources (all, by default) don't exclude."""
@@ -326,28 +427,37 @@ class FileTypes:
         bodies = sorted({compile_glob(g) for g in globs})
         return path.rlike("|".join(f"(?:{b})" for b in bodies))
 
+    def chosen(self, selections: Sequence[tuple[str, str]]) -> tuple[list[str], list[str]]:
+        """The names that are selected and those that are negated, by selections ("select" | "negate", name) in order.
+
+        all is every name there is. A selection takes its name, and names for the same globs, out of what was negated
+        before; a negation leaves selections as they are."""
+        picked: dict[str, None] = {}
+        denied: dict[str, None] = {}
+        for action, name in selections:
+            names = [*self.types] if name == "all" else [n for n in self.types if self.types[n] == self._globs(name)]
+            if action == "select":
+                picked |= dict.fromkeys(names)
+                denied = {n: None for n in denied if n not in names}
+            elif action == "negate":
+                denied |= dict.fromkeys(names)
+            else:
+                raise SpecError(f"select or negate, not {action!r}")
+        return [*picked], [*denied]
+
 
 def type_filter(df: DataFrame, types: FileTypes, selections: Sequence[tuple[str, str]], path: str = "path") -> DataFrame:
-    """Files by types. selections: ("select" | "negate", name) in order; a later selection cancels a negation, and that of all cancels every one."""
-    chosen, denied = [], []
-    for action, name in selections:
-        if action == "select":
-            chosen.append(name)
-            denied = [] if name == "all" else [n for n in denied if n != name]
-        elif action == "negate":
-            denied.append(name)
-            chosen = [n for n in chosen if n != name]
-        else:
-            raise SpecError(f"select or negate, not {action!r}")
-    out = df.filter(types.matches(F.col(path), chosen)) if chosen else df
+    """Files of a selected type, if there is any, and of no negated one (see FileTypes.chosen)."""
+    picked, denied = types.chosen(selections)
+    out = df.filter(types.matches(F.col(path), picked)) if picked else df
     return out.filter(~types.matches(F.col(path), denied)) if denied else out
 
 
 def tag_types(df: DataFrame, types: FileTypes, path: str = "path") -> DataFrame:
     """The columns of df and type: a row for each type that a path is of."""
-    table = [(name, "|".join(f"(?:{compile_glob(g)})" for g in globs)) for name, globs in sorted(types.types.items())]
-    known = df.sparkSession.createDataFrame(table, "type string, __regex string")
-    return df.join(F.broadcast(known), F.expr(f"`{path}` RLIKE __regex")).drop("__regex")
+    one = lambda name, globs: F.when(F.col(path).rlike("|".join(f"(?:{compile_glob(g)})" for g in globs)), name)
+    names = F.array(*(one(name, globs) for name, globs in sorted(types.types.items()) if globs)).cast("array<string>")
+    return df.select(*df.columns, F.explode(F.array_compact(names)).alias("type"))
 
 
 def list_types(spark: SparkSession, types: FileTypes) -> DataFrame:
@@ -383,7 +493,8 @@ def explain_filters(
 ) -> DataFrame:
     """df with skip_reason: what leaves a file out first (glob, hidden, ignore, type, depth, size), or null where it stays.
 
-    An included override skips the tests for hidden, ignored and typed files.
+    An included override skips the tests for hidden, ignored and typed files. A file that is hidden by its own name alone
+    is brought back by a selected type.
     """
     p = F.col(path)
     decision = glob_decision(p, globs) if globs else F.lit(None).cast("string")
@@ -394,16 +505,16 @@ def explain_filters(
     else:
         rows = rows.withColumn("__ignore", F.lit(None).cast("string"))
     forced = F.coalesce(F.col("__glob") == "include", F.lit(False))
-    kept_type = F.lit(True)
+    kept_type, brought_back = F.lit(True), F.coalesce(F.col("__ignore") == "include", F.lit(False))
     if selections:
-        names = {a: [n for x, n in selections if x == a] for a in ("select", "negate")}
-        chosen = types.matches(p, names["select"]) if names["select"] else F.lit(True)
-        kept_type = chosen & ~(types.matches(p, names["negate"]) if names["negate"] else F.lit(False))
+        picked, denied = types.chosen(selections)
+        kept_type = (types.matches(p, picked) if picked else F.lit(True)) & ~(types.matches(p, denied) if denied else F.lit(False))
+        brought_back = brought_back | (F.lit(bool(picked)) & kept_type & ~p.rlike(r"(^|/)\.[^/]+/"))
     deep = F.size(F.split(p, "/")) > max_depth if max_depth is not None else F.lit(False)
     large = F.col(length) > max_size if max_size is not None else F.lit(False)
     reason = (
         F.when(F.col("__glob") == "exclude", "glob")
-        .when(~forced & F.lit(not show_hidden) & hidden(p) & ~F.coalesce(F.col("__ignore") == "include", F.lit(False)), "hidden")
+        .when(~forced & F.lit(not show_hidden) & hidden(p) & ~brought_back, "hidden")
         .when(~forced & F.coalesce(F.col("__ignore") == "exclude", F.lit(False)), "ignore")
         .when(~forced & ~kept_type, "type")
         .when(deep, "depth")

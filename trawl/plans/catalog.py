@@ -515,6 +515,11 @@ def type_negate(spark, sf_dir):
     return filters.type_filter(tree(spark, sf_dir).select("doc_id", "path"), filters.FileTypes(), [("negate", "json"), ("negate", "log"), ("select", "json"), ("select", "all"), ("negate", "log")])
 
 
+@_paths("type_negate_all", r"regexp_matches(path, '\.(md|txt)$')")
+def type_negate_all(spark, sf_dir):
+    return filters.type_filter(tree(spark, sf_dir).select("doc_id", "path"), filters.FileTypes(), [("negate", "all"), ("select", "md"), ("select", "txt")])
+
+
 @query("type_registry_edit", f"WITH {_TREE} SELECT doc_id, path FROM p WHERE regexp_matches(path, '\\.(md|txt)$')")
 def type_registry_edit(spark, sf_dir):
     types = filters.FileTypes().clear("md").add("md:*.md").add("prose:include:md,txt")
@@ -547,7 +552,7 @@ def size_depth_filter(spark, sf_dir):
 
 @query(
     "filter_skip_reasons",
-    rf"""WITH {_TREE} SELECT doc_id, CASE WHEN regexp_matches(path, '^src1/') THEN 'glob' WHEN regexp_matches(path, '(^|/)\.[^/]') THEN 'hidden' WHEN {_IGNORED} THEN 'ignore'
+    rf"""WITH {_TREE} SELECT doc_id, CASE WHEN regexp_matches(path, '^src1/') THEN 'glob' WHEN regexp_matches(path, '(^|/)\.[^/]') AND NOT regexp_matches(path, '\.(md|py|txt|log)$') THEN 'hidden' WHEN {_IGNORED} THEN 'ignore'
   WHEN NOT regexp_matches(path, '\.(md|py|txt|log)$') THEN 'type' WHEN length > 4096 THEN 'size' END AS skip_reason FROM p""",
 )
 def filter_skip_reasons(spark, sf_dir):
