@@ -7,6 +7,11 @@
     SentencePiece           sampled pieces of each text, decoded again to the same text
 
 The first four return the columns of documents; the last returns doc_id, lang, source, n_pieces and pieces.
+
+Defined cases, as the operators define them: null and empty texts are documents (all equal in exact dedup, linked with nothing
+in near-dedup, without pieces at the end); rows with equal or null doc_id are judged each for itself; of ties and repeated
+rows one stays, the one with the least doc_id; empty tables give no rows; further columns are kept, whatever their names, by
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import decontam, exact_dedup, minhash, quality, sp_sampling
-from trawl.llm._common import staged
+from trawl.llm._common import release, staged
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = made
         if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{k + 1}")
+            docs = staged(made, f"stage-{k + 1}")
+            release(made, before)
     return docs
