@@ -123,3 +123,26 @@ def test_repeated_paragraphs(table, odd, prose):
     cut = {r.doc_id: r.text for r in substring_dedup.remove_repeats(table(rows)).collect() if r.doc_id}
     assert cut[100] == prose(800, 40) + "\n" + passage + "\nshort line" and cut[101] == prose(801, 40) + "\nshort line" and cut[201] == "" and cut[200] == prose(900, 50)
     assert substring_dedup.repeats(table([])).count() == 0
+    names = table(rows).withColumnsRenamed({"lang": "__id", "source": "__gone", "key": "doc"})
+    assert substring_dedup.remove_repeats(names).columns == names.columns
+
+
+def test_recall_near_the_threshold(table):
+    """Of pairs of similarity 0.75 to 0.8, hidden among texts that share much with them, hardly one is missed."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows, pairs = [], []
+    for k in range(1200):
+        text = [word() for _ in range(rng.randrange(60, 240))]
+        other = list(text)
+        # A changed word takes five shingles of n: similarity (n - 5 c) / (n + 5 c).
+        n = len(text) - 4
+        for c in rng.sample(range(4, len(text) - 4, 5), max(1, round(n / 5 * (0.125 + 0.0173 * rng.random())))):
+            other[c] = word()
+        a, b = shingle_set(" ".join(text)), shingle_set(" ".join(other))
+        if 75 * len(a | b) <= 100 * len(a & b) <= 80 * len(a | b):
+            pairs.append((3 * k, 3 * k + 1))
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(text[: len(text) // 2] + [word() for _ in range(40)]))]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(rows)).collect()}
+    caught = sum(found[a] == found[b] for a, b in pairs)
+    assert len(pairs) > 500 and caught >= 0.995 * len(pairs)

@@ -245,6 +245,20 @@ def test_reproducible(spark, table, odd):
     assert a.pieces_sha256 != b.pieces_sha256
 
 
+def test_long_units(own, monkeypatch):
+    text = "thequickbrown🙂fox" * 3000  # a unit without spaces
+    (pieces,) = sp_sampling.encode_texts([text], [1], own, 3)
+    assert sp_sampling.decode_pieces(pieces, own) == text
+    units = [" " + text[:900], " the", " " + text[5:700]]
+    cums = []
+    for far in (sp_sampling.FAR, 10**9, 0):
+        monkeypatch.setattr(sp_sampling, "FAR", far)
+        fresh = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+        fresh.add(units)
+        cums.append(fresh.cum)
+    assert np.abs(cums[0] - cums[1]).max() <= 64 and np.abs(cums[0] - cums[2]).max() <= 64
+
+
 def test_pieces_do_not_depend_on_units_before(own):
     texts = [f"unit{k} of the thing" for k in range(50)]
     alone = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)

@@ -39,6 +39,9 @@ SPACE = "▁"
 
 #: Distinct units whose lattices a worker keeps; then it starts afresh. Characters of text that are sampled together.
 KEPT_UNITS, CHUNK = 40_000, 500_000
+#: Characters of a unit beyond which its nodes are filtered one by one.
+FAR = 256
+
 #: Probability one, in the whole numbers that probabilities are rounded to.
 UNIT = 1 << 40
 _UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -70,6 +73,23 @@ def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def _one_by_one(source: list[int], target: list[int], weight: list[float], alpha: list[float]) -> list[float]:
+    """The probabilities of edges sorted by target, of which alpha knows all nodes before the first target."""
+    share, i = [], 0
+    while i < len(target):
+        j = i
+        while j < len(target) and target[j] == target[i]:
+            j += 1
+        value = [alpha[source[k]] + weight[k] for k in range(i, j)]
+        top = max(value)
+        value = [math.exp(v - top) for v in value]
+        whole = sum(value)
+        alpha[target[i]] = top + math.log(whole)
+        share += [v / whole for v in value]
+        i = j
+    return share
+
+
 class Lattices:
     """The filtered lattices of the units met so far, as flat arrays over nodes and edges."""
 
@@ -156,7 +176,8 @@ class Lattices:
 
     @staticmethod
     def _filter(source: np.ndarray, target: np.ndarray, weight: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Of edges sorted by target: their probabilities at it. Nodes of equal rank in their units are taken together."""
+        """Of edges sorted by target: their probabilities at it. Nodes of equal rank in their units are taken together, but from
+        rank FAR on, where few units reach, one by one."""
         starts = np.flatnonzero(begins)
         rank = np.arange(len(begins)) - starts[np.cumsum(begins) - 1]
         order = np.argsort(rank[target], kind="stable")
@@ -164,6 +185,10 @@ class Lattices:
         alpha, share = np.zeros(len(begins)), np.empty(len(source))
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = order[a:b]
+            if rank[target[own[0]]] >= FAR:
+                own = order[a:]
+                share[own] = _one_by_one(source[own].tolist(), target[own].tolist(), weight[own].tolist(), alpha.tolist())
+                break
             to = target[own]
             heads = np.flatnonzero(np.diff(to, prepend=-1))
             size = np.diff(heads, append=b - a)

@@ -191,10 +191,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = P
     gone = repeats(docs, min_words, how).filter("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("paragraph", "last_paragraph")))).alias("__gone"))
     gone = staged(gone, "paragraph-removals")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 10 else gone
-    lines = F.filter(F.split("text", "\n"), lambda line, place: ~F.array_contains(F.col("__gone"), place.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    lines = F.filter(F.split(docs["text"], "\n"), lambda line, place: ~F.array_contains(gone["__gone"], place.cast("long")))
+    text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(lines, "\n"))
     met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    return met.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return met.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

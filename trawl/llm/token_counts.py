@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ._common import lean, new_path, staged
 
+#: A tokenizer: its ranks, the pattern that it splits texts by (the published one of byte-level BPE), and its version's name.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VERSION = "byte_bpe_50k@1"
 
 #: What a revision of the query makes a single 0.
@@ -35,27 +37,26 @@ _KINDS = "source string, lang string, version string, n_docs long, n_tokens long
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks: str):
-    import public_tokenizers
+def _encoding(ranks: str, pattern: str):
     import tiktoken
 
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
-def count_tokens(texts: list[str], ranks: str = RANKS) -> list[int]:
-    encode = _encoding(ranks).encode_ordinary
+def count_tokens(texts: list[str], ranks: str = RANKS, pattern: str = PATTERN) -> list[int]:
+    encode = _encoding(ranks, pattern).encode_ordinary
     return [len(encode(t)) for t in texts]
 
 
-def token_counts(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) -> DataFrame:
+def token_counts(docs: DataFrame, ranks: str = RANKS, version: str = VERSION, pattern: str = PATTERN) -> DataFrame:
     """doc_id, source, lang, version, n_tokens, n_chars for each row of docs."""
 
     @lean()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(n_tokens=count_tokens(b["text"].tolist(), ranks))[["key", "source", "lang", "n_tokens", "n_chars"]]
+            yield b.assign(n_tokens=count_tokens(b["text"].tolist(), ranks, pattern))[["key", "source", "lang", "n_tokens", "n_chars"]]
 
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
