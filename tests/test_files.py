@@ -51,6 +51,9 @@ def test_several_roots(spark, tmp_path):
         ("日本\nneedle\n".encode("euc-jp"), "euc-jp", 2),
         (b"\xff\xe9\nneedle\n", "auto", 2),
         (b"\xe9\nneedle\n", "none", 2),
+        ("жук\nneedle\n".encode("koi8-u"), "KOI8-U", 2),
+        ("ğ\nneedle\n".encode("cp1254"), "latin5", 2),
+        ("ĥ\nneedle\n".encode("iso-8859-3"), "iso-8859-3", 2),
         ("hay\nneedle\n".encode("utf-16") + b"x", "auto", 2),
     ],
 )

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import spans
+from trawl.operators import context, spans
 from trawl.spec import spec
 
 
@@ -83,3 +83,18 @@ def test_first_column(corpus):
 def test_no_shuffle(corpus):
     plan = spans.match_rows(corpus(a="x"), spec("[a-z]"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_time_in_proportion(spark):
+    """A line of 100,000 matches and a text of 100,000 lines; anything quadratic would take hours here."""
+    n = 100_000
+    line = spark.createDataFrame([("p", "é1 " * n)], "path string, text string")
+    rows = spans.spans(line, spec("[0-9]", template="<$0>")).agg(F.count("*"), F.sum("start_byte"), F.sum("replaced_column"), F.max("span_index")).first()
+    assert tuple(rows) == (n, sum(4 * k + 2 for k in range(n)), sum(6 * k + 3 for k in range(n)), n - 1)
+    text = spark.createDataFrame([("p", "a 1\nb\n" * (n // 2))], "path string, text string")
+    covered = spans.search_multiline(text, spec("1\\nb", multiline=True)).agg(F.count("*"), F.sum("first_line"), F.sum("last_line")).first()
+    assert tuple(covered) == (n // 2, sum(range(1, n, 2)), sum(range(2, n + 1, 2)))
+    shown = context.selected(text, spec("1", passthru=True)).agg(F.count("*"), F.sum("absolute_offset"), F.max("group_id"), F.count_if(F.col("role") == "match")).first()
+    assert tuple(shown) == (n, sum(6 * k + 6 * k + 4 for k in range(n // 2)), 1, n // 2)
+    groups = context.selected(text, spec("1")).agg(F.count("*"), F.max("group_id")).first()
+    assert tuple(groups) == (n // 2, n // 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -18,7 +19,10 @@ from trawl.spec import SpecError
 #: Encoding labels and the character sets that the JVM knows them by.
 CHARSETS = {
     "utf-8": "UTF-8", "utf8": "UTF-8", "utf-16": "UTF-16LE", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
-    "latin1": "windows-1252", "iso-8859-1": "windows-1252", "ascii": "windows-1252", "us-ascii": "windows-1252", "windows-1252": "windows-1252",
+    "latin1": "windows-1252", "l1": "windows-1252", "cp1252": "windows-1252", "x-cp1252": "windows-1252", "iso8859-1": "windows-1252", "iso_8859-1": "windows-1252",
+    "iso-8859-9": "windows-1254", "latin5": "windows-1254", "l5": "windows-1254", "iso-8859-11": "x-windows-874", "tis-620": "x-windows-874",
+    "ks_c_5601-1987": "x-windows-949", "korean": "x-windows-949", "x-gbk": "GBK", "chinese": "GBK", "x-sjis": "Shift_JIS", "macintosh": "x-MacRoman", "x-mac-cyrillic": "x-MacCyrillic",
+     "iso-8859-1": "windows-1252", "ascii": "windows-1252", "us-ascii": "windows-1252", "windows-1252": "windows-1252",
     "iso-8859-2": "ISO-8859-2", "iso-8859-5": "ISO-8859-5", "iso-8859-7": "ISO-8859-7", "iso-8859-15": "ISO-8859-15",
     "windows-1250": "windows-1250", "windows-1251": "windows-1251", "koi8-r": "KOI8-R",
     "shift_jis": "Shift_JIS", "shift-jis": "Shift_JIS", "sjis": "Shift_JIS", "euc-jp": "EUC-JP", "iso-2022-jp": "ISO-2022-JP",
@@ -27,6 +31,17 @@ CHARSETS = {
 _NATIVE = ("UTF-8", "UTF-16LE", "UTF-16BE")
 
 
+def _charset(label: str) -> str:
+    """The character set of a label: one of CHARSETS, or any other that the JVM knows under that name."""
+    own = label.lower().strip()
+    if own in CHARSETS:
+        return CHARSETS[own]
+    known = SparkSession.active()._jvm.java.nio.charset.Charset
+    if not re.fullmatch(r"[a-z0-9][a-z0-9+.:_-]*", own) or not known.isSupported(own):
+        raise SpecError(f"unknown encoding {label}")
+    return known.forName(own).name()
+
+
 def corpus(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text: each row is one document; no other column is read."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -104,10 +119,7 @@ def decoded(content: Column, encoding: str = "auto") -> Column:
     """Binary content as text. A byte order mark decides first; auto is else UTF-8; none keeps bytes, one character each."""
     if encoding == "none":
         return F.decode(content, "ISO-8859-1")
-    label = "utf-8" if encoding == "auto" else encoding.lower().strip()
-    if label not in CHARSETS:
-        raise SpecError(f"unknown encoding {encoding}")
-    charset = CHARSETS[label]
+    charset = _charset("utf-8" if encoding == "auto" else encoding)
     rest = lambda k: F.substring(content, F.lit(k + 1), F.greatest(F.octet_length(content) - k, F.lit(0)))
     mark = lambda k: F.hex(F.substring(content, 1, k))
     utf8 = lambda c: F.make_valid_utf8(c.cast("string"))
@@ -121,8 +133,7 @@ def decoded(content: Column, encoding: str = "auto") -> Column:
 
 def decode(df: DataFrame, encoding: str = "auto", content: str = "content", text: str = "text") -> DataFrame:
     """df with text and is_valid_utf8. Encodings beyond UTF and Latin 1 need spark.sql.legacy.javaCharsets."""
-    charset = CHARSETS.get(encoding.lower().strip())
-    if charset and charset not in _NATIVE and df.sparkSession.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+    if encoding not in ("auto", "none") and _charset(encoding) not in _NATIVE and df.sparkSession.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         raise SpecError(f"{encoding} needs the session setting spark.sql.legacy.javaCharsets=true")
     return df.withColumn(text, decoded(F.col(content), encoding)).withColumn("is_valid_utf8", F.is_valid_utf8(F.col(content).cast("string")))
 
