@@ -1,3 +1,4 @@
+import random
 import pytest
 
 from trawl.functions.dialect import compile_patterns, compile_template, ignores_case, required_literal
@@ -157,3 +158,15 @@ def test_binary(spark):
     assert got["auto"] == {"a": (6, False, False, False), "b": (7, True, False, True), "c": (None, True, True, False), "d": (70000, True, False, True)}
     assert got["search"]["a"] == (6, True, False, True)
     assert got["text"]["a"] == (None, True, True, False)
+
+
+def test_pattern_tables_of_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(80)]
+    texts = [(k, "\n".join(" ".join(rng.choice(words) + "x" * rng.randrange(2) for _ in range(5)) for _ in range(6)) + "\n\nq\nde") for k in range(20)]
+    docs, patterns = spark.createDataFrame(texts, "doc_id int, text string"), [*(w + " " + v for w, v in zip(words, words[1:])), "dd", "q", "ab", "aaaa", None, "abc\r"]
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = sorted((k, n, line) for k, t in texts for n, line in enumerate(t.split("\n"), 1) if any(p.removesuffix("\r") in line for p in patterns if p is not None))
+    for few in (match.PATTERNS_A_PASS, 3):
+        monkeypatch.setattr(match, "PATTERNS_A_PASS", few)
+        assert sorted(map(tuple, match.grep_table(docs, table).collect())) == want

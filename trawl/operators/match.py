@@ -63,6 +63,26 @@ def patterns_from(df: DataFrame, column: str = "pattern") -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in rows))
 
 
+def grep_table(df: DataFrame, patterns: DataFrame, column: str = "pattern", text: str = "text") -> DataFrame:
+    """grep for the fixed strings of a table of any size.
+
+    Up to PATTERNS_A_PASS of them are constants of the plan. More are joined: a line's trigrams meet each pattern's trigram
+    that is rarest in the table (shorter patterns meet every line), and what meets is compared whole.
+    """
+    known = patterns.select(F.regexp_replace(column, "\r$", "").alias("__p")).filter("__p IS NOT NULL").distinct()
+    if known.limit(PATTERNS_A_PASS + 1).count() <= PATTERNS_A_PASS:
+        return grep(df, spec(*patterns_from(patterns, column), fixed=True), text)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    each = known.filter(F.length("__p") > 2).select("__p", F.explode(grams(F.col("__p"))).alias("__gram"))
+    counts = each.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = each.join(counts, "__gram").groupBy("__p").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
+    table = rarest.unionByName(known.filter(F.length("__p") <= 2).withColumn("__gram", F.lit("")))
+    keys, lines = others(df, text), split_lines(df, text).withColumn("__id", F.monotonically_increasing_id())
+    own = F.when(F.length("line") > 2, grams(F.col("line"))).otherwise(F.array().cast("array<string>"))
+    met = lines.withColumn("__gram", F.explode(F.array_append(own, F.lit("")))).join(table, "__gram").filter(F.col("line").contains(F.col("__p")))
+    return met.dropDuplicates(["__id"]).select(*keys, "line_number", "line")
+
+
 def patterns_of(text: str) -> tuple[str, ...]:
     """Patterns of a pattern file: one a line; a final newline is no further pattern; an empty file has none."""
     lines = text.split("\n")

@@ -133,7 +133,7 @@ SELECT doc_id, line_number, line FROM l WHERE EXISTS (SELECT 1 FROM q WHERE cont
 )
 def pattern_table_match(spark, sf_dir):
     own = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)", 1).alias("pattern")).filter("pattern <> ''")
-    return match.grep(docs(spark, sf_dir), spec(*match.patterns_from(own), fixed=True))
+    return match.grep_table(docs(spark, sf_dir), own)
 
 
 # Lines
