@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from trawl.llm import components as graph
 from trawl.llm import minhash, substring_dedup
 from trawl.llm.components import connected_components
 
@@ -86,7 +87,9 @@ def test_sketches_are_concentrated():
         assert (s != np.uint64(2**64 - 1)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [graph.LOCAL, 40])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(200)] + [(500 + rng.randrange(40), 500 + rng.randrange(40)) for _ in range(25)] + [(900, k) for k in range(901, 990)] + [(7, 7), (3, 4)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
