@@ -144,12 +144,15 @@ def matching_paths(df: DataFrame, glob: str, path: str = "path") -> DataFrame:
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (or a folder of our own where that is unset), deleted when the application ends.
+    """df as a table in spark.checkpoint.dir (or, with all on one machine, a folder of our own where that is unset), deleted when the application ends.
 
     For rows with values that a second evaluation may give otherwise.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise SpecError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
