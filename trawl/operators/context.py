@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.lines import let, line_array, line_starts, others, running
+from trawl.operators.lines import items, let, line_array, line_starts, others, running
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
@@ -62,7 +62,7 @@ def selected_array(search: SearchSpec, text: Column) -> Column:
 def selected(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per shown line: the other columns, line_number, line, role (match or context), group_id, absolute_offset. No shuffle."""
     keys = others(df, text, "role", "group_id")
-    rows = prefiltered(df, search, text).select(*keys, F.explode(selected_array(search, F.col(text))).alias("__l"))
+    rows = items(prefiltered(df, search, text), keys, selected_array(search, F.col(text)), "__pos", "__l")
     return rows.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in ("line_number", "line", "role", "group_id", "absolute_offset")])
 
 

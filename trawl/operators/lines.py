@@ -62,12 +62,19 @@ def others(df: DataFrame, text: str, *made: str) -> list[str]:
     return [c for c in df.columns if c != text]
 
 
+def items(df: DataFrame, kept: list, array: Column | str, pos: str, item: str) -> DataFrame:
+    """What is kept of df, with a row for each item of an array.
+
+    The outer form with a filter behind it, since Spark infers filters of the plain one that compute the array three times."""
+    return df.select(*kept, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def split_lines(df: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
     """A row per line: the other columns, line_number from 1, line, and terminator (empty after an unended last line)."""
     keys = others(df, text)
     ended = F.coalesce(F.col(text), F.lit("")).endswith(separator)
     rows = df.select(*keys, ended.alias("__ended"), line_array(F.col(text), separator).alias("__lines"))
-    rows = rows.select(*keys, "__ended", F.size("__lines").alias("__n"), F.posexplode("__lines").alias("__pos", "line"))
+    rows = items(rows, [*keys, "__ended", F.size("__lines").alias("__n")], "__lines", "__pos", "line")
     unended = (F.col("__pos") + 1 == F.col("__n")) & ~F.col("__ended")
     return rows.select(*keys, (F.col("__pos") + 1).alias("line_number"), "line", F.when(unended, "").otherwise(separator).alias("terminator"))
 
@@ -78,7 +85,7 @@ def with_offsets(df: DataFrame, text: str = "text", separator: str = "\n", raw:
     ended = F.coalesce(F.col(text), F.lit("")).endswith(separator)
     zipped = let(line_array(F.col(text), separator), lambda a: F.arrays_zip(a.alias("line"), line_starts(a, raw).alias("absolute_offset")))
     rows = df.select(*keys, ended.alias("__ended"), zipped.cast("array<struct<line:string,absolute_offset:bigint>>").alias("__lines"))
-    rows = rows.select(*keys, "__ended", F.size("__lines").alias("__n"), F.posexplode("__lines").alias("__pos", "__l"))
+    rows = items(rows, [*keys, "__ended", F.size("__lines").alias("__n")], "__lines", "__pos", "__l")
     unended = (F.col("__pos") + 1 == F.col("__n")) & ~F.col("__ended")
     terminator = F.when(unended, "").otherwise(separator).alias("terminator")
     return rows.select(*keys, (F.col("__pos") + 1).alias("line_number"), F.col("__l.line").alias("line"), terminator, F.col("__l.absolute_offset").alias("absolute_offset"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.dialect import compile_patterns, compile_template
-from trawl.operators.lines import let, line_array, n_bytes, others, running, split_lines, with_offsets
+from trawl.operators.lines import items, let, line_array, n_bytes, others, running, split_lines, with_offsets
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
@@ -83,7 +83,7 @@ def match_rows(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFra
 def spans(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match: the other columns, line_number, span_index, start_byte, end_byte, start_column, end_column, text, replacement, replaced_column, absolute_offset."""
     keys = others(df, text, "span_index", *SPAN_COLUMNS)
-    rows = match_rows(df, search.but(invert=False), text).select(*keys, "line_number", "absolute_offset", F.posexplode("spans").alias("span_index", "s"))
+    rows = items(match_rows(df, search.but(invert=False), text), [*keys, "line_number", "absolute_offset"], "spans", "span_index", "s")
     named = [F.col(f"s.{c}").alias(c) for c in SPAN_COLUMNS]
     return rows.select(*keys, "line_number", "span_index", *named, (F.col("absolute_offset") + F.col("s.start_byte")).alias("absolute_offset"))
 
@@ -92,7 +92,7 @@ def only_matching(df: DataFrame, search: SearchSpec, text: str = "text") -> Data
     """A row per match of the lines that count: the other columns, line_number, span_index, text (or the replacement)."""
     keys = others(df, text, "span_index", "text")
     lines = split_lines(prefiltered(df, search, text), text, search.separator) if search.max_count is None else _first_lines(df, search, text)
-    rows = lines.filter(hit(search, F.col("line"))).select(*keys, "line_number", F.posexplode(span_array(search, F.col("line"))).alias("span_index", "s"))
+    rows = items(lines.filter(hit(search, F.col("line"))), [*keys, "line_number"], span_array(search, F.col("line")), "span_index", "s")
     return rows.select(*keys, "line_number", "span_index", F.coalesce("s.replacement", "s.text").alias("text"))
 
 
@@ -140,14 +140,14 @@ def captures(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame
         for g in range(compiled.n_groups + 1)
     ]
     rows = lines.select(*keys, "line_number", F.explode(F.array(*groups)).alias("g"))
-    rows = rows.select(*keys, "line_number", "g.group", "g.name", F.posexplode("g.values").alias("match_index", "value"))
+    rows = items(rows, [*keys, "line_number", "g.group", "g.name"], "g.values", "match_index", "value")
     return rows.select(*keys, "line_number", "match_index", "group", "name", "value")
 
 
 def search_multiline(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     """A row per match in whole texts: the other columns, span_index, start_byte, end_byte, text, first_line, last_line."""
     keys = others(df, text, "span_index", "start_byte", "end_byte", "text", "first_line", "last_line")
-    rows = prefiltered(df, search, text).select(*keys, F.posexplode(covering_spans(search.but(multiline=True), F.coalesce(F.col(text), F.lit("")))).alias("span_index", "s"))
+    rows = items(prefiltered(df, search, text), keys, covering_spans(search.but(multiline=True), F.coalesce(F.col(text), F.lit(""))), "span_index", "s")
     return rows.select(*keys, "span_index", *[F.col(f"s.{c}").alias(c) for c in ("start_byte", "end_byte", "text", "first_line", "last_line")])
 
 
@@ -167,4 +167,4 @@ def lines_covered(df: DataFrame, search: SearchSpec, text: str = "text") -> Data
     keys = others(df, text)
     spans_ = covering_spans(search.but(multiline=True), F.coalesce(F.col(text), F.lit("")))
     covered = F.array_distinct(F.flatten(F.transform(spans_, lambda s: F.sequence(s["first_line"], s["last_line"]))))
-    return prefiltered(df, search, text).select(*keys, F.explode(covered).alias("line_number"))
+    return items(prefiltered(df, search, text), keys, covered, "__pos", "line_number").drop("__pos")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.operators.aggregate import doc_stats
 from trawl.operators.context import selected_array
-from trawl.operators.lines import let, n_bytes, others
+from trawl.operators.lines import items, let, n_bytes, others
 from trawl.operators.spans import match_rows, span_array
 from trawl.spec import SearchSpec
 
@@ -70,7 +70,7 @@ def event_columns(df: DataFrame, search: SearchSpec, path: str = "path", text: s
     kinds = "struct<type:string,seq:bigint,line_number:int,absolute_offset:bigint,lines:string,submatches:int,value:string>"
     last = F.struct(F.lit("end"), F.lit(2**62), *[F.lit(None).cast(k) for k in ("int", "bigint", "string", "int")], end).cast(kinds)
     every = F.when(F.size("messages") > 0, F.array_append("messages", last)).otherwise(F.col("messages"))
-    events = rows.select("path", *COUNTERS, F.inline(every))
+    events = rows.select("path", *COUNTERS, F.inline_outer(every)).filter("type IS NOT NULL")
     events = events.select("type", "path", "seq", "line_number", "absolute_offset", "lines", "submatches", *[F.when(F.col("type") == "end", F.col(c)).alias(c) for c in COUNTERS], "value")
     total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS))
     whole = F.to_json(F.struct(F.lit("summary").alias("type"), F.struct(counted).alias("data")))
@@ -93,7 +93,7 @@ def write_json_events(df: DataFrame, search: SearchSpec, out: str, path: str = "
 def vimgrep(df: DataFrame, search: SearchSpec, path: str = "path", text: str = "text") -> DataFrame:
     """A row per match: path, line_number, column, line."""
     keys = [c for c in others(df, text) if c == path]
-    rows = match_rows(df.select(*keys, text), search, text).select(*keys, "line_number", "line", F.explode("spans").alias("s"))
+    rows = items(match_rows(df.select(*keys, text), search, text), [*keys, "line_number", "line"], "spans", "__pos", "s")
     return rows.select(F.col(path).alias("path"), "line_number", F.col("s.start_column").alias("column"), "line")
 
 
