@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
+from . import chat_format, decontam, divergence, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontam": decontam.op8_decontam,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_lm_score": lm_score.op10_lm_score,
+        "op11_divergence": divergence.op11_divergence,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.OP3_SQL,
         "op5_chat_format": chat_format.OP5_SQL,
         "op8_decontam": decontam.OP8_SQL,
+        "op11_divergence": divergence.OP11_SQL,
     }
