@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, divergence, exact_dedup, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
+from . import chat_format, decontam, divergence, exact_dedup, language_id, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_lm_score": lm_score.op10_lm_score,
         "op11_divergence": divergence.op11_divergence,
+        "op12_language_id": language_id.op12_language_id,
     }
 
 
