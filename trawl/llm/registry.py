@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, divergence, exact_dedup, language_id, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
+from . import chat_format, decontam, divergence, exact_dedup, hard_negatives, language_id, license_scan, lm_score, minhash, quality, sp_sampling, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm_score": lm_score.op10_lm_score,
         "op11_divergence": divergence.op11_divergence,
         "op12_language_id": language_id.op12_language_id,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat_format.OP5_SQL,
         "op8_decontam": decontam.OP8_SQL,
         "op11_divergence": divergence.OP11_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
     }
