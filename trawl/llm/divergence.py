@@ -13,31 +13,76 @@ Ties are ranked by the item's UTF-8 bytes. An empty table gives no rows. Other c
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, owing, release, staged
+from ._common import lean, owing, release, staged
 
-#: What separates terms once A-Z are lower-cased; digits separate as well.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms becomes a space: all of ASCII but the letters.
+_SEPARATED = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 LEAST_DOCS, TOP_TERMS, SMOOTHING, SCALE = 30, 50, 5, 1_000_000_000
 
 #: About so many terms a block, and groups a tile.
 BLOCK_TERMS, TILE_GROUPS = 32_768, 8
 
+#: Sums that a task holds, and bytes that it splits at once.
+KEPT_TERMS, SLICE = 400_000, 1 << 20
+
 #: Keys that gallop from the place of one found before them.
 STRIDE = 8
 
 
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text's UTF-8 bytes, about SLICE bytes at a time."""
+    text = text.lower().translate(_SEPARATED)  # of bytes, both touch ASCII alone
+    at = 0
+    while len(text) - at > SLICE:
+        end = text.find(b" ", at + SLICE) + 1 or len(text)
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
+
+
 def group_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents that hold it), with nulls as ''. Counts are added up before they move."""
-    terms = F.array_remove(F.split(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), SEPARATORS), "")
-    rows = docs.select(_named("lang"), _named("source"), terms.alias("terms"))
-    all_, each = (rows.select("lang", "source", F.explode(a).alias("term"), F.lit(n).alias("n"), F.lit(1 - n).alias("docs")) for a, n in (("terms", 1), (F.array_distinct("terms"), 0)))
-    return all_.unionByName(each).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, source, term, n (occurrences) and docs (documents that hold it), with nulls as ''. A task adds up what it reads, and
+    gives away its sums once it holds KEPT_TERMS of them."""
+
+    @lean()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held, kept = defaultdict(Counter), defaultdict(Counter), 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in n.items():
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array([source] * len(own), pa.string()), pa.array(own.keys(), pa.binary()).cast(pa.string())]
+                docs_with = map(held[lang, source].__getitem__, own)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own.values(), pa.int64()), pa.array(docs_with, pa.int64())], names=names)
+            n.clear()
+            held.clear()
+
+        for b in batches:
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own, distinct = n[lang, source], set()
+                kept -= len(own)
+                for words in terms_of(text.as_py()):
+                    own.update(words)
+                    distinct.update(words)
+                kept += len(own)
+                held[lang, source].update(distinct)
+                if kept > KEPT_TERMS:
+                    yield from sums()
+                    kept = 0
+        yield from sums()
+
+    names = ["lang", "source", "term", "n", "docs"]
+    rows = docs.select(_named("lang"), _named("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _named(column: str) -> Column:
