@@ -259,6 +259,44 @@ def test_long_units(own, monkeypatch):
     assert np.abs(cums[0] - cums[1]).max() <= 64 and np.abs(cums[0] - cums[2]).max() <= 64
 
 
+def test_many_long_units(monkeypatch):
+    rng = random.Random(12)
+    lines = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(240)) for _ in range(400)]
+    fresh = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    whole = sp_sampling.encode_texts(["\n".join(lines), "a word", ""], [1, 2, 3], fresh, 3)
+    assert sp_sampling.decode_pieces(whole[0], fresh) == "\n".join(lines)
+    # Small parts and few kept nodes: the same pieces, and the lattices stay small.
+    monkeypatch.setattr(sp_sampling, "CHUNK", 5000)
+    monkeypatch.setattr(sp_sampling, "KEPT_NODES", 10_000)
+    small = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    parts = sp_sampling.encode_texts(["\n".join(lines), "a word", ""], [1, 2, 3], small, 3)
+    assert all(len(a) == len(b) and (a == b).all() for a, b in zip(whole, parts)) and len(small.begins) < 60_000 < len(fresh.begins)
+
+
+@pytest.mark.parametrize("kind", ["rare", "mixed", "letters", "uncut"])
+def test_units_without_end(own, kind, monkeypatch):
+    rng = random.Random(9)
+    text = {"rare": "".join(chr(0x20000 + rng.randrange(9000)) for _ in range(60_000)), "mixed": "thequickbrown🙂fox" * 3000, "letters": "".join(rng.choice("abcdefghij") for _ in range(30_000)), "uncut": "a" * 20_000}[kind]
+    fresh = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    (pieces,) = sp_sampling.encode_texts([text], [1], fresh, 3)
+    assert sp_sampling.decode_pieces(pieces, fresh) == text
+    cut = own.cut(text)
+    assert "".join(cut) == text and (kind != "uncut" or len(cut) < 20) and (kind == "uncut" or len(cut) > 20)
+    ends = set(np.cumsum([len(c) for c in cut])[:-1].tolist())
+    crossing = {k for k in range(1, 3000) for n in range(2, len(own.by_length) + 1) for a in range(max(0, k - n + 1), k) if text[a : a + n] in own.weights and a + n > k}
+    assert not ends & crossing
+    monkeypatch.setattr(sp_sampling, "CHUNK", 1000)
+    assert own.cut(text) == cut
+
+
+def test_one_occurrence_like_many(own, monkeypatch):
+    texts = ["the thing and " * 9, "othering"]
+    once = sp_sampling.encode_texts(texts, [4, 5], own, 3)
+    for few in (0, 10**6):
+        monkeypatch.setattr(sp_sampling, "FEW", few)
+        assert all((a == b).all() for a, b in zip(once, sp_sampling.encode_texts(texts, [4, 5], own, 3)))
+
+
 def test_pieces_do_not_depend_on_units_before(own):
     texts = [f"unit{k} of the thing" for k in range(50)]
     alone = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
@@ -340,33 +378,6 @@ def test_ledger(spark, table, odd, prose, tmp_path):
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
     total = lambda: [(r.n_docs, r.n_tokens, r.n_chars) for r in ledger.totals().collect()]
     assert total() == []
-
-
-def test_compaction_keeps_every_sum(spark, tmp_path):
-    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
-    change = lambda *rows: spark.createDataFrame(rows, "sign int, source string, lang string, version string, n_tokens long, n_chars long")
-    assert ledger.commit("a", change((1, "s", "en", "v", 2, 5))) and ledger.commit("b", change((-1, "s", "en", "v", 2, 3)))
-    ledger.compact()
-    assert ledger.commit("c", change((1, "s", "en", "v", 1, -1)))
-    ledger.compact()
-    (r,) = ledger.totals().collect()
-    assert (r.n_docs, r.n_tokens, r.n_chars) == (1, 1, 1) and ledger.batches() == {"a", "b", "c"} and not ledger.commit("b", change())
-
-
-def test_token_query_against_a_recount(spark, prose, tmp_path):
-    texts = [f"{prose(k, 20)} {k * 7919} x" if k % 3 else prose(k, 20) for k in range(60)] + [None, ""]
-    rows = [(k if k < 61 else None, t, "en" if k % 2 else None, f"src{k % 4}") for k, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(k, k % 5 > 0) for k in range(0, 60, 2)]
-    spark.createDataFrame([(k, int(q), 0) for k, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    poor, want = {k for k, q in labels if not q}, {}
-    for i, t, lang, source in rows:
-        if i not in poor or i is None:
-            own, text = want.setdefault((source, lang), [0, 0, 0]), re.sub("[0-9]+", "0", t or "")
-            for k, v in enumerate((1, token_counts.count_tokens([text])[0], len(text))):
-                own[k] += v
-    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
-    assert got == want
     plus, minus = (counts.selectExpr("*", f"{s} AS sign") for s in (1, -1))
     assert ledger.commit("a", plus) and not ledger.commit("a", plus)
     texts = [t or "" for _, t in odd] + [prose(k, 20) for k in range(100, 120)]

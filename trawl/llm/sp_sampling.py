@@ -11,7 +11,9 @@ own is written as byte pieces, and so is U+2581, which would be read back as a s
 
 Defined cases: null and empty texts have no pieces and decode to an empty text. A null row key is a key like any
 other. Rows with equal keys and texts get equal pieces. An empty table gives no rows. Other columns are kept, but one named
-like the new column is replaced.
+like the new column is replaced. Texts of any length are sampled in parts of about CHUNK characters with the same pieces as at once;
+a worker's lattices stay within KEPT_NODES nodes and those of one part, at most four a character. Units of more than LONG characters
+are cut where no piece crosses, which leaves the distribution as it is; memory grows with the longest stretch without such a place.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,14 +40,21 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 20
 SPACE = "▁"
 
-#: Distinct units whose lattices a worker keeps; then it starts afresh. Characters of text that are sampled together.
-KEPT_UNITS, CHUNK = 40_000, 500_000
+#: Nodes of lattices that a worker keeps; then it starts afresh. Characters of text that are sampled together.
+KEPT_NODES, CHUNK = 600_000, 500_000
+#: Occurrences up to which they are sampled one after the other, that many steps' random numbers at a time.
+FEW, STEPS = 4, 256
+#: Edges whose probabilities are computed one by one as Python's numbers at a time.
+EDGES = 100_000
 #: Characters of a unit beyond which its nodes are filtered one by one.
 FAR = 256
 
 #: Probability one, in the whole numbers that probabilities are rounded to.
 UNIT = 1 << 40
 _UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+_CUT = re.compile(r"\n|(?<! ) ")  # where a unit starts
+#: Characters beyond which a unit is cut where no piece crosses; its parts have at least half as many as FAR.
+LONG = 4096
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -73,8 +83,19 @@ def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def _one_by_one(source: list[int], target: list[int], weight: list[float], alpha: list[float]) -> list[float]:
-    """The probabilities of edges sorted by target, of which alpha knows all nodes before the first target."""
+def _one_by_one(source: np.ndarray, target: np.ndarray, weight: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """The probabilities of edges sorted by target, of which alpha knows all nodes before the first target; EDGES at a time."""
+    heads, out, known = np.flatnonzero(np.diff(target, prepend=-1)), np.empty(len(target)), memoryview(alpha)
+    first = 0
+    while first < len(target):
+        after = np.searchsorted(heads, first + EDGES)
+        end = int(heads[after]) if after < len(heads) else len(target)
+        out[first:end] = _edge_by_edge(*(v[first:end].tolist() for v in (source, target, weight)), known)
+        first = end
+    return out
+
+
+def _edge_by_edge(source: list[int], target: list[int], weight: list[float], alpha: memoryview) -> list[float]:
     share, i = [], 0
     while i < len(target):
         j = i
@@ -122,18 +143,14 @@ class Lattices:
     def clear(self) -> None:
         self.last: dict[str, int] = {}
         self.begins = np.empty(0, bool)  # of each node: whether a unit starts there
-        self.cum = np.empty(0, np.int64)  # of each edge: the node that it ends in, times UNIT, plus the cumulative probability there
+        self.first = np.empty(0, np.int64)  # of each node: the first of the edges that end in it
+        self.cum = np.empty(0, np.int64)  # of each edge: the cumulative probability at the node that it ends in; the last one's is UNIT
         self.source = np.empty(0, np.int32)
         self.piece = np.empty(0, np.int32)
 
-    def add(self, units: list[str]) -> None:
-        """Filter the lattices of new units forwards, all together."""
-        text = "".join(units)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        unit = np.repeat(np.arange(len(units)), sizes)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # characters to the unit's end
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        found, at, h = [], np.arange(len(text)), np.zeros(len(text), np.uint64)
+    def _matches(self, points: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All pieces in a text whose places have so many characters to their unit's end: starts, lasts, ids and weights, by length."""
+        at, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
         for length, (known, ids, weights) in enumerate(self.by_length, 1):
             on = left[at] >= length
             at, h = at[on], h[on]
@@ -141,8 +158,39 @@ class Lattices:
             if len(known) and len(at):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[k] == h
-                found.append((at[hit], at[hit] + length - 1, ids[k[hit]], weights[k[hit]]))
-        start, end, piece, weight = (np.concatenate(x) for x in zip(*found))
+                yield at[hit], at[hit] + length - 1, ids[k[hit]], weights[k[hit]]
+
+    def cut(self, unit: str) -> list[str]:
+        """A long unit in parts that end where no piece crosses, as every path passes there: sampled apart, they are sampled alike."""
+        if len(unit) <= LONG:
+            return [unit]
+        places, reach = [], len(self.by_length)
+        for first in range(0, len(unit), CHUNK):  # a slice, with as much before and behind it as a piece can reach
+            a, b = max(0, first - reach), min(len(unit), first + CHUNK + reach)
+            points, crossed = np.frombuffer(unit[a:b].encode("utf-32-le"), np.uint32), np.zeros(b - a + 2, np.int64)
+            for start, last, *_ in self._matches(points, np.arange(b - a, 0, -1)):
+                np.add.at(crossed, start + 1, 1)
+                np.add.at(crossed, last + 1, -1)
+            free = np.flatnonzero(np.cumsum(crossed)[: b - a] == 0) + a
+            places.append(free[(free >= max(first, 1)) & (free < first + CHUNK)])
+        free, out, at = np.concatenate(places), [], 0
+        while (k := np.searchsorted(free, at + FAR // 2)) < len(free):
+            out.append(unit[at : int(free[k])])
+            at = int(free[k])
+        return [*out, unit[at:]]
+
+    def units(self, text: str) -> list[str]:
+        found = _UNIT.findall(text)
+        return found if len(text) <= LONG or max(map(len, found)) <= LONG else [*chain.from_iterable(map(self.cut, found))]
+
+    def add(self, units: list[str]) -> None:
+        """Filter the lattices of new units forwards, all together."""
+        text = "".join(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        unit = np.repeat(np.arange(len(units)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # characters to the unit's end
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        start, end, piece, weight = (np.concatenate(x) for x in zip(*self._matches(points, left)))
         alone = np.ones(len(text), bool)  # characters without a piece of their own get a node for each byte
         alone[start[start == end]] = False
         width = np.where(alone, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 1)
@@ -168,7 +216,10 @@ class Lattices:
         sums = np.cumsum(np.rint(share * UNIT).astype(np.int64))
         group = np.cumsum(last) - last
         within = np.minimum(sums - np.concatenate([[0], sums[last]])[group], UNIT)
-        self.cum = np.concatenate([self.cum, target * UNIT + np.where(last, UNIT, within)])
+        first, heads = np.zeros(len(begins), np.int64), np.flatnonzero(np.diff(target, prepend=-1))
+        first[target[heads] - base] = heads + len(self.cum)
+        self.first = np.concatenate([self.first, first])
+        self.cum = np.concatenate([self.cum, np.where(last, UNIT, within)])
         self.source = np.concatenate([self.source, source.astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.begins = np.concatenate([self.begins, begins])
@@ -187,7 +238,7 @@ class Lattices:
             own = order[a:b]
             if rank[target[own[0]]] >= FAR:
                 own = order[a:]
-                share[own] = _one_by_one(source[own].tolist(), target[own].tolist(), weight[own].tolist(), alpha.tolist())
+                share[own] = _one_by_one(source[own], target[own], weight[own], alpha)
                 break
             to = target[own]
             heads = np.flatnonzero(np.diff(to, prepend=-1))
@@ -202,25 +253,49 @@ class Lattices:
 
     def sample(self, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences one after the other, and how many each has. ends: last nodes; keys: 64-bit seeds."""
-        cum, source, piece, begins = self.cum, self.source, self.piece, self.begins
+        cum, source, piece, begins, first = self.cum, self.source, self.piece, self.begins, self.first
         who = np.argsort(ends)  # neighbours in the arrays are looked up one after the other
         node = ends[who]
         counts, steps, step = np.zeros(len(ends), np.int64), [], 0
-        while len(who):
+        while len(who) > FEW:
             u = (mixed(keys[who] + np.uint64(step)) & np.uint64(UNIT - 1)).astype(np.int64)
-            edge = np.searchsorted(cum, node * UNIT + u, side="right")
+            edge = first[node]
+            left = np.flatnonzero(cum[edge] <= u)
+            while len(left):
+                edge[left] += 1
+                left = left[cum[edge[left]] <= u[left]]
             steps.append((who, piece[edge]))
             node = source[edge].astype(np.int64)
             counts[who] += 1
             on = ~begins[node]
             who, node = who[on], node[on]
             step += 1
+        rest = {w: self._walk(n, keys[w], step) for w, n in zip(who.tolist(), node.tolist())}
+        for w, own in rest.items():
+            counts[w] += len(own)
         out = np.empty(counts.sum(), np.int32)
         stops = np.cumsum(counts) - 1
         for k, (who, got) in enumerate(steps):
             out[stops[who] - k] = got
+        for w, own in rest.items():
+            out[stops[w] - step - np.arange(len(own))] = own
         return out, counts
 
+    def _walk(self, node: int, key: np.uint64, step: int) -> array:
+        """The pieces of one occurrence from a node back to its unit's start."""
+        cum, source, piece, begins, first = map(memoryview, (self.cum, self.source, self.piece, self.begins, self.first))
+        out = array("i")
+        while True:
+            for u in (mixed(key + np.arange(step, step + STEPS, dtype=np.uint64)) & np.uint64(UNIT - 1)).tolist():
+                edge = first[node]
+                while cum[edge] <= u:
+                    edge += 1
+                out.append(piece[edge])
+                node = source[edge]
+                if begins[node]:
+                    return out
+            step += STEPS
+
 
 @lru_cache(maxsize=2)
 def lattices(model: str, alpha: float) -> Lattices:
@@ -231,19 +306,57 @@ def forget() -> None:
     lattices.cache_clear()
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about CHUNK characters that no unit crosses; a unit that is longer is a part of its own length."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = _CUT.search(text, at + CHUNK)
+        if not end:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
+
+
 def encode_texts(texts: list[str], keys: list[int], own: Lattices, seed: int) -> list[np.ndarray]:
-    """The sampled pieces of each text."""
-    if len(own.last) > KEPT_UNITS:
-        own.clear()
-    each = [_UNIT.findall(" " + text) if text else [] for text in texts]
-    sizes = [len(units) for units in each]
+    """The sampled pieces of each text. What is sampled together is bounded by characters, and the lattices by nodes."""
+    rows = mixed(np.array(keys, np.int64).astype(np.uint64) + np.uint64(seed))
+    found, group, size = [[] for _ in texts], [], 0
+
+    def sample() -> None:
+        for (k, *_), pieces in zip(group, _encode_units([units for _, units, _ in group], rows[[k for k, *_ in group]], [place for *_, place in group], own)):
+            found[k].append(pieces)
+        group.clear()
+
+    for k, text in enumerate(texts):
+        place = 0
+        for part in _parts(" " + text) if text else ():
+            units = own.units(part)
+            # A part of more than CHUNK characters was one unit, and is cut now.
+            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))) if len(part) > 2 * CHUNK else np.array([len(part)])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(units)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                group.append((k, units[a:b], place))
+                place, size = place + b - a, size + (len(part) * (b - a) // len(units))
+                if size >= 2 * CHUNK:
+                    sample()
+                    size = 0
+    sample()
+    return [own_[0] if len(own_) == 1 else np.concatenate(own_) if own_ else np.empty(0, np.int32) for own_ in found]
+
+
+def _encode_units(each: list[list[str]], rows: np.ndarray, places: list[int], own: Lattices) -> list[np.ndarray]:
+    """The sampled pieces of runs of units, which have row hashes and the places of their first units in their texts."""
     units = [*chain.from_iterable(each)]
     if new := set(units).difference(own.last):
+        text = "".join(new)
+        if own.last and len(own.begins) + len(text.encode("utf-8", "surrogatepass")) + len(new) > KEPT_NODES:
+            own.clear()
+            new = set(units)
         own.add([*new])
     nodes = [*map(own.last.__getitem__, units)]
-    sizes = np.array(sizes, np.int64)
-    rows = mixed(np.array(keys, np.int64).astype(np.uint64) + np.uint64(seed))
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    sizes = np.array([len(x) for x in each], np.int64)
+    starts = np.repeat(np.cumsum(sizes) - sizes - np.array(places, np.int64), sizes)
     place = (np.arange(len(nodes)) - starts).astype(np.uint64)
     with np.errstate(over="ignore"):
         occurrence = mixed(np.repeat(rows, sizes) + place * _MIX[2])
