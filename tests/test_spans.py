@@ -98,3 +98,19 @@ def test_time_in_proportion(spark):
     assert tuple(shown) == (n, sum(6 * k + 6 * k + 4 for k in range(n // 2)), 1, n // 2)
     groups = context.selected(text, spec("1")).agg(F.count("*"), F.max("group_id")).first()
     assert tuple(groups) == (n // 2, n // 2)
+
+
+def test_texts_that_hold_the_fences(spark):
+    rng = random.Random(21)
+    marks = ["﷐", "﷑", "﷒", "﷓"]
+    texts = ["﷐﷑﷒﷓ ab", *("".join(rng.choice([*marks, *"ab "]) for _ in range(rng.randrange(1, 25))) for _ in range(300))]
+    own = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    for pattern in ("ab", "a+", "﷐+", "[^a]", "(a|﷑)(﷐?)", "﷐﷑"):
+        template = "$0" + spans.FENCE + "<$0>"
+        got = {}
+        for r in spans.spans(own, spec(pattern, template=template)).collect():
+            got.setdefault(r.id, []).append((r.span_index, r.start_byte, r.end_byte, r.text, r.replacement))
+        for k, text in enumerate(texts):
+            size = lambda end: len(text[:end].encode())  # noqa: B023, E731
+            want = [(i, size(m.start()), size(m.end()), m[0], f"{m[0]}{spans.FENCE}<{m[0]}>") for i, m in enumerate(re.finditer(pattern, text))]
+            assert sorted(got.get(k, [])) == want, (pattern, text)

@@ -1,7 +1,7 @@
 """Spans of matches, captures and replacements, without Python in the tasks.
 
-Each match is fenced in by a non-character that the text doesn't hold; splitting there leaves gaps and matches in
-turn, whose byte lengths give the offsets.
+Each match is fenced in by a string that neither the text nor its replacement holds; splitting there leaves gaps and matches
+in turn, whose byte lengths give the offsets.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from trawl.operators.lines import items, let, line_array, n_bytes, others, runni
 from trawl.operators.match import hit, prefiltered
 from trawl.spec import SearchSpec
 
-#: Fences: a text that holds the first gets the second, and so on.
-FENCES = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
+#: What fences matches in. A text that holds it gets a run of it that is longer than any in the result, and an end behind that.
+FENCE, END = "\ufdd0", "\ufdd1"
 
 SPAN = "struct<start_byte:int,end_byte:int,start_column:int,end_column:int,text:string,replacement:string,replaced_column:int>"
 SPAN_COLUMNS = ("start_byte", "end_byte", "start_column", "end_column", "text", "replacement", "replaced_column")
@@ -23,9 +23,10 @@ LINED_SPAN = SPAN.removesuffix(">") + ",lines_before:int,lines_inside:int>"
 
 
 def _pieces(text: Column, regex: str, replacement: str = "$0") -> Column:
-    fence = F.lit(FENCES[-1])
-    for f in reversed(FENCES[:-1]):
-        fence = F.when(~text.contains(f), F.lit(f)).otherwise(fence)
+    held = F.length(text) - F.length(F.replace(text, F.lit(FENCE), F.lit("")))
+    # Each group that a replacement names may hold all of them once more.
+    most = held * (replacement.count("$") + 1) + replacement.count(FENCE)
+    fence = F.when(~text.contains(FENCE) & F.lit(FENCE not in replacement), F.lit(FENCE)).otherwise(F.concat(F.repeat(F.lit(FENCE), most + 1), F.lit(END)))
     return let(fence, lambda s: F.split(F.regexp_replace(text, F.lit(regex), F.concat(s, F.lit(replacement), s)), s, -1))
 
 
