@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,31 @@ def test_row_form_equals_window_form(spark, search):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("block", [2])
+@pytest.mark.parametrize("search", [spec("b", before=5, after=4), spec("b", before=1, after=3, max_count=3), spec("b", after=2, stop_on_nonmatch=True), spec("b", before=1, max_count=1, stop_on_nonmatch=True), spec("b", max_count=0)])
+def test_blocks_agree_with_rows(spark, monkeypatch, search, block):
+    monkeypatch.setattr(lines, "LINES_A_BLOCK", block)
+    rng = random.Random(3)
+    rows = [(k if k else None, "\n".join(rng.choice("aaaab") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30)))) for k in range(25)]
+    own = spark.createDataFrame(rows, "doc int, text string")
+    a = context.selected(own, search).select("doc", "line_number", "line", "role", "group_id")
+    b = context.context_over(lines.split_lines(own), search, "doc").select("doc", "line_number", "line", "role", "group_id")
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_one_long_text_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LINES_A_BLOCK", 10_000)
+    n = 300_000
+    text = spark.range(n).select(F.lit("one").alias("doc"), (F.col("id") + 1).alias("line_number"), F.concat(F.lit("é" * 3), F.col("id").cast("string")).alias("line"))
+    got = lines.offsets_over(text, "doc")
+    width = lambda k: 7 + len(str(k))
+    assert got.agg(F.max("absolute_offset")).first()[0] == sum(map(width, range(n - 1)))
+    assert got.filter("line_number = 123457").first().absolute_offset == sum(map(width, range(123_456)))
+    assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 0.7 * n
+    found = context.context_over(text, spec("é9999$", before=1, after=2), "doc").orderBy("line_number").collect()
+    assert [(r.line_number, r.role, r.group_id) for r in found] == [(9999, "context", 1), (10000, "match", 1), (10001, "context", 1), (10002, "context", 1)]
+
+
 def test_counts(corpus):
     own = corpus(many="needle needle\nno\nneedle\n", none="hay\n")
     n = lambda df: {r.path: r.n for r in df.collect()}

@@ -1,8 +1,10 @@
 import random
+import re
+
 import pytest
 
 from trawl.functions.dialect import compile_patterns, compile_template, ignores_case, required_literal
-from trawl.operators import match
+from trawl.operators import match, pattern_index
 from trawl.spec import SpecError, spec
 
 
@@ -160,13 +162,56 @@ def test_binary(spark):
     assert got["text"]["a"] == (None, True, True, False)
 
 
-def test_pattern_tables_of_any_size(spark, monkeypatch):
+@pytest.mark.parametrize(("few", "most"), [(match.PATTERNS_A_PASS, 10**6), (3, 10**6), (3, 0)])
+def test_pattern_tables_of_any_size(spark, monkeypatch, few, most):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(80)]
-    texts = [(k, "\n".join(" ".join(rng.choice(words) + "x" * rng.randrange(2) for _ in range(5)) for _ in range(6)) + "\n\nq\nde") for k in range(20)]
-    docs, patterns = spark.createDataFrame(texts, "doc_id int, text string"), [*(w + " " + v for w, v in zip(words, words[1:])), "dd", "q", "ab", "aaaa", None, "abc\r"]
+    texts = [(k, "\n".join(" ".join(rng.choice(words) + "x" * rng.randrange(2) for _ in range(5)) for _ in range(6)) + "\n\nq\nde") for k in range(20)] + [(30, None), (31, "")]
+    docs, patterns = spark.createDataFrame(texts, "doc_id int, text string"), [*(w + " " + v for w, v in zip(words, words[1:])), "dd", "q", "ab", "aaaa", None, "abc\r", "d\ne", "🙂 long pattern"]
     table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
-    want = sorted((k, n, line) for k, t in texts for n, line in enumerate(t.split("\n"), 1) if any(p.removesuffix("\r") in line for p in patterns if p is not None))
-    for few in (match.PATTERNS_A_PASS, 3):
-        monkeypatch.setattr(match, "PATTERNS_A_PASS", few)
-        assert sorted(map(tuple, match.grep_table(docs, table).collect())) == want
+    monkeypatch.setattr(match, "PATTERNS_A_PASS", few)
+    monkeypatch.setattr(pattern_index, "MOST_CHARS", most)
+    own = {p.removesuffix("\r") for p in patterns if p is not None}
+    want = sorted((k, n, line) for k, t in texts if t for n, line in enumerate(t.split("\n"), 1) if any(p in line for p in own))
+    found = match.grep_table(docs, table)
+    assert sorted(map(tuple, found.collect())) == want
+    if most and few == 3:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert match.grep_table(docs, table.limit(0)).count() == 0
+    every = match.grep_table(docs, table.unionByName(spark.createDataFrame([("",)], "pattern string")))
+    assert every.count() == sum(len(t.split("\n")) for _, t in texts if t)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_attribution_of_many(spark, monkeypatch, most):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    texts = [(k, "\n".join(" ".join(rng.choice(words) for _ in range(6)) for _ in range(5))) for k in range(15)] + [(20, None)]
+    plain = [f"{w} {v}" for w, v in zip(words, words[1:])]
+    patterns = [*plain, *(f"{w} .*{v}$" for w, v in zip(words, words[3:])), "ab|cd", "a.c", "[ab]c+d", "abc+", "b.?d", "", None]
+    table = spark.createDataFrame([*enumerate(patterns), (0, patterns[0]), (None, "dab")], "pattern_id int, pattern string")
+    monkeypatch.setattr(pattern_index, "MOST_CHARS", most)
+    monkeypatch.setattr(match, "PATTERNS_A_PASS", 4)
+    rows = match.attribute(spark.createDataFrame(texts, "doc_id int, text string"), table).collect()
+    own = [*enumerate(patterns), (None, "dab")]
+    want = [(d, n, k) for d, t in texts if t for n, line in enumerate(t.split("\n"), 1) for k, p in own if p is not None and re.search(p, line)]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str) and len(want) > 200
+
+
+def test_a_hundred_thousand_patterns(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 20))) for _ in range(100_000)]
+    index = pattern_index.GramIndex(words, [*range(len(words))])
+    lines = [" ".join([rng.choice(words)[:-1], *rng.choices(words, k=k % 3), "🙂", "pad" * 40]) for k in range(3000)] + ["", "x"]
+    line, number = index.found(lines)
+    places = {w: k for k, w in enumerate(words)}
+    want = sorted({(k, places[own[a:b]]) for k, own in enumerate(lines) for a in range(len(own)) for b in range(a + 6, min(a + 20, len(own) + 1)) if own[a:b] in places and words[places[own[a:b]]] == own[a:b]})
+    assert [*zip(line.tolist(), number.tolist())] == want and len(want) > 2500
+    assert pattern_index.GramIndex(["ab"], [1]).found([])[0].tolist() == []
+
+
+def test_long_lines_are_hashed_in_windows(monkeypatch):
+    monkeypatch.setattr(pattern_index, "WINDOW", 7)
+    words = ["abcdefghijklmnop", "nop", "q", "zz"]
+    line, number = pattern_index.GramIndex(words, [0, 1, 2, 3]).found(["xxabcdefghijklmnopq", "no", "z", "zzz"])
+    assert [*zip(line.tolist(), number.tolist())] == [(0, 0), (0, 1), (0, 2), (3, 3)]

@@ -1,12 +1,15 @@
-"""Lines around matches, caps and runs: within a document's row, or as windows over a table of lines."""
+"""Lines around matches, caps and runs: within a document's row, or over a table of lines, block by block."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.lines import items, let, line_array, line_starts, others, running
+from trawl.operators.lines import BLOCK, blocked, blocks_before, items, let, line_array, line_starts, others, running, within_block
 from trawl.operators.match import hit, prefiltered
+from trawl.sources.files import written_once
 from trawl.spec import SearchSpec
 
 
@@ -66,21 +69,53 @@ def selected(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame
     return rows.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in ("line_number", "line", "role", "group_id", "absolute_offset")])
 
 
-def context_over(lines: DataFrame, search: SearchSpec, *keys: str) -> DataFrame:
-    """The window form, for a table of lines (keys, line_number, line): role and group_id of the lines that are shown."""
-    by = Window.partitionBy(*keys).orderBy("line_number")
-    marked = lines.withColumn("__hit", F.coalesce(hit(search, F.col("line")), F.lit(False)).cast("int"))
-    counts = F.col("__hit")
+def _last_counted(marked: DataFrame, search: SearchSpec) -> DataFrame:
+    """__key and __last, the number of the last line that may count, for texts where there is one."""
+    hits = marked.filter("__hit")
+    bounds = []
     if search.stop_on_nonmatch:
         # A line counts while no non-matching line has followed the first match.
-        ended = F.sum(F.when(F.col("__hit") == 0, F.col("__seen")).otherwise(0)).over(by)
-        marked = marked.withColumn("__seen", (F.max("__hit").over(by)).cast("int")).withColumn("__ended", ended)
-        counts = counts * (F.col("__ended") == 0).cast("int")
-    marked = marked.withColumn("__counts", counts)
+        first = hits.groupBy("__key").agg(F.min("line_number").alias("__first"))
+        ends = marked.filter("NOT __hit").join(first, "__key").filter(F.col("line_number") > F.col("__first"))
+        bounds.append(ends.groupBy("__key").agg((F.min("line_number") - 1).alias("__last")))
     if search.max_count is not None:
-        marked = marked.withColumn("__rank", F.sum("__counts").over(by)).withColumn("__counts", F.col("__counts") * (F.col("__rank") <= search.max_count).cast("int"))
-    near = F.max("__counts").over(by.rowsBetween(-search.after, search.before))
-    kept = marked.withColumn("__kept", near).filter("__kept = 1")
-    breaks = F.when(F.col("line_number") - F.lag("line_number").over(by) > 1, 1).otherwise(0)
-    kept = kept.withColumn("__break", breaks).withColumn("group_id", (F.sum("__break").over(by) + 1).cast("int"))
-    return kept.select(*keys, "line_number", "line", F.when(F.col("__hit") == 1, "match").otherwise("context").alias("role"), "group_id")
+        # The block in which the count is reached, and within that the line.
+        sums = hits.groupBy(*BLOCK).agg(F.count("*").alias("__n"))
+        reached = sums.withColumn("__before", F.coalesce(F.sum("__n").over(blocks_before()), F.lit(0))).filter((F.col("__before") < search.max_count) & (F.col("__before") + F.col("__n") >= search.max_count))
+        ranked = hits.join(reached.select(*BLOCK, "__before"), BLOCK).withColumn("__rank", F.col("__before") + F.row_number().over(within_block()))
+        bounds.append(ranked.filter(F.col("__rank") == search.max_count).select("__key", F.col("line_number").alias("__last")))
+    return reduce(DataFrame.unionByName, bounds).groupBy("__key").agg(F.min("__last").alias("__last"))
+
+
+def context_over(lines: DataFrame, search: SearchSpec, *keys: str) -> DataFrame:
+    """The form for a table of lines (keys, line_number from 1 without gaps, line), for texts of any length: role and group_id of the lines
+    that are shown. A block knows the nearest matches and the number of groups before and behind it from a row per block; no task gets
+    more of a text than a block."""
+    marked = blocked(lines.select(*keys, "line_number", "line"), *keys).withColumn("__hit", F.coalesce(hit(search, F.col("line")), F.lit(False)))
+    if search.max_count == 0:
+        marked = marked.filter(F.lit(False))
+    counts = F.col("__hit")
+    if search.stop_on_nonmatch or search.max_count:
+        marked = marked.join(_last_counted(marked, search), "__key", "left")
+        counts = counts & F.coalesce(F.col("line_number") <= F.col("__last"), F.lit(True))
+    number = F.when(counts, F.col("line_number"))
+    blocks = marked.groupBy(*BLOCK).agg(F.min(number).alias("__first"), F.max(number).alias("__final"))
+    behind = Window.partitionBy("__key").orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.select(*BLOCK, F.max("__final").over(blocks_before()).alias("__above"), F.min("__first").over(behind).alias("__below"))
+    by, line, never = within_block(), F.col("line_number"), 1 << 62
+    upto = lambda frame: F.coalesce(F.max(number).over(frame), F.col("__above"), F.lit(-never))
+    placed = marked.join(blocks, BLOCK).select(
+        *keys, "line_number", "line", *BLOCK, "__hit",
+        upto(by.rowsBetween(Window.unboundedPreceding, 0)).alias("__at"),
+        upto(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.coalesce(F.min(number).over(by.rowsBetween(0, Window.unboundedFollowing)), F.col("__below"), F.lit(never)).alias("__next"),
+    )
+    shown = (line - F.col("__at") <= search.after) | (F.col("__next") - line <= search.before)
+    # The line above is shown for its own match, one further up, or the next one from here on.
+    joined = (line > 1) & ((line - 1 - F.col("__before") <= search.after) | (F.col("__next") - (line - 1) <= search.before))
+    kept = placed.filter(shown).select(*keys, "line_number", "line", *BLOCK, "__hit", (~joined).cast("int").alias("__start"))
+    kept = written_once(kept, "shown-lines")
+    sums = kept.groupBy(*BLOCK).agg(F.sum("__start").alias("__n"))
+    sums = sums.select(*BLOCK, F.coalesce(F.sum("__n").over(blocks_before()), F.lit(0)).alias("__groups"))
+    group = (F.col("__groups") + F.sum("__start").over(by)).cast("int").alias("group_id")
+    return kept.join(sums, BLOCK).select(*keys, "line_number", "line", F.when(F.col("__hit"), "match").otherwise("context").alias("role"), group)

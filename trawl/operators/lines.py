@@ -1,10 +1,10 @@
-"""Lines of documents: arrays within a row, or one row per line. No form but the window one moves a row."""
+"""Lines of documents: arrays within a row, or one row per line. No form but the one for tables of lines moves a row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trawl.spec import SpecError
@@ -91,7 +91,34 @@ def with_offsets(df: DataFrame, text: str = "text", separator: str = "\n", raw:
     return rows.select(*keys, (F.col("__pos") + 1).alias("line_number"), F.col("__l.line").alias("line"), terminator, F.col("__l.absolute_offset").alias("absolute_offset"))
 
 
+#: Lines of a block in the forms for tables of lines: a task's part of a text, however long that is.
+LINES_A_BLOCK = 100_000
+
+#: What tells a block of a text apart. A struct equals one with the same nulls, so that null keys are keys like any other.
+BLOCK = ["__key", "__block"]
+
+
+def blocked(lines: DataFrame, *keys: str) -> DataFrame:
+    """A table of lines (keys, and line_number from 1 without gaps) with the columns of BLOCK."""
+    at = F.floor((F.col("line_number") - 1) / LINES_A_BLOCK).cast("long")
+    return lines.withColumn("__key", F.struct(*keys)).withColumn("__block", at)
+
+
+def within_block() -> WindowSpec:
+    return Window.partitionBy(*BLOCK).orderBy("line_number")
+
+
+def blocks_before() -> WindowSpec:
+    """Over a table with a row per block: those before a block in its text."""
+    return Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def offsets_over(lines: DataFrame, *keys: str, raw: bool = False) -> DataFrame:
-    """absolute_offset for a table of lines (keys, line_number, line): the window form, for texts of any length."""
-    before = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("absolute_offset", F.coalesce(F.sum(n_bytes(F.col("line"), raw) + 1).over(before), F.lit(0)).cast("long"))
+    """absolute_offset for a table of lines (keys, line_number, line), for texts of any length: sums of blocks first, which then start
+    the running sums within each. No task gets more of a text than a block."""
+    own = blocked(lines, *keys).withColumn("__bytes", (n_bytes(F.col("line"), raw) + 1).cast("long"))
+    sums = own.groupBy(*BLOCK).agg(F.sum("__bytes").alias("__sum"))
+    starts = sums.select(*BLOCK, F.coalesce(F.sum("__sum").over(blocks_before()), F.lit(0)).alias("__start"))
+    before = F.sum("__bytes").over(within_block().rowsBetween(Window.unboundedPreceding, -1))
+    placed = own.join(starts, BLOCK).withColumn("absolute_offset", F.col("__start") + F.coalesce(before, F.lit(0)))
+    return placed.select(*lines.columns, "absolute_offset")

@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.dialect import compile_patterns
+from trawl.functions.dialect import Compiled, compile_patterns
+from trawl.operators import pattern_index
 from trawl.operators.lines import line_array, others, split_lines
+from trawl.sources.files import written_once
 from trawl.spec import SearchSpec, SpecError, spec
 
-#: Most patterns that are gathered on the driver or broadcast.
+#: Most patterns that are constants of a plan.
 MOST_PATTERNS = 100_000
 
-#: Patterns whose lines are told apart in one reading of the corpus.
-PATTERNS_A_PASS = 1000
+#: Patterns whose lines are told apart in one reading of the corpus; up to FEW_PATTERNS are tried without an index.
+PATTERNS_A_PASS, FEW_PATTERNS = 1000, 20
 
 
 def found(search: SearchSpec, line: Column) -> Column:
@@ -55,9 +57,14 @@ def grep(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
     return lines.filter(hit(search, F.col("line"))).select(*others(df, text), "line_number", "line")
 
 
+def _known(patterns: DataFrame, column: str) -> DataFrame:
+    """The distinct patterns of a table, without a carriage return at the end; null ones don't count."""
+    return patterns.select(F.regexp_replace(column, "\r$", "").alias("word")).filter("word IS NOT NULL").distinct()
+
+
 def patterns_from(df: DataFrame, column: str = "pattern") -> tuple[str, ...]:
     """Patterns of a table, without a carriage return at the end; null ones don't count."""
-    rows = df.select(F.regexp_replace(column, "\r$", "").alias("p")).filter("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()
+    rows = _known(df, column).limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise SpecError(f"more than {MOST_PATTERNS} patterns")
     return tuple(sorted(r[0] for r in rows))
@@ -66,21 +73,23 @@ def patterns_from(df: DataFrame, column: str = "pattern") -> tuple[str, ...]:
 def grep_table(df: DataFrame, patterns: DataFrame, column: str = "pattern", text: str = "text") -> DataFrame:
     """grep for the fixed strings of a table of any size.
 
-    Up to PATTERNS_A_PASS of them are constants of the plan. More are joined: a line's trigrams meet each pattern's trigram
-    that is rarest in the table (shorter patterns meet every line), and what meets is compared whole.
+    Up to PATTERNS_A_PASS of them are constants of the plan. More are looked up in an index of their grams where lines are read,
+    in one reading and without a shuffle; beyond pattern_index.MOST_CHARS characters, ids of lines are joined with patterns by gram.
     """
-    known = patterns.select(F.regexp_replace(column, "\r$", "").alias("__p")).filter("__p IS NOT NULL").distinct()
-    if known.limit(PATTERNS_A_PASS + 1).count() <= PATTERNS_A_PASS:
-        return grep(df, spec(*patterns_from(patterns, column), fixed=True), text)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    each = known.filter(F.length("__p") > 2).select("__p", F.explode(grams(F.col("__p"))).alias("__gram"))
-    counts = each.groupBy("__gram").agg(F.count("*").alias("__n"))
-    rarest = each.join(counts, "__gram").groupBy("__p").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
-    table = rarest.unionByName(known.filter(F.length("__p") <= 2).withColumn("__gram", F.lit("")))
-    keys, lines = others(df, text), split_lines(df, text).withColumn("__id", F.monotonically_increasing_id())
-    own = F.when(F.length("line") > 2, grams(F.col("line"))).otherwise(F.array().cast("array<string>"))
-    met = lines.withColumn("__gram", F.explode(F.array_append(own, F.lit("")))).join(table, "__gram").filter(F.col("line").contains(F.col("__p")))
-    return met.dropDuplicates(["__id"]).select(*keys, "line_number", "line")
+    known = _known(patterns, column)
+    n, chars, empty = known.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0)), F.coalesce(F.max(F.col("word") == ""), F.lit(False))).first()
+    if n <= PATTERNS_A_PASS or empty:
+        return grep(df, spec(*(("",) if empty else patterns_from(patterns, column)), fixed=True), text)
+    keys, lines = others(df, text), split_lines(df, text).drop("terminator")
+    if chars <= pattern_index.MOST_CHARS:
+        words = [r[0] for r in known.collect()]
+        return pattern_index.indexed(lines, pattern_index.GramIndex(words, [*range(len(words))])).select(*keys, "line_number", "line")
+    return pattern_index.met(_numbered(lines), known, "__id").dropDuplicates(["__id"]).select(*keys, "line_number", "line")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """lines with an id, written once, so that both sides of a join see the same ids."""
+    return written_once(lines.withColumn("__id", F.monotonically_increasing_id()), "numbered-lines")
 
 
 def patterns_of(text: str) -> tuple[str, ...]:
@@ -90,21 +99,69 @@ def patterns_of(text: str) -> tuple[str, ...]:
 
 
 def attribute(df: DataFrame, patterns: DataFrame, search: SearchSpec | None = None, text: str = "text") -> DataFrame:
-    """Which patterns (pattern_id, pattern) each line matches: the other columns, line_number, pattern_id."""
-    rows = patterns.select("pattern_id", "pattern").filter("pattern IS NOT NULL").limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise SpecError(f"more than {MOST_PATTERNS} patterns")
+    """Which patterns (pattern_id, pattern) each line matches: the other columns, line_number, pattern_id.
+
+    Patterns that are plain texts, or hold one that every match has, are looked up by it in one reading of the corpus, and regular
+    expressions tried only on the lines that hold it. Patterns without one are tried on every line, PATTERNS_A_PASS of them in a
+    reading; there may be MOST_PATTERNS of these. Repeated rows of patterns count once. Tables of more than pattern_index.MOST_CHARS characters are looked up by join.
+    """
     search, keys = search or spec(), others(df, text, "pattern_id")
-    kind = patterns.schema["pattern_id"].dataType
-    lines = split_lines(df, text, search.separator)
-    # Patterns are constants of the plan, which are compiled once; PATTERNS_A_PASS of them are tried in one reading of the corpus.
+    own = patterns.select("pattern_id", "pattern").filter("pattern IS NOT NULL").distinct()
+    lines = split_lines(df, text, search.separator).select(*keys, "line_number", "line")
+    n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()
+    if chars > pattern_index.MOST_CHARS:
+        return _attribute_joined(lines, own, search, keys)
+    rows = own.collect()
+    compiled = [compile_patterns(search.but(patterns=(r[1],))) for r in rows]
+    needs = [_needs(c) if n > FEW_PATTERNS else None for c in compiled]
+    tried = [r for r, w in zip(rows, needs) if w is None]
+    out = [_tried(lines, tried, search, own, keys)] if tried or not rows else []
+    if len(tried) < len(rows):
+        words = [(w, k) for k, all_ in enumerate(needs) if all_ for w in all_]
+        held = pattern_index.indexed(lines, pattern_index.GramIndex(*map(list, zip(*words))), number="__k")
+        kinds = T.StructType([T.StructField("__k", T.LongType()), T.StructField("pattern_id", own.schema["pattern_id"].dataType), T.StructField("__regex", T.StringType())])
+        known = df.sparkSession.createDataFrame([(k, rows[k][0], None if c.literals is not None else c.regex) for k, c in enumerate(compiled) if needs[k]], kinds)
+        # As large as the index, which was counted.
+        held = held.join(F.broadcast(known), "__k").filter(F.col("__regex").isNull() | F.regexp_like("line", F.col("__regex")))
+        out.append(held.select(*keys, "line_number", "pattern_id"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _needs(compiled: Compiled) -> tuple[str, ...] | None:
+    """Texts one of which every line with a match holds; None where there are none."""
+    words = compiled.literals if compiled.literals is not None else (compiled.required or "",)
+    return words if all(words) else None
+
+
+def _tried(lines: DataFrame, rows: list, search: SearchSpec, own: DataFrame, keys: list[str]) -> DataFrame:
+    """Patterns as constants of the plan, tried on every line."""
+    if len(rows) > MOST_PATTERNS:
+        raise SpecError(f"more than {MOST_PATTERNS} patterns without a plain text that every match holds")
+    kind = own.schema["pattern_id"].dataType
     passes = [rows[k : k + PATTERNS_A_PASS] for k in range(0, len(rows), PATTERNS_A_PASS)] or [[]]
     one = lambda r: F.when(found(search.but(patterns=(r[1],)), F.col("line")), F.struct(F.lit(r[0]).cast(kind).alias("pattern_id")))
     kinds = F.array().cast(T.ArrayType(T.StructType([T.StructField("pattern_id", kind)])))
-    each = [F.array_compact(F.array(*map(one, own))) if own else kinds for own in passes]
+    each = [F.array_compact(F.array(*map(one, part))) if part else kinds for part in passes]
     return reduce(DataFrame.unionByName, [lines.select(*keys, "line_number", F.inline(ids)) for ids in each])
 
 
+def _attribute_joined(lines: DataFrame, own: DataFrame, search: SearchSpec, keys: list[str]) -> DataFrame:
+    """The form for tables of any size: what each pattern needs is worked out in tasks, and ids of lines are joined with it."""
+
+    def needs(batches):
+        for b in batches:
+            compiled = [compile_patterns(search.but(patterns=(p,))) for p in b["pattern"]]
+            yield b.assign(word=[_needs(c) or ("",) for c in compiled], __regex=[None if c.literals is not None else c.regex for c in compiled]).explode("word")
+
+    kind = T.StructType([own.schema["pattern_id"], T.StructField("pattern", T.StringType()), T.StructField("word", T.StringType()), T.StructField("__regex", T.StringType())])
+    each = own.mapInPandas(needs, kind)
+    rest = each.filter("word = ''").select("pattern_id", "pattern").limit(MOST_PATTERNS + 1).collect()
+    held = pattern_index.met(_numbered(lines), each.filter("word <> ''"), "__id")
+    held = held.filter(F.col("__regex").isNull() | F.regexp_like("line", F.col("__regex")))
+    found_ = held.dropDuplicates(["__id", "pattern_id", "pattern"]).select(*keys, "line_number", "pattern_id")
+    return found_.unionByName(_tried(lines, rest, search, own, keys)) if rest else found_
+
+
 def binary_policy(df: DataFrame, search: SearchSpec, mode: str = "auto", content: str = "content", explicit: str = "is_explicit") -> DataFrame:
     """A row per document with what is to be shown: the other columns, binary_offset, matched, show_lines, record.
 

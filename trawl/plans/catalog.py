@@ -136,6 +136,21 @@ def pattern_table_match(spark, sf_dir):
     return match.grep_table(docs(spark, sf_dir), own)
 
 
+_PIECES = "SELECT substr(text, 5, 12) AS w FROM documents UNION ALL SELECT substr(text, 40, 9) FROM documents"
+
+
+@query(
+    "pattern_table_index",
+    f"""WITH {_LINES}, q AS (SELECT DISTINCT w FROM ({_PIECES}) WHERE len(w) >= 6)
+SELECT doc_id, line_number, line FROM l WHERE EXISTS (SELECT 1 FROM q WHERE contains(l.line, q.w))""",
+)
+def pattern_table_index(spark, sf_dir):
+    """Two pieces of every document as fixed strings, looked for in all lines: more patterns than a plan has constants."""
+    own = table(spark, sf_dir, "documents")
+    pieces = own.select(F.explode(F.array(F.substring("text", 5, 12), F.substring("text", 40, 9))).alias("pattern")).filter(F.length("pattern") >= 6)
+    return match.grep_table(docs(spark, sf_dir), pieces)
+
+
 # Lines
 
 
@@ -197,6 +212,20 @@ def pattern_attribution(spark, sf_dir):
     return match.attribute(docs(spark, sf_dir), table_)
 
 
+@query(
+    "pattern_attribution_index",
+    f"""WITH {_LINES}, w AS (SELECT doc_id AS pattern_id, regexp_extract(text, '[a-z]{{7,}}') AS a, regexp_extract(text, ' ([a-z]{{3,}})[ ,.]', 1) AS b FROM documents),
+q AS (SELECT pattern_id, a, a || ',? .*' || b AS pattern FROM w WHERE a <> '' AND b <> ''),
+m AS MATERIALIZED (SELECT doc_id, line_number, line, pattern_id, pattern FROM l JOIN q ON contains(line, a))
+SELECT doc_id, line_number, pattern_id FROM m WHERE regexp_matches(line, pattern)""",
+)
+def pattern_attribution_index(spark, sf_dir):
+    """A regular expression from each document's words, tried on the lines that hold the text that it needs."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pattern_id"), F.regexp_extract("text", "[a-z]{7,}", 0).alias("a"), F.regexp_extract("text", " ([a-z]{3,})[ ,.]", 1).alias("b"))
+    own = words.filter("a <> '' AND b <> ''").select("pattern_id", F.concat("a", F.lit(",? .*"), "b").alias("pattern"))
+    return match.attribute(docs(spark, sf_dir), own)
+
+
 @query(
     "binary_policy",
     r"""WITH b AS (SELECT doc_id, doc_id % 3 = 0 AS bin, doc_id % 2 = 0 AS named, regexp_matches(text, '[Ll]icense') AS hit, CAST(strlen(text) AS BIGINT) AS nul FROM documents)
