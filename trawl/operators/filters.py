@@ -490,8 +490,11 @@ def explain_filters(
     max_depth: int | None = None,
     max_size: int | None = None,
     length: str = "length",
+    link: str | None = None,
 ) -> DataFrame:
-    """df with skip_reason: what leaves a file out first (glob, hidden, ignore, type, depth, size), or null where it stays.
+    """df with skip_reason: what leaves a file out first (glob, hidden, ignore, type, link, depth, size), or null where it stays.
+
+    link names the column that marks links which weren't followed, as the listing of a tree has it.
 
     An included override skips the tests for hidden, ignored and typed files. A file that is hidden by its own name alone
     is brought back by a selected type.
@@ -517,6 +520,7 @@ def explain_filters(
         .when(~forced & F.lit(not show_hidden) & hidden(p) & ~brought_back, "hidden")
         .when(~forced & F.coalesce(F.col("__ignore") == "exclude", F.lit(False)), "ignore")
         .when(~forced & ~kept_type, "type")
+        .when(F.coalesce(F.col(link), F.lit(False)) if link else F.lit(False), "link")
         .when(deep, "depth")
         .when(large, "size")
     )
