@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,84 +44,88 @@ _HIT = "row_is_a_hit"
 _STATE = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-class _Keyed(StatefulProcessor):
-    """Two numbers of state for each key; rows of a batch are taken in the order of a sequence column."""
+class Step:
+    """What a run of a key's rows, in order, and two numbers of state give: places of rows that are kept, columns that are made for
+    them, and the next numbers. hits: whether each row matches; lines: their texts."""
 
-    def __init__(self, order: str):
-        self.order = order
+    made: tuple[str, ...] = ()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("numbers", _STATE)
+    def __call__(self, hits: list[bool], lines: list[str | None], a: int, b: int) -> tuple[list[int], list[list[int]], tuple[int, int]]:
+        raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        batch = batch.sort_values(self.order, kind="stable")
-        now = self.state.get() if self.state.exists() else (0, 0)
-        out, now = self.step(batch, int(now[0]), int(now[1]))
-        self.state.update(now)
-        if len(out):
-            yield out
 
-    def close(self) -> None:
-        pass
-
-
-class _First(_Keyed):
+class First(Step):
     """At most n rows that are hits; a counts those so far."""
 
-    def __init__(self, order: str, n: int):
-        super().__init__(order)
+    def __init__(self, n: int):
         self.n = n
 
-    def step(self, batch: pd.DataFrame, a: int, b: int):
-        out = batch[batch[_HIT]].head(max(0, self.n - a))
-        return out.drop(columns=_HIT), (a + len(out), b)
+    def __call__(self, hits, lines, a, b):
+        kept = [k for k, is_hit in enumerate(hits) if is_hit][: max(0, self.n - a)]
+        return kept, [], (a + len(kept), b)
 
 
-class _Run(_Keyed):
+class Run(Step):
     """The first run of hits; a is 0 before it, 1 in it and 2 behind it."""
 
-    def step(self, batch: pd.DataFrame, a: int, b: int):
+    def __call__(self, hits, lines, a, b):
         kept = []
-        for is_hit in batch[_HIT]:
-            if a == 0 and is_hit:
-                a = 1
-            elif a == 1 and not is_hit:
-                a = 2
-            kept.append(a == 1)
-        return batch[kept].drop(columns=_HIT), (a, b)
+        for k, is_hit in enumerate(hits):
+            a = 1 if a == 0 and is_hit else 2 if a == 1 and not is_hit else a
+            if a == 1:
+                kept.append(k)
+        return kept, [], (a, b)
 
 
-class _Numbered(_Keyed):
+class Numbered(Step):
     """Line numbers and byte offsets; a lines and b bytes have passed."""
 
-    def __init__(self, order: str, line: str):
-        super().__init__(order)
-        self.line = line
+    made = ("line_number", "absolute_offset")
+
+    def __call__(self, hits, lines, a, b):
+        starts = [*accumulate((len((x or "").encode()) + 1 for x in lines), initial=b)]
+        return [*range(len(lines))], [[*range(a + 1, a + 1 + len(lines))], starts[:-1]], (a + len(lines), starts[-1])
+
 
-    def step(self, batch: pd.DataFrame, a: int, b: int):
-        sizes = batch[self.line].map(lambda s: len(s.encode()) + 1)
-        starts = b + sizes.cumsum() - sizes
-        out = batch.assign(line_number=range(a + 1, a + 1 + len(batch)), absolute_offset=starts)
-        return out.drop(columns=_HIT), (a + len(batch), b + int(sizes.sum()))
+class _Keyed(StatefulProcessor):
+    """A step with its state for each key; rows of a trigger are taken in the order of a sequence column, all of a key at once
+    (streaming.ordered takes them one batch after the other)."""
+
+    def __init__(self, order: str, line: str, step: Step, expires: int | None):
+        self.order, self.line, self.step, self.expires = order, line, step, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("numbers", _STATE, self.expires)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = self.state.get() if self.state.exists() else (0, 0)
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        kept, made, now = self.step(batch[_HIT].tolist(), batch[self.line].tolist(), int(now[0]), int(now[1]))
+        self.state.update(now)
+        if kept:
+            yield batch.iloc[kept].drop(columns=_HIT).assign(**dict(zip(self.step.made, made)))
+
+    def close(self) -> None:
+        pass
 
 
 def _stateful(stream: DataFrame, search: SearchSpec | None, key: str, line: str, processor: _Keyed, extra: str = "") -> DataFrame:
+    """A key's state is removed once it had no rows for the milliseconds that the processor has as expires."""
     marked = stream.withColumn(_HIT, F.coalesce(hit(search, F.col(line)), F.lit(False)) if search else F.lit(True))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + extra
-    return marked.groupBy(key).transformWithStateInPandas(processor, outputStructType=kinds, outputMode="Append", timeMode="None")
+    return marked.groupBy(key).transformWithStateInPandas(processor, outputStructType=kinds, outputMode="Append", timeMode="ProcessingTime" if processor.expires else "None")
 
 
-def max_count_stream(stream: DataFrame, search: SearchSpec, key: str, order: str, line: str = "line") -> DataFrame:
+def max_count_stream(stream: DataFrame, search: SearchSpec, key: str, order: str, line: str = "line", expires: int | None = None) -> DataFrame:
     """The first max_count matching rows of each key. Needs the RocksDB state store (ROCKS)."""
-    return _stateful(stream, search, key, line, _First(order, search.max_count or 0))
+    return _stateful(stream, search, key, line, _Keyed(order, line, First(search.max_count or 0), expires))
 
 
-def stop_stream(stream: DataFrame, search: SearchSpec, key: str, order: str, line: str = "line") -> DataFrame:
+def stop_stream(stream: DataFrame, search: SearchSpec, key: str, order: str, line: str = "line", expires: int | None = None) -> DataFrame:
     """Each key's first run of matching rows."""
-    return _stateful(stream, search, key, line, _Run(order))
+    return _stateful(stream, search, key, line, _Keyed(order, line, Run(), expires))
 
 
-def number_stream(stream: DataFrame, key: str, order: str, line: str = "line") -> DataFrame:
+def number_stream(stream: DataFrame, key: str, order: str, line: str = "line", expires: int | None = None) -> DataFrame:
     """line_number and absolute_offset of each row within its key, in the order of a sequence column."""
-    return _stateful(stream, None, key, line, _Numbered(order, line), ", line_number bigint, absolute_offset bigint")
+    return _stateful(stream, None, key, line, _Keyed(order, line, Numbered(), expires), ", line_number bigint, absolute_offset bigint")
