@@ -120,3 +120,12 @@ def test_sort_and_render(spark):
     assert [r.path for r in display.sort_by(own, "modified").collect()] == ["b", "a+", "a/b"]
     rows = spark.createDataFrame([("p", 1, "x", "match"), ("p", 2, "y", "context")], "path string, n int, line string, role string")
     assert [r.rendered for r in display.render_lines(rows, ["path", "n"], role="role").orderBy("n").collect()] == ["p:1:x", "p-2-y"]
+
+
+def test_bytes_printed_in_stats(corpus):
+    own = corpus(a="pre\nneedle one\nctx\nx\ny\nneedle é\n", bb="needle", c="hay")
+    r = aggregate.stats(own, spec("needle"), printed=["path", "line_number"]).first()
+    assert r.bytes_printed == len("a:2:needle one\na:6:needle é\nbb:1:needle\n".encode()) and (r.searches, r.searches_with_match, r.matches) == (3, 2, 3)
+    r = aggregate.stats(own, spec("needle", before=1), printed=[]).first()
+    assert r.bytes_printed == len("pre\nneedle one\n--\ny\nneedle é\n--\nneedle\n".encode())
+    assert aggregate.stats(own, spec("nothing", after=1), printed=["path"]).first().bytes_printed == 0

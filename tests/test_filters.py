@@ -138,3 +138,26 @@ def test_many_rules(spark):
     lines = [f"/d{k}/f{j}.e{j}" if (k + j) % 2 else f"!d{k}/*.e{j}" for k in range(4) for j in range(30)] + [f"*.e{j}" for j in range(0, 30, 3)]
     found = {x.path: x.decision for x in filters.ignore_decisions(own, rules(spark, ("\n".join(lines),))).collect()}
     assert all(found[f"d{k}/f{j}.e{j}"] == ("exclude" if j % 3 == 0 or (k + j) % 2 else "include") for k in range(4) for j in range(30))
+
+
+@pytest.mark.parametrize("few", [filters.FEW_RULES, 10**6])
+def test_looked_up_rules_decide_like_tried_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(filters, "FEW_RULES", few)
+    names = ["alpha", "beta", "gamma.txt", "delta.md", "x-1", "dir"]
+    paths_ = [f"{a}/{b}/{c}" for a in names for b in names for c in names] + [f"{a}/{c}" for a in names for c in names] + names
+    own = spark.createDataFrame([(p,) for p in paths_] + [(None,)], "path string")
+    lines = ["/alpha/*.md", "!alpha/delta.md", "beta/**/x-?", "**/dir/gam*", "dir/", "!/dir/", "x-[0-9]/del*", "{alpha,beta}/dir", "gamma.txt/*", "!gamma.txt/beta"] + [f"/alpha/none{k}/*.y{k}" for k in range(30)]
+    got = {r.path: r.decision for r in filters.ignore_decisions(own, rules(spark, ("\n".join(lines),))).collect()}
+    assert set(got) == set(paths_) and len(got) == len(paths_)
+    if few == 10**6:
+        assert got == test_looked_up_rules_decide_like_tried_ones.held and {"include", "exclude", None} == set(got.values())
+    else:
+        test_looked_up_rules_decide_like_tried_ones.held = got
+
+
+def test_ten_thousand_rules_in_one_pass(spark):
+    lines = [f"/src{k % 40}/part{k}/*.gen{k % 7}" for k in range(10_000)]
+    own = spark.createDataFrame([(f"src{k % 40}/part{k}/f.gen{k % 5}",) for k in range(0, 20_000, 7)], "path string")
+    found = filters.ignore_filter(own, rules(spark, ("\n".join(lines),)))
+    want = [f"src{k % 40}/part{k}/f.gen{k % 5}" for k in range(0, 20_000, 7) if k >= 10_000 or k % 7 != k % 5]
+    assert sorted(r.path for r in found.collect()) == sorted(want)

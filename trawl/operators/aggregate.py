@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,10 +102,30 @@ def _multiline_stats(df: DataFrame, search: SearchSpec, text: str) -> DataFrame:
     return rows.select(*keys, F.lit(1).cast("long").alias("searches"), (n > 0).cast("long").alias("searches_with_match"), "bytes_searched", covered.alias("matched_lines"), n.alias("matches"))
 
 
-def stats(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:
-    """One row: the sums of doc_stats."""
-    names = ("searches", "searches_with_match", "bytes_searched", "matched_lines", "matches")
-    return doc_stats(df, search, text).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
+def stats(df: DataFrame, search: SearchSpec, text: str = "text", printed: Sequence[str] | None = None) -> DataFrame:
+    """One row: the sums of doc_stats; with printed, also bytes_printed.
+
+    printed: what stands before each shown line, behind each a separator: columns of df, and line_number. With context, two
+    dashes and a line feed stand between groups of lines. It is one reading of the documents for all.
+    """
+    names = ["searches", "searches_with_match", "bytes_searched", "matched_lines", "matches"]
+    rows = df
+    if printed is not None:
+        fields = [c for c in printed if c != "line_number"]
+        before = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 1 for c in fields), F.lit(0))
+
+        def size(r: Column) -> Column:
+            number = F.octet_length(r["line_number"].cast("string")) + 1 if "line_number" in printed else F.lit(0)
+            return before + number + n_bytes(r["line"], search.raw) + 1
+
+        shown = selected_array(search, F.coalesce(F.col(text), F.lit("")))
+        both = let(shown, lambda a: F.struct(F.aggregate(a, F.lit(0).cast("long"), lambda n, r: n + size(r)).alias("bytes"), F.coalesce(F.try_element_at(a, F.lit(-1))["group_id"], F.lit(0)).alias("groups")))
+        rows = df.withColumn("__printed", both)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names]
+    if printed is not None:
+        dashes = F.greatest(F.sum("__printed.groups") - 1, F.lit(0)) * 3 if search.before or search.after else F.lit(0)
+        sums.append(F.coalesce(F.sum("__printed.bytes") + dashes, F.lit(0)).cast("long").alias("bytes_printed"))
+    return doc_stats(rows, search, text).agg(*sums)
 
 
 def grouped(df: DataFrame, search: SearchSpec, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawl.operators.lines import BLOCK, blocked, blocks_before, items, let, line_array, line_starts, others, running, within_block
 from trawl.operators.match import hit, prefiltered
-from trawl.sources.files import written_once
+from trawl.sources.written import written_once
 from trawl.spec import SearchSpec
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.globs import compile_glob
+from trawl.operators import pattern_index
+from trawl.sources.written import written_once
 from trawl.spec import SpecError
 
 #: Most rules or type globs that are gathered on the driver or broadcast.
@@ -246,7 +249,7 @@ FILE_TYPES = {
 }
 
 #: Rules without an index that are tried in one pass over the paths.
-RULES_A_PASS = 500
+RULES_A_PASS, FEW_RULES = 500, 20
 
 
 # Override globs
@@ -317,47 +320,67 @@ def _name_keys(name: Column) -> Column:
     return F.array_append(F.slice(endings, F.lit(1), F.size(parts) - 1), F.concat(F.lit("b:"), name))
 
 
+def _index_text(pattern: str) -> str:
+    """The longest text that every path with a match of a glob holds; slashes don't count, as some stand for none."""
+    plain = re.split(r"[\[{\\]", pattern)[0]
+    return max(re.split(r"[*?/]+", plain), key=len)
+
+
 def ignore_decisions(df: DataFrame, rules: DataFrame, path: str = "path", sources: Sequence[str] | None = None) -> DataFrame:
     """path, decision (include, exclude or null) for each distinct path.
 
-    Each ancestor of a path, and the path itself, gets the decision of the last rule that matches it in the highest
-    source rank. A file is excluded with any excluded ancestor; else its own decision holds. Rules for a name or an
-    ending are joined by it; others are constants of the plan, tried from the last to the first.
+    Each folder and file, once, gets the decision of the last rule that matches it in the highest source rank. A file is excluded with
+    any folder above it; else its own decision holds. Rules for a name or an ending are joined by it. Others are looked up by a
+    text that they need, all in one pass, and tried where it is held; those without one are constants of the plan.
     """
     table = rules.filter(F.col("source").isin(*sources)) if sources is not None else rules
     rows = table.limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise SpecError(f"more than {MOST_RULES} rules")
-    parts = F.split(F.col(path), "/")
-    paths = df.select(F.col(path).alias("path")).distinct().select("path", parts.alias("parts"))
-    nodes = paths.select("path", F.size("parts").alias("depth"), F.posexplode("parts").alias("before", "name"), F.col("parts"))
-    nodes = nodes.select("path", "depth", (F.col("before") + 1).alias("level"), "name", F.array_join(F.slice("parts", F.lit(1), F.col("before") + 1), "/").alias("node"))
-    keys = ("path", "depth", "level")
-    indexed, general = [], []
+    paths = df.select(F.col(path).alias("path")).filter("path IS NOT NULL").distinct()
+    parts = F.split("path", "/")
+    folders = paths.filter(F.size(parts) > 1).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("node"))
+    nodes = folders.select("node", F.lit(True).alias("is_dir")).distinct().unionByName(paths.select(F.col("path").alias("node"), F.lit(False).alias("is_dir")))
+    keys = ("node", "is_dir")
+    indexed, general, looked_up = [], [], []
     for r in rows:
         key = _index_key(r["pattern"]) if r["basename_only"] and not r["anchored"] and not r["case_insensitive"] else None
         scope = r["scope_dir"].strip("/")
         if key:
             indexed.append((key, scope, r["source_rank"], r["seq"], r["decision"], bool(r["dir_only"])))
-        else:
-            glob = compile_glob(("/" if r["anchored"] else "") + r["pattern"], insensitive=bool(r["case_insensitive"]), slash_anchors=False)
-            general.append((r["source_rank"], r["seq"], scope, glob, bool(r["dir_only"]), r["decision"]))
-    decision = F.struct(F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("decision"))
-    found = [nodes.select(*keys, decision.alias("d"))]
+            continue
+        glob = compile_glob(("/" if r["anchored"] else "") + r["pattern"], insensitive=bool(r["case_insensitive"]), slash_anchors=False)
+        text = "" if r["case_insensitive"] else _index_text(r["pattern"])
+        rule = (r["source_rank"], r["seq"], scope, glob, bool(r["dir_only"]), r["decision"])
+        (looked_up.append((text, *rule)) if text else general.append(rule))
+    if len(looked_up) <= FEW_RULES:
+        general += [r[1:] for r in looked_up]
+        looked_up = []
+    decision = F.struct("rank", "seq", "decision").alias("d")
+    spark, found = df.sparkSession, []
     if indexed:
-        known = df.sparkSession.createDataFrame(indexed, "key string, scope string, rank int, seq int, decision string, dir_only boolean")
-        inside = "(scope = '' OR startswith(node, concat(scope, '/'))) AND (NOT dir_only OR level < depth)"
-        met = nodes.select(*keys, "node", F.explode(_name_keys(F.col("name"))).alias("key")).join(F.broadcast(known), "key").filter(inside)
-        found.append(met.select(*keys, F.struct("rank", "seq", "decision").alias("d")))
+        known = spark.createDataFrame(indexed, "key string, scope string, rank int, seq int, decision string, dir_only boolean")
+        inside = "(scope = '' OR startswith(node, concat(scope, '/'))) AND (NOT dir_only OR is_dir)"
+        met = nodes.select(*keys, F.explode(_name_keys(F.element_at(F.split("node", "/"), -1))).alias("key")).join(F.broadcast(known), "key").filter(inside)
+        found.append(met.select(*keys, decision))
+    if looked_up:
+        known = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(looked_up)], "rule long, rank int, seq int, scope string, regex string, dir_only boolean, decision string")
+        index = pattern_index.GramIndex([r[0] for r in looked_up], [*range(len(looked_up))])
+        met = pattern_index.indexed(nodes.select(*keys), index, "node", "rule").join(F.broadcast(known), "rule")
+        below = F.when(F.col("scope") == "", F.col("node")).when(F.expr("startswith(node, concat(scope, '/'))"), F.expr("substring(node, length(scope) + 2)"))
+        found.append(met.filter((~F.col("dir_only") | F.col("is_dir")) & F.regexp_like(below, F.col("regex"))).select(*keys, decision))
     general.sort(key=lambda r: r[:2], reverse=True)
     for k in range(0, len(general), RULES_A_PASS):
         tried = [_tried(*r) for r in general[k : k + RULES_A_PASS]]
         found.append(nodes.select(*keys, F.coalesce(*tried).alias("d")).filter("d IS NOT NULL"))
+    if not found:
+        return paths.select("path", F.lit(None).cast("string").alias("decision"))
     best = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.max("d").alias("d"))
-    out = best.groupBy("path").agg(
-        F.max(F.when((F.col("level") < F.col("depth")) & (F.col("d.decision") == "exclude"), True)).alias("pruned"),
-        F.max(F.when(F.col("level") == F.col("depth"), F.col("d.decision"))).alias("own"),
-    )
+    best = written_once(best.select(*keys, F.col("d.decision").alias("decision")), "ignore-decisions")
+    gone = best.filter("is_dir AND decision = 'exclude'").select("node")
+    pruned = folders.join(gone, "node").select("path").distinct().withColumn("pruned", F.lit(True))
+    own = best.filter("NOT is_dir").select(F.col("node").alias("path"), F.col("decision").alias("own"))
+    out = paths.join(own, "path", "left").join(pruned, "path", "left")
     return out.select("path", F.when(F.col("pruned"), "exclude").otherwise(F.col("own")).alias("decision"))
 
 
@@ -365,7 +388,7 @@ def _tried(rank: int, seq: int, scope: str, regex: str, dir_only: bool, decision
     """A rule's rank, seq and decision where it matches a node, else null."""
     below = F.col("node") if not scope else F.when(F.col("node").startswith(f"{scope}/"), F.substring("node", len(scope) + 2, 1 << 30))
     test = below.rlike(regex)
-    test = test & (F.col("level") < F.col("depth")) if dir_only else test
+    test = test & F.col("is_dir") if dir_only else test
     return F.when(test, F.struct(F.lit(rank).alias("rank"), F.lit(seq).alias("seq"), F.lit(decision).alias("decision")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from trawl.functions.dialect import Compiled, compile_patterns
 from trawl.operators import pattern_index
 from trawl.operators.lines import line_array, others, split_lines
-from trawl.sources.files import written_once
+from trawl.sources.written import written_once
 from trawl.spec import SearchSpec, SpecError, spec
 
 #: Most patterns that are constants of a plan.

@@ -388,6 +388,18 @@ def search_stats(spark, sf_dir):
     return aggregate.stats(docs(spark, sf_dir), spec("[Tt]he"))
 
 
+@query(
+    "search_stats_printed",
+    f"""WITH {_LINES}, c AS (SELECT doc_id, line_number, line, {_match("[Ll]icense")} AS hit FROM l),
+p AS (SELECT count(*) AS matched_lines, coalesce(sum(len(regexp_extract_all(line, '[Ll]icense'))), 0) AS matches, count(DISTINCT doc_id) AS with_match,
+  coalesce(sum(strlen(CAST(doc_id AS VARCHAR)) + strlen(CAST(line_number AS VARCHAR)) + strlen(line) + 3), 0) AS bytes_printed FROM c WHERE hit)
+SELECT (SELECT count(*) FROM documents) AS searches, with_match AS searches_with_match, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes_searched,
+  matched_lines, CAST(matches AS BIGINT) AS matches, CAST(bytes_printed AS BIGINT) AS bytes_printed FROM p""",
+)
+def search_stats_printed(spark, sf_dir):
+    return aggregate.stats(docs(spark, sf_dir), spec("[Ll]icense"), printed=["doc_id", "line_number"])
+
+
 # Context
 
 _LIC = _match("[Ll]icense")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import lzma
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.globs import compile_glob
 from trawl.operators.filters import glob_decision
+from trawl.sources.written import written_once  # noqa: F401
 from trawl.spec import SpecError
 
 #: Encoding labels and the character sets that the JVM knows them by.
@@ -141,20 +140,3 @@ def decode(df: DataFrame, encoding: str = "auto", content: str = "content", text
 def matching_paths(df: DataFrame, glob: str, path: str = "path") -> DataFrame:
     """Rows whose whole path a single glob matches."""
     return df.filter(F.col(path).rlike(compile_glob(glob)))
-
-
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (or, with all on one machine, a folder of our own where that is unset), deleted when the application ends.
-
-    For rows with values that a second evaluation may give otherwise.
-    """
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise SpecError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

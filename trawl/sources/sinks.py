@@ -9,6 +9,7 @@ from trawl.operators.aggregate import doc_stats
 from trawl.operators.context import selected_array
 from trawl.operators.lines import items, let, n_bytes, others
 from trawl.operators.spans import match_rows, span_array
+from trawl.sources.written import written_once
 from trawl.spec import SearchSpec
 
 
@@ -62,9 +63,10 @@ def event_columns(df: DataFrame, search: SearchSpec, path: str = "path", text: s
     """The events as columns: type, path, seq, line_number, absolute_offset, lines, submatches (their number), the counters of
     end and summary (bytes_printed: the begin and line messages with their line feeds), and value, the event as JSON.
 
-    seq orders the events of a path: begin, its lines, end. The summary is a second reading, of the counters alone.
+    seq orders the events of a path: begin, its lines, end. Messages and counters are written once, as one reading of the documents
+    gives them; events and summary are made of that.
     """
-    rows = _messages(df, search, path, text)
+    rows = written_once(_messages(df, search, path, text), "search-messages")
     counted = F.struct(*COUNTERS).alias("stats")
     end = F.to_json(F.struct(F.lit("end").alias("type"), F.struct(data_object(F.col("path")).alias("path"), counted).alias("data")))
     kinds = "struct<type:string,seq:bigint,line_number:int,absolute_offset:bigint,lines:string,submatches:int,value:string>"
