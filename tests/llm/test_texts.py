@@ -420,3 +420,31 @@ def test_token_query_against_a_recount(spark, prose, tmp_path):
                 own[k] += v
     got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_a_broken_compaction_counts_once(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    change = lambda *rows: spark.createDataFrame(rows, "sign int, source string, lang string, version string, n_tokens long, n_chars long")
+    for k in range(4):
+        assert ledger.commit(f"batch {k}", change((1, "s", "en", "v", 2, 5)))
+    marks = spark.createDataFrame([(f"batch {k}",) for k in range(3)], "batch string")
+    sums = spark.createDataFrame([("s", "en", "v", 3, 6, 15)], token_counts._KINDS)
+    ledger._write(sums, marks, "compacted:three")  # its batches are still there as well
+    total = lambda: [(r.n_docs, r.n_tokens, r.n_chars) for r in ledger.totals().collect()]
+    assert total() == [(4, 8, 20)] and len(ledger._current()) == 2 and not ledger.commit("batch 1", change((1, "s", "en", "v", 9, 9)))
+    ledger.compact()
+    assert total() == [(4, 8, 20)] and len(ledger._current()) == 1 and ledger.batches() == {f"batch {k}" for k in range(4)}
+    plan = ledger.totals()._jdf.queryExecution().analyzed().toString()
+    assert "batch 1" not in plan
+
+
+def test_many_windows_of_few_words_are_broadcast(spark, table, prose, monkeypatch):
+    items = [(k, prose(100 + k, 400)) for k in range(75)]  # 29,325 windows, 293,250 words in them, of 3,000 different ones
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = table([(1, prose(107, 60)), (2, prose(9, 60)), (3, items[3][1])])
+    index = decontam.build_index(docs, benchmark)
+    assert index.each.count() > 29_000
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, benchmark).collect()}
+    assert got == {1: (60, 60, 1), 2: (60, 0, 0), 3: (400, 400, 1)}
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, benchmark).collect()} == got

@@ -105,10 +105,12 @@ def _postings(docs: DataFrame, wanted: DataFrame, size: int, small: bool) -> Dat
 def build_index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> PositionalIndex:
     each = staged(benchmark_windows(benchmark, size), "windows")
     terms = each.select("wid", "words").distinct().select("wid", "words", F.posexplode("words").alias("offset", "term"))
-    small = terms.count() <= BROADCAST_ROWS
+    # What is broadcast is the windows' vocabulary, so its own size decides.
+    vocabulary = staged(terms.select("term").distinct(), "vocabulary")
+    small = vocabulary.count() <= BROADCAST_ROWS
     if not small and ROW not in docs.columns:
         docs = numbered(docs)  # rows are told apart in two readings
-    vocabulary, words = terms.select("term").distinct(), _rows(docs).select(F.explode("words").alias("term"))
+    words = _rows(docs).select(F.explode("words").alias("term"))
     if small:
         counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
     else:

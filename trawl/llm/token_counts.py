@@ -14,7 +14,6 @@ own. Repeated rows count as often as they occur. An empty batch is committed and
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +33,8 @@ NUMBERS = "[0-9]+"
 
 _GROUP = ["source", "lang", "version"]
 _KINDS = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
+#: What a write holds: sums, and rows with mark that carry a batch id each.
+_WRITTEN = _KINDS + ", mark boolean, batch string, place string"
 
 
 @lru_cache(maxsize=2)
@@ -87,51 +88,59 @@ class TokenLedger:
         paths = [s.getPath().toString() for s in system.listStatus(root)]
         return [p for p in paths if self._file(f"{p}/_SUCCESS")[0].exists(self._file(f"{p}/_SUCCESS")[1])]
 
-    def _current(self) -> dict[str, set[str]]:
-        """Paths and batch ids that count: not those that a compaction holds as well, should it have broken off before deleting."""
-        paths = {p.rsplit("/", 1)[1]: p for p in self._committed()}
-        if not paths:
-            return {}
-        # A row a batch, read at once; compact() keeps them few.
-        rows = self.spark.read.parquet(*paths.values()).filter("mark").select("place", "batches").collect()
-        found = {paths[r["place"]]: set(r["batches"]) for r in rows}
-        folded = [ids for ids in found.values() if len(ids) > 1]
-        return {p: ids for p, ids in found.items() if not any(ids < other for other in folded)}
+    def _marks(self) -> DataFrame | None:
+        """place (of a committed write) and batch, a row for each batch id that it holds; None without any."""
+        paths = self._committed()
+        return self.spark.read.schema(_WRITTEN).parquet(*paths).filter("mark").select("place", "batch") if paths else None
+
+    def _current(self) -> list[str]:
+        """Paths that count: not those whose batches a compaction holds as well, should it have broken off before deleting."""
+        marks = self._marks()
+        if marks is None:
+            return []
+        own = marks.join(marks.groupBy("place").agg(F.count("*").alias("n")), "place")
+        other = own.select("batch", F.col("place").alias("larger"), F.col("n").alias("more"))
+        folded = own.join(other.filter("more > 1"), "batch").filter("more > n").groupBy("place", "n", "larger").agg(F.count("*").alias("held")).filter("held = n")
+        places = marks.select("place").distinct().join(folded.select("place").distinct(), "place", "left_anti").collect()
+        return [f"{self.path}/{r.place}" for r in places]  # a row a write; compact() keeps them few
 
     def batches(self) -> set[str]:
         """The ids of all committed batches."""
-        return set().union(*self._current().values())
+        marks = self._marks()
+        return set() if marks is None else {r.batch for r in marks.select("batch").distinct().collect()}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch (sign, source, lang, version, n_tokens, n_chars) to the totals; False if its id is there already."""
-        if batch in self.batches():
+        marks = self._marks()
+        if marks is not None and not marks.filter(F.col("batch") == batch).isEmpty():
             return False
         sums = [F.sum("sign").alias("n_docs"), *(F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("n_tokens", "n_chars"))]
-        self._write(changes.groupBy(*_GROUP).agg(*sums), [batch], batch)
+        self._write(changes.groupBy(*_GROUP).agg(*sums), self.spark.createDataFrame([(batch,)], "batch string"), batch)
         return True
 
-    def _write(self, sums: DataFrame, batches: list[str], name: str) -> None:
-        # A row without counts carries the ids, so an empty batch is remembered as well.
-        none = self.spark.range(1).select(*(F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in _KINDS.split(", ")), F.lit(True).alias("mark"))
-        rows = sums.select(*(F.col(k.split()[0]).cast(k.split()[1]) for k in _KINDS.split(", ")), F.lit(False).alias("mark")).unionByName(none)
-        ids = F.array(*(F.lit(b) for b in batches)).cast("array<string>")
+    def _write(self, sums: DataFrame, batches: DataFrame, name: str) -> None:
+        # Rows without counts carry the ids, so an empty batch is remembered as well.
+        columns = [k.split() for k in _KINDS.split(", ")]
+        ids = batches.select(*(F.lit(None).cast(k).alias(c) for c, k in columns), F.lit(True).alias("mark"), "batch")
+        rows = sums.select(*(F.col(c).cast(k) for c, k in columns), F.lit(False).alias("mark"), F.lit(None).cast("string").alias("batch")).unionByName(ids)
         place = "b" + (base64.urlsafe_b64encode(name.encode()).decode().rstrip("=") or "empty")
-        rows.select("*", ids.alias("batches"), F.lit(place).alias("place")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{place}")
+        rows.withColumn("place", F.lit(place)).write.mode("overwrite").parquet(f"{self.path}/{place}")
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens, n_chars: groups that have documents, tokens or characters left."""
-        found = [*self._current()]
-        rows = self.spark.read.parquet(*found) if found else self.spark.createDataFrame([], _KINDS + ", mark boolean")
+        found = self._current()
+        rows = self.spark.read.schema(_WRITTEN).parquet(*found) if found else self.spark.createDataFrame([], _WRITTEN)
         out = rows.filter(~F.col("mark")).groupBy(*_GROUP).agg(*(F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")))
         return out.filter("n_docs <> 0 OR n_tokens <> 0 OR n_chars <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into one file; the old ones go once it is there."""
+        """Fold all committed batches into one write; the old ones go once it is there."""
         old = self._committed()
         if len(old) > 1:
-            ids = sorted(self.batches())
-            name = "compacted:" + hashlib.sha256("\0".join(ids).encode()).hexdigest()
-            self._write(staged(self.totals(), "ledger"), ids, name)
+            marks = staged(self._marks().select("batch").distinct(), "ledger-batches")
+            # The same batches get the same name, in whatever order.
+            name = "compacted:" + "-".join(map(str, marks.agg(F.count("*"), F.sum(F.xxhash64("batch").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("batch"))).first()))
+            self._write(staged(self.totals(), "ledger"), marks, name)
             new = set(self._committed()) - set(old)
             for p in old if new else []:
                 system, there = self._file(p)
