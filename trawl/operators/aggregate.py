@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.dialect import compile_patterns
 from trawl.operators.context import selected_array
-from trawl.operators.lines import let, line_array, n_bytes, others
+from trawl.operators.lines import computed, let, line_array, n_bytes, others
 from trawl.operators.match import hit, prefiltered
 from trawl.operators.spans import covering_spans
 from trawl.spec import SearchSpec
@@ -35,7 +35,7 @@ def matches_in(search: SearchSpec, lines: Column) -> Column:
 def count_lines(df: DataFrame, search: SearchSpec, text: str = "text", include_zero: bool = False) -> DataFrame:
     """The other columns and n: matching lines of each document that has any, or of all."""
     rows = df if include_zero else prefiltered(df, search, text)
-    rows = rows.select(*others(df, text), F.size(_matching(search, F.col(text))).cast("long").alias("n"))
+    rows = computed(rows, others(df, text), F.size(_matching(search, F.col(text))).cast("long"), "n")
     return rows if include_zero else rows.filter("n > 0")
 
 
@@ -44,7 +44,7 @@ def count_matches(df: DataFrame, search: SearchSpec, text: str = "text", include
     if search.invert:
         return count_lines(df, search, text, include_zero)
     rows = df if include_zero else prefiltered(df, search, text)
-    rows = rows.select(*others(df, text), matches_in(search, _matching(search, F.col(text))).alias("n"))
+    rows = computed(rows, others(df, text), matches_in(search, _matching(search, F.col(text))), "n")
     return rows if include_zero else rows.filter("n > 0")
 
 

@@ -31,14 +31,20 @@ def selected_array(search: SearchSpec, text: Column) -> Column:
 
     def shown(a: Column, flags: Column, counted: Column) -> Column:
         n = F.size(a)
+
+        def around(i: Column, k: Column) -> Column:
+            """The lines near a match that aren't near the one before it."""
+            first = F.greatest(i - search.before, F.coalesce(F.get(counted, k - 1) + search.after, F.lit(0)) + 1)
+            last = F.least(i + search.after, n)
+            return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
         if search.passthru:
             last = n
             if search.stop_on_nonmatch:
                 last = F.when(F.size(counted) > 0, F.least(F.element_at(counted, -1) + 1, n)).otherwise(n)
             kept = F.when(n > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         else:
-            around = F.transform(counted, lambda i: F.sequence(F.greatest(i - search.before, F.lit(1)), F.least(i + search.after, n)))
-            kept = F.array_distinct(F.flatten(around))
+            kept = counted if search.before == search.after == 0 else F.flatten(F.transform(counted, around))
         if search.max_count == 0:
             kept = F.array().cast("array<int>")
 

@@ -69,6 +69,11 @@ def items(df: DataFrame, kept: list, array: Column | str, pos: str, item: str) -
     return df.select(*kept, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
 
 
+def computed(df: DataFrame, kept: list, value: Column, name: str) -> DataFrame:
+    """What is kept of df, with a value that filters behind it don't compute once more, as they would that of a projection."""
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def split_lines(df: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
     """A row per line: the other columns, line_number from 1, line, and terminator (empty after an unended last line)."""
     keys = others(df, text)
