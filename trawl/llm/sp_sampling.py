@@ -44,6 +44,8 @@ SPACE = "▁"
 KEPT_NODES, CHUNK = 600_000, 500_000
 #: Occurrences up to which they are sampled one after the other, that many steps' random numbers at a time.
 FEW, STEPS = 4, 256
+#: Bits of a hash that are tested before it is looked up.
+TEST_BITS = 18
 #: Edges whose probabilities are computed one by one as Python's numbers at a time.
 EDGES = 100_000
 #: Characters of a unit beyond which its nodes are filtered one by one.
@@ -83,6 +85,10 @@ def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def _top(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - TEST_BITS)).astype(np.int64)
+
+
 def _one_by_one(source: np.ndarray, target: np.ndarray, weight: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """The probabilities of edges sorted by target, of which alpha knows all nodes before the first target; EDGES at a time."""
     heads, out, known = np.flatnonzero(np.diff(target, prepend=-1)), np.empty(len(target)), memoryview(alpha)
@@ -131,13 +137,15 @@ class Lattices:
                 self.weights[piece.replace(SPACE, " ")] = (i, -alpha * math.log(2 - sp.get_score(i)))
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
         self.fallback = -alpha * math.log(2 + n)
-        self.by_length = []  # sorted hashes of the pieces of each length, with their ids and weights
+        self.by_length = []  # sorted hashes of the pieces of each length, with their ids and weights, and a first test of hashes
         for length in range(1, max(map(len, self.weights)) + 1):
             pieces = [p for p in self.weights if len(p) == length]
             found = _hashes("".join(pieces), np.arange(len(pieces)) * length, length) if pieces else np.empty(0, np.uint64)
             order = np.argsort(found)
             ids = np.array([self.weights[p][0] for p in pieces], np.int32)[order]
-            self.by_length.append((found[order], ids, np.array([self.weights[p][1] for p in pieces], float)[order]))
+            test = np.zeros(1 << TEST_BITS, bool)
+            test[_top(found)] = True
+            self.by_length.append((found[order], ids, np.array([self.weights[p][1] for p in pieces], float)[order], test))
         self.clear()
 
     def clear(self) -> None:
@@ -151,14 +159,16 @@ class Lattices:
     def _matches(self, points: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """All pieces in a text whose places have so many characters to their unit's end: starts, lasts, ids and weights, by length."""
         at, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
-        for length, (known, ids, weights) in enumerate(self.by_length, 1):
+        for length, (known, ids, weights, test) in enumerate(self.by_length, 1):
             on = left[at] >= length
             at, h = at[on], h[on]
             h = _longer(h, points[at + length - 1])
             if len(known) and len(at):
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[k] == h
-                yield at[hit], at[hit] + length - 1, ids[k[hit]], weights[k[hit]]
+                maybe = np.flatnonzero(test[_top(h)])  # few others pass
+                own, there = h[maybe], at[maybe]
+                k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = known[k] == own
+                yield there[hit], there[hit] + length - 1, ids[k[hit]], weights[k[hit]]
 
     def cut(self, unit: str) -> list[str]:
         """A long unit in parts that end where no piece crosses, as every path passes there: sampled apart, they are sampled alike."""
