@@ -77,6 +77,48 @@ def test_batches_are_added_once(spark, table, tmp_path, monkeypatch):
     assert index.entries().count() == 2 and set(index.batches()) == {"monday"}
 
 
+def test_old_batches_are_folded(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr("trawl.llm.exact_dedup.MOST_OPEN", 4)
+    path = tmp_path / "index"
+    index = ExactDedupIndex(spark, str(path), buckets=2)
+    batch = lambda k: table([(10 * k, f"own {k}"), (10 * k + 1, "shared"), (10 * k + 2, f"own {max(k - 1, 0)}")])
+    answer = lambda where, k: sorted((r.doc_id, r.keep_id, r.kept) for r in where.add(batch(k), f"day {k}").collect())
+    size = lambda where: len(where.entries()._jdf.queryExecution().optimizedPlan().toString())
+    first, sizes = {}, []
+    for k in range(14):
+        with monkeypatch.context() as broken:
+            if k in (3, 5):  # an attempt that is broken off, before it is folded or after
+                broken.setattr("trawl.llm.exact_dedup.write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError, match="lost"):
+                    answer(index, k)
+        first[k] = answer(index, k)
+        sizes.append(size(index))
+        assert len([*(path / index.folder).glob("part-*")]) <= 2 * (4 + 2) and len(index.batches()) <= 4
+    assert first[0] == [(0, 0, True), (1, 1, True), (2, 0, False)] and first[9] == [(90, 90, True), (91, 1, False), (92, 80, False)]
+    assert sizes[13] <= max(sizes[:4]) + 100 and index.generation == 3
+    again = ExactDedupIndex(spark, str(path))
+    assert {k: answer(again, k) for k in (0, 4, 13)} == {k: first[k] for k in (0, 4, 13)}
+    assert sorted(r.keep_id for r in again.entries().collect()) == sorted([1, *range(0, 140, 10)]) and again.generation == 3
+    # Generations before the last one are gone.
+    assert len([n for n in path.iterdir() if n.name[0] == "g"]) == 2
+    again.compact()
+    assert not again.batches() and again.folded().count() == 14 and answer(again, 13) == first[13]
+
+
+def test_a_broken_compaction_changes_nothing(spark, table, tmp_path, monkeypatch):
+    index = ExactDedupIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.add(table([(1, "a"), (2, "b")]), "one").count()
+    with monkeypatch.context() as broken:
+        broken.setattr("trawl.llm.exact_dedup.write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            index.compact()
+    again = ExactDedupIndex(spark, str(tmp_path / "index"))
+    for now in (index, again):
+        assert {r.keep_id for r in now.entries().collect()} == {1, 2} and set(now.batches()) == {"one"}
+    again.compact()
+    assert {r.keep_id for r in ExactDedupIndex(spark, str(tmp_path / "index")).entries().collect()} == {1, 2}
+
+
 def test_rows_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "a", 8, 9, 10), (None, "b", 1, 2, 3)], "doc_id long, text string, __row long, __ROW_own int, row_id int")
     out = exact_dedup(docs)
