@@ -121,6 +121,30 @@ def test_notice_labels_against_brute_force(table, prose):
     assert license_scan.license_labels(table([(1, texts[0])])).first().labels == "cc-by" and license_scan.license_labels(table([(1, texts[2])])).first().score == 1
 
 
+@pytest.mark.parametrize("most", [license_scan.MOST_GRAMS, 40])
+def test_own_templates(spark, table, odd, prose, monkeypatch, most):
+    monkeypatch.setattr(license_scan, "MOST_GRAMS", most)
+    texts = {"a-1.0": prose(501, 60), "b-2": "Permission is hereby granted, FREE of charge: " + prose(502, 30), "c": prose(503, 45) + " " + prose(501, 20)}
+    rows = [(label, text, 1) for label, text in texts.items()] + [("short", "two words", 2), ("none", None, 3), (None, prose(504, 9), 4), ("a-1.0", texts["a-1.0"], 5)]
+    own = spark.createDataFrame(rows, "label string, text string, gram int")
+    docs = odd + [(300, prose(510, 40) + " " + "".join(c.upper() if c.isascii() else c for c in texts["a-1.0"]) + " cc by"), (301, texts["b-2"] + "\n" + prose(504, 9)), (302, " ".join(texts["c"].split()[:50]) + " two words"), (303, license_scan.NOTICES[6][1])]
+    every = [(label or "unknown", " ".join(words(text))) for label, text, _ in rows if text and len(words(text)) > 2]
+    got = license_scan.license_labels(table(docs), own).collect()
+    assert len(got) == len(docs) and {r.doc_id: r.labels for r in got if r.doc_id in (300, 301, 303)} == {300: "a-1.0,cc-by", 301: "b-2,unknown", 303: ""}
+    for r in [r for r in got if r.doc_id and r.doc_id >= 300]:
+        w = words(dict(docs)[r.doc_id])
+        want = {label for label, text in every if notice_share(w, text) >= license_scan.LEAST_SHARE} | ({*r.base_labels.split(",")} - {""})
+        assert (r.labels, r.n_words) == (",".join(sorted(want)), len(w))
+    nothing = license_scan.license_labels(table(docs), own.limit(0)).filter("doc_id >= 300").collect()
+    assert {r.doc_id: r.labels for r in nothing} == {300: "cc-by", 301: "", 302: "", 303: ""}
+
+
+def test_documents_are_not_dealt_out_to_meet_templates(table, monkeypatch):
+    monkeypatch.setattr(license_scan, "MOST_GRAMS", 200)
+    plan = license_scan.votes(table([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") > 1 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "Python" not in plan
+
+
 # Decontamination
 
 

@@ -7,20 +7,27 @@ is verified by the share of the template's k-grams that stand in it word for wor
 once. Short phrases (k = 2) count only when every k-gram of the phrase votes for one diagonal, which is a place where
 its words stand consecutively.
 
-The templates are a fixed table of about a thousand rows, so they are broadcast. A document adds one row of its own
-(an empty word behind its last one) to the same pass, which carries its word count; no text is read twice.
+The templates are a table (label, text) of any size; without one, the notices below are taken. Spark cuts it into k-grams,
+whose rows are broadcast: up to MOST_GRAMS of them at once (counted; some thousand whole licenses), more in blocks, each of
+which is one reading of the documents. A document's words are never dealt out to meet a template. A document adds one row of its own
+(an empty word behind its last one) to the first pass, which carries its word count. A k-gram that stands in many templates
+votes for each of them, so votes grow with the templates that share a document's wording.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Rows with equal or null doc_id are separate
-documents. An empty table gives no rows. Columns other than doc_id and text are ignored.
+documents. A template of null or fewer than three words has no k-grams and is never found; one without a label is labelled
+`unknown`; repeated templates count once each. An empty table gives no rows, empty templates leave the phrases. Columns other than
+doc_id and text, or label and text, are ignored.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import staged
 from ._words import SQL_WORDS, word_array
 
 # Phrases and their labels.
@@ -59,41 +66,63 @@ NOTICES = [
 
 #: Length of a notice's k-grams; words by which merged diagonals may differ; least share of a notice that must be there.
 NOTICE_K, NEAR, LEAST_SHARE = 3, 6, 0.6
+#: Rows of templates' k-grams that are broadcast at once (some 100 bytes each).
+MOST_GRAMS = 1_000_000
+
+
+def _own_texts(spark: SparkSession, with_notices: bool) -> DataFrame:
+    """label, text, k: the phrases, and the notices above."""
+    texts = [(label, phrase, 2) for phrase, label in PHRASES.items()] + [(label, text, NOTICE_K) for label, text in NOTICES if with_notices]
+    rows = json.dumps([{"label": label, "text": text, "k": k} for label, text, k in texts])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<label:string,text:string,k:int>>")))
+
+
+def template_grams(spark: SparkSession, templates: DataFrame | None = None) -> DataFrame:
+    """A row for each k-gram of each phrase and template: template, tpos, gram (a hash of its words), w1, w2, w3, k, total, label."""
+    texts = _own_texts(spark, templates is None)
+    if templates is not None:
+        label = F.coalesce(F.col("label").cast("string"), F.lit("unknown")).alias("label")
+        texts = texts.unionByName(templates.select(label, F.col("text").cast("string").alias("text"), F.lit(NOTICE_K).alias("k")))
+    worded = texts.select("label", "k", word_array(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("template"))
+    total = (F.size("words") - F.col("k") + 1).alias("total")
+    placed = worded.filter(total > 0).select("template", "k", "label", "words", total, F.posexplode("words").alias("tpos", "w1")).filter("tpos < total")
+    third = F.when(F.col("k") == NOTICE_K, F.get("words", F.col("tpos") + 2))
+    rows = placed.select("template", "tpos", "w1", F.get("words", F.col("tpos") + 1).alias("w2"), third.alias("w3"), "k", "total", "label")
+    # xxhash64 passes over nulls, so a phrase's hash is one of two words.
+    return rows.withColumn("gram", F.xxhash64("w1", "w2", "w3"))
+
+
+def _blocks(grams: DataFrame) -> list[DataFrame]:
+    """The k-grams in blocks that may be broadcast, the first with the row that each document's own row meets."""
+    spark = grams.sparkSession
+    own = spark.range(1).select(
+        *[F.lit(v).cast(t).alias(c) for c, v, t in (("template", -1, "long"), ("tpos", 0, "int"), ("w1", "", "string"), ("w2", None, "string"), ("w3", None, "string"))],
+        *[F.lit(v).cast(t).alias(c) for c, v, t in (("k", 0, "int"), ("total", 1, "int"), ("label", None, "string"), ("gram", 0, "long"))],
+    )
+    n = -(-grams.count() // MOST_GRAMS)
+    block = F.pmod(F.xxhash64("template", "tpos"), F.lit(max(n, 1)))
+    return [(grams if n <= 1 else grams.filter(block == k)).unionByName(own.filter(F.lit(k == 0))) for k in range(max(n, 1))]
 
 
-def template_grams() -> list[dict]:
-    """A row for each k-gram of each template, and one with no word that a document's own row meets."""
-    rows = [{"template": -1, "tpos": 0, "w1": "", "w2": None, "w3": None, "k": 0, "total": 1, "label": None}]
-    texts = [(label, phrase, 2) for phrase, label in PHRASES.items()] + [(label, text, NOTICE_K) for label, text in NOTICES]
-    for n, (label, text, k) in enumerate(texts):
-        words = text.split()
-        for i in range(len(words) - k + 1):
-            w3 = words[i + 2] if k == 3 else None
-            rows.append({"template": n, "tpos": i, "w1": words[i], "w2": words[i + 1], "w3": w3, "k": k, "total": len(words) - k + 1, "label": label})
-    return rows
-
-
-def _templates(spark: SparkSession) -> DataFrame:
-    kind = "array<struct<template:int,tpos:int,w1:string,w2:string,w3:string,k:int,total:int,label:string>>"
-    rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(template_grams())), kind)))
-    return rows.withColumn("gram", F.when(F.col("w1") == "", F.lit(0)).otherwise(F.xxhash64("w1", "w2")))
-
-
-def votes(docs: DataFrame) -> DataFrame:
+def votes(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """doc_id, row_id, pos and the template k-gram that stands there; and each document's own row."""
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.array_append(word_array(F.col("text")), F.lit("")).alias("words"))
     placed = words.select("doc_id", "row_id", "words", F.posexplode("words").alias("pos", "w"))
     second, third = F.get("words", F.col("pos") + 1), F.get("words", F.col("pos") + 2)
     grams = placed.select("doc_id", "row_id", "pos", "w", second.alias("x2"), third.alias("x3"))
-    grams = grams.withColumn("gram", F.when(F.col("w") == "", F.lit(0)).otherwise(F.xxhash64("w", "x2")))
+    two = F.when(F.col("w") == "", F.lit(0)).otherwise(F.xxhash64("w", "x2"))
+    grams = grams.withColumn("gram", F.explode(F.array(two, F.xxhash64("w", "x2", "x3"))))
     same = (F.col("w") == F.col("w1")) & (F.col("w2").isNull() | (F.col("x2") == F.col("w2"))) & (F.col("w3").isNull() | (F.col("x3") == F.col("w3")))
-    return grams.join(F.broadcast(_templates(docs.sparkSession)), "gram").filter(same).select("doc_id", "row_id", "pos", "template", "tpos", "k", "total", "label")
+    # Written, as templates must have the same numbers in each block.
+    rows = staged(template_grams(docs.sparkSession, templates), "template-grams")
+    met = [grams.join(F.broadcast(block), "gram").filter(same) for block in _blocks(rows)]
+    return reduce(DataFrame.unionByName, met).select("doc_id", "row_id", "pos", "template", "tpos", "k", "total", "label")
 
 
-def license_spans(docs: DataFrame) -> DataFrame:
+def license_spans(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """A row for each document, template and diagonal: n_places (1 where a phrase stands), and share, start and end (in words)
     of what stands of a notice on this diagonal and those near it."""
-    found = votes(docs).repartition("row_id")
+    found = votes(docs, templates).repartition("row_id")
     keys = ["doc_id", "row_id", "template", "k", "total", "label"]
     lines = found.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*keys, "diagonal")
     lines = lines.agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("start"), (F.max("pos") + F.first("k")).alias("end"))
@@ -111,11 +140,11 @@ def license_spans(docs: DataFrame) -> DataFrame:
     return spans.withColumn("share", F.when(F.col("n_places") > 0, 1.0).when(real, F.col("held")).otherwise(0.0)).drop("held")
 
 
-def license_labels(docs: DataFrame) -> DataFrame:
-    """One row per document, with the columns of the query below."""
+def license_labels(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """One row per document, with the columns of the query below; templates: a table (label, text) in place of the notices."""
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     place = F.when(F.col("n_places") > 0, F.col("diagonal"))
-    out = license_spans(docs).groupBy("row_id", "doc_id").agg(
+    out = license_spans(docs, templates).groupBy("row_id", "doc_id").agg(
         F.max(F.when(F.col("template") == -1, F.col("start"))).cast("long").alias("n_words"),
         F.sum("n_places").alias("n_base"),
         F.min(place).cast("long").alias("first_word"),
@@ -132,11 +161,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    rows = ", ".join("(" + ", ".join(quoted(r[c]) for c in ("template", "tpos", "w1", "w2", "w3", "k", "total", "label")) + ")" for r in template_grams() if r["k"])
+    texts = [(phrase, 2, label) for phrase, label in PHRASES.items()] + [(text, NOTICE_K, label) for label, text in NOTICES]
+    rows = ", ".join(f"({n}, '{text}', {k}, '{label}')" for n, (text, k, label) in enumerate(texts))
     return f"""
 WITH d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
-g(template, tpos, w1, w2, w3, k, total, label) AS (VALUES {rows}),
+t(template, text, k, label) AS (VALUES {rows}),
+t2 AS (SELECT template, string_split(text, ' ') AS ws, k, label FROM t),
+g AS (SELECT template, tpos, ws[tpos + 1] AS w1, ws[tpos + 2] AS w2, CASE WHEN k = 3 THEN ws[tpos + 3] END AS w3, k, len(ws) - k + 1 AS total, label
+  FROM (SELECT *, unnest(range(len(ws) - k + 1)) AS tpos FROM t2)),
 p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
 x AS (SELECT doc_id, pos, w AS w1, lead(w) OVER q AS w2, lead(w, 2) OVER q AS w3 FROM p WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
 v AS (SELECT doc_id, template, k, total, label, tpos, pos - tpos AS diagonal FROM x JOIN g ON x.w1 = g.w1 AND x.w2 = g.w2 AND (g.w3 IS NULL OR x.w3 = g.w3)),
