@@ -49,9 +49,10 @@ def corpus(odd, prose):
     return rows
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 8])
-def test_near_duplicates_against_brute_force(table, corpus, monkeypatch, block):
+@pytest.mark.parametrize("block, broadcast", [(minhash.BLOCK, minhash.BROADCAST_IDS), (8, minhash.BROADCAST_IDS), (8, 0)])
+def test_near_duplicates_against_brute_force(table, corpus, monkeypatch, block, broadcast):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
     sets = [shingle_set(t) for _, t in corpus]
     found = components(sets)
     lowest = {}

@@ -301,11 +301,14 @@ def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
         nodes = staged(reps.select("node", "sketch", "bands"), "nodes")
         release(signed)
         links = _links(rows, nodes, classes, how)
-        linked = classes.join(links.toDF("node", "component"), "node", "left")
-    least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("identity").alias("least"))
-    named = linked.join(least, "component", "left").select("set_key", F.coalesce("least", "identity").alias("lowest"), "n_rows")
-    named = staged(named, "named-classes")
-    release(signed, links, nodes, classes)
+        linked = staged(classes.join(links.toDF("node", "component"), "node", "left"), "linked-classes")
+    least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("identity").alias("lowest"), F.count("*").alias("n_nodes"))
+    least = staged(least, "components")
+    # Large components, and what is in none, stay where they lie.
+    named = looked_up(linked.filter("component IS NOT NULL").select("component", "set_key", "n_rows"), least, "component", "n_nodes", total[1])
+    alone = linked.filter("component IS NULL").select("set_key", F.col("identity").alias("lowest"), "n_rows")
+    named = staged(named.select("set_key", "lowest", "n_rows").unionByName(alone), "named-classes")
+    release(signed, links, nodes, linked, least, classes)
     full = looked_up(slim.filter("n_shingles > 0"), named, "set_key", "n_rows", total[0] or 0)
     empty = slim.filter("n_shingles = 0").withColumn("lowest", identity)
     return owing(full.select("key", "n_shingles", "lowest").unionByName(empty.select("key", "n_shingles", "lowest")), slim, named)
@@ -403,7 +406,13 @@ def _clusters(chain: DataFrame, found: DataFrame) -> DataFrame | None:
     release(tied)
     ends = met.select(F.col("a").alias("node"), F.col("component_a").alias("component")).unionByName(met.select(F.col("b").alias("node"), F.col("component_b").alias("component")))
     ends = ends.filter("node >= 0").distinct()
-    out = staged(ends.join(F.broadcast(clusters) if clusters.count() <= BROADCAST_IDS else clusters, "component"), "cluster-members")
+    if clusters.count() <= BROADCAST_IDS:
+        out = staged(ends.join(F.broadcast(clusters), "component"), "cluster-members")
+    else:
+        ends = staged(ends, "cluster-ends")
+        sized = staged(clusters.join(ends.groupBy("component").agg(F.count("*").alias("n_ends")), "component"), "cluster-sizes")
+        out = staged(looked_up(ends, sized, "component", "n_ends", ends.count()).select("component", "node", "cluster"), "cluster-members")
+        release(ends, sized)
     release(met, clusters)
     return out
 
