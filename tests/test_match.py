@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from trawl.functions.dialect import compile_patterns, compile_template, ignores_case, required_literal
@@ -210,6 +211,31 @@ def test_attribution_of_many(spark, monkeypatch, most):
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str) and len(want) > 200
 
 
+def test_patterns_that_need_one_text_are_looked_up_once(spark, monkeypatch):
+    sizes, indexed = [], pattern_index.indexed
+    monkeypatch.setattr(pattern_index, "indexed", lambda lines, index, **more: sizes.append(len(index.numbers)) or indexed(lines, index, **more))
+    table = spark.createDataFrame([(k, f"needed .*w{k % 50}$") for k in range(2000)], "pattern_id int, pattern string")
+    lines = [f"x needed y w{k}" for k in range(60)] + ["w1", "needed", "é needed  w7"]
+    rows = match.attribute(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string"), table).collect()
+    assert sizes == [1]
+    assert sorted((r.line_number, r.pattern_id) for r in rows) == sorted((n, k) for n, line in enumerate(lines, 1) for k in range(2000) if re.search(f"needed .*w{k % 50}$", line))
+
+
+def test_words_are_compared_byte_by_byte(monkeypatch):
+    rng = random.Random(8)
+    for window, at_once in ((1 << 18, 1 << 22), (7, 5)):
+        monkeypatch.setattr(pattern_index, "WINDOW", window)
+        monkeypatch.setattr(pattern_index, "AT_ONCE", at_once)
+        for letters in ("ab", "abé🙂"):
+            words = ["".join(rng.choices(letters, k=rng.choice([1, 3, 5, 8, 9, 13, 20, 70, 90]))) for _ in range(25)]
+            lines = ["".join(rng.choices(letters, k=rng.randrange(40))) + rng.choice([*words, ""]) for _ in range(40)] + [""]
+            want = sorted({(i, k) for i, line in enumerate(lines) for k, w in enumerate(words) if w in line})
+            index = pattern_index.GramIndex(words, [*range(len(words))])
+            line, number = index.found(lines)
+            assert [*zip(line.tolist(), number.tolist())] == want
+            assert index.lines_found(pa.array(lines)).tolist() == sorted({i for i, _ in want})
+
+
 def test_a_hundred_thousand_patterns(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 20))) for _ in range(100_000)]
