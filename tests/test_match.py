@@ -236,6 +236,15 @@ def test_words_are_compared_byte_by_byte(monkeypatch):
             assert index.lines_found(pa.array(lines)).tolist() == sorted({i for i, _ in want})
 
 
+def test_a_line_is_left_once_a_pattern_is_found(monkeypatch):
+    compared, held = [], pattern_index.GramIndex._held
+    monkeypatch.setattr(pattern_index.GramIndex, "_held", lambda self, data, word, start: compared.append(len(word)) or held(self, data, word, start))
+    words = [f"w{k:06}" for k in range(3000)] + [f"v{k:03}" for k in range(900)]
+    lines = [" ".join(words)] * 3 + ["w00000", "v007", "w000x"]
+    assert pattern_index.GramIndex(words, range(len(words))).lines_found(pa.array(lines)).tolist() == [0, 1, 2, 4]
+    assert sum(compared) == 4
+
+
 def test_a_hundred_thousand_patterns(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 20))) for _ in range(100_000)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +86,8 @@ def grep_table(df: DataFrame, patterns: DataFrame, column: str = "pattern", text
         return grep(df, spec(*(("",) if empty else patterns_from(patterns, column)), fixed=True), text)
     keys, lines = others(df, text), split_lines(df, text).drop("terminator")
     if chars <= pattern_index.MOST_CHARS:
-        words = [r[0] for r in known.collect()]
-        return pattern_index.indexed(lines, pattern_index.GramIndex(words, [*range(len(words))])).select(*keys, "line_number", "line")
+        words = known.toArrow().column("word").combine_chunks()
+        return pattern_index.indexed(lines, pattern_index.GramIndex(words, np.arange(len(words)))).select(*keys, "line_number", "line")
     return pattern_index.met(_numbered(lines), known, "__id").dropDuplicates(["__id"]).select(*keys, "line_number", "line")
 
 
