@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from trawl.llm import substring_dedup
 
 
@@ -35,3 +37,19 @@ def test_fifty_words_always_share_a_window():
         run = [word() for _ in range(substring_dedup.RUN_WORDS)]
         chosen = [set(substring_dedup.chosen_windows([*(word() for _ in range(rng.randrange(90))), *run, *(word() for _ in range(rng.randrange(90)))], 30, 50)[1].tolist()) for _ in range(2)]
         assert chosen[0] & chosen[1]
+
+
+def test_texts_taken_together_choose_what_each_chooses_alone():
+    rng = np.random.default_rng(5)
+    for size, run_words in ((30, 50), (5, 9), (5, 5)):
+        sizes = rng.integers(0, 90, 60)
+        w = rng.integers(0, 3, sizes.sum()).astype(np.uint64)
+        at, h, other = substring_dedup.chosen_of(w, sizes, size, run_words)
+        want = []
+        for start, n in zip(np.cumsum(sizes) - sizes, sizes):
+            powers = [pow(int(substring_dedup._BASE), size - 1 - k, 1 << 64) for k in range(size)]
+            own = [sum(int(x) * p for x, p in zip(w[start + i : start + i + size], powers)) % (1 << 64) for i in range(max(n - size + 1, 0))]
+            own = substring_dedup.mixed(np.array(own, np.uint64))
+            width = min(run_words - size + 1, len(own))
+            want += sorted({(int(start + i + own[i : i + width].argmin()), int(own[i : i + width].min().view(np.int64))) for i in range(len(own) - width + 1) if width})
+        assert [*zip(at.tolist(), h.tolist())] == want and len(other) == len(at)

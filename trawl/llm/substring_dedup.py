@@ -24,9 +24,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ MIN_WORDS = 30
 _BASE, _OTHER_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Words of a verbatim run that is found for certain, wherever lines are broken.
 RUN_WORDS = 50
+#: Characters of texts whose words are taken together: few enough for the processor's cache.
+CHUNK_CHARS = 30_000
 PARAGRAPHS = Banding(bands=14, rows=3, least_agreement=0.4)
 
 
@@ -107,49 +112,92 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAP
     )
 
 
-def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the windows of size words that are chosen, and two independent hashes of each, of 64 and 32 bits; texts that
-    share run_words words share one."""
-    if len(words) < size:
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _rolled(w: np.ndarray, size: int, base: U) -> np.ndarray:
+    """The sum of w[i + k] * base ** (size - 1 - k) of each run of size numbers, modulo 2 ** 64, from sums of all before it."""
+    n = 1 << len(w).bit_length()
+    sums = np.zeros(len(w) + 1, U)
+    np.cumsum(w * _powers(pow(int(base), -1, 1 << 64), n)[: len(w)], out=sums[1:])
+    return (sums[size:] - sums[:-size]) * _powers(int(base), n)[size - 1 : len(w)]
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least number of each run of width numbers, from runs of twice the length each time."""
+    at, have = np.arange(len(h)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[:-step], at[step:]
+        at, have = np.where(h[left] <= h[right], left, right), have + step
+    return at
+
+
+def chosen_of(w: np.ndarray, sizes: np.ndarray, size: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the windows of size words that are chosen, and two independent hashes of each, of 64 and 31 bits; texts that
+    share run_words words share one. w: hashes of the words of texts one after the other; sizes: each one's number of them."""
+    if len(w) < size:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
-    n = len(w) - size + 1
-    h = np.zeros(n, U)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            h = h * _BASE + w[k : k + n]
-    h = mixed(h)
-    width = min(run_words - size + 1, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n - width + 1))
-    other, v = np.zeros(len(at), U), mixed(w)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            other = other * _OTHER_BASE + v[at + k]
-    return at, h[at].view(np.int64), (mixed(other) >> U(33)).view(np.int64)
+    h = mixed(_rolled(w, size, _BASE))
+    ends, most = np.cumsum(sizes), run_words - size + 1
+    n = sizes - size + 1
+    own = np.repeat(ends, sizes)[: len(h)]
+    picked = np.zeros(len(h), bool)
+    if len(h) >= most:
+        # Runs of windows that lie within a text; texts of fewer windows choose one of all.
+        inside = np.flatnonzero(np.arange(len(h) - most + 1) + run_words <= own[: len(h) - most + 1])
+        picked[_least(h, most)[inside]] = True
+    for k in np.flatnonzero((n > 0) & (n < most)).tolist():
+        start = int(ends[k] - sizes[k])
+        picked[start + int(h[start : start + int(n[k])].argmin())] = True
+    at = np.flatnonzero(picked)
+    other = mixed(_rolled(mixed(w), size, _OTHER_BASE)[at])
+    return at, h[at].view(np.int64), (other >> U(33)).view(np.int64)
+
+
+def chosen_windows(words: list[bytes], size: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """chosen_of one text's words."""
+    return chosen_of(np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words)), np.array([len(words)]), size, run_words)
 
 
 def windows(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """window and other (hashes), doc_id, row_id, pos (its first word), line, last (lines of its first and last word)."""
 
     @lean()
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 500):
-                own = b.iloc[i : i + 500]
-                out = [np.empty((0, 6), np.int64)]
-                for row, text in zip(own["row_id"], own["text"]):
-                    lines = [line.split() for line in text.encode("utf-8", "replace").lower().split(b"\n")]
-                    at, h, other = chosen_windows([w for line in lines for w in line], size, run_words)
-                    ends = np.cumsum([*map(len, lines)])
-                    line, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + size - 1, "right")
-                    out.append(np.stack([h, other, np.full(len(at), row), at, line, last], axis=1))
-                kept = np.concatenate(out)
-                ids = np.repeat(own["key"].to_numpy(object), [*map(len, out[1:])])
-                yield pd.DataFrame({"key": ids} | {c: kept[:, k] for k, c in enumerate(("window", "other", "row_id", "pos", "line", "last"))})
-
-    own = docs.select(F.col("doc_id").cast("string").alias("key"), F.monotonically_increasing_id().alias("row_id"), "text")
-    found = own.filter(F.length("text") >= 2 * size - 1).mapInPandas(run, "key string, window long, other int, row_id long, pos int, line int, last int")
-    return found.select("window", "other", F.col("key").cast("long").alias("doc_id"), "row_id", "pos", "line", "last")
+            texts = b.column("text").to_pylist()
+            part = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // CHUNK_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for i, j in pairwise(edges):
+                lines, n_lines = [], []
+                for text in texts[i:j]:
+                    own = text.encode("utf-8", "replace").lower().split(b"\n")
+                    lines += map(bytes.split, own)
+                    n_lines.append(len(own))
+                words = [*chain.from_iterable(lines)]
+                w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
+                # Words before each line, and lines and words before each text.
+                ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+                first_line = np.cumsum([0, *n_lines])
+                text_ends = ends[first_line[1:] - 1]
+                starts = np.concatenate([[0], text_ends[:-1]])
+                at, h, other = chosen_of(w, text_ends - starts, size, run_words)
+                text = np.searchsorted(text_ends, at, "right")
+                line, last = (np.searchsorted(ends, place, "right") - first_line[text] for place in (at, at + size - 1))
+                took = pa.array(text + i)
+                made = [h, other.astype(np.int32), at - starts[text], line, last]
+                kinds = [pa.int64(), *[pa.int32()] * 4]
+                columns = [pa.array(x.astype(kind.to_pandas_dtype()), kind) for x, kind in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays([*columns[:2], b.column("doc_id").take(took), b.column("row_id").take(took), *columns[2:]], names=names)
+
+    names = ["window", "other", "doc_id", "row_id", "pos", "line", "last"]
+    own = docs.select(F.col("doc_id").cast("string").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), "text")
+    return own.filter(F.length("text") >= 2 * size - 1).mapInArrow(run, "window long, other int, doc_id long, row_id long, pos int, line int, last int")
 
 
 def repeated_runs(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
