@@ -335,6 +335,27 @@ def test_pieces_do_not_depend_on_units_before(own):
     assert set(later.tolist()) <= set(thresholds.tolist())
 
 
+def test_frequent_units_are_filtered_once(monkeypatch):
+    common, rng = [f"common{k}" for k in range(40)], random.Random(3)
+    texts = [" ".join(rng.sample(common * 3 + [f"rare{k}x{j}" for j in range(40)], 160)) for k in range(60)]
+    large = sp_sampling.Lattices(sp_sampling.MODEL, 1.0)
+    whole = sp_sampling.encode_texts(texts, list(range(60)), large, 3)
+    monkeypatch.setattr(sp_sampling, "KEPT_NODES", 3000)
+    small, filtered, add = sp_sampling.Lattices(sp_sampling.MODEL, 1.0), collections.Counter(), sp_sampling.Lattices.add
+    monkeypatch.setattr(sp_sampling.Lattices, "add", lambda self, units: (filtered.update(units), add(self, units))[1])
+    for k, text in enumerate(texts):
+        (pieces,) = sp_sampling.encode_texts([text], [k], small, 3)
+        assert len(pieces) == len(whole[k]) and (pieces == whole[k]).all()
+        assert len(small.begins) <= 3000
+    assert len(large.begins) > 10_000 and all(filtered[f" {c}"] == 1 for c in common)
+
+
+def test_units_by_splitting():
+    rng = random.Random(4)
+    texts = ["", " ", "\n", " \n ", "a\0b c", "a  b", "\n\n a\n", " \r\t\u2028 x", *("".join(rng.choice("ab \n\0\té") for _ in range(rng.randrange(12))) for _ in range(5000))]
+    assert all(sp_sampling._split(t) == sp_sampling._UNIT.findall(t) for t in texts)
+
+
 # Language model
 
 

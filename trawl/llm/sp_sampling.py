@@ -22,9 +22,10 @@ import hashlib
 import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pandas as pd
@@ -40,12 +41,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 20
 SPACE = "▁"
 
-#: Nodes of lattices that a worker keeps; then it starts afresh. Characters of text that are sampled together.
+#: Nodes of lattices that a worker keeps; then it forgets all but units that came again. Characters of text that are sampled together.
 KEPT_NODES, CHUNK = 600_000, 500_000
 #: Occurrences up to which they are sampled one after the other, that many steps' random numbers at a time.
 FEW, STEPS = 4, 256
-#: Bits of a hash that are tested before it is looked up.
-TEST_BITS = 18
+#: Bits of a hash that are tested before it is looked up, and those by which it is.
+TEST_BITS, SLOT_BITS = 18, 14
 #: Edges whose probabilities are computed one by one as Python's numbers at a time.
 EDGES = 100_000
 #: Characters of a unit beyond which its nodes are filtered one by one.
@@ -85,8 +86,8 @@ def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def _top(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - TEST_BITS)).astype(np.int64)
+def _top(h: np.ndarray, bits: int = TEST_BITS) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _one_by_one(source: np.ndarray, target: np.ndarray, weight: np.ndarray, alpha: np.ndarray) -> np.ndarray:
@@ -137,19 +138,27 @@ class Lattices:
                 self.weights[piece.replace(SPACE, " ")] = (i, -alpha * math.log(2 - sp.get_score(i)))
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
         self.fallback = -alpha * math.log(2 + n)
-        self.by_length = []  # sorted hashes of the pieces of each length, with their ids and weights, and a first test of hashes
+        # Of the pieces of each length: sorted hashes and a last one, ids, weights, where the hashes of a slot begin, and a first
+        # test of hashes, with 1 for those of pieces and 2 for those of beginnings of longer pieces.
+        self.by_length = []
         for length in range(1, max(map(len, self.weights)) + 1):
             pieces = [p for p in self.weights if len(p) == length]
-            found = _hashes("".join(pieces), np.arange(len(pieces)) * length, length) if pieces else np.empty(0, np.uint64)
+            begun = [*{p[:length] for p in self.weights if len(p) > length}]
+            found, more = (_hashes("".join(x), np.arange(len(x)) * length, length) for x in (pieces, begun))
             order = np.argsort(found)
-            ids = np.array([self.weights[p][0] for p in pieces], np.int32)[order]
-            test = np.zeros(1 << TEST_BITS, bool)
-            test[_top(found)] = True
-            self.by_length.append((found[order], ids, np.array([self.weights[p][1] for p in pieces], float)[order], test))
+            ids = np.array([self.weights[p][0] for p in pieces] + [0], np.int32)[[*order, -1]]
+            weights = np.array([self.weights[p][1] for p in pieces] + [0], float)[[*order, -1]]
+            test = np.zeros(1 << TEST_BITS, np.uint8)
+            test[_top(found)] = 1
+            test[np.unique(_top(more))] += 2
+            slots = np.searchsorted(found[order], np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+            self.by_length.append((np.append(found[order], ~np.uint64(0)), ids, weights, slots, test))
         self.clear()
 
     def clear(self) -> None:
-        self.last: dict[str, int] = {}
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.ends = np.empty(0, np.int64)  # of each unit: its last node
+        self.uses = np.empty(0, np.int64)  # of each unit: its occurrences, those before a time of forgetting by half
         self.begins = np.empty(0, bool)  # of each node: whether a unit starts there
         self.first = np.empty(0, np.int64)  # of each node: the first of the edges that end in it
         self.cum = np.empty(0, np.int64)  # of each edge: the cumulative probability at the node that it ends in; the last one's is UNIT
@@ -159,16 +168,21 @@ class Lattices:
     def _matches(self, points: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """All pieces in a text whose places have so many characters to their unit's end: starts, lasts, ids and weights, by length."""
         at, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
-        for length, (known, ids, weights, test) in enumerate(self.by_length, 1):
-            on = left[at] >= length
+        for length, (known, ids, weights, slots, test) in enumerate(self.by_length, 1):
+            h = _longer(h, points[at + (length - 1)])
+            tests = test[_top(h)]
+            maybe = np.flatnonzero(tests & 1)  # few others pass
+            own, there = h[maybe], at[maybe]
+            k = slots[_top(own, SLOT_BITS)]
+            before = np.flatnonzero(known[k] < own)
+            while len(before):
+                k[before] += 1
+                before = before[known[k[before]] < own[before]]
+            hit = np.flatnonzero(known[k] == own)
+            there, k = there[hit], k[hit]
+            yield there, there + (length - 1), ids[k], weights[k]
+            on = np.flatnonzero((tests >= 2) & (left[at] > length))
             at, h = at[on], h[on]
-            h = _longer(h, points[at + length - 1])
-            if len(known) and len(at):
-                maybe = np.flatnonzero(test[_top(h)])  # few others pass
-                own, there = h[maybe], at[maybe]
-                k = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                hit = known[k] == own
-                yield there[hit], there[hit] + length - 1, ids[k[hit]], weights[k[hit]]
 
     def cut(self, unit: str) -> list[str]:
         """A long unit in parts that end where no piece crosses, as every path passes there: sampled apart, they are sampled alike."""
@@ -190,7 +204,7 @@ class Lattices:
         return [*out, unit[at:]]
 
     def units(self, text: str) -> list[str]:
-        found = _UNIT.findall(text)
+        found = _split(text)
         return found if len(text) <= LONG or max(map(len, found)) <= LONG else [*chain.from_iterable(map(self.cut, found))]
 
     def add(self, units: list[str]) -> None:
@@ -200,40 +214,77 @@ class Lattices:
         unit = np.repeat(np.arange(len(units)), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # characters to the unit's end
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        start, end, piece, weight = (np.concatenate(x) for x in zip(*self._matches(points, left)))
+        matches = [*self._matches(points, left)]
         alone = np.ones(len(text), bool)  # characters without a piece of their own get a node for each byte
-        alone[start[start == end]] = False
+        alone[matches[0][0]] = False
         width = np.where(alone, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 1)
-        base = len(self.begins)
-        after = base + np.cumsum(width) + unit
+        after = np.cumsum(width) + unit
         before = after - width
-        edges = [(before[start], after[end], piece, weight)]
+        edges = [(before[start], after[end], piece, weight) for start, end, piece, weight in matches]
         data = np.frombuffer("".join(map(text.__getitem__, np.flatnonzero(alone).tolist())).encode(), np.uint8)
         first = np.cumsum(width[alone]) - width[alone]
         for k in range(4):
             own = width[alone] > k
             node = before[alone][own] + k
             edges.append((node, node + 1, self.byte_piece[data[first[own] + k]], self.fallback * (width[alone][own] if k == 0 else np.zeros(own.sum()))))
-        source, target, piece, weight = (np.concatenate(x) for x in zip(*edges))
-        order = np.argsort(target, kind="stable")
-        source, target, piece, weight = source[order], target[order], piece[order], weight[order]
-        ends = base + np.cumsum(np.add.reduceat(width, np.cumsum(sizes) - sizes) + 1) - 1
-        begins = np.zeros(ends[-1] + 1 - base, bool)
-        begins[np.concatenate([[0], ends[:-1] + 1 - base])] = True
-        share = self._filter(source - base, target - base, weight, begins)
+        ends = np.cumsum(np.add.reduceat(width, np.cumsum(sizes) - sizes) + 1) - 1
+        begins = np.zeros(ends[-1] + 1, bool)
+        begins[np.concatenate([[0], ends[:-1] + 1])] = True
+        # Edges by target: those of one length have different ones, so they are put in their places length by length.
+        ending = np.bincount(np.concatenate([e[1] for e in edges]), minlength=len(begins))
+        target, heads = np.repeat(np.arange(len(begins)), ending), np.cumsum(ending) - ending
+        source, piece, weight = np.empty(len(target), np.int64), np.empty(len(target), np.int32), np.empty(len(target))
+        free = heads.copy()
+        for own_source, own_target, own_piece, own_weight in edges:
+            place = free[own_target]
+            source[place], piece[place], weight[place] = own_source, own_piece, own_weight
+            free[own_target] = place + 1
+        share = self._filter(source, target, weight, begins)
         last = np.append(target[1:] != target[:-1], True)
         # Sums of whole numbers, which don't depend on the units that were met before.
         sums = np.cumsum(np.rint(share * UNIT).astype(np.int64))
         group = np.cumsum(last) - last
         within = np.minimum(sums - np.concatenate([[0], sums[last]])[group], UNIT)
-        first, heads = np.zeros(len(begins), np.int64), np.flatnonzero(np.diff(target, prepend=-1))
-        first[target[heads] - base] = heads + len(self.cum)
-        self.first = np.concatenate([self.first, first])
+        base = len(self.begins)
+        self.first = np.concatenate([self.first, heads + len(self.cum)])
         self.cum = np.concatenate([self.cum, np.where(last, UNIT, within)])
-        self.source = np.concatenate([self.source, source.astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        self.source = np.concatenate([self.source, (source + base).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, piece])
         self.begins = np.concatenate([self.begins, begins])
-        self.last.update(zip(units, ends.tolist()))
+        self.ends = np.concatenate([self.ends, ends + base])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+
+    def lookup(self, units: list[str]) -> np.ndarray:
+        """The last nodes of units; the lattices of new ones are made. Nodes stay within KEPT_NODES where those of one call do."""
+        known = len(self.ends)
+        number = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+        uses = np.bincount(number, minlength=len(self.numbers))
+        self.uses += uses[:known]
+        if new := [*islice(reversed(self.numbers), len(self.numbers) - known)][::-1]:
+            if known and len(self.begins) + len("".join(new).encode("utf-8", "surrogatepass")) + len(new) > KEPT_NODES:
+                number = self._forget(uses > 0)[number]
+            self.add(new)
+            self.uses[-len(new) :] = uses[known:]
+        return self.ends[number]
+
+    def _forget(self, needed: np.ndarray) -> np.ndarray:
+        """Keep the needed units and, up to half of KEPT_NODES nodes, those that came more than once, the most frequent ones first.
+        The new number of each unit that is kept."""
+        sizes = np.diff(self.ends, prepend=-1)
+        kept = needed[: len(sizes)].copy()
+        often = np.flatnonzero((self.uses > 1) & ~kept)
+        often = often[np.argsort(-self.uses[often], kind="stable")]
+        kept[often[np.cumsum(sizes[often]) <= KEPT_NODES // 2 - sizes[kept].sum()]] = True
+        edges = np.diff(self.first[self.begins], append=len(self.cum))
+        nodes, on = np.repeat(kept, sizes), np.repeat(kept, edges)
+        fewer_nodes, fewer_edges = np.cumsum(np.where(kept, 0, sizes)), np.cumsum(np.where(kept, 0, edges))
+        self.first = self.first[nodes] - np.repeat(fewer_edges[kept], sizes[kept])
+        self.source = self.source[on] - np.repeat(fewer_nodes[kept], edges[kept]).astype(np.int32)
+        self.cum, self.piece, self.begins = self.cum[on], self.piece[on], self.begins[nodes]
+        self.ends, self.uses = np.cumsum(sizes[kept]) - 1, self.uses[kept] // 2
+        left = np.append(kept, np.ones(len(needed) - len(kept), bool))
+        self.numbers = defaultdict(count(int(left.sum())).__next__, zip(compress(self.numbers, left.tolist()), count()))
+        return np.cumsum(left) - 1
 
     @staticmethod
     def _filter(source: np.ndarray, target: np.ndarray, weight: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -241,25 +292,27 @@ class Lattices:
         rank FAR on, where few units reach, one by one."""
         starts = np.flatnonzero(begins)
         rank = np.arange(len(begins)) - starts[np.cumsum(begins) - 1]
-        order = np.argsort(rank[target], kind="stable")
-        bounds = np.flatnonzero(np.diff(rank[target][order], prepend=-1, append=-1))
+        rank = np.minimum(rank, FAR).astype(np.min_scalar_type(FAR))[target]  # short numbers are sorted by radix
+        order = np.argsort(rank, kind="stable")
+        source, target, weight = source[order], target[order], weight[order]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(rank[order])) + 1, [len(order)]])
+        heads = np.flatnonzero(np.diff(target, prepend=-1))
+        nodes, size, groups = target[heads], np.diff(heads, append=len(target)), np.searchsorted(heads, bounds)
         alpha, share = np.zeros(len(begins)), np.empty(len(source))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            own = order[a:b]
-            if rank[target[own[0]]] >= FAR:
-                own = order[a:]
-                share[own] = _one_by_one(source[own], target[own], weight[own], alpha)
+        for a, b, i, j in zip(bounds[:-1], bounds[1:], groups[:-1], groups[1:]):
+            if rank[order[a]] >= FAR:
+                share[a:b] = _one_by_one(source[a:b], target[a:b], weight[a:b], alpha)
                 break
-            to = target[own]
-            heads = np.flatnonzero(np.diff(to, prepend=-1))
-            size = np.diff(heads, append=b - a)
-            value = alpha[source[own]] + weight[own]
-            top = np.maximum.reduceat(value, heads)
-            value = np.exp(value - np.repeat(top, size))
-            whole = np.add.reduceat(value, heads)
-            alpha[to[heads]] = top + np.log(whole)
-            share[own] = value / np.repeat(whole, size)
-        return share
+            own = heads[i:j] - a
+            value = alpha[source[a:b]] + weight[a:b]
+            top = np.maximum.reduceat(value, own)
+            value = np.exp(value - np.repeat(top, size[i:j]))
+            whole = np.add.reduceat(value, own)
+            alpha[nodes[i:j]] = top + np.log(whole)
+            share[a:b] = value / np.repeat(whole, size[i:j])
+        out = np.empty(len(share))
+        out[order] = share
+        return out
 
     def sample(self, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences one after the other, and how many each has. ends: last nodes; keys: 64-bit seeds."""
@@ -316,6 +369,13 @@ def forget() -> None:
     lattices.cache_clear()
 
 
+def _split(text: str) -> list[str]:
+    """The units of a text. Where each space starts one, replacing and splitting takes less time than a pattern."""
+    if "  " in text or "\0" in text:
+        return _UNIT.findall(text)
+    return [*filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))]
+
+
 def _parts(text: str) -> Iterator[str]:
     """A text in parts of about CHUNK characters that no unit crosses; a unit that is longer is a part of its own length."""
     at = 0
@@ -358,26 +418,19 @@ def encode_texts(texts: list[str], keys: list[int], own: Lattices, seed: int) ->
 def _encode_units(each: list[list[str]], rows: np.ndarray, places: list[int], own: Lattices) -> list[np.ndarray]:
     """The sampled pieces of runs of units, which have row hashes and the places of their first units in their texts."""
     units = [*chain.from_iterable(each)]
-    if new := set(units).difference(own.last):
-        text = "".join(new)
-        if own.last and len(own.begins) + len(text.encode("utf-8", "surrogatepass")) + len(new) > KEPT_NODES:
-            own.clear()
-            new = set(units)
-        own.add([*new])
-    nodes = [*map(own.last.__getitem__, units)]
+    nodes = own.lookup(units)
     sizes = np.array([len(x) for x in each], np.int64)
     starts = np.repeat(np.cumsum(sizes) - sizes - np.array(places, np.int64), sizes)
     place = (np.arange(len(nodes)) - starts).astype(np.uint64)
     with np.errstate(over="ignore"):
         occurrence = mixed(np.repeat(rows, sizes) + place * _MIX[2])
-    pieces, counts = own.sample(np.array(nodes, np.int64), occurrence)
+    pieces, counts = own.sample(nodes, occurrence)
     ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
     return [pieces[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def decode_pieces(pieces: np.ndarray, own: Lattices) -> str:
-    table = own.bytes
-    return b"".join([table[i] for i in pieces.tolist()]).decode()[1:]
+    return b"".join(map(own.bytes.__getitem__, pieces.tolist())).decode()[1:]
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
