@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ from ._common import BROADCAST_IDS, ROW, drop_rows, lean, looked_up, numbered, o
 from .components import connected_components
 from .elias_fano import U
 from .sp_sampling import mixed
+from .word_hashes import word_hashes
 
 #: Words in a shingle; similarity as intersection * 100 >= union * 75; bands of rows; partners in a bucket on either side.
 WORDS, SIMILAR, BANDS, ROWS, NEIGHBOURS, LEAST_AGREEMENT = 5, (75, 100), 40, 5, 3, 0.6
@@ -54,48 +56,40 @@ BLOCK, BLOCK_BYTES, FIRST = 512, 4_000_000, 2
 #: Shared shingles that are counted in one matrix product.
 COLUMNS = 2048
 
-#: Characters and texts that are sketched together; distinct words whose hashes a worker keeps.
-CHUNK_CHARS, CHUNK_TEXTS, KEPT_WORDS = 2_000_000, 2000, 200_000
+#: Bytes and texts that are sketched together.
+CHUNK_BYTES, CHUNK_TEXTS = 2_000_000, 2000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
-_known: dict[bytes, int] = {}
 
+def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of all texts one after the other, ascending in each, and each text's number of them."""
+    data = b"\n".join(texts).lower()
+    w, starts = word_hashes(data)
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return shingles_of(data, w, starts, edges[:-1], edges[1:], words)
 
-def forget() -> None:
-    _known.clear()
 
+def shingles_of(data: bytes, w: np.ndarray, starts: np.ndarray, first: np.ndarray, end: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pieces of lower-cased data, each from its word number first to before its word number end.
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of all texts one after the other, ascending in each, and each text's number of them."""
-    if len(_known) > KEPT_WORDS:
-        _known.clear()
-    tokens, sizes, short = [], np.zeros(len(texts), np.int64), []
-    for k, text in enumerate(texts):
-        own = text.encode("utf-8", "replace").lower().split()
-        if len(own) < words:
-            if own:
-                short.append((k, xxhash.xxh64_intdigest(b" ".join(own), 3)))
-            continue
-        for w in set(own).difference(_known):
-            _known[w] = xxhash.xxh64_intdigest(w)
-        tokens.append(np.fromiter(map(_known.__getitem__, own), U, len(own)))
-        sizes[k] = len(own)
-    w = np.concatenate(tokens) if tokens else np.empty(0, U)
-    at = np.arange(max(0, len(w) - words + 1))
+    w, starts: word_hashes(data)."""
+    sizes = end - first
+    n = np.where(sizes >= words, sizes - words + 1, np.minimum(sizes, 1))
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(first - ends + n, n)
+    every = max(0, len(w) - words + 1)
     with np.errstate(over="ignore"):
-        h = mixed(sum(w[j : j + len(at)] * U(_ODD[j % 5] + 2 * (j // 5)) for j in range(words))) if len(at) else np.empty(0, U)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    ends = np.cumsum(sizes)[text[: len(at)]]
-    inside = at + words <= ends
-    h, text = h[inside], text[: len(at)][inside]
-    if short:
-        h = np.concatenate([h, np.array([x for _, x in short], U)])
-        text = np.concatenate([text, np.array([k for k, _ in short], np.int64)])
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+        h = sum((w[j : j + every] * U(_ODD[j % 5] + 2 * (j // 5)) for j in range(words)), np.zeros(every, U))
+    h = mixed(h[np.minimum(at, every - 1)]) if every else np.zeros(len(at), U)
+    for k in np.flatnonzero((sizes > 0) & (sizes < words)).tolist():
+        own = data[starts[first[k]] : starts[end[k]] if end[k] < len(starts) else len(data)].split()
+        h[ends[k] - 1] = xxhash.xxh64_intdigest(b" ".join(own), 3)
+    for m, z in zip(n.tolist(), ends.tolist()):
+        h[z - m : z].sort()
+    text = np.repeat(np.arange(len(n)), n)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[new], np.bincount(text[new], minlength=len(texts))
+    return h[new], np.bincount(text[new], minlength=len(n))
 
 
 def sketches(h: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
@@ -103,6 +97,7 @@ def sketches(h: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
     most = U(0xFFFFFFFFFFFFFFFF)
     out = np.full((len(sizes), t), most)
     of, flat = np.repeat(np.arange(len(sizes)), sizes), out.reshape(-1)
+    open_ = np.flatnonzero(sizes)
     low = U((1 << 48) - 1)
     for i in range(2 * t):
         if not len(h):
@@ -110,7 +105,10 @@ def sketches(h: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
         thrown = mixed(h ^ mixed(np.array([i], U)))
         bins = ((thrown >> U(32)) * U(t) >> U(32)).astype(np.int64) if i < t else i - t
         np.minimum.at(flat, of * t + bins, (thrown & low) | U(i << 48))
-        on = (out == most).any(axis=1)[of]
+        open_ = open_[(out[open_] == most).any(axis=1)]
+        on = np.zeros(len(sizes), bool)
+        on[open_] = True
+        on = on[of]
         h, of = h[on], of[on]
     return out
 
@@ -123,11 +121,11 @@ def band_values(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK_CHARS or k + 1 - start >= CHUNK_TEXTS:
+        if size >= CHUNK_BYTES or k + 1 - start >= CHUNK_TEXTS:
             yield start, k + 1
             start, size = k + 1, 0
     if start < len(texts):
@@ -136,32 +134,47 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _set_keys(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
     ends = np.cumsum(sizes)
-    return [xxhash.xxh3_128_digest(h[e - n : e].tobytes()) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
+    return [xxhash.xxh3_128_digest(h[e - n : e]) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def byte_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of so many bytes each, one after the other in data."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+#: What signed() gives for a set.
+SIGNED = ("n_shingles", "set_key", "sketch", "bands")
+SIGNED_TYPES = "n_shingles long, set_key binary, sketch binary, bands array<long>"
+
+
+def signed(h: np.ndarray, sizes: np.ndarray, bands: int, band_rows: int) -> list[pa.Array]:
+    """n_shingles, set_key, sketch (a byte a coordinate) and bands of sets as shingles() gives them."""
+    sketch = sketches(h, sizes, bands * band_rows)
+    values = pa.array(band_values(sketch, bands, band_rows).reshape(-1))
+    return [
+        pa.array(sizes),
+        pa.array(_set_keys(h, sizes), pa.binary()),
+        byte_rows(sketch.astype(np.uint8), np.full(len(sizes), bands * band_rows)),
+        pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * np.int32(bands)), values),
+    ]
 
 
 def signatures(rows: DataFrame, bands: int, band_rows: int, words: int = WORDS) -> DataFrame:
     """key, row_id, n_shingles, set_key, sketch (a byte a coordinate), bands; for each row of rows (key, text: strings)."""
 
-    @lean(forget)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
             for i, j in _chunks(texts):
-                h, sizes = shingles(texts[i:j], words)
-                sketch = sketches(h, sizes, bands * band_rows)
-                yield pd.DataFrame(
-                    {
-                        "key": b["key"].iloc[i:j].to_numpy(),
-                        "row_id": b["row_id"].iloc[i:j].to_numpy(),
-                        "n_shingles": sizes,
-                        "set_key": _set_keys(h, sizes),
-                        "sketch": [s.tobytes() for s in sketch.astype(np.uint8)],
-                        "bands": list(band_values(sketch, bands, band_rows)),
-                    }
-                )
+                own = b.slice(i, j - i)
+                made = signed(*shingles(texts[i:j], words), bands, band_rows)
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("row_id"), *made], names=["key", "row_id", *SIGNED])
 
     own = rows.select("key", F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInPandas(run, "key string, row_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return own.mapInArrow(run, f"key string, row_id long, {SIGNED_TYPES}")
 
 
 def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -174,24 +187,29 @@ def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame
     rows = each.select("node", "bucket", following.alias("following"))
     ordered = rows.repartitionByRange(n, "bucket", "following").sortWithinPartitions("bucket", "following", "node")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, node = np.empty(0, np.int64), np.empty(0, np.int64)
         first = None
         w = neighbours + 1
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
             old = len(bucket)
-            bucket, node = np.concatenate([bucket, b["bucket"].to_numpy()]), np.concatenate([node, b["node"].to_numpy()])
+            bucket, node = np.concatenate([bucket, b.column("bucket").to_numpy()]), np.concatenate([node, b.column("node").to_numpy()])
             if first is None:
                 first = bucket[0]
-                yield _pairs_frame(_name(bucket[:1]), node[:1], True)
+                yield _pairs_batch(_name(bucket[:1]), node[:1], True)
             found = [np.empty((2, 0), np.int64)]
             for d in range(1, neighbours + 1):
-                at = np.arange(max(0, old - d), len(bucket) - d)  # pairs that end in this batch
-                at = at[bucket[at] == bucket[at + d]]
-                found.append(np.sort(np.stack([node[at], node[at + d]]), axis=0))
-            yield _pairs_frame(*np.unique(np.concatenate(found, axis=1), axis=1), False)
+                start = max(0, old - d)  # pairs that end in this batch
+                at = start + np.flatnonzero(bucket[start : max(start, len(bucket) - d)] == bucket[start + d :])
+                found.append(np.stack([node[at], node[at + d]]))
+            a, z = np.sort(np.concatenate(found, axis=1), axis=0)
+            order = np.lexsort((z, a))
+            a, z = a[order], z[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1])
+            yield _pairs_batch(a[new], z[new], False)
             # A row is of a large bucket if it is one of w + 1 rows or more, or if the bucket may go on in another partition.
             far = bucket == first
             if len(bucket) > w:
@@ -199,13 +217,13 @@ def neighbour_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame
                 for d in range(w + 1):
                     far[d : d + len(long)] |= long
             at = np.flatnonzero(far[:-1] & (bucket[1:] == bucket[:-1]))
-            yield _pairs_frame(node[at], node[at + 1], True)
+            yield _pairs_batch(node[at], node[at + 1], True)
             bucket, node = bucket[-w:], node[-w:]
         if first is not None:
             at = np.flatnonzero(bucket == bucket[-1])
-            yield _pairs_frame(np.append(node[at[:-1]], _name(bucket[-1:])), np.append(node[at[1:]], node[-1:]), True)
+            yield _pairs_batch(np.append(node[at[:-1]], _name(bucket[-1:])), np.append(node[at[1:]], node[-1:]), True)
 
-    return ordered.select("bucket", "node").mapInPandas(run, "a long, b long, chain boolean")
+    return ordered.select("bucket", "node").mapInArrow(run, "a long, b long, chain boolean")
 
 
 def _name(bucket: np.ndarray) -> np.ndarray:
@@ -213,8 +231,8 @@ def _name(bucket: np.ndarray) -> np.ndarray:
     return ~(bucket & np.int64(2**63 - 1))
 
 
-def _pairs_frame(a: np.ndarray, b: np.ndarray, chain: bool) -> pd.DataFrame:
-    return pd.DataFrame({"a": a, "b": b, "chain": chain})
+def _pairs_batch(a: np.ndarray, b: np.ndarray, chain: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), chain))], names=["a", "b", "chain"])
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -232,19 +250,18 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def full_sets(rows: DataFrame, wanted: DataFrame, n: int, words: int = WORDS) -> DataFrame:
     """node, members (8 bytes a shingle): the sets of wanted (n rows: key, set_key, node), made from the texts anew."""
 
-    @lean(forget)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
             for i, j in _chunks(texts):
                 h, sizes = shingles(texts[i:j], words)
-                ends = np.cumsum(sizes).tolist()
-                yield pd.DataFrame({"set_key": _set_keys(h, sizes), "members": [h[e - s : e].tobytes() for e, s in zip(ends, sizes.tolist())]})
+                yield pa.RecordBatch.from_arrays([pa.array(_set_keys(h, sizes), pa.binary()), byte_rows(h, 8 * sizes)], names=["set_key", "members"])
 
     keys = wanted.select("key").distinct()
     keys = F.broadcast(keys) if n <= BROADCAST_IDS else keys
     texts = rows.join(keys, "key", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-    made = texts.mapInPandas(run, "set_key binary, members binary")
+    made = texts.mapInArrow(run, "set_key binary, members binary")
     return made.join(wanted.select("set_key", "node"), "set_key").select("node", "members")
 
 
@@ -282,24 +299,25 @@ class Banding:
     similar: tuple[int, int] = SIMILAR
 
 
-def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
+def near_classes(rows: DataFrame, identity: Column, how: Banding, made: DataFrame | None = None) -> DataFrame:
     """key, n_shingles, lowest: of each row of rows (key, text: strings), the least identity in its component.
 
-    identity: an expression over key, whose least value names a component; empty sets are alone.
+    identity: an expression over key, whose least value names a component; empty sets are alone. made: the signatures of
+    rows, where they are made in another way.
     """
-    signed = staged(signatures(rows, how.bands, how.rows, how.words), "signatures")
-    slim = staged(signed.select("key", "row_id", "n_shingles", "set_key"), "set-keys")
+    sketched = staged(signatures(rows, how.bands, how.rows, how.words) if made is None else made, "signatures")
+    slim = staged(sketched.select("key", "row_id", "n_shingles", "set_key"), "set-keys")
     first = F.min(F.struct(identity.alias("identity"), "row_id", "key")).alias("first")
     classes = slim.filter("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n_rows"))
     classes = staged(classes.select("set_key", "first.identity", "first.key", F.col("first.row_id").alias("node"), "n_rows"), "classes")
     total = classes.agg(F.sum("n_rows"), F.count("*")).first()
     linked, links, nodes = classes.withColumn("component", F.lit(None).cast("long")), classes, classes
     if total[1] > 1:
-        reps = signed.filter("n_shingles > 0").withColumnRenamed("row_id", "node")
+        reps = sketched.filter("n_shingles > 0").withColumnRenamed("row_id", "node")
         # Rows that copy another row's set go no further.
         reps = reps.join(classes.select("node"), "node", "left_semi") if total[0] > total[1] else reps
         nodes = staged(reps.select("node", "sketch", "bands"), "nodes")
-        release(signed)
+        release(sketched)
         links = _links(rows, nodes, classes, how)
         linked = staged(classes.join(links.toDF("node", "component"), "node", "left"), "linked-classes")
     least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("identity").alias("lowest"), F.count("*").alias("n_nodes"))
@@ -308,7 +326,7 @@ def near_classes(rows: DataFrame, identity: Column, how: Banding) -> DataFrame:
     named = looked_up(linked.filter("component IS NOT NULL").select("component", "set_key", "n_rows"), least, "component", "n_nodes", total[1])
     alone = linked.filter("component IS NULL").select("set_key", F.col("identity").alias("lowest"), "n_rows")
     named = staged(named.select("set_key", "lowest", "n_rows").unionByName(alone), "named-classes")
-    release(signed, links, nodes, linked, least, classes)
+    release(sketched, links, nodes, linked, least, classes)
     full = looked_up(slim.filter("n_shingles > 0"), named, "set_key", "n_rows", total[0] or 0)
     empty = slim.filter("n_shingles = 0").withColumn("lowest", identity)
     return owing(full.select("key", "n_shingles", "lowest").unionByName(empty.select("key", "n_shingles", "lowest")), slim, named)

@@ -23,12 +23,11 @@ which cuts paragraphs out and leaves runs inside other lines.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,54 +35,103 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_IDS, lean, looked_up, owing, release, staged
 from .elias_fano import U
-from .minhash import Banding, near_classes
+from .minhash import SIGNED, SIGNED_TYPES, Banding, near_classes, shingles_of, signed
 from .sp_sampling import mixed
+from .word_hashes import word_hashes, word_places
 
 #: Least words of a paragraph that may be removed; the banding of paragraphs.
 MIN_WORDS = 30
 _BASE, _OTHER_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Words of a verbatim run that is found for certain, wherever lines are broken.
 RUN_WORDS = 50
-#: Characters of texts whose words are taken together: few enough for the processor's cache.
-CHUNK_CHARS = 30_000
+#: Bytes of texts whose words are taken together: few enough for the processor's cache.
+CHUNK_BYTES = 250_000
 PARAGRAPHS = Banding(bands=14, rows=3, least_agreement=0.4)
 
 
-def spans(text: str, min_words: int) -> Iterator[tuple[int, int]]:
-    """First and last line of each paragraph of a text."""
+def spans(n_words: list[int], ends: Callable[[int], bool], min_words: int) -> Iterator[tuple[int, int]]:
+    """First and last line of each paragraph of a text. n_words: of each line; ends: whether a line's content ends a block."""
     start, n = None, 0
-    for place, line in enumerate(text.split("\n")):
-        data = line.encode("utf-8", "replace")
-        own = len(data.split())
+    for place, own in enumerate(n_words):
         if own >= min_words:
             yield place, place
             start, n = None, 0
             continue
         if own:
             start, n = place if start is None else start, n + own
-        if n >= min_words and (not own or zlib.crc32(data) % 4 == 0):
+        if n >= min_words and (not own or ends(place)):
             yield start, place
             start, n = None, 0
     if n >= min_words:
         yield start, place
 
 
+def _blocks(data: bytes, sizes: list[int], starts: np.ndarray, min_words: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of texts of so many bytes, joined to data by line breaks, whose words begin at starts: (text, first line, last
+    line), first and last line counted in data, and the places of each line of data and, last, of one beyond it."""
+    lines = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1, [len(data) + 1]])
+    n_words = np.diff(np.searchsorted(starts, lines)).tolist()
+    texts = np.searchsorted(lines, np.cumsum([0, *(n + 1 for n in sizes)])).tolist()
+    at = lines.tolist()
+    found, where = [], []
+    for k, (i, j) in enumerate(pairwise(texts)):
+        for first, last in spans(n_words[i:j], lambda line: zlib.crc32(data[at[i + line] : at[i + line + 1] - 1]) % 4 == 0, min_words):
+            found.append((k, first, last))
+            where.append((i + first, i + last))
+    first, last = np.array(where, np.int64).reshape(-1, 2).T
+    return found, first, last, lines
+
+
+def _paragraph_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """key (doc_id) and text of the documents that may have paragraphs."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text"))
+    return own.filter(F.length("text") >= 2 * min_words - 1)
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """Ranges of texts of about CHUNK_BYTES, and these texts joined by line breaks."""
+    part = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // CHUNK_BYTES
+    for i, j in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]):
+        if i < j:
+            yield i, j, b"\n".join(texts[i:j])
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key (doc_id, first and last line), text: the paragraphs of at least so many words."""
 
     @lean()
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = [], []
-            for key, text in zip(b["key"], b["text"]):
-                lines = text.split("\n")
-                for first, last in spans(text, min_words):
-                    keys.append(f"{key}:{first}:{last}")
-                    texts.append("\n".join(lines[first : last + 1]))
-            yield pd.DataFrame({"key": keys, "text": texts}, dtype=object)
+            keys, texts = b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
+            for i, j, data in _parts(texts):
+                found, first, last, lines = _blocks(data, [*map(len, texts[i:j])], word_places(data)[0], min_words)
+                own = [data[x : z - 1] for x, z in zip(lines[first].tolist(), lines[last + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([_keys(keys[i:j], found), pa.array(own, pa.binary()).cast(pa.string())], names=["key", "text"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text"))
-    return own.filter(F.length("text") >= 2 * min_words - 1).mapInPandas(run, "key string, text string")
+    return _paragraph_rows(docs, min_words).mapInArrow(run, "key string, text string")
+
+
+def _keys(keys: list[str], found: list[tuple[int, int, int]]) -> pa.Array:
+    return pa.array([f"{keys[k]}:{first}:{last}" for k, first, last in found], pa.string())
+
+
+def paragraph_signatures(docs: DataFrame, min_words: int, how: Banding) -> DataFrame:
+    """The signatures of paragraphs(docs), in one pass over the documents' words."""
+
+    @lean()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts = b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
+            for i, j, data in _parts(texts):
+                low = data.lower()
+                w, starts = word_hashes(low)
+                found, first, last, lines = _blocks(data, [*map(len, texts[i:j])], starts, min_words)
+                first, end = np.searchsorted(starts, lines[first]), np.searchsorted(starts, lines[last + 1])
+                made = signed(*shingles_of(low, w, starts, first, end, how.words), how.bands, how.rows)
+                yield pa.RecordBatch.from_arrays([_keys(keys[i:j], found), *made], names=["key", *SIGNED])
+
+    made = _paragraph_rows(docs, min_words).mapInArrow(run, f"key string, {SIGNED_TYPES}")
+    return made.select("key", F.monotonically_increasing_id().alias("row_id"), *SIGNED)
 
 
 def _identity() -> Column:
@@ -94,7 +142,7 @@ def _identity() -> Column:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, how: Banding = PARAGRAPHS) -> DataFrame:
     """doc_id, paragraph, n_shingles, keep_id, keep_paragraph, removed, last_paragraph: for each paragraph that has a similar one."""
-    found = near_classes(paragraphs(docs, min_words), _identity(), how)
+    found = near_classes(paragraphs(docs, min_words), _identity(), how, paragraph_signatures(docs, min_words, how))
     rows = staged(found.select(_identity().alias("own"), "n_shingles", "lowest"), "paragraph-classes")
     release(found)
     # A hot passage's rows are counted with partial aggregation; the counts of repeated ones alone are joined back.
@@ -170,27 +218,17 @@ def windows(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_WORDS)
     @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            part = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // CHUNK_CHARS
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-            for i, j in pairwise(edges):
-                lines, n_lines = [], []
-                for text in texts[i:j]:
-                    own = text.encode("utf-8", "replace").lower().split(b"\n")
-                    lines += map(bytes.split, own)
-                    n_lines.append(len(own))
-                words = [*chain.from_iterable(lines)]
-                w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
-                # Words before each line, and lines and words before each text.
-                ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
-                first_line = np.cumsum([0, *n_lines])
-                text_ends = ends[first_line[1:] - 1]
-                starts = np.concatenate([[0], text_ends[:-1]])
-                at, h, other = chosen_of(w, text_ends - starts, size, run_words)
-                text = np.searchsorted(text_ends, at, "right")
-                line, last = (np.searchsorted(ends, place, "right") - first_line[text] for place in (at, at + size - 1))
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            for i, j, data in _parts(texts):
+                w, starts = word_hashes(data.lower())
+                lines = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                text_at = np.cumsum([0, *(len(t) + 1 for t in texts[i:j])])
+                edges = np.searchsorted(starts, text_at)
+                at, h, other = chosen_of(w, np.diff(edges), size, run_words)
+                text = np.searchsorted(edges[1:], at, "right")
+                line, last = (np.searchsorted(lines, starts[place]) - np.searchsorted(lines, text_at[text]) for place in (at, at + size - 1))
                 took = pa.array(text + i)
-                made = [h, other.astype(np.int32), at - starts[text], line, last]
+                made = [h, other.astype(np.int32), at - edges[text], line, last]
                 kinds = [pa.int64(), *[pa.int32()] * 4]
                 columns = [pa.array(x.astype(kind.to_pandas_dtype()), kind) for x, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays([*columns[:2], b.column("doc_id").take(took), b.column("row_id").take(took), *columns[2:]], names=names)
@@ -214,22 +252,23 @@ def repeated_runs(docs: DataFrame, size: int = MIN_WORDS, run_words: int = RUN_W
     same = F.col("row_id") == F.col("keep.row_id")
     # A window that overlaps the one that stays is no copy beside it.
     rows = rows.withColumn("removed", ~(same & (F.col("pos") == F.col("keep.pos")))).filter(~(F.col("removed") & same & (F.col("pos") - F.col("keep.pos") < size)))
+    # Windows of a run follow each other with no gap: its first one names it, its last one tells where it ends.
     own = Window.partitionBy("row_id", "removed").orderBy("pos")
-    rows = rows.withColumn("new", F.coalesce((F.col("pos") > F.lag("pos").over(own) + size).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("new").over(own))
-    first = F.min(F.struct("pos", "doc_id", "line", "keep")).alias("first")
-    runs = rows.groupBy("row_id", "removed", "run").agg(first, F.max("pos").alias("pos"), F.max("last").alias("last"))
+    rows = rows.withColumn("first", F.coalesce(F.col("pos") > F.lag("pos").over(own) + size, F.lit(True)))
+    rows = rows.withColumn("ends", F.coalesce(F.lead("pos").over(own) > F.col("pos") + size, F.lit(True))).filter("first OR ends")
+    end = lambda c: F.when(F.col("ends"), F.col(c)).otherwise(F.lead(c).over(own))
+    runs = rows.withColumns({"end_pos": end("pos"), "end_line": end("last")}).filter("first")
     out = runs.select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.col("first.line").cast("long").alias("paragraph"),
+        "doc_id",
+        F.col("line").cast("long").alias("paragraph"),
         F.lit(None).cast("long").alias("n_shingles"),
-        F.col("first.keep.doc_id").alias("keep_id"),
-        F.col("first.keep.line").cast("long").alias("keep_paragraph"),
+        F.col("keep.doc_id").alias("keep_id"),
+        F.col("keep.line").cast("long").alias("keep_paragraph"),
         "removed",
-        F.col("last").cast("long").alias("last_paragraph"),
-        F.col("first.pos").cast("long").alias("first_word"),
-        (F.col("pos") - F.col("first.pos") + size).cast("long").alias("n_words"),
-        F.col("first.keep.pos").cast("long").alias("keep_first_word"),
+        F.col("end_line").cast("long").alias("last_paragraph"),
+        F.col("pos").cast("long").alias("first_word"),
+        (F.col("end_pos") - F.col("pos") + size).cast("long").alias("n_words"),
+        F.col("keep.pos").cast("long").alias("keep_first_word"),
     )
     return owing(out, met, keep)
 
