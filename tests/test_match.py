@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from trawl.functions.dialect import compile_patterns, compile_template, ignores_case, required_literal
+from trawl.functions.dialect import compile_patterns, compile_template, ignores_case, in_order, required_literal
 from trawl.operators import match, pattern_index
 from trawl.plans import catalog
 from trawl.spec import SpecError, spec
@@ -221,6 +222,56 @@ def test_patterns_that_need_one_text_are_looked_up_once(spark, monkeypatch):
     assert sorted((r.line_number, r.pattern_id) for r in rows) == sorted((n, k) for n, line in enumerate(lines, 1) for k in range(2000) if re.search(f"needed .*w{k % 50}$", line))
 
 
+def test_parts_of_patterns_in_order():
+    parts = lambda p, **options: in_order(spec(p, **options))
+    assert parts("abc,? .*de") == [("abc, ", "abc "), ("de",)]
+    assert parts(r".*a\.b-c.*d?.*é.*") == [("a.b-c",), ("é",)]
+    assert parts("colou?r") == [("colour", "color")] and parts(".*") == [] == parts("")
+    for p in ("a.*b$", "^a.*b", "a.b", "a.+b", "a.*?b", "a.*+b", "ab??c", "ab?+c", "ab*c", "a{2}b", "a|b", "(a).*b", r"a\db", "[ab]c", "a.**b", "a?b?c?d?"):
+        assert parts(p) is None
+    assert parts("a.*b", case="ignore") is None and parts("a.*b", boundary="word") is None and parts("a.*b", fixed=True) is None and parts("a.*b", null_data=True) is None
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_texts_behind_others_need_no_expression(spark, monkeypatch, most):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abé", k=rng.choice([3, 4, 4, 5, 9, 20]))) for _ in range(25)]
+    pairs = [f"{rng.choice(words)}{rng.choice(['', ',?', 'x? '])}.*{rng.choice([*words, 'b', 'x?', 'x?ab'])}" for _ in range(120)]
+    patterns = [*pairs, *words[:5], f"{words[0]},?a", f"{words[1]}.*{words[2]}.*{words[3]}", f"{words[1]}.*{words[2]}$", f"{words[4]}.*{words[4]}", f"{words[4]}.{words[5]}", "ab.*b"]
+    texts = [(k, "\n".join(rng.choice(["", ", ", " "]).join(rng.choices(words, k=rng.randrange(8))) for _ in range(8))) for k in range(12)] + [(20, None)]
+    monkeypatch.setattr(pattern_index, "MOST_CHARS", most)
+    rows = match.attribute(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame([*enumerate(patterns)], "pattern_id int, pattern string")).collect()
+    want = [(d, n, k) for d, t in texts if t for n, line in enumerate(t.split("\n"), 1) for k, p in enumerate(patterns) if re.search(p, line)]
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) > 400
+
+
+def test_only_finds_leave_the_lookup(spark, monkeypatch):
+    found, indexed = [], pattern_index.indexed
+    monkeypatch.setattr(pattern_index, "indexed", lambda *own, **more: found.append(indexed(*own, **more)) or found[-1])
+    table = spark.createDataFrame([(k, f"needed,? .*w{k % 50:02}") for k in range(500)], "pattern_id int, pattern string")
+    lines = [f"w{k:02} x needed{',' * (k % 2)} y w{k % 7:02}" for k in range(60)] + ["w01", "needed", "needed", "needed; w01"]
+    rows = match.attribute(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string"), table).collect()
+    assert len(rows) == 600
+    assert [r.line for r in found[0].collect()] == [None] * 60
+
+
+@pytest.mark.parametrize(("window", "at_once"), [(1 << 18, 1 << 22), (7, 5), (11, 200)])
+def test_texts_behind_others(monkeypatch, window, at_once):
+    monkeypatch.setattr(pattern_index, "WINDOW", window)
+    monkeypatch.setattr(pattern_index, "AT_ONCE", at_once)
+    rng = random.Random(10)
+    words = list({"".join(rng.choices("ab", k=rng.choice([1, 3, 4, 5, 9, 20]))) for _ in range(30)})
+    numbers = [5 * rng.randrange(15) for _ in words]
+    own = {n: [w for w, m in zip(words, numbers) if m == n] for n in numbers}
+    pairs = [(a, b, -1 - k) for k, (a, b) in enumerate({(rng.choice(numbers), rng.choice(numbers)) for _ in range(60)})]
+    alone = [n for n in own if n % 2]
+    lines = ["".join(rng.choices("ab", k=rng.randrange(60))) for _ in range(50)] + ["", "a", "ab" * 500]
+    first, last = lambda line, n: min((line.find(w) + len(w) for w in own[n] if w in line), default=10**6), lambda line, n: max(line.rfind(w) for w in own[n])
+    want = sorted([(i, n) for i, line in enumerate(lines) for n in alone if any(w in line for w in own[n])] + [(i, p) for i, line in enumerate(lines) for a, b, p in pairs if first(line, a) <= last(line, b)])
+    line, number = pattern_index.GramIndex(words, numbers, np.array(pairs), np.array(alone)).found(lines)
+    assert [*zip(line.tolist(), number.tolist())] == want and len(want) > 500
+
+
 def test_words_are_compared_byte_by_byte(monkeypatch):
     rng = random.Random(8)
     for window, at_once in ((1 << 18, 1 << 22), (7, 5)):
